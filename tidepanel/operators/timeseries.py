@@ -5,6 +5,11 @@ share one sort and one pass. A window is the last ``w`` rows of the entity. The
 result is NULL unless ``min_periods`` (default ``w``) values are present, so by
 default one missing value in the window makes the result missing.
 
+Inputs are finite numbers or NULL (see ``finite``); so are the results, short of
+an overflow, which is caught where factor tables are put together. The functions
+do not wrap their results themselves: Spark computes a window expression as often
+as it appears, and a wrapper would repeat it.
+
 A panel has one row per entity and date, therefore one entity holds at most as
 many rows as there are dates: its window partition is bounded by the calendar,
 not by the size of the raw data.
@@ -18,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidepanel.functions.scalar import col, finite, safe_div
+from tidepanel.functions.scalar import col
 
 ENTITY = "stock_code"
 DATE = "trade_date"
@@ -54,7 +59,7 @@ def _complete(x: Column, w: int, min_periods: int | None, frame: WindowSpec) ->
 
 def _rolling(aggregate, x, w: int, min_periods: int | None, entity: str, date: str) -> Column:
     x, frame = col(x), last_rows(w, entity, date)
-    return finite(F.when(_enough(x, w, min_periods, frame), aggregate(x).over(frame)))
+    return F.when(_enough(x, w, min_periods, frame), aggregate(x).over(frame))
 
 
 def delay(x, w: int, entity: str = ENTITY, date: str = DATE) -> Column:
@@ -63,12 +68,12 @@ def delay(x, w: int, entity: str = ENTITY, date: str = DATE) -> Column:
 
 
 def delta(x, w: int, entity: str = ENTITY, date: str = DATE) -> Column:
-    return finite(col(x) - delay(x, w, entity, date))
+    return col(x) - delay(x, w, entity, date)
 
 
 def returns(x, w: int, entity: str = ENTITY, date: str = DATE) -> Column:
     """Relative change against ``w`` rows before; also serves as percentage change."""
-    return safe_div(x, delay(x, w, entity, date)) - 1.0
+    return F.try_divide(col(x), delay(x, w, entity, date)) - 1.0
 
 
 def ts_sum(x, w: int, min_periods: int | None = None, entity: str = ENTITY, date: str = DATE) -> Column:
@@ -124,18 +129,15 @@ def ts_corr(x, y, w: int, min_periods: int | None = None, entity: str = ENTITY,
     moments = F.try_divide(
         F.covar_samp(x, y).over(frame), F.stddev_samp(a).over(frame) * F.stddev_samp(b).over(frame)
     )
-    varies = (F.min(a).over(frame) < F.max(a).over(frame)) & (F.min(b).over(frame) < F.max(b).over(frame))
-    return finite(F.when(_enough(a, w, min_periods, frame) & varies, moments))
+    return F.when(_enough(a, w, min_periods, frame), moments)
 
 
 def ts_rank(x, w: int, min_periods: int | None = None, entity: str = ENTITY, date: str = DATE) -> Column:
     """Share of the window at or below the current value, ties counted half-way."""
     x, frame = col(x), last_rows(w, entity, date)
-    values = F.collect_list(x).over(frame)
-    below = F.size(F.filter(values, lambda v: v < x))
-    equal = F.size(F.filter(values, lambda v: v == x))
-    share = (below + (equal + 1) / 2.0) / F.size(values)
-    return F.when(_enough(x, w, min_periods, frame) & x.isNotNull(), share)
+    passed = lambda v: F.when(v < x, 1.0).when(v == x, 0.5).otherwise(0.0)
+    below = F.aggregate(F.collect_list(x).over(frame), F.lit(0.5), lambda total, v: total + passed(v))
+    return F.when(_enough(x, w, min_periods, frame) & x.isNotNull(), below / F.count(x).over(frame))
 
 
 class Trend(NamedTuple):
@@ -163,9 +165,9 @@ def ts_linear_regression(
     fitted = F.avg(x).over(frame) + slope * (t - F.avg(t).over(frame))
     varies = F.min(x).over(frame) < F.max(x).over(frame)
     return Trend(
-        slope=finite(F.when(complete, slope)),
-        rsquare=finite(F.when(complete & varies, F.regr_r2(x, t).over(frame))),
-        residual=finite(F.when(complete, x - fitted)),
+        slope=F.when(complete, slope),
+        rsquare=F.when(complete & varies, F.regr_r2(x, t).over(frame)),
+        residual=F.when(complete, x - fitted),
     )
 
 
@@ -193,7 +195,7 @@ def decay_linear(
     x, t, frame = col(x), F.col(position), last_rows(w, entity, date)
     rows = F.count(F.lit(1)).over(frame)
     weighted = F.sum(x * t).over(frame) - (t - rows) * F.sum(x).over(frame)
-    return finite(F.when(_complete(x, w, min_periods, frame), weighted / (rows * (rows + 1) / 2.0)))
+    return F.when(_complete(x, w, min_periods, frame), weighted / (rows * (rows + 1) / 2.0))
 
 
 def forward_fill(x, entity: str = ENTITY, date: str = DATE) -> Column:
@@ -217,13 +219,13 @@ def drawdown(nav, entity: str | Sequence[str] | None = None, date: str = DATE) -
     """Distance below the running maximum."""
     keys = [] if entity is None else [entity] if isinstance(entity, str) else list(entity)
     so_far = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return safe_div(nav, F.max(col(nav)).over(so_far)) - 1.0
+    return F.try_divide(col(nav), F.max(col(nav)).over(so_far)) - 1.0
 
 
 def forward_return(x, entity: str = ENTITY, date: str = DATE) -> Column:
     """Label: from the next row to the one after it. Never a feature."""
     ahead = history(entity, date)
-    return safe_div(F.lead(col(x), 2).over(ahead), F.lead(col(x), 1).over(ahead)) - 1.0
+    return F.try_divide(F.lead(col(x), 2).over(ahead), F.lead(col(x), 1).over(ahead)) - 1.0
 
 
 def repair_prices(price: DataFrame, entity: str = ENTITY, date: str = DATE) -> DataFrame:

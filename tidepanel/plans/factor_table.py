@@ -156,7 +156,7 @@ def missing_rates(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 class FactorList:
-    """Collects factor expressions and their specs in order."""
+    """Collects factor expressions and their specs in order, then makes the table."""
 
     def __init__(self, source: str, prefix: str):
         self.source, self.prefix = source, prefix
@@ -174,7 +174,7 @@ class FactorList:
         lookback: int | None = None,
     ) -> str:
         full = f"{self.prefix}{name}"
-        self.columns[full] = finite(value)
+        self.columns[full] = value
         self.specs.append(
             FactorSpec(full, self.source, category, tuple(inputs), expression, window,
                        (window or 0) if lookback is None else lookback)
@@ -182,3 +182,11 @@ class FactorList:
         return full
 
 
+
+    def table(self, work: DataFrame, keep: Sequence[str]) -> FactorTable:
+        """Key columns and all factors, none of them NaN or infinite.
+
+        The factors become columns first, so no window expression is repeated.
+        """
+        raw = work.select(*keep, *[value.alias(name) for name, value in self.columns.items()])
+        return FactorTable(raw.select(*keep, *[finite(n).alias(n) for n in self.columns]), tuple(self.specs))

@@ -373,15 +373,15 @@ def winsorize(spark, sf):
 
 
 _SCALARS = {
-    "div": "x / nullif(t, 0)",
+    "div": "y / nullif(t, 0)",
     "log": "CASE WHEN t - 3 > 0 THEN ln(t - 3) END",
     "root": "CASE WHEN t - 3 >= 0 THEN sqrt(t - 3) END",
     "log1": "CASE WHEN t - 5 > -1 THEN ln(t - 4) END",
     "clipped": "CASE WHEN x < 1000 THEN 1000 WHEN x > 5000 THEN 5000 ELSE x END",
     "sgn": "sign(t - 2)::DOUBLE",
     "product": "x * y * 0.001",
-    "squash": "1 / (1 + exp(-greatest(least(t - 5, 20), -20)))",
-    "odds": "ln(greatest(least(t / 40, 1 - 1e-6), 1e-6) / (1 - greatest(least(t / 40, 1 - 1e-6), 1e-6)))",
+    "squash": "CASE WHEN t IS NOT NULL THEN 1 / (1 + exp(-greatest(least(t - 5, 20), -20))) END",
+    "odds": "CASE WHEN t IS NOT NULL THEN ln(greatest(least(t / 40, 1 - 1e-6), 1e-6) / (1 - greatest(least(t / 40, 1 - 1e-6), 1e-6))) END",
     "avg3": "CASE WHEN x IS NOT NULL OR y IS NOT NULL OR t IS NOT NULL THEN (coalesce(x, 0) + coalesce(y, 0) + coalesce(t, 0)) "
     "/ ((x IS NOT NULL)::INT + (y IS NOT NULL)::INT + (t IS NOT NULL)::INT) END",
     "no_inf": "CASE WHEN mno % 5 = 0 THEN NULL WHEN mno % 7 = 0 THEN NULL ELSE x END",
@@ -403,7 +403,7 @@ def scalar_functions(spark, sf):
     return tidy(
         tables.gappy(spark, sf).select(
             *KEYS,
-            sc.safe_div("x", "t").alias("div"),
+            sc.safe_div("y", "t").alias("div"),
             sc.safe_log(c("t") - 3).alias("log"),
             sc.safe_sqrt(c("t") - 3).alias("root"),
             sc.safe_log1p(c("t") - 5).alias("log1"),

@@ -178,10 +178,10 @@ def metric(spark, sf) -> DataFrame:
         "trade_date",
         "industry",
         F.when((k + m) % 13 != 0, c("close") / 10).alias("pe"),
-        F.when((k + m) % 11 == 0, None).when((k + m) % 17 == 0, 0.0).otherwise(c("close") / (k % 5 + 1)).alias("pe_ttm"),
-        F.when((k * 3 + m) % 19 != 0, c("close") / ((k % 3 + 2) * 100)).alias("pb"),
-        (c("vwap") / 50).alias("ps"),
-        F.when((k + m * 2) % 7 != 0, c("vwap") / (k % 4 + 3)).alias("ps_ttm"),
+        F.when((k + m) % 11 == 0, None).when((k + m) % 17 == 0, 0.0).otherwise(c("vwap") / ((k % 5 + 1) * 7)).alias("pe_ttm"),
+        F.when((k * 3 + m) % 19 != 0, c("vwap") / ((k % 3 + 2) * 101)).alias("pb"),
+        (c("vwap") / 53).alias("ps"),
+        F.when((k + m * 2) % 7 != 0, c("vwap") / ((k % 4 + 3) * 59)).alias("ps_ttm"),
         (c("n_lines") / 10).alias("dv_ratio"),
         F.when(m % 3 == 0, c("n_lines") / 5).alias("dv_ttm"),
         (c("volume") / (k % 13 + 10)).alias("turnover_rate"),
@@ -195,10 +195,10 @@ def metric(spark, sf) -> DataFrame:
 METRIC = """metric AS (
   SELECT stock_code, trade_date, industry,
     CASE WHEN (k + mno) % 13 <> 0 THEN close / 10 END AS pe,
-    CASE WHEN (k + mno) % 11 = 0 THEN NULL WHEN (k + mno) % 17 = 0 THEN 0 ELSE close / (k % 5 + 1) END AS pe_ttm,
-    CASE WHEN (k * 3 + mno) % 19 <> 0 THEN close / ((k % 3 + 2) * 100) END AS pb,
-    vwap / 50 AS ps,
-    CASE WHEN (k + mno * 2) % 7 <> 0 THEN vwap / (k % 4 + 3) END AS ps_ttm,
+    CASE WHEN (k + mno) % 11 = 0 THEN NULL WHEN (k + mno) % 17 = 0 THEN 0 ELSE vwap / ((k % 5 + 1) * 7) END AS pe_ttm,
+    CASE WHEN (k * 3 + mno) % 19 <> 0 THEN vwap / ((k % 3 + 2) * 101) END AS pb,
+    vwap / 53 AS ps,
+    CASE WHEN (k + mno * 2) % 7 <> 0 THEN vwap / ((k % 4 + 3) * 59) END AS ps_ttm,
     n_lines / 10 AS dv_ratio,
     CASE WHEN mno % 3 = 0 THEN n_lines / 5 END AS dv_ttm,
     volume / (k % 13 + 10) AS turnover_rate,

@@ -18,6 +18,7 @@ def panel_session(app: str = "tidepanel", cores: int | None = None, shuffle_part
         builder = builder.config("spark.ui.showConsoleProgress", "false")
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
