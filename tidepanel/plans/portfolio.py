@@ -14,6 +14,7 @@ from tidepanel.functions.scalar import finite, number
 from tidepanel.operators.cross_section import first_rank, top_rows
 from tidepanel.operators.keys import on_latest_date, require_columns
 from tidepanel.operators.timeseries import compounded, drawdown
+from tidepanel.scale import freeze
 
 OPEN_LABEL = "label_next_open_return"
 DAY = "target_trade_date"
@@ -92,22 +93,23 @@ def date_windows(df: DataFrame, length: int, step: int = 1, most: int | None = N
     return member.select("window_id", DAY).join(edges, "window_id")
 
 
-def window_values(held: DataFrame, moved: DataFrame, windows: DataFrame, label: str = OPEN_LABEL) -> DataFrame:
-    """Value within each window, starting at one.
-
-    On the first day of a window the whole book is bought.
-    """
+def window_values(
+    held: DataFrame,
+    moved: DataFrame,
+    windows: DataFrame,
+    top_n: int = 20,
+    fee_rate: float = 0.0003,
+    slippage_rate: float = 0.0005,
+    label: str = OPEN_LABEL,
+) -> DataFrame:
+    """Value within each window, starting at one; on its first day the whole book is bought."""
     gross = held.groupBy(DAY).agg(F.avg(F.coalesce(finite(label), F.lit(0.0))).alias("gross_return"))
-    daily = windows.join(gross.join(moved, DAY), DAY)
-    opening = F.col(DAY) == F.col("start_date")
-    rate = F.try_divide(F.col("cost"), F.col("turnover"))
-    known = F.max(rate).over(Window.partitionBy("window_id"))
-    share = F.try_divide(F.col("holding_count") * F.col("turnover"), F.col("entered") + F.col("left"))
-    whole = F.max(share).over(Window.partitionBy("window_id"))
-    daily = daily.withColumns({"_rate": known, "_whole": whole})
-    daily = daily.withColumn("turnover", F.when(opening, F.coalesce("_whole", "turnover")).otherwise(F.col("turnover")))
-    daily = daily.withColumn("daily_return", F.col("gross_return") - F.col("turnover") * F.coalesce("_rate", F.lit(0.0)))
-    return daily.withColumn("nav", compounded("daily_return", "window_id", DAY)).drop("_rate", "_whole")
+    daily = windows.join(gross.join(moved.drop("cost"), DAY), DAY)
+    opening = F.col("holding_count") / float(max(top_n, 1))
+    share = F.when(F.col(DAY) == F.col("start_date"), opening).otherwise(F.col("turnover"))
+    daily = daily.withColumn("turnover", share)
+    daily = daily.withColumn("daily_return", F.col("gross_return") - F.col("turnover") * (fee_rate + slippage_rate))
+    return daily.withColumn("nav", compounded("daily_return", "window_id", DAY))
 
 
 def window_returns(values: DataFrame) -> DataFrame:
@@ -265,6 +267,7 @@ def trade_signals(
         day = day.join(held.withColumn("current_position", F.lit(True)), "stock_code", "left")
         day = day.withColumn("current_position", F.coalesce("current_position", F.lit(False)))
         n_held = held.agg(F.count(F.lit(1)).alias("n")).scalar()
+    day = freeze(day, "signals")
     # the place within held names from below, and within names not held from above
     own = day.where("current_position")
     worst = first_rank(own.select(DAY, "stock_code", "y_score"), "y_score", "_worst", (DAY,), "stock_code", True, fits)
