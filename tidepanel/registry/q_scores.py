@@ -354,7 +354,7 @@ def strategy_predictions(spark, sf):
         "predictions metric",
         f"""SELECT sample_id, {rounded(['log_total_mv', 'cap_pct'])} FROM (
           SELECT *, ({avg_rank('log_total_mv', TARGET)}) / nullif(count(log_total_mv) OVER ({TARGET}), 0) AS cap_pct FROM (
-            SELECT sample_id, target_trade_date, ln(greatest(m.total_mv, 1)) AS log_total_mv FROM predictions p
+            SELECT sample_id, target_trade_date, CASE WHEN m.total_mv IS NOT NULL THEN ln(greatest(m.total_mv, 1)) END AS log_total_mv FROM predictions p
             LEFT JOIN metric m ON m.stock_code = p.stock_code AND m.trade_date = p.feature_asof_date AND m.turnover_rate > 1))""",
     ),
 )
@@ -363,8 +363,7 @@ def attach_market_cap(spark, sf):
     preds = tables.predictions(spark, sf).drop("log_total_mv", "feature_asof_date")
     metric = tables.metric(spark, sf).where(F.col("turnover_rate") > 1)
     df = bl.attach_market_cap(preds, metric, tables.samples(spark, sf), tables.fits(spark, sf))
-    return tidy(df.select("sample_id", "log_total_mv", "cap_pct").withColumn(
-        "log_total_mv", F.when(F.col("log_total_mv").isNotNull(), F.col("log_total_mv"))))
+    return tidy(df.select("sample_id", "log_total_mv", "cap_pct"))
 
 
 _MODELS = {
