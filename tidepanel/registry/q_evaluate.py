@@ -17,6 +17,7 @@ from tidepanel.registry import tables
 from tidepanel.registry.base import query, rounded, tidy
 from tidepanel.registry.q_factors import METRIC_BASE, P
 from tidepanel.registry.tables import define, sql
+from tidepanel.scale import freeze
 
 FACTORS = [f"{P}KMID", f"{P}KMID2", f"{P}KLEN", f"{P}KSFT2", f"{P}ROC5", "coarse"]
 LABELS = ["label_next_open_return", "label_next_vwap_return"]
@@ -261,10 +262,12 @@ THRESHOLDS = {"min_days": 60, "min_coverage": 0.95, "min_abs_rank_ic": 0.004}
 
 
 def candidates(spark, sf) -> DataFrame:
-    p = panel(spark, sf)
+    """Quality and summary reports merged; the panel and the result are stage tables, as in a daily run."""
+    p = freeze(panel(spark, sf), "panel")
     quality = ev.factor_quality(p.select("sample_id", *FACTORS), p, FACTORS, 0.8, 1000, 0.05)
-    merged = se.merge_reports(quality, ev.factor_summary(daily(spark, sf)), *LABELS)
-    return se.candidate_status(merged, **THRESHOLDS)
+    days = ev.daily_ic(ev.factor_label_rows(p, FACTORS, LABELS), 10, GROUPS, fits=tables.fits(spark, sf))
+    merged = se.merge_reports(quality, ev.factor_summary(days), *LABELS)
+    return freeze(se.candidate_status(merged, **THRESHOLDS), "candidates")
 
 
 define(
@@ -384,7 +387,7 @@ clusters AS (SELECT 'cluster_' || lpad(CAST(n AS VARCHAR), 4, '0') AS cluster_id
 
 def clusters(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     scored = candidates(spark, sf)
-    pairs = se.conflicts(se.correlation_matrix(panel(spark, sf), FACTORS), CONFLICT, 100)
+    pairs = freeze(se.conflicts(se.correlation_matrix(panel(spark, sf), FACTORS), CONFLICT, 100), "conflicts")
     return scored, pairs, se.redundancy_clusters(scored, pairs)
 
 
@@ -458,17 +461,22 @@ def existing_factors(spark, sf):
 # -- catalog, panels, keys, scaler --------------------------------------------------------
 
 
+_BLOCKS = {"kbar": "alpha158_kbar_sample", "price": "alpha158_price_sample", "rolling.roc": "alpha158_return_sample"}
+
+
 @query(
     "feature_groups",
-    "SELECT * FROM (VALUES ('alpha158_kbar', 'fundamental', 9), ('alpha158_price', 'fundamental', 12), ('alpha158', 'fundamental', 32), "
+    "SELECT * FROM (VALUES ('alpha158_kbar', 'fundamental', 9), ('alpha158_price', 'fundamental', 16), ('alpha158_rolling', 'fundamental', 28), "
     "('alpha158_return', 'fundamental', 6), ('metric', 'fundamental', 58)) t(feature_group, modality, features), "
     "(SELECT count(*) AS panel_rows FROM (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate) FROM lineitem))",
 )
 def feature_groups(spark, sf):
     """Number of features per semantic group, beside the rows they have."""
     price = tables.price(spark, sf)
-    names = [s.name for s in pf.price_factors(price, rolling_windows=(5,)).specs] + [s.name for s in vf.value_factors(tables.metric(spark, sf)).specs]
-    features = spark.createDataFrame([(n, None) for n in names], "factor_name string, block string")
+    specs = pf.price_factors(price, rolling_windows=(5,)).specs
+    rows = [(s.name, _BLOCKS.get(s.category, "alpha158_rolling5_sample")) for s in specs]
+    rows += [(s.name, None) for s in vf.value_factors(tables.metric(spark, sf)).specs]
+    features = spark.createDataFrame(rows, "factor_name string, block string")
     grouped = features.select(
         ct.feature_group(F.col("factor_name"), F.col("block")).alias("feature_group"),
         ct.feature_modality(F.col("factor_name"), F.col("block"), ["news_"]).alias("modality"),
