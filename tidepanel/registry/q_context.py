@@ -11,6 +11,7 @@ from tidepanel.registry.base import query, rounded, tidy
 from tidepanel.registry.q_cross_section import bin_sql, robust_sql
 from tidepanel.registry.q_timeseries import ENTITY, gate, rolling
 from tidepanel.registry.tables import _noise, _noise_sql, define, sql
+from tidepanel.scale import freeze
 
 ROCS = (3, 5, 20, 60)
 
@@ -72,9 +73,9 @@ def context_flow(spark, sf):
     return tidy(cx.flow_confirm(tables.flow(spark, sf)))
 
 
-def regime_features(spark, sf) -> DataFrame:
+def regime_features(samples: DataFrame) -> DataFrame:
     names = {n: _noise(601 + 6 * i, 307 + 4 * i) for i, n in enumerate(cx.REGIME_FEATURES)}
-    return tables.samples(spark, sf).select("sample_id", *[v.alias(n) for n, v in names.items()])
+    return samples.select("sample_id", *[v.alias(n) for n, v in names.items()])
 
 
 _REGIME = " + ".join(_noise_sql(601 + 6 * i, 307 + 4 * i) for i in range(len(cx.REGIME_FEATURES)))
@@ -86,12 +87,12 @@ _REGIME = " + ".join(_noise_sql(601 + 6 * i, 307 + 4 * i) for i in range(len(cx.
 )
 def context_regime(spark, sf):
     """Sum of three registered features."""
-    return tidy(cx.regime_momentum(regime_features(spark, sf)))
+    return tidy(cx.regime_momentum(regime_features(tables.samples(spark, sf))))
 
 
-def news_scores(spark, sf) -> DataFrame:
+def news_scores(samples: DataFrame) -> DataFrame:
     k, m = F.col("k"), F.col("mno")
-    return tables.samples(spark, sf).select(
+    return samples.select(
         "sample_id",
         F.when((k + m) % 3 == 0, _noise(811, 401) - 0.5).alias("context_news_exact3"),
         F.when((k + m) % 3 != 1, _noise(821, 409) - 0.5).alias("context_news_exact5"),
@@ -99,13 +100,17 @@ def news_scores(spark, sf) -> DataFrame:
 
 
 def raw_context(spark, sf) -> DataFrame:
-    """Samples with raw context; the sector stands for the industry of the theme buckets."""
-    samples = tables.samples(spark, sf).select(
+    """Samples with raw context; the sector stands for the industry of the theme buckets.
+
+    The price table is read by five branches, so it is a stage table here.
+    """
+    price = freeze(tables.price(spark, sf), "price")
+    samples = tables.samples(spark, sf, price).select(
         "sample_id", "stock_code", "industry", "sector", "feature_asof_date", "target_trade_date", "k", "mno"
     )
     return cx.attach_raw_context(
-        samples, tables.price(spark, sf), tables.metric(spark, sf), tables.flow(spark, sf),
-        cx.regime_momentum(regime_features(spark, sf)), news_scores(spark, sf), tables.fits(spark, sf),
+        samples, price, tables.metric(spark, sf, price), tables.flow(spark, sf),
+        cx.regime_momentum(regime_features(samples)), news_scores(samples), tables.fits(spark, sf),
     )
 
 

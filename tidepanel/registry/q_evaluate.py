@@ -30,7 +30,9 @@ def panel(spark, sf) -> DataFrame:
     table = pf.price_factors(price, kbar=True, relative=False, return_windows=(5,), rolling_windows=())
     coarse = price.select("stock_code", "trade_date", F.when(F.col("mno") % 9 != 0, F.floor(F.col("volume") / 60).cast("double")).alias("coarse"))
     daily = table.output().join(coarse, ["stock_code", "trade_date"]).select("stock_code", "trade_date", *FACTORS)
-    samples = tables.predictions(spark, sf).select("sample_id", "stock_code", "feature_asof_date", "target_trade_date", *LABELS)
+    samples = tables.predictions(spark, sf, price).select(
+        "sample_id", "stock_code", "feature_asof_date", "target_trade_date", *LABELS
+    )
     return align_to_samples(samples, daily)
 
 

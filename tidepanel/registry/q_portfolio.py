@@ -269,11 +269,18 @@ def trade_signals_first(spark, sf):
 
 _POSITIONS = "SELECT DISTINCT stock_code FROM predictions WHERE k % 9 = 2 UNION SELECT 'GONE.SH'"
 _HELD = f"(SELECT count(*) FROM ({_POSITIONS}))"
+_LATEST = "FROM predictions WHERE target_trade_date = (SELECT max(target_trade_date) FROM predictions) AND y_score IS NOT NULL"
+_SOLD = f"(SELECT least(3, count(*)) {_LATEST} AND stock_code IN ({_POSITIONS}))"
+_FREE = f"(SELECT count(*) {_LATEST} AND stock_code NOT IN ({_POSITIONS}))"
 
 
 @query(
     "trade_signals",
-    sql("predictions", _signals_sql(_POSITIONS, f"greatest(3, 20 - ({_HELD} - 3))", "3", f"{_HELD} - 3 + greatest(3, 20 - ({_HELD} - 3))")),
+    sql(
+        "predictions",
+        _signals_sql(_POSITIONS, f"greatest(3, 20 - ({_HELD} - {_SOLD}))", "3",
+                     f"{_HELD} - {_SOLD} + least({_FREE}, greatest(3, 20 - ({_HELD} - {_SOLD})))"),
+    ),
 )
 def trade_signals(spark, sf):
     """Signals of the latest month against positions, one of them no longer predicted."""

@@ -12,14 +12,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidepanel.scale import groups_fit
 
 DAY_SHIFT = 1 << 40
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is looked up in the files once."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def fits(spark: SparkSession, sf: str) -> bool:
@@ -171,9 +179,10 @@ GAPPY = """gappy AS (
 # -- metric and money flow ------------------------------------------------------
 
 
-def metric(spark, sf) -> DataFrame:
+def metric(spark, sf, base: DataFrame | None = None) -> DataFrame:
+    """Valuation and turnover per bar, with gaps; ``base`` is the price table if it is at hand."""
     k, m, c = F.col("k"), F.col("mno"), F.col
-    return price(spark, sf).select(
+    return (price(spark, sf) if base is None else base).select(
         "stock_code",
         "trade_date",
         "industry",
@@ -251,10 +260,10 @@ FLOW = f"""flow AS (
 # -- samples and predictions ----------------------------------------------------
 
 
-def samples(spark, sf) -> DataFrame:
+def samples(spark, sf, base: DataFrame | None = None) -> DataFrame:
     from tidepanel.plans.samples import prediction_samples
 
-    return prediction_samples(price(spark, sf))
+    return prediction_samples(price(spark, sf) if base is None else base)
 
 
 SAMPLES = """samples AS (
@@ -277,14 +286,14 @@ def _noise_sql(a: int, b: int) -> str:
     return f"(((k * {a} + mno * {b}) % 1009) / 1009)"
 
 
-def predictions(spark, sf) -> DataFrame:
+def predictions(spark, sf, base: DataFrame | None = None) -> DataFrame:
     """Model outputs as a table: scores with ties and gaps, probabilities, gates, small labels."""
     k, m, c = F.col("k"), F.col("mno"), F.col
     body = (c("close") - c("open")) / c("open")
     rest = c("close") / c("vwap") - 1
     bounded = F.greatest(F.least(body, F.lit(20.0)), F.lit(-20.0))
     squash = lambda x: x / (F.abs(x) + 1) * 0.05
-    return samples(spark, sf).select(
+    return samples(spark, sf, base).select(
         "sample_id",
         "stock_code",
         "stock_name",
