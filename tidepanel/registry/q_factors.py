@@ -390,17 +390,17 @@ def candidate_functions(spark, sf):
     sql(
         "price metric",
         f"""SELECT stock_code, trade_date, {rounded([P + 'ROC5', 'metric_pe', 'metric_log_total_mv'])} FROM
-          (SELECT stock_code, trade_date, lag(close, 5) OVER ({ENTITY}) / close AS {P}ROC5 FROM price WHERE mno % 2 = 0)
+          (SELECT stock_code, trade_date, lag(close, 5) OVER ({ENTITY}) / close AS {P}ROC5 FROM price WHERE trade_date >= DATE '1997-01-01')
           FULL JOIN (SELECT stock_code, trade_date, pe AS metric_pe, ln(total_mv) AS metric_log_total_mv FROM metric
-            WHERE month(trade_date) % 3 = 0) USING (stock_code, trade_date)""",
+            WHERE trade_date < DATE '1999-07-01') USING (stock_code, trade_date)""",
     ),
 )
 def combine_factor_tables(spark, sf):
     """Two factor tables that cover different months, joined on their keys."""
-    even = tables.price(spark, sf).where(F.col("mno") % 2 == 0)
-    third = tables.metric(spark, sf).where(F.month("trade_date") % 3 == 0)
-    left = pf.price_factors(even, **{**NO_FAMILY, "return_windows": (5,)})
-    right = vf.value_factors(third.select("stock_code", "trade_date", "pe", "total_mv"), delta_windows=(), mean_windows=())
+    late = tables.price(spark, sf).where(F.col("trade_date") >= F.lit("1997-01-01").cast("date"))
+    early = tables.metric(spark, sf).where(F.col("trade_date") < F.lit("1999-07-01").cast("date"))
+    left = pf.price_factors(late, **{**NO_FAMILY, "return_windows": (5,)})
+    right = vf.value_factors(early.select("stock_code", "trade_date", "pe", "total_mv"), delta_windows=(), mean_windows=())
     return tidy(
         combine([left, right]).df.select("stock_code", "trade_date", f"{P}ROC5", "metric_pe", "metric_log_total_mv")
     )

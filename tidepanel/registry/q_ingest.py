@@ -260,7 +260,7 @@ def _raw(spark, sf) -> dict[str, DataFrame]:
     metric = tables.metric(spark, sf).select(
         F.col("stock_code").alias("code"), F.date_format("trade_date", "yyyy-MM-dd").alias("date"), text("pb").alias("市净率")
     )
-    listed = price.where((k * 7 + m) % 31 == 0).select(
+    listed = price.where(F.col("close") > F.col("open") * 12).select(
         F.col("stock_code").alias("ts_code"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), F.lit("ST").alias("type")
     )
     return {"price": bars.unionByName(again), "basic": basic, "metric": metric, "stock_st": listed}
@@ -275,32 +275,32 @@ std_price AS (SELECT s.stock_code, s.trade_date, k, mno, coalesce(o, c) AS open,
     coalesce(lines, quantile_cont(lines, 0.5) OVER (PARTITION BY s.trade_date)) AS lines FROM carried s),
 on_exchange AS (SELECT p.*, m.pb FROM std_price p LEFT JOIN metric m USING (stock_code, trade_date)
     WHERE NOT ends_with(p.stock_code, '.BJ') AND NOT ends_with(p.stock_code, '7.SZ')),
-listed_days AS (SELECT stock_code, trade_date FROM price WHERE (k * 7 + mno) % 31 = 0)"""
+listed_days AS (SELECT stock_code, trade_date FROM price WHERE close > 12 * open)"""
 
 
 @query(
     "prepare_price",
-    sql("price", f"SELECT stock_code, trade_date, {rounded(['open', 'close', 'vwap', 'volume', 'lines'], 8)} FROM std_price",
+    sql("price", f"SELECT stock_code, trade_date, vwap, {rounded(['open', 'close', 'volume', 'lines'])} FROM std_price",
         _STANDARD.split(",\non_exchange")[0]),
 )
 def prepare_price(spark, sf):
     """Raw bars typed, deduplicated and filled."""
     out = st.prepare_price(_raw(spark, sf)["price"], tables.fits(spark, sf))
-    return tidy(out.select("stock_code", "trade_date", "open", "close", "vwap", "volume", "lines"), 8)
+    return tidy(out.select("stock_code", "trade_date", "open", "close", "vwap", "volume", "lines"), keep=["vwap"])
 
 
 @query(
     "standard_panel",
     sql(
         "price metric",
-        f"SELECT stock_code, trade_date, {rounded(['open', 'close', 'vwap', 'volume', 'lines', 'pb'], 8)} FROM on_exchange ANTI JOIN listed_days USING (stock_code, trade_date)",
+        f"SELECT stock_code, trade_date, vwap, pb, {rounded(['open', 'close', 'volume', 'lines'])} FROM on_exchange ANTI JOIN listed_days USING (stock_code, trade_date)",
         _STANDARD,
     ),
 )
 def standard_panel(spark, sf):
     """The standardised panel: one exchange and listed days left out."""
     out = st.standardise(_raw(spark, sf), fits=tables.fits(spark, sf)).panel
-    return tidy(out.select("stock_code", "trade_date", "open", "close", "vwap", "volume", "lines", "pb"), 8)
+    return tidy(out.select("stock_code", "trade_date", "open", "close", "vwap", "volume", "lines", "pb"), keep=["vwap", "pb"])
 
 
 @query(

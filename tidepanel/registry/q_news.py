@@ -15,7 +15,6 @@ from tidepanel.registry.base import query, rounded, tidy
 from tidepanel.registry.tables import code_of, code_sql, define, sql, table
 
 CLOCK = 565 * 60_000_000
-NAMED = 97
 
 # -- raw news ----------------------------------------------------------------------
 
@@ -26,8 +25,9 @@ def raw_news(spark, sf) -> DataFrame:
     names = tables.basic(spark, sf).join(
         table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), code_of(F.col("s_suppkey")).alias("stock_code")),
         "stock_code",
-    ).where(F.col("k") < NAMED)
-    docs = table(spark, sf, "documents").withColumns({"a": d % NAMED, "b": (d * 7 + 3) % NAMED})
+    )
+    known = table(spark, sf, "supplier").agg(F.count(F.lit(1)).alias("n")).scalar()
+    docs = table(spark, sf, "documents").withColumns({"a": d % known, "b": (d * 7 + 3) % known})
     one = names.select(F.col("k").alias("a"), F.col("stock_name").alias("name_a"), F.col("stock_code").alias("code_a"))
     two = names.select(F.col("k").alias("b"), F.col("stock_name").alias("name_b"), F.col("stock_code").alias("code_b"))
     work = docs.join(one, "a", "left").join(two, "b", "left")
@@ -69,13 +69,12 @@ define(
     'file' || (doc_id % 3) AS source_file, doc_id, a.stock_name AS name_a, b.stock_name AS name_b,
     a.stock_code AS code_a, b.stock_code AS code_b
   FROM documents
-  LEFT JOIN named a ON doc_id % {NAMED} = a.k LEFT JOIN named b ON (doc_id * 7 + 3) % {NAMED} = b.k)""",
+  LEFT JOIN named a ON doc_id % (SELECT count(*) FROM supplier) = a.k LEFT JOIN named b ON (doc_id * 7 + 3) % (SELECT count(*) FROM supplier) = b.k)""",
     ("named",),
 )
 define(
     "named",
-    f"""named AS (SELECT s_suppkey AS k, stock_code, stock_name FROM supplier JOIN basic ON stock_code = {code_sql('s_suppkey')}
-  WHERE s_suppkey < {NAMED})""",
+    f"""named AS (SELECT s_suppkey AS k, stock_code, stock_name FROM supplier JOIN basic ON stock_code = {code_sql('s_suppkey')})""",
     ("basic",),
 )
 define(
@@ -331,7 +330,7 @@ def news_stock_map(spark, sf):
     ),
 )
 def news_item_integrity(spark, sf):
-    """Counts behind the item checks; items with three stocks are left out to make orphans."""
+    """Counts behind the item checks; items with three or more stocks are left out to make orphans."""
     items, pairs = nw.news_items(undated(spark, sf))
     orphans = nw.orphan_ids(items.where(F.col("matched_stock_count") < 3), pairs)
     return items.agg(
@@ -471,12 +470,13 @@ def _score_table(spark, sf) -> DataFrame:
         F.concat(F.lit("m"), (F.col("event_id") % 2).cast("string")).alias("llm_model"),
         F.lit("v1").alias("prompt_version"),
         "impact_score",
-        F.col("event_id").alias("scored_at"),
+        F.col("ts").alias("scored_at"),
+        "event_id",
     )
 
 
 _SCORE_TABLE = """score_table AS (SELECT sha256(event_type || '|' || (c % 500)) AS news_text_hash, 'm' || (event_id % 2) AS llm_model,
-  'v1' AS prompt_version, impact_score, event_id AS scored_at FROM scored_events)"""
+  'v1' AS prompt_version, impact_score, ts AS scored_at, event_id FROM scored_events)"""
 
 
 @query(
@@ -484,14 +484,14 @@ _SCORE_TABLE = """score_table AS (SELECT sha256(event_type || '|' || (c % 500))
     sql(
         "scored_events",
         """SELECT * REPLACE (round(impact_score, 6) + 0 AS impact_score) FROM score_table QUALIFY row_number() OVER (PARTITION BY news_text_hash, llm_model, prompt_version
-          ORDER BY CASE WHEN scored_at % 3 = 0 THEN 1 ELSE 0 END DESC, scored_at DESC) = 1""",
+          ORDER BY CASE WHEN scored_at < TIMESTAMP '2024-01-20' THEN 1 ELSE 0 END DESC, scored_at DESC) = 1""",
         _SCORE_TABLE,
     ),
 )
 def score_upsert(spark, sf):
     """New scores replace old ones per text, model and prompt version."""
     scores = _score_table(spark, sf)
-    new = F.col("scored_at") % 3 == 0
+    new = F.col("scored_at") < F.lit("2024-01-20").cast("timestamp_ntz")
     return tidy(es.upsert_scores(scores.where(~new), scores.where(new)))
 
 
@@ -499,16 +499,16 @@ def score_upsert(spark, sf):
     "score_pending",
     sql(
         "scored_events",
-        """SELECT news_text_hash, min(scored_at) AS news_id FROM score_table WHERE news_text_hash NOT IN (
-          SELECT news_text_hash FROM score_table WHERE llm_model = 'm1' AND scored_at % 7 = 0) GROUP BY 1 ORDER BY 2 LIMIT 300""",
+        """SELECT news_text_hash, min(event_id) AS news_id FROM score_table WHERE news_text_hash NOT IN (
+          SELECT news_text_hash FROM score_table WHERE llm_model = 'm1' AND scored_at < TIMESTAMP '2024-01-06') GROUP BY 1 ORDER BY 2 LIMIT 300""",
         _SCORE_TABLE,
     ),
 )
 def score_pending(spark, sf):
     """The 300 oldest texts that one model has not scored yet."""
     scores = _score_table(spark, sf)
-    items = scores.select("news_text_hash", F.col("scored_at").alias("news_id"), F.col("scored_at").alias("publish_time"))
-    done = scores.where(F.col("scored_at") % 7 == 0)
+    items = scores.select("news_text_hash", F.col("event_id").alias("news_id"), F.col("scored_at").alias("publish_time"))
+    done = scores.where(F.col("scored_at") < F.lit("2024-01-06").cast("timestamp_ntz"))
     return es.pending_items(items, done, "m1", "v1", 300).select("news_text_hash", "news_id")
 
 
@@ -638,7 +638,7 @@ def net_event_score(spark, sf):
         """SELECT event_id AS news_id, round(impact_score, 6) + 0 AS impact_score, kind AS event_type FROM (
             SELECT event_id, sha256(event_type || '|' || (c % 500)) AS h FROM scored_events) JOIN (
             SELECT h, impact_score, kind FROM (SELECT sha256(event_type || '|' || (c % 500)) AS h, impact_score, event_id, risk_score, c,
-              CASE WHEN c % 5 = 0 THEN 'other' ELSE 'company' END AS kind FROM scored_events WHERE event_id % 2 = 0)
+              CASE WHEN c % 5 = 0 THEN 'other' ELSE 'company' END AS kind FROM scored_events WHERE value >= 10)
             QUALIFY row_number() OVER (PARTITION BY h ORDER BY event_id DESC) = 1) USING (h)""",
     ),
 )
@@ -648,7 +648,7 @@ def scored_items(spark, sf):
         "news_text_hash", F.sha2(F.concat_ws("|", "event_type", (F.col("c") % 500).cast("string")), 256)
     )
     items = e.select(F.col("event_id").alias("news_id"), "news_text_hash", F.col("ts").alias("publish_time"))
-    scores = e.where(F.col("event_id") % 2 == 0).withColumn("event_type", F.when(F.col("c") % 5 != 0, "company"))
+    scores = e.where(F.col("value") >= 10).withColumn("event_type", F.when(F.col("c") % 5 != 0, "company"))
     return tidy(nf.scored_items(items, scores, ["event_id"]).select("news_id", "impact_score", "event_type"))
 
 

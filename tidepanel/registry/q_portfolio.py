@@ -267,7 +267,7 @@ def trade_signals_first(spark, sf):
     return tidy(out.select("stock_code", "rank", "current_position", "suggested_action", "target_weight", "order_note"))
 
 
-_POSITIONS = "SELECT DISTINCT stock_code FROM predictions WHERE k % 9 = 2 UNION SELECT 'GONE.SH'"
+_POSITIONS = "SELECT DISTINCT stock_code FROM predictions WHERE sector = 'EUROPE' UNION SELECT 'GONE.SH'"
 _HELD = f"(SELECT count(*) FROM ({_POSITIONS}))"
 _LATEST = "FROM predictions WHERE target_trade_date = (SELECT max(target_trade_date) FROM predictions) AND y_score IS NOT NULL"
 _SOLD = f"(SELECT least(3, count(*)) {_LATEST} AND stock_code IN ({_POSITIONS}))"
@@ -285,7 +285,7 @@ _FREE = f"(SELECT count(*) {_LATEST} AND stock_code NOT IN ({_POSITIONS}))"
 def trade_signals(spark, sf):
     """Signals of the latest month against positions, one of them no longer predicted."""
     df = tables.predictions(spark, sf).where(F.col("y_score").isNotNull())
-    mine = df.where(F.col("k") % 9 == 2).select("stock_code").distinct().withColumn("weight", F.lit(0.1))
+    mine = df.where(F.col("sector") == "EUROPE").select("stock_code").distinct().withColumn("weight", F.lit(0.1))
     gone = spark.createDataFrame([("GONE.SH", 0.1), ("ZERO.SH", 0.0)], "stock_code string, weight double")
     out = po.trade_signals(df, mine.unionByName(gone), 20, 3, tables.fits(spark, sf))
     return tidy(out.select("stock_code", "rank", "current_position", "suggested_action", "target_weight", "order_note"))

@@ -355,19 +355,19 @@ def date_range_after_windows(spark, sf):
     "common_entities",
     sql(
         "price flow",
-        """SELECT stock_code, count(*) AS rows FROM price WHERE stock_code IN (SELECT stock_code FROM price WHERE mno % 2 = 0
+        """SELECT stock_code, count(*) AS rows FROM price WHERE stock_code IN (SELECT stock_code FROM price WHERE trade_date < DATE '1999-01-01'
           INTERSECT SELECT stock_code FROM flow WHERE buy_sm_amount > 200 ORDER BY 1 LIMIT 7) GROUP BY 1""",
     ),
 )
 def common_entities(spark, sf):
     """The first seven entities that two tables share."""
     price = tables.price(spark, sf)
-    left, _ = ky.common_entities([price.where(F.col("mno") % 2 == 0), tables.flow(spark, sf).where(F.col("buy_sm_amount") > 200)], 7)
+    left, _ = ky.common_entities([price.where(F.col("trade_date") < F.lit("1999-01-01").cast("date")), tables.flow(spark, sf).where(F.col("buy_sm_amount") > 200)], 7)
     kept = left.select("stock_code").distinct()
     return price.join(kept, "stock_code", "left_semi").groupBy("stock_code").agg(F.count(F.lit(1)).alias("rows"))
 
 
-_LISTED = "SELECT stock_code, trade_date FROM price WHERE (k * 7 + mno) % 31 = 0"
+_LISTED = "SELECT stock_code, trade_date FROM price WHERE close > 12 * open"
 
 
 @query(
@@ -377,7 +377,7 @@ _LISTED = "SELECT stock_code, trade_date FROM price WHERE (k * 7 + mno) % 31 = 0
 def exclude_listed_rows(spark, sf):
     """Rows whose entity and month are not on a list."""
     price = tables.price(spark, sf)
-    listed = price.where((F.col("k") * 7 + F.col("mno")) % 31 == 0)
+    listed = price.where(F.col("close") > F.col("open") * 12)
     return ky.exclude_keys(price, listed).select("stock_code", "trade_date")
 
 
@@ -392,7 +392,7 @@ def exclude_listed_rows(spark, sf):
 def exclude_touching_samples(spark, sf):
     """Samples none of whose three dates is on the list."""
     price = tables.price(spark, sf)
-    listed = price.where((F.col("k") * 7 + F.col("mno")) % 31 == 0)
+    listed = price.where(F.col("close") > F.col("open") * 12)
     return ky.exclude_samples(tables.samples(spark, sf), listed).select("sample_id")
 
 

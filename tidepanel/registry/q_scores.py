@@ -367,8 +367,8 @@ def attach_market_cap(spark, sf):
 
 
 _MODELS = {
-    "a": ("y_score", "final_score", "return_pred", "direction_prob", "g_price", "(k + mno) % 10 <> 0"),
-    "b": ("final_score", "y_score", "return_pred * 2 + g_text", "g_fundamental", "g_text", "(k + mno) % 7 <> 0"),
+    "a": ("y_score", "final_score", "return_pred", "direction_prob", "g_price", "target_trade_date >= DATE '1996-06-01'"),
+    "b": ("final_score", "y_score", "return_pred * 2 + g_text", "g_fundamental", "g_text", "target_trade_date < DATE '2001-01-01'"),
 }
 
 
