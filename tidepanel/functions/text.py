@@ -16,8 +16,13 @@ FULL_WIDTH = "".join(chr(c) for c in [*range(0xFF10, 0xFF1A), *range(0xFF21, 0xF
 HALF_WIDTH = "".join(chr(ord(c) - 0xFEE0) for c in FULL_WIDTH)
 
 
+WHITE_SPACE = "".join(
+    chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+
+
 def strip(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), f"^{BLANKS}+|{BLANKS}+$", "")
+    return F.btrim(col(x), F.lit(WHITE_SPACE))
 
 
 def blank_to_null(x: Column | str) -> Column:
@@ -52,15 +57,25 @@ def to_half_width(x: Column | str) -> Column:
 
 
 def parse_time(x: Column | str) -> Column:
-    """Wall-clock time from ``yyyyMMddHHmmss``, ``yyyyMMdd``, ISO or slashed text; NULL if unreadable."""
+    """Wall-clock time from ``yyyyMMdd``, ``yyyyMMddHHmmss``, ISO or slashed text; NULL if unreadable.
+
+    The usual forms are tried first and need one pattern each.
+    """
     text = strip(col(x).cast("string"))
-    iso = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")
-    iso = F.regexp_replace(iso, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    iso = F.regexp_replace(iso, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
-    iso = F.regexp_replace(iso, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-    iso = F.regexp_replace(iso, r"^(\S+[ T]\d{1,2}:\d{1,2})$", "$1:00")
-    # a bare year or year and month is no date here
-    return F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), iso.try_cast("timestamp_ntz"))
+    part = lambda start, length: F.substring(text, start, length)
+    day = F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2))
+    clock = F.concat_ws(":", part(9, 2), part(11, 2), part(13, 2))
+    with_seconds = lambda t: F.regexp_replace(t, r"^(\S+[ T]\d{1,2}:\d{1,2})$", "$1:00")
+    year_first = F.regexp_replace(text, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
+    year_last = F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
+    iso = (
+        F.when(text.rlike(r"^\d{8}$"), day)
+        .when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), with_seconds(text))
+        .when(text.rlike(r"^\d{14}$"), F.concat_ws(" ", day, clock))
+        .when(text.rlike(r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}"), with_seconds(year_first))
+        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), with_seconds(year_last))
+    )
+    return iso.try_cast("timestamp_ntz")
 
 
 def parse_date(x: Column | str) -> Column:

@@ -189,10 +189,14 @@ def standardise(raw: Mapping[str, DataFrame | None], cutoff_hour: int = 15, fits
         metric = attach_static(metric, basic) if metric is not None else None
         flow = attach_static(flow, basic) if flow is not None else None
     keep_exchange = lambda df: exclude_exchange(df) if df is not None else None
-    price, metric, flow = (keep_exchange(df) for df in (price, metric, flow))
+    # these are results of their own and read by everything below, so they are written here
+    stored = lambda df, name: freeze(df, name) if df is not None else None
+    price, metric, flow = (
+        stored(keep_exchange(df), name) for df, name in ((price, "price"), (metric, "metric"), (flow, "moneyflow"))
+    )
     listed = freeze(prepare_exclusions(raw["stock_st"]), "exclusions") if have("stock_st") else None
 
-    panel = freeze(daily_panel(price, *[t for t in (metric, flow) if t is not None]), "panel")
+    panel = daily_panel(price, *[t for t in (metric, flow) if t is not None])
     samples = prediction_samples(panel)
     if listed is not None:
         price, panel = exclude_keys(price, listed), exclude_keys(panel, listed)

@@ -12,7 +12,7 @@ from tidepanel.plans.price_factors import price_factors
 from tidepanel.registry import tables
 from tidepanel.registry.base import query, rounded, tidy
 from tidepanel.registry.tables import sql, table
-from tidepanel.scale import stage_path
+from tidepanel.scale import freeze, stage_path
 from tidepanel.sources import readers as rd
 from tidepanel.sources import sinks as sk
 
@@ -240,9 +240,9 @@ def daily_panel(spark, sf):
 
 
 def _raw(spark, sf) -> dict[str, DataFrame]:
-    """Raw tables with foreign headers, duplicates, gaps and text dates, all made from the price panel."""
+    """Raw files with foreign headers, duplicates, gaps and text dates, all made from the price panel."""
     k, m = F.col("k"), F.col("mno")
-    price = tables.price(spark, sf)
+    price = freeze(tables.price(spark, sf), "price")
     text = lambda c: F.col(c).cast("string")
     bars = price.select(
         F.col("stock_code").alias("ts_code"),
@@ -257,13 +257,14 @@ def _raw(spark, sf) -> dict[str, DataFrame]:
     again = bars.where(F.col("trade_date").substr(5, 2) == "06").withColumns({"vwap": F.lit("1.0"), rd.SOURCE_FILE: F.lit("b")})
     basic = tables.basic(spark, sf).select(F.col("stock_code").alias("wind_code"), F.col("stock_name").alias("简称"), "industry",
                                            F.when(F.col("stock_code").endswith("7.SZ"), "北交所").otherwise("main").alias("market"))
-    metric = tables.metric(spark, sf).select(
+    metric = tables.metric(spark, sf, price).select(
         F.col("stock_code").alias("code"), F.date_format("trade_date", "yyyy-MM-dd").alias("date"), text("pb").alias("市净率")
     )
     listed = price.where(F.col("close") > F.col("open") * 12).select(
         F.col("stock_code").alias("ts_code"), F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), F.lit("ST").alias("type")
     )
-    return {"price": bars.unionByName(again), "basic": basic, "metric": metric, "stock_st": listed}
+    raw = {"price": bars.unionByName(again), "basic": basic, "metric": metric, "stock_st": listed}
+    return {kind: freeze(df, "raw") for kind, df in raw.items()}
 
 
 _STANDARD = """raw_bars AS (SELECT stock_code, trade_date, mno, k, CASE WHEN (k + mno) % 5 <> 0 THEN open END AS o, CASE WHEN (k + mno) % 7 <> 0 THEN close END AS c,
