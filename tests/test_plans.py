@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidepanel.operators.joins import align_to_samples, forward_trade_day
-from tidepanel.operators.keys import keep_last, require_unique
+from tidepanel.operators.keys import hash_sample, keep_last, require_unique
 from tidepanel.plans import blend as bl
 from tidepanel.plans import catalogue as ct
 from tidepanel.plans import flow_factors as ff
@@ -109,6 +109,14 @@ def test_keep_last_is_cut_before_the_shuffle(spark):
         require_unique(df, ["k"])
 
 
+def test_hash_sample_is_stable(spark):
+    df = spark.range(500).withColumn("k", F.col("id").cast("string"))
+    one = rows(hash_sample(df, 20, "k").select("k"), "k")
+    again = rows(hash_sample(df.repartition(7), 20, "k").select("k"), "k")
+    assert one == again and len(one) == 20
+    assert rows(hash_sample(df, 20, "k", seed=1).select("k"), "k") != one
+
+
 def test_clusters_follow_chains(spark):
     names = [f"f{i:02d}" for i in range(12)]
     scored = spark.createDataFrame([(n, float(i), 1.0, "candidate", "") for i, n in enumerate(names)],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators import keys as ky
@@ -460,6 +460,46 @@ def existing_factors(spark, sf):
     return ct.existing_factors(scored, scored.where(F.col("factor_name") == "coarse"), 4).select("factor_name", "selected")
 
 
+@query(
+    "feature_list_choice",
+    sql(
+        "candidates",
+        """SELECT 'both' AS given, factor_name, CAST(row_number() OVER (ORDER BY factor_name) AS INTEGER) AS place, 'reviewed' AS mode FROM candidates
+            WHERE selection_status = 'candidate'
+          UNION ALL SELECT 'auto only', factor_name, CAST(row_number() OVER (ORDER BY selection_score DESC, factor_name) AS INTEGER), 'auto' FROM candidates""",
+    ),
+)
+def feature_list_choice(spark, sf):
+    """The reviewed list where there is one, else the automatic one, each feature once."""
+    scored = candidates(spark, sf)
+    # one row per factor of the catalog
+    by_score = Window.orderBy(F.col("selection_score").desc(), "factor_name")
+    automatic = scored.select(F.row_number().over(by_score).alias("place"), "factor_name")
+    kept = scored.where(F.col("selection_status") == "candidate")
+    reviewed = kept.select(F.row_number().over(Window.orderBy("factor_name")).alias("place"), "factor_name")
+    repeated = automatic.unionByName(automatic.withColumn("place", F.col("place") + 100))
+    both = ct.chosen_features(reviewed, repeated).withColumn("given", F.lit("both"))
+    return both.unionByName(ct.chosen_features(None, repeated).withColumn("given", F.lit("auto only")))
+
+
+@query(
+    "review_audit",
+    sql(
+        "candidates",
+        f"""SELECT action, factor_name, applied, reason FROM (VALUES ('remove', '{P}KLEN', true, 'too close to range'),
+            ('add_back', '{P}KMID', true, 'keep one body factor'), ('flag:watchlist', '{P}KMID', true, 'new'),
+            ('flag:manual_review', '{P}ROC5', true, 'short history'), ('flag:redundancy_risk', '{P}ROC5', true, 'see volume'))
+            t(action, factor_name, applied, reason) WHERE factor_name IN (SELECT factor_name FROM candidates)""",
+    ),
+)
+def review_audit(spark, sf):
+    """What each review item did."""
+    scored = candidates(spark, sf)
+    review = spark.createDataFrame(_REVIEW, "action string, factor_name string, flag string, reason string")
+    after = se.apply_review(scored, scored.where(F.col("factor_name").isin(*_AUTO)), review)
+    return se.review_audit(after, review)
+
+
 # -- catalog, panels, keys, scaler --------------------------------------------------------
 
 
