@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, packing
+from tidepanel.llm import bpe, flac, packing
 from tidepanel.llm.common import read
 from tidepanel.registry.base import query
 
@@ -17,3 +17,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_trie_bpe")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf, "documents"))
+
+
+@query("op2_flac_media")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return flac.media_digests(read(spark, sf, "documents"))
