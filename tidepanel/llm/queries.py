@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, flac, packing
+from tidepanel.llm import bpe, flac, langid, oddsketch, packing
 from tidepanel.llm.common import read
 from tidepanel.registry.base import query
 
@@ -22,3 +22,13 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_flac_media")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return flac.media_digests(read(spark, sf, "documents"))
+
+
+@query("op10_odd_sketch_dedup")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return oddsketch.near_duplicates(read(spark, sf, "documents")).drop("tid")
+
+
+@query("op1_kneser_ney_language")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.held_out_languages(spark, sf)
