@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, flac, langid, oddsketch, packing
+from tidepanel.llm import bpe, flac, langid, oddsketch, packing, toxicity
 from tidepanel.llm.common import read
 from tidepanel.registry.base import query
 
@@ -32,3 +32,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_kneser_ney_language")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return langid.held_out_languages(spark, sf)
+
+
+@query("op9_crf_toxicity")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.held_out_toxicity(spark, sf)
