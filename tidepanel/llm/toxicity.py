@@ -1,7 +1,8 @@
 """Toxic spans by a linear-chain conditional random field, learnt from documents marked toxic or not.
 
 Labels are per document, the field needs labelled tokens. A bounded sample of labelled texts (parameters) is cut into
-words, and each word into features: the word, its first three, four and five letters, its last four. Spark counts in how
+words, and each word into features: the word, what it begins with
+(three to nine letters, where more follow), its last four letters. Spark counts in how
 many different contexts (word before, word after) a feature occurs in toxic and in clean texts; counting contexts
 instead of occurrences makes copies of one text count once. Features that clean texts practically lack, by a binomial bound
 over all features tried, are markers; words of toxic texts with a marker are labelled toxic, all others clean.
@@ -9,8 +10,8 @@ over all features tried, are markers; words of toxic texts with a marker are lab
 The field has one weight per hashed feature and a weight per pair of neighbouring labels; it is fitted by gradient steps on
 windows of the sample. To score a text, messages run over the whole of it: blocks of words are combined into 2 x 2
 transfer matrices side by side, the blocks of a text are chained, then every word gets its marginal. A document's score
-is a logistic function, calibrated on texts of the sample that the field has not seen, of its two most toxic words and its
-length; spans are the words of a marginal of at least a half.
+is a logistic function of its two most toxic words and its length, calibrated on a part of the sample with a field fitted to
+the other part; the final field is fitted to the whole sample. Spans are the words of a marginal of at least a half.
 
 Defined results: null and empty texts have the score of a text without words and no spans; repeated rows get equal
 scores; a document with several labels counts as toxic if one says so; without labels of both kinds every score is 0.
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import in_chunks
 from tidepanel.llm.common import crc32_of_id, free_name, read, with_text_result
+from tidepanel.scale import freeze
 
 U = np.uint64
 BITS = 18
 WINDOW, BLOCK = 32, 64
-PREFIXES, SUFFIX = (3, 4, 5), 4
+PREFIXES, SUFFIX = (3, 4, 5, 6, 7, 8, 9), 4
 KINDS = 2 + len(PREFIXES)
 _STEP = 0x9E3779B97F4A7C15
 _powers = (np.ones(1, U), np.ones(1, U))
@@ -82,7 +84,8 @@ def words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return _mix((total[b] - total[a]) * back[a] + U(kind))
 
     columns = [piece(start, end, 1)]
-    columns += [piece(start, np.minimum(start + k, end), 10 + k) for k in PREFIXES]
+    # a beginning counts only where the word goes on; 0 stands for none
+    columns += [np.where(end - start > k, piece(start, np.minimum(start + k, end), 10 + k), U(0)) for k in PREFIXES]
     columns.append(piece(np.maximum(end - SUFFIX, start), end, 3))
     return start, end, np.stack(columns, 1) if len(start) else np.zeros((0, KINDS), U)
 
@@ -281,7 +284,8 @@ def _contexts(batches):
                 if len(f):
                     whole = np.concatenate([[U(0)], f[:, 0], [U(0)]])
                     context = _mix(whole[:-2] * U(3) + whole[2:])
-                    parts.append(np.stack([f, np.broadcast_to(context[:, None], f.shape)], 2).reshape(-1, 2))
+                    both = np.stack([f, np.broadcast_to(context[:, None], f.shape)], 2).reshape(-1, 2)
+                    parts.append(both[both[:, 0] != 0])
             if parts:
                 flat = np.concatenate(parts)
                 order = np.unique(flat[:, 0] * U(_STEP) + flat[:, 1], return_index=True)[1]
@@ -347,37 +351,52 @@ def train(
     # bounded by the parameters: a few thousand keys
     chosen = rows.join(F.broadcast(keys), ["key", "h"]).dropDuplicates(["h"]).repartition(16, "h")
     chosen = chosen.withColumn("calibrates", F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * calibration_share))
-    fit = chosen.filter(~F.col("calibrates")).select("text", "toxic")
+    def summary(field: Field) -> tuple[np.ndarray, np.ndarray]:
+        shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded: a weight per hashed feature
+        base = chosen.filter("calibrates").select("text", "toxic")
+        schema = "top double, next double, words bigint, spans string"
+        seen = with_text_result(base, "text", lambda t: shared.value.summaries(t), schema, "r")
+        seen = seen.select("r.top", "r.next", "r.words", "toxic").toArrow().to_pandas()
+        return _document_features(seen[["top", "next", "words"]].to_numpy(float)), seen["toxic"].to_numpy(float)
+
+    part = _fit(chosen.filter(~F.col("calibrates")).select("text", "toxic"), per_text)
+    if part is None:
+        return nothing()
+    x, y = summary(part)
+    field = _fit(chosen.select("text", "toxic"), per_text) or part
+    if len(y):
+        field.document = _logistic(x, y, 0.05)
+    return field
+
+
+def nothing() -> Field:
+    """What is learnt from no labels, or from labels of one kind."""
+    return Field(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), 0.0)
 
-    counted = fit.mapInArrow(_contexts, "f bigint, c bigint, toxic int").distinct().groupBy("f")
+
+def _fit(rows: DataFrame, per_text: int) -> Field | None:
+    """A field from labelled texts; None if none of them can be told by a marker."""
+    counted = rows.mapInArrow(_contexts, "f bigint, c bigint, toxic int").distinct().groupBy("f")
     is_toxic = F.col("toxic") == 1
     counted = counted.agg(F.count(F.when(is_toxic, 1)).alias("t"), F.count(F.when(~is_toxic, 1)).alias("n"))
-    sums = counted.agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
+    # the features of toxic texts and the sums over all features, in one job
+    counted = freeze(counted.groupBy("t", F.when(F.col("t") > 0, F.col("f")).alias("f")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")), "contexts")
+    sums = counted.agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).first()
     if not sums["t"] or not sums["n"]:
-        return Field(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), 0.0)
+        return None
     share = sums["t"] / (sums["t"] + sums["n"])
-    both = F.col("t") + F.col("n")
-    rate = F.col("t") / both
+    rate = F.col("t") / (F.col("t") + F.col("n"))
     # logarithm of a bound on the chance of so many toxic contexts, over all features tried
-    surprise = F.col("t") * F.log(rate / share) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
-    found = counted.filter((rate >= 0.9) & (surprise > float(np.log(sums["kinds"])) + 2.0)).select("f").toArrow()
-    markers = np.sort(found.column("f").to_numpy().astype(np.int64).view(U))
-
-    window_rows = fit.mapInArrow(_windows(markers, per_text), "index binary, label binary").toArrow()
-    if not window_rows.num_rows:
-        return Field(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), 0.0)
-    index = np.frombuffer(b"".join(window_rows.column("index").to_pylist()), np.int32).reshape(-1, WINDOW, KINDS)
-    label = np.frombuffer(b"".join(window_rows.column("label").to_pylist()), np.int8).reshape(-1, WINDOW)
-    field = fit_field(index, label)
-
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded: a weight per hashed feature
-    base = chosen.filter("calibrates").select("text", "toxic")
-    seen = with_text_result(base, "text", lambda t: shared.value.summaries(t), "top double, next double, words bigint, spans string", "r")
-    seen = seen.select("r.top", "r.next", "r.words", "toxic").toArrow().to_pandas()
-    if len(seen):
-        y = seen["toxic"].to_numpy(float)
-        field.document = _logistic(_document_features(seen[["top", "next", "words"]].to_numpy(float)), y, 0.05)
-    return field
+    surprise = F.col("t") * F.log(rate / share)
+    surprise += F.when(F.col("n") > 0, F.col("n") * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    found = counted.filter((F.col("t") > 0) & (rate >= 0.9) & (surprise > float(np.log(sums["kinds"]))))
+    markers = np.sort(found.select("f").toArrow().column("f").to_numpy().astype(np.int64).view(U))
+    cut = rows.mapInArrow(_windows(markers, per_text), "index binary, label binary").toArrow()
+    if not len(markers) or not cut.num_rows:
+        return None
+    index = np.frombuffer(b"".join(cut.column("index").to_pylist()), np.int32).reshape(-1, WINDOW, KINDS)
+    label = np.frombuffer(b"".join(cut.column("label").to_pylist()), np.int8).reshape(-1, WINDOW)
+    return fit_field(index, label)
 
 
 SCHEMA = "score double, predicted int, spans string"
