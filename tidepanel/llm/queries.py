@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, flac, langid, oddsketch, packing, toxicity
+from tidepanel.llm import bpe, flac, langid, oddsketch, packing, sharding, topk, toxicity, urlfilter
 from tidepanel.llm.common import read
 from tidepanel.registry.base import query
 
@@ -37,3 +37,18 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_crf_toxicity")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.held_out_toxicity(spark, sf)
+
+
+@query("op3_norm_bucket_topk")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.nearest_embeddings(spark, sf)
+
+
+@query("op6_jump_hash_shards")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard_documents(spark, sf)
+
+
+@query("op7_url_regression")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return urlfilter.judge_pages(spark, sf)
