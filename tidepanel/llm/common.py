@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 
@@ -38,7 +39,7 @@ def with_text_result(
     """
     import pandas as pd
 
-    fields = [part.split()[0] for part in schema.split(",")]
+    fields = StructType.fromDDL(schema).names
 
     def over(texts: pd.Series) -> pd.DataFrame:
         values = [None if t is None or t != t else t for t in texts]

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import in_chunks
+from tidepanel.llm.common import free_name
 from tidepanel.scale import freeze
 
 WORDS, ROWS, BANDS, SKETCH_BITS = 5, 5, 32, 1024
@@ -378,7 +379,10 @@ def across_components(members: DataFrame, sketches: DataFrame, roots: DataFrame,
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold=THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row, with ``tid``, a digest of its text."""
+    """doc_id, n_shingles, component_id and kept of every row, with ``tid``, a digest of its text, and its ``group_id``.
+
+    ``group_id`` tells groups apart where ids are missing or used twice; it is null for texts without a word.
+    """
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("tid", F.md5(F.col("text").cast("binary")))
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -416,9 +420,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labelled = classes.select("sig", "low").join(roots, "sig", "left")
     labelled = labelled.withColumn("root", F.coalesce("root", "sig"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    labelled = labelled.join(lowest, "root").select("sig", "component_id")
+    labelled = labelled.join(lowest, "root").select("sig", "component_id", F.col("root").alias("group_id"))
     out = rows.select("doc_id", "tid", "n_shingles", "sig").join(labelled, "sig", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.withColumn("component_id", component)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "tid")
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "tid", "group_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group stays: that of the smallest id, then of the smallest text digest; all columns as they are.
+
+    Rows equal in id and text are one. Texts without a word are in no group and all stay.
+    """
+    found = near_duplicates(df, id_col, text_col).filter(F.col("n_shingles") > 0)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tid")).alias("first")
+    key, digest, place = free_name(df, "_id"), free_name(df, "_digest"), free_name(df, "_place")
+    kept = found.groupBy("group_id").agg(first)
+    kept = kept.select(F.col("first.doc_id").alias(key), F.col("first.tid").alias(digest + "_k"))
+    rows = df.withColumn(digest, F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")))
+    same = rows[id_col].eqNullSafe(kept[key]) & (rows[digest] == kept[digest + "_k"])
+    has_word = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    stay = rows.filter(has_word).join(kept, same, "left_semi")
+    number = F.row_number().over(Window.partitionBy(id_col, digest).orderBy(digest))
+    stay = stay.withColumn(place, number).filter(F.col(place) == 1).drop(place, digest)
+    return stay.unionByName(df.filter(~has_word))

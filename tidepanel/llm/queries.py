@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import bpe, flac, langid, oddsketch, packing, sharding, topk, toxicity, urlfilter
+from tidepanel.llm import bpe, flac, langid, oddsketch, packing, pii, sharding, topk, toxicity, urlfilter
 from tidepanel.llm.common import read
 from tidepanel.registry.base import query
 
@@ -26,7 +27,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_odd_sketch_dedup")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
-    return oddsketch.near_duplicates(read(spark, sf, "documents")).drop("tid")
+    return oddsketch.near_duplicates(read(spark, sf, "documents")).drop("tid", "group_id")
 
 
 @query("op1_kneser_ney_language")
@@ -52,3 +53,13 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_url_regression")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge_pages(spark, sf)
+
+
+@query("op8_contextual_pii")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_documents(spark, sf)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
