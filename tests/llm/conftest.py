@@ -1,0 +1,17 @@
+import pytest
+from edge_rows import DOCS, odd_texts
+from pyspark.sql import functions as F
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(odd_texts())]
+    rows += [(None, "a row without an id", None, None, None), (3, "\n\t ", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    # names that operators use for their own columns
+    return df.withColumns({c: F.lit("kept") for c in ("r", "score", "spans", "pii", "late", "language", "_read", "h", "key")})
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], DOCS)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import in_chunks
-from tidepanel.llm.common import with_text_result
+from tidepanel.llm.common import free_name, with_text_result
 
 # Fixed values of the format
 MARK = b"fLaC"
@@ -547,8 +547,9 @@ def media_column(df: DataFrame, text_col: str = "text", name: str = "media") ->
             (s,) for run in in_chunks([t or "" for t in texts]) for s in encode([payload_of(t)[1] for t in run])
         ]
 
-    out = with_text_result(df, text_col, streams, "media binary", "_held_media")
-    return out.withColumn(name, F.col("_held_media.media")).drop("_held_media")
+    held = free_name(df, "_held_media")
+    out = with_text_result(df, text_col, streams, "media binary", held)
+    return out.withColumn(name, F.col(f"{held}.media")).drop(held)
 
 
 def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

@@ -113,9 +113,12 @@ class Model:
         self.log_rest: list[np.ndarray] = []
         self.limit = np.full(len(languages), np.inf)
         self.slope = (0.0, 10.0)
+        if not languages:
+            return
         own = [self._levels(*grams[g]) for g in languages]
         alphabet = max(2, len({int(c) for g in languages for c in np.unique(grams[g][0])}) + 1)
         self.floor = -float(np.log(alphabet))
+        self.unseen = np.array([np.log(lv[0]["rest_all"]) + self.floor for lv in own], np.float32)
         p_below: np.ndarray | None = None
         for n in range(ORDER):
             # grams of this order and the contexts of the next
@@ -207,7 +210,7 @@ class Model:
                     context = self.tables[n - 1].find(hashes[n - 1][at[todo] - 1])
                     known = context >= 0
                     log_p[todo[known]] += self.log_rest[n - 1][context[known]]
-            log_p[todo] += self.floor
+            log_p[todo] += self.unseen
             sums = np.add.reduceat(log_p, np.cumsum(sizes[full]) - sizes[full], axis=0, dtype=np.float64)
             out[full] = -sums / sizes[full][:, None]
         return out, sizes
@@ -296,11 +299,10 @@ def train(
     df: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
-    sample_rows: int = 1500,
-    calibration_rows: int = 300,
+    sample_rows: int = 1800,
     longest: int = 200_000,
 ) -> Model:
-    """Models from a bounded sample: per language ``sample_rows`` texts are counted, the next ``calibration_rows`` calibrate.
+    """Models from a bounded sample of ``sample_rows`` texts per language: five in six are counted, the rest calibrate.
 
     Texts above ``longest`` characters and rows without text or language take no part in training.
     """
@@ -309,10 +311,11 @@ def train(
     rows = rows.withColumn("h", F.xxhash64("text"))
     keys = rows.select("lang", "h").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    keys = keys.withColumn("place", place).filter(F.col("place") <= sample_rows + calibration_rows)
+    keys = keys.withColumn("place", place).filter(F.col("place") <= sample_rows)
     # bounded by the parameters: a few thousand hashes per language
     chosen = rows.join(F.broadcast(keys), ["lang", "h"]).dropDuplicates(["lang", "h"]).repartition(16, "h")
-    counted = chosen.filter(F.col("place") <= sample_rows).select("lang", "text")
+    calibrates = F.pmod(F.xxhash64("h"), F.lit(6)) == 0
+    counted = chosen.filter(~calibrates).select("lang", "text")
     counts = counted.mapInArrow(_count, "lang string, gram binary, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     languages = sorted(set(found.column("lang").to_pylist()))
@@ -325,7 +328,7 @@ def train(
         grams[g] = (codes[own], numbers[own])
     model = Model(languages, grams)
     if languages:
-        rest = chosen.filter(F.col("place") > sample_rows).select("lang", "text").toArrow()
+        rest = chosen.filter(calibrates).select("lang", "text").toArrow()
         model.calibrate(rest.column("text").to_pylist(), rest.column("lang").to_pylist())
     return model
 

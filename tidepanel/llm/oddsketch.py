@@ -12,7 +12,8 @@ Candidates are asked for in two steps, so that a large group of near copies is n
    confirmed links join classes to components;
 2. only for buckets that still hold several components: members of different components. The largest component of a
    bucket is never compared with itself. Both sides are split into blocks of bounded size, so a task holds two blocks at
-   a time, whatever the size of the bucket.
+   a time, whatever the size of the bucket. Pairs are never written out: the bitmaps tell which rows of two blocks
+   have something to compare, those rows fetch their sets, and a pair is read only while its components are apart.
 
 A pair of similarity 0.85 is missed by all bands with a probability of 1e-8, by the bitmap bound with 1e-7.
 
@@ -207,6 +208,14 @@ def _sets(batches):
             at = end
 
 
+def _similar(a: np.ndarray, b: np.ndarray, threshold) -> bool:
+    """Whether two sets (sorted, distinct) are similar enough."""
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return threshold[1] * common >= threshold[0] * (len(a) + len(b) - common)
+
+
 def _confirm(threshold):
     def run(batches):
         import pyarrow as pa
@@ -218,11 +227,7 @@ def _confirm(threshold):
                 key = left[i].as_py()
                 if key != before:
                     before, a = key, np.frombuffer(x.as_py(), U)
-                b = np.frombuffer(y.as_py(), U)
-                both = np.concatenate([a, b])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(threshold[1] * common >= threshold[0] * (len(a) + len(b) - common))
+                keep.append(_similar(a, np.frombuffer(y.as_py(), U), threshold))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([left.filter(keep), right.filter(keep)], ["a", "b"])
 
@@ -273,66 +278,117 @@ def _different(left: str, right: str):
     )
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+CELL = "key bigint, cell string, side int, sig binary, root binary, sketch array<bigint>, bands array<bigint>"
+
+
+def _cells(batches):
+    """Runs of rows of one cell, which come one after another; a cell is two blocks at most."""
+    held, cell = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:2] != cell:
+                if held:
+                    yield held
+                held, cell = [], row[:2]
+            held.append(row)
+    if held:
+        yield held
 
 
-def _across(limit):
-    """Pairs of different components within a cell, rows of which come one after another."""
+def _wanted(rows: list, limit: int) -> list[tuple[int, int]]:
+    """Pairs of rows of a cell that must be compared, the most alike first.
 
-    def pairs(rows):
-        first = [i for i, r in enumerate(rows) if r[2] == 0]
-        second = [i for i, r in enumerate(rows) if r[2] == 1]
-        same = not second
-        if same:
-            second = first
-        if not first or len(rows) < 2:
-            return
-        root = {r[4]: k for k, r in enumerate(rows)}
-        group = np.array([root[r[4]] for r in rows])
-        bits = np.array([r[5] for r in rows], np.int64)
-        differ = _popcount(bits[first][:, None, :] ^ bits[second][None, :, :]).sum(2)
-        wanted = (differ <= limit) & (group[first][:, None] != group[second][None, :])
-        for i, j in zip(*np.nonzero(wanted)):
-            x, y = rows[first[i]][3], rows[second[j]][3]
-            if not same or x < y:
-                yield (x, y) if x < y else (y, x)
+    They lie in different components, their bitmaps are near enough, and no earlier band puts them in one bucket (then
+    they are compared there).
+    """
+    first = [i for i, r in enumerate(rows) if r[2] == 0]
+    second = [i for i, r in enumerate(rows) if r[2] == 1]
+    same = not second
+    second = first if same else second
+    if not first or len(rows) < 2:
+        return []
+    names: dict = {}
+    group = np.array([names.setdefault(r[4], len(names)) for r in rows])
+    bits = np.array([r[5] for r in rows], np.int64).view(U)
+    bands = np.array([r[6] for r in rows], np.int64)
+    differ = np.bitwise_count(bits[first][:, None, :] ^ bits[second][None, :, :]).sum(2)
+    x, y = np.nonzero((differ <= limit) & (group[first][:, None] != group[second][None, :]))
+    near = differ[x, y]
+    x, y = np.array(first)[x], np.array(second)[y]
+    keep = x < y if same else np.ones(len(x), bool)
+    x, y, near = x[keep], y[keep], near[keep]
+    if len(x):
+        shared = bands[x] == bands[y]
+        here = bands[x] == rows[0][0]
+        keep = shared.argmax(1) == here.argmax(1)
+        x, y, near = x[keep], y[keep], near[keep]
+    order = np.argsort(near, kind="stable")
+    return list(zip(x[order].tolist(), y[order].tolist()))
+
+
+def _involved(limit):
+    """The rows of each cell that have a pair to compare."""
 
     def run(batches):
         import pyarrow as pa
 
-        held, cell, out, told = [], None, [], set()
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = [c.split()[0] for c in CELL.split(", ")]
+        out: list = []
 
         def batch():
-            a, b = zip(*out) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-        def emit():
-            for p in pairs(held):
-                if p not in told:
-                    told.add(p)
-                    out.append(p)
-
-        for incoming in batches:
-            for row in zip(*(c.to_pylist() for c in incoming.columns)):
-                if row[:2] != cell:
-                    emit()
-                    held, cell = [], row[:2]
-                held.append(row)
-            if len(told) > 500_000:
-                told.clear()
-            yield batch()
-            out = []
-        emit()
+            columns = zip(*out) if out else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        for rows in _cells(batches):
+            out += [rows[i] for i in sorted({i for pair in _wanted(rows, limit) for i in pair})]
+            if len(out) >= 2000:
+                yield batch()
+                out = []
         yield batch()
 
     return run
 
 
-def across_components(members: DataFrame, sketches: DataFrame, roots: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs (a, b) of classes that share a bucket but no component.
+def _links(limit, threshold):
+    """Links between the components met in each cell, confirmed on the sets; one for each two that get joined."""
 
-    A cell is a bucket's block of the largest component beside a block of the others, or two blocks of the others.
+    def run(batches):
+        import pyarrow as pa
+
+        for rows in _cells(batches):
+            parent: dict = {}
+
+            def root(x):
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            found, sets = [], {}
+            for i, j in _wanted(rows, limit):
+                x, y = root(rows[i][4]), root(rows[j][4])
+                if x == y:
+                    continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = np.frombuffer(rows[k][7], U)
+                if _similar(sets[i], sets[j], threshold):
+                    parent[x] = y
+                    found.append((rows[i][3], rows[j][3]))
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def across_components(
+    members: DataFrame, sketches: DataFrame, roots: DataFrame, sets: DataFrame, limit: int, threshold=THRESHOLD, block: int = BLOCK
+) -> DataFrame:
+    """Confirmed links (a, b) of classes that share a bucket but no component.
+
+    A cell is a bucket's block of the largest component beside a block of the others, or two blocks of the others. Cells
+    are read twice: first with the bitmaps only, then what is left of them with the sets.
     """
     member = members.select("key", "sig").join(roots, "sig", "left")
     member = member.withColumn("root", F.coalesce("root", "sig"))
@@ -350,7 +406,7 @@ def across_components(members: DataFrame, sketches: DataFrame, roots: DataFrame,
     spread = F.xxhash64("sig", "key")
     own = F.when(F.col("is_main"), F.pmod(spread, F.col("main_blocks"))).otherwise(F.pmod(spread, F.col("blocks")))
     member = member.withColumn("own", own.cast("int"))
-    # side 0 and side 1 of a cell; cells of one other block with itself have side 0 alone
+    # side 0 and side 1 of a cell; cells of one block with itself have side 0 alone
     main_cells = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.lit(-1).alias("x"), F.col("own").alias("y"), j.alias("z"), F.lit(0).alias("side")),
@@ -369,13 +425,15 @@ def across_components(members: DataFrame, sketches: DataFrame, roots: DataFrame,
         ),
     )
     cells = F.when(F.col("is_main"), main_cells).otherwise(F.concat(with_main, with_others))
-    rows = member.join(sketches, "sig").select("key", "sig", "root", "sketch", F.explode(cells).alias("c"))
-    rows = rows.select(
-        "key", F.concat_ws(",", "c.x", "c.y", "c.z").alias("cell"), F.col("c.side").alias("side"), "sig", "root", "sketch"
-    )
-    count = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = rows.repartition(int(count), "key", "cell").sortWithinPartitions("key", "cell")
-    return rows.mapInArrow(_across(limit), "a binary, b binary").distinct()
+    rows = member.join(sketches, "sig").select("key", "sig", "root", "sketch", "bands", F.explode(cells).alias("c"))
+    names = [c.split()[0] for c in CELL.split(", ")]
+    rows = rows.withColumns({"cell": F.concat_ws(",", "c.x", "c.y", "c.z"), "side": F.col("c.side")}).select(*names)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
+    left = freeze(rows.mapInArrow(_involved(limit), CELL), "cells")
+    whole = left.join(sets, "sig").select(*names, "hashes")
+    whole = whole.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
+    return whole.mapInArrow(_links(limit, threshold), "a binary, b binary")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold=THRESHOLD) -> DataFrame:
@@ -398,22 +456,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = in_bucket.groupBy("key").agg(F.count("*").alias("n"), F.min("sig").alias("rep")).filter("n > 1")
     members = freeze(in_bucket.join(buckets.select("key", "rep"), "key"), "members")
     active = members.select("sig").distinct()
-    sketches = freeze(classes.join(active, "sig", "left_semi").select("sig", "tid", "sketch"), "sketches")
+    sketches = freeze(classes.join(active, "sig", "left_semi").select("sig", "tid", "sketch", "bands"), "sketches")
     texts = base.select("tid", "text").join(sketches.select("sig", "tid"), "tid")
     texts = texts.select("sig", "text")
     sets = freeze(texts.dropDuplicates(["sig"]).mapInArrow(_sets, "sig binary, hashes binary"), "sets")
-    sketches = sketches.select("sig", "sketch")
 
-    limit = most_different_bits(threshold)
+    limit, bitmap = most_different_bits(threshold), sketches.select("sig", "sketch")
     pairs = members.filter("sig != rep").select(F.col("rep").alias("a"), F.col("sig").alias("b")).distinct()
-    pairs = pairs.join(sketches.toDF("b", "sketch_b"), "b").join(sketches.toDF("a", "sketch_a"), "a")
+    pairs = pairs.join(bitmap.toDF("b", "sketch_b"), "b").join(bitmap.toDF("a", "sketch_a"), "a")
     pairs = pairs.withColumn("differ", _different("sketch_a", "sketch_b")).filter(F.col("differ") <= limit)
     nearest = F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))
     pairs = pairs.withColumn("r", nearest).filter(F.col("r") <= FIRST_TRIED).select("a", "b")
     links = freeze(confirm(pairs, sets, threshold), "confirmed")
     roots = freeze(components(links), "roots")
-    more = freeze(across_components(members, sketches, roots, limit), "candidates")
-    late = freeze(confirm(more, sets, threshold), "confirmed")
+    late = freeze(across_components(members, sketches.drop("tid"), roots, sets, limit, threshold), "confirmed")
     if not late.isEmpty():
         roots = components(links.unionByName(late))
 

@@ -120,26 +120,24 @@ class Field:
         first = np.cumsum([0, *counts[:-1]])
         forward = self._pass(potential, live, t, first, counts, False)
         backward = self._pass(potential, live, t, first, counts, True)
-        odds = np.log(np.maximum(forward, 1e-300)) + np.log(np.maximum(backward, 1e-300))
+        odds = np.log(np.maximum(forward, 1e-300)) + np.clip(grid, -50, 50) + np.log(np.maximum(backward, 1e-300))
         return [odds[f : f + c].ravel()[:n] for f, c, n in zip(first.tolist(), counts, sizes)]
 
     @staticmethod
     def _pass(potential, live, t, first, counts, back: bool) -> np.ndarray:
-        """Ratio (toxic to clean) of the messages at every word: with its own emission forwards, without it backwards."""
+        """Ratio (toxic to clean) of the messages that reach every word from its left, or its right; its own emission not in."""
         rows, width = potential.shape
         steps = range(width - 1, -1, -1) if back else range(width)
         if back:
             t = t.T
-        # block matrices, built step by step: message ratio r becomes (c + d r) / (a + b r)
+        # block matrices, built step by step: a message ratio r that enters leaves as (c + d r) / (a + b r)
         m = np.zeros((4, rows))
         m[0] = m[3] = 1.0
         for i in steps:
-            a, b, c, d = m
-            if back:  # the word's emission comes before the step to its left neighbour
-                c2, d2 = c * potential[:, i], d * potential[:, i]
-                new = np.stack([t[0, 0] * a + t[1, 0] * c2, t[0, 0] * b + t[1, 0] * d2, t[0, 1] * a + t[1, 1] * c2, t[0, 1] * b + t[1, 1] * d2])
-            else:
-                new = np.stack([t[0, 0] * a + t[1, 0] * c, t[0, 0] * b + t[1, 0] * d, (t[0, 1] * a + t[1, 1] * c) * potential[:, i], (t[0, 1] * b + t[1, 1] * d) * potential[:, i]])
+            a, b, c, d = m[0], m[1], m[2] * potential[:, i], m[3] * potential[:, i]
+            new = np.stack(
+                [t[0, 0] * a + t[1, 0] * c, t[0, 0] * b + t[1, 0] * d, t[0, 1] * a + t[1, 1] * c, t[0, 1] * b + t[1, 1] * d]
+            )
             new /= new.max(0)
             m = np.where(live[:, i], new, m)
         # chain the blocks of each text, all texts side by side
@@ -158,13 +156,9 @@ class Field:
         out = np.ones((rows, width))
         r = incoming
         for i in steps:
-            if back:
-                out[:, i] = r
-                e = r * potential[:, i]
-                r = np.where(live[:, i], (t[0, 1] + t[1, 1] * e) / (t[0, 0] + t[1, 0] * e), r)
-            else:
-                r = np.where(live[:, i], (t[0, 1] + t[1, 1] * r) / (t[0, 0] + t[1, 0] * r) * potential[:, i], r)
-                out[:, i] = r
+            out[:, i] = r
+            e = r * potential[:, i]
+            r = np.where(live[:, i], (t[0, 1] + t[1, 1] * e) / (t[0, 0] + t[1, 0] * e), r)
         return out
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
@@ -201,8 +195,9 @@ class Field:
 
 
 def _document_features(rows: np.ndarray) -> np.ndarray:
-    clip = np.clip(rows[:, :2], -12, 12)
-    return np.column_stack([np.ones(len(rows)), clip, np.log1p(rows[:, 2])])
+    # a second toxic word adds to the first; the lack of one takes nothing away
+    top, second = np.clip(rows[:, 0], -12, 12), np.clip(rows[:, 1], 0, 12)
+    return np.column_stack([np.ones(len(rows)), top, second, np.log1p(rows[:, 2])])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
