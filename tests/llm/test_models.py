@@ -132,12 +132,12 @@ def test_toxic_documents_and_spans(spark, marked, odd_docs, no_docs):
     rows = toxicity.score(docs.where("doc_id >= 700"), field).select("doc_id", "text", "toxicity.*").collect()
     right = sum(r.predicted == int(r.doc_id % 4 == 0) for r in rows)
     assert right >= 0.97 * len(rows)
-    found = 0
+    marked_words, found = 0, 0
     for r in rows:
-        spans = [tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s]
-        assert all("grok" in r.text[a:b] for a, b in spans)
-        found += bool(spans)
-    assert found >= 20
+        for a, b in (tuple(map(int, s.split(":"))) for s in r.spans.split(",") if s):
+            found += 1
+            marked_words += "grok" in r.text[a:b]
+    assert found >= 45 and marked_words >= 0.95 * found
     odd = toxicity.score(odd_docs, field, name="t").select("doc_id", "t.*").collect()
     assert len(odd) == odd_docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in odd)
     assert len({r.score for r in odd if r.doc_id in (0, 1, 2)}) == 1
