@@ -12,6 +12,7 @@ from tidepanel.functions.scalar import finite
 from tidepanel.operators.cross_section import cs_pct_rank, cs_zscore, industry_neutralize
 from tidepanel.operators.joins import combine_on_keys
 from tidepanel.operators.keys import require_columns, require_unique
+from tidepanel.plans.terms import Term
 
 DAILY_KEYS = ("stock_code", "trade_date")
 
@@ -181,7 +182,9 @@ class FactorList:
         )
         return full
 
-
+    def add_term(self, name: str, value: Term, category: str) -> str:
+        """Add a factor whose catalog entry follows from its term."""
+        return self.add(name, value.column, category, value.inputs, value.text, value.window, value.lookback)
 
     def table(self, work: DataFrame, keep: Sequence[str]) -> FactorTable:
         """Key columns and all factors, none of them NaN or infinite.
