@@ -59,23 +59,19 @@ def to_half_width(x: Column | str) -> Column:
 def parse_time(x: Column | str) -> Column:
     """Wall-clock time from ``yyyyMMdd``, ``yyyyMMddHHmmss``, ISO or slashed text; NULL if unreadable.
 
-    The usual forms are tried first and need one pattern each.
+    Each form is rewritten towards ISO in turn, so the text stands in the expression once and plans stay small.
     """
     text = strip(col(x).cast("string"))
-    part = lambda start, length: F.substring(text, start, length)
-    day = F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2))
-    clock = F.concat_ws(":", part(9, 2), part(11, 2), part(13, 2))
-    with_seconds = lambda t: F.regexp_replace(t, r"^(\S+[ T]\d{1,2}:\d{1,2})$", "$1:00")
-    year_first = F.regexp_replace(text, r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3")
-    year_last = F.regexp_replace(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2")
-    iso = (
-        F.when(text.rlike(r"^\d{8}$"), day)
-        .when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), with_seconds(text))
-        .when(text.rlike(r"^\d{14}$"), F.concat_ws(" ", day, clock))
-        .when(text.rlike(r"^\d{4}[/.]\d{1,2}[/.]\d{1,2}"), with_seconds(year_first))
-        .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}"), with_seconds(year_last))
-    )
-    return iso.try_cast("timestamp_ntz")
+    for form, iso in (
+        (r"^(\d{4})(\d{2})(\d{2})(?=$|\d{6}$)", "$1-$2-$3 "),
+        (r" (\d{2})(\d{2})(\d{2})$", " $1:$2:$3"),
+        (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})", "$1-$2-$3"),
+        (r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
+        (r"^(\S+[ T]\d{1,2}:\d{1,2})$", "$1:00"),
+    ):
+        text = F.regexp_replace(text, form, iso)
+    dated = F.regexp_extract(text, r"^\d{4}-\d{1,2}-\d{1,2}.*$", 0)
+    return F.trim(dated).try_cast("timestamp_ntz")
 
 
 def parse_date(x: Column | str) -> Column:

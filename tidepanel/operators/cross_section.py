@@ -223,17 +223,22 @@ def first_rank(
     row_id: str = "sample_id",
     ascending: bool = False,
     fits: bool | None = None,
+    missing_last: bool = False,
 ) -> DataFrame:
-    """Number the rows of a group by score; ties go by ``row_id``, a missing score gets no rank."""
+    """Number the rows of a group by score; ties go by ``row_id``.
+
+    A missing score gets no rank, with ``missing_last`` those after all others.
+    """
     df, fits = _decide(df, by, fits)
     value = finite(score)
     if fits:
         order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
         ranked = F.row_number().over(Window.partitionBy(*by).orderBy(order, F.col(row_id)))
-        return df.withColumn(out, F.when(value.isNotNull(), ranked))
-    return join_row_number(df, by, [value if ascending else -value], row_id, out).withColumn(
-        out, F.col(out).cast("int")
-    )
+        return df.withColumn(out, ranked if missing_last else F.when(value.isNotNull(), ranked))
+    order = [value if ascending else -value]
+    if missing_last:
+        order = [value.isNull(), *order]
+    return join_row_number(df, by, order, row_id, out).withColumn(out, F.col(out).cast("int"))
 
 
 def top_rows(

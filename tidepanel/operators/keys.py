@@ -152,5 +152,5 @@ def with_label(samples: DataFrame, label: str) -> DataFrame:
 
 
 def hash_sample(df: DataFrame, n: int, key: str, seed: int = 20260520) -> DataFrame:
-    """n rows in the order of a seeded hash of the key: the same rows in every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows in the order of a seeded hash of the key: the same rows in every run, and in any engine."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)

@@ -65,6 +65,12 @@ def describe_block(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def present_values(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row per feature of a written table: its rows and how many of them have a value, counted in one pass."""
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{f}`")).alias(f) for f in features])
+    return counts.unpivot(["_rows"], list(features), "factor_name", "present").withColumnRenamed("_rows", "rows")
+
+
 def feature_group(feature: Column, block: Column) -> Column:
     """Semantic group of a feature from its block and its name."""
     key = F.lower(F.concat_ws(":", F.coalesce(block, F.lit("")), feature))

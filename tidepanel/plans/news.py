@@ -70,19 +70,27 @@ def codes_in_text(texts: DataFrame, codes: DataFrame, key: str = "_key", text: s
 def names_in_text(texts: DataFrame, aliases: DataFrame, key: str = "_key", text: str = "title_text") -> DataFrame:
     """(key, place, stock_code) for aliases in a text, leftmost and longest first, not overlapping.
 
-    Every piece of a text that has the length of some alias meets the aliases by
-    equality, so neither the number of aliases nor of texts is limited.
+    Every three letters of a text meet the first three of the aliases by equality; only those hits fetch the letters that
+    follow, so the text itself is never repeated and neither the number of aliases nor of texts is limited.
     """
-    lengths = aliases.agg(F.sort_array(F.collect_set(F.length("alias"))).alias("l")).scalar()
-    places = texts.where(F.length(text) >= SHORTEST_ALIAS).select(
-        key, text, F.explode(F.sequence(F.lit(1), F.length(text))).alias("place")
+    n = SHORTEST_ALIAS
+    longest = aliases.agg(F.max(F.length("alias"))).scalar()
+    letters = F.split(F.col(text), "")
+    window = lambda i: F.array_join(F.slice(F.col("_letters"), i, F.col("_longest")), "")
+    at = F.transform(
+        F.sequence(F.lit(1), F.size("_letters") - (n - 1)),
+        lambda i: F.struct(i.alias("place"), F.concat(*[F.element_at(F.col("_letters"), i + k) for k in range(n)]).alias("head")),
     )
-    pieces = places.select(key, "place", text, F.explode(lengths).alias("n")).where(
-        F.col("place") + F.col("n") - 1 <= F.length(text)
-    )
-    pieces = pieces.select(key, "place", "n", F.substring(F.col(text), F.col("place"), F.col("n")).alias("alias"))
-    hits = pieces.join(aliases, "alias").groupBy(key, "place").agg(
-        F.max(F.struct("n", "stock_code")).alias("hit")
+    cut = texts.where(F.length(text) >= n).select(key, letters.alias("_letters"))
+    places = cut.select(key, F.explode(at).alias("p")).select(key, "p.place", "p.head")
+    heads = aliases.select(F.substring("alias", 1, n).alias("head"), "alias", "stock_code")
+    near = places.join(heads, "head").select(key, "place", "alias", "stock_code")
+    # the hits of one text, compared with the letters after each place
+    found = near.groupBy(key).agg(F.collect_list(F.struct("place", "alias", "stock_code")).alias("_near"))
+    both = cut.join(found, key).withColumn("_longest", longest)
+    same = F.filter("_near", lambda h: F.startswith(window(h["place"]), h["alias"]))
+    hits = both.select(key, F.explode(same).alias("h")).groupBy(key, F.col("h.place").alias("place")).agg(
+        F.max(F.struct(F.length("h.alias").alias("n"), F.col("h.stock_code").alias("stock_code"))).alias("hit")
     )
     # One text's own hits, in order; a hit that starts inside an accepted one is passed over.
     row = F.sort_array(F.collect_list(F.struct("place", F.col("hit.n").alias("n"), F.col("hit.stock_code").alias("code"))))
@@ -156,8 +164,14 @@ def prepare_news(raw: DataFrame, price: DataFrame, cutoff_hour: int = 15) -> Dat
     calendar = price.select(F.col("trade_date").cast("date").alias("day")).distinct()
     dated = forward_trade_day(matched, calendar, "publish_time", "trade_date", cutoff_hour)
     dated = dated.where(F.col("trade_date").isNotNull())
-    order = [SOURCE_FILE] if SOURCE_FILE in dated.columns else ["news_text"]
-    return keep_last(dated, ["trade_date", "publish_time", "news_text"], order)
+    return _distinct_news(dated, ["trade_date", "publish_time"])
+
+
+def _distinct_news(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of rows with equal keys and text the last by source file; texts are compared by their hash."""
+    work = rows.withColumn("_text", text_hash("news_text"))
+    order = [SOURCE_FILE] if SOURCE_FILE in rows.columns else ["_text"]
+    return keep_last(work, [*keys, "_text"], order).drop("_text")
 
 
 def market_daily(detail: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -174,8 +188,7 @@ def stock_rows(detail: DataFrame) -> DataFrame:
         F.explode("codes").alias("stock_code"),
         *[c for c in detail.columns if c not in ("codes", "stock_code", "matched_stock_codes", "matched_stock_count")],
     )
-    order = [SOURCE_FILE] if SOURCE_FILE in rows.columns else ["news_text"]
-    return keep_last(rows, ["stock_code", "trade_date", "publish_time", "news_text"], order)
+    return _distinct_news(rows, ["stock_code", "trade_date", "publish_time"])
 
 
 def stock_daily(rows: DataFrame) -> DataFrame:

@@ -255,11 +255,12 @@ def trade_signals(
     Without positions the best ``top_n`` are bought. With positions the
     ``replace_k`` worst held names are sold, the best names not held are bought,
     at least ``replace_k`` and as many as the book needs to reach ``top_n``. Held
-    names that are not predicted still count as kept.
+    names that are not predicted still count as kept. Names without a score rank
+    after all others, for selling as for buying.
     """
     require_columns(df, (DAY, "stock_code", "y_score"), "predictions")
     day = on_latest_date(df, DAY)
-    day = first_rank(day, "y_score", "rank", (DAY,), "stock_code", fits=fits)
+    day = first_rank(day, "y_score", "rank", (DAY,), "stock_code", fits=fits, missing_last=True)
     held = _held(positions) if positions is not None else None
     if held is None:
         day = day.withColumn("current_position", F.lit(False))
@@ -270,13 +271,13 @@ def trade_signals(
     day = freeze(day, "signals")
     # the place within held names from below, and within names not held from above
     own = day.where("current_position")
-    worst = first_rank(own.select(DAY, "stock_code", "y_score"), "y_score", "_worst", (DAY,), "stock_code", True, fits)
+    worst = first_rank(own.select(DAY, "stock_code", "y_score"), "y_score", "_worst", (DAY,), "stock_code", True, fits, True)
     free = day.where(~F.col("current_position"))
-    best = first_rank(free.select(DAY, "stock_code", "y_score"), "y_score", "_best", (DAY,), "stock_code", False, fits)
+    best = first_rank(free.select(DAY, "stock_code", "y_score"), "y_score", "_best", (DAY,), "stock_code", False, fits, True)
     if held is None:
         is_held, wanted, kept_size = F.lit(False), F.lit(top_n), F.lit(0)
     else:
-        n_sold = F.least(own.agg(F.count(finite("y_score")).alias("n")).scalar(), F.lit(replace_k))
+        n_sold = F.least(own.agg(F.count(F.lit(1)).alias("n")).scalar(), F.lit(replace_k))
         is_held, kept_size = n_held > 0, n_held - n_sold
         wanted = F.when(is_held, F.greatest(F.lit(replace_k), F.lit(top_n) - kept_size)).otherwise(F.lit(top_n))
     work = day.join(worst.select("stock_code", "_worst"), "stock_code", "left").join(
@@ -287,7 +288,7 @@ def trade_signals(
     action = (
         F.when(sold, "sell").when(F.col("current_position"), "hold").when(bought, "buy").otherwise("watch")
     )
-    n_free = free.agg(F.count(finite("y_score")).alias("n")).scalar()
+    n_free = free.agg(F.count(F.lit(1)).alias("n")).scalar()
     size = kept_size + F.least(wanted, n_free)
     work = work.withColumn("suggested_action", action)
     in_book = F.col("suggested_action").isin("buy", "hold")

@@ -503,31 +503,6 @@ def review_audit(spark, sf):
 # -- catalog, panels, keys, scaler --------------------------------------------------------
 
 
-_BLOCKS = {"kbar": "alpha158_kbar_sample", "price": "alpha158_price_sample", "rolling.roc": "alpha158_return_sample"}
-
-
-@query(
-    "feature_groups",
-    "SELECT * FROM (VALUES ('alpha158_kbar', 'fundamental', 9), ('alpha158_price', 'fundamental', 16), ('alpha158_rolling', 'fundamental', 28), "
-    "('alpha158_return', 'fundamental', 6), ('metric', 'fundamental', 58)) t(feature_group, modality, features), "
-    "(SELECT count(*) AS panel_rows FROM (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate) FROM lineitem))",
-)
-def feature_groups(spark, sf):
-    """Number of features per semantic group, beside the rows they have."""
-    price = tables.price(spark, sf)
-    specs = pf.price_factors(price, rolling_windows=(5,)).specs
-    rows = [(s.name, _BLOCKS.get(s.category, "alpha158_rolling5_sample")) for s in specs]
-    rows += [(s.name, None) for s in vf.value_factors(tables.metric(spark, sf)).specs]
-    features = spark.createDataFrame(rows, "factor_name string, block string")
-    grouped = features.select(
-        ct.feature_group(F.col("factor_name"), F.col("block")).alias("feature_group"),
-        ct.feature_modality(F.col("factor_name"), F.col("block"), ["news_"]).alias("modality"),
-    )
-    rows = price.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counted = grouped.groupBy("feature_group", "modality").agg(F.count(F.lit(1)).cast("int").alias("features"))
-    return counted.withColumn("panel_rows", rows)
-
-
 @query(
     "feature_panel",
     sql(
@@ -565,21 +540,6 @@ def key_uniqueness(spark, sf):
     return ky.duplicate_keys(tables.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query(
-    "catalog_checks",
-    "SELECT * FROM (VALUES ('daily', 'row count;missing:zz'), ('ghost', 'not written')) t(name, problem), "
-    "(SELECT count(*) AS panel_rows FROM (SELECT DISTINCT l_suppkey, date_trunc('month', l_shipdate) FROM lineitem))",
-)
-def catalog_checks(spark, sf):
-    """Catalog rows that disagree with the tables, beside the rows of the panel."""
-    price = tables.price(spark, sf)
-    blocks = spark.createDataFrame(
-        [("daily", "daily", 1, 2, ["close", "zz"]), ("ghost", "daily", 1, 1, ["x"])], ct.BLOCK_SCHEMA
-    )
-    problems = ct.block_problems(blocks, ct.describe_block(price, "daily"))
-    return problems.withColumn("panel_rows", price.agg(F.count(F.lit(1)).alias("n")).scalar())
-
-
 _SCALED = [f"{P}KMID", f"{P}ROC5", "coarse"]
 _TRAIN = "target_trade_date < DATE '1999-01-01'"
 _FIT = " UNION ALL ".join(

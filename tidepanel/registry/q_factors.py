@@ -17,7 +17,10 @@ from tidepanel.registry import tables
 from tidepanel.registry.base import query, rounded, tidy
 from tidepanel.registry.q_cross_section import DAY, avg_rank
 from tidepanel.registry.q_timeseries import ENTITY, _corr, _line, gate, rolling
+from tidepanel.plans.catalogue import BLOCK_SCHEMA, block_problems, describe_block, feature_group, feature_modality, present_values
 from tidepanel.registry.tables import sql
+from tidepanel.scale import stage_path
+from tidepanel.sources import sinks as sk
 
 NO_FAMILY = {"kbar": False, "relative": False, "return_windows": (), "rolling_windows": ()}
 P = pf.PREFIX
@@ -406,26 +409,95 @@ def combine_factor_tables(spark, sf):
     )
 
 
-_COUNTS = {"alpha158": (171, 61), "metric": (58, 20), "moneyflow": (41, 21)}
+_WRITTEN = {f"{P}{n}": e for n, e in KBAR_SQL.items()} | _RETURN
+_PRESENT_SQL = " UNION ALL ".join(
+    [f"SELECT '{n}' AS factor_name, count(*) AS rows, count({n}) AS present FROM factor_bars" for n in _WRITTEN]
+    + [f"SELECT '{n}', count(*), count({n}) FROM base" for n in METRIC_SQL]
+)
+_BARS_SQL = "factor_bars AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _WRITTEN.items()) + " FROM price)"
+
+
+def written_blocks(spark, sf) -> dict[str, tuple]:
+    """Two factor blocks, written and read back: the catalog row of each, the table, and its specs."""
+    price = pf.price_factors(tables.price(spark, sf), relative=False, rolling_windows=())
+    metric = vf.value_factors(tables.metric(spark, sf))
+    out = {}
+    for name, made in (("alpha158_bars", price), ("metric_daily", metric)):
+        path = f"{stage_path(spark, 'block')}/{name}"
+        row = sk.write_block(made.df, path, made.names)
+        out[name] = row, spark.read.parquet(path), made
+    return out
 
 
 @query(
     "factor_catalog",
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{s}', {n}::BIGINT, {lookback}, (SELECT count(DISTINCT l_suppkey) FROM lineitem))" for s, (n, lookback) in _COUNTS.items())
-    + ") t(source, factors, max_lookback, entities)",
+    sql(
+        "price metric",
+        f"""SELECT split_part(factor_name, '_', 1) AS source, factor_name, rows, present,
+          CASE WHEN factor_name SIMILAR TO '.*(ROC|delta|_ma)[0-9]+' THEN CAST(regexp_extract(factor_name, '([0-9]+)$', 1) AS INTEGER) ELSE 0 END AS lookback
+          FROM ({_PRESENT_SQL})""",
+        METRIC_BASE,
+        _BARS_SQL,
+    ),
 )
 def factor_catalog(spark, sf):
-    """Number of factors and the longest history per source, over all families."""
-    price, metric, flow = tables.price(spark, sf), tables.metric(spark, sf), tables.flow(spark, sf)
-    specs = [
-        catalog(spark, t.specs)
-        for t in (pf.price_factors(price), vf.value_factors(metric), ff.flow_factors(flow, price))
+    """The catalog of two written blocks beside the values found in them."""
+    found = []
+    for _, written, made in written_blocks(spark, sf).values():
+        listed = catalog(spark, made.specs).select("source", F.col("name").alias("factor_name"), "lookback")
+        found.append(listed.join(present_values(written, made.names), "factor_name"))
+    return reduce(DataFrame.unionByName, found).select("source", "factor_name", "rows", "present", "lookback")
+
+
+@query(
+    "feature_groups",
+    sql(
+        "price metric",
+        f"""SELECT feature_group, 'fundamental' AS modality, CAST(count(*) AS INTEGER) AS features, CAST(sum(present) AS BIGINT) AS present FROM (
+          SELECT *, CASE WHEN factor_name LIKE 'metric%' THEN 'metric' WHEN factor_name LIKE '{P}ROC%' THEN 'alpha158_return' ELSE 'alpha158_kbar' END AS feature_group
+          FROM ({_PRESENT_SQL})) GROUP BY ALL""",
+        METRIC_BASE,
+        _BARS_SQL,
+    ),
+)
+def feature_groups(spark, sf):
+    """Features and values per semantic group, from the columns of written blocks."""
+    found = [
+        present_values(written, [c for c in written.columns if c not in made.keys]).withColumn("block", F.lit(name))
+        for name, (_, written, made) in written_blocks(spark, sf).items()
     ]
-    entities = price.agg(F.countDistinct("stock_code").alias("n")).scalar()
-    return (
-        reduce(DataFrame.unionByName, specs)
-        .groupBy("source")
-        .agg(F.count(F.lit(1)).alias("factors"), F.max("lookback").alias("max_lookback"))
-        .withColumn("entities", entities)
-    )
+    rows = reduce(DataFrame.unionByName, found)
+    # the block's name says nothing about the two price families; the feature's does
+    feature, block = F.lower("factor_name"), F.when(F.col("block") != "alpha158_bars", F.col("block"))
+    grouped = rows.select(feature_group(feature, block).alias("feature_group"), feature_modality(feature, block, ["news_"]).alias("modality"), "present")
+    counts = F.count(F.lit(1)).cast("int").alias("features"), F.sum("present").alias("present")
+    return grouped.groupBy("feature_group", "modality").agg(*counts)
+
+
+@query(
+    "catalog_checks",
+    sql(
+        "price metric",
+        """SELECT 'alpha158_bars' AS name, concat_ws(';', CASE WHEN n <> kept THEN 'row count' END, 'missing:alpha158_KMID') AS problem, n AS row_count, kept AS rows
+             FROM (SELECT count(*) AS n, count(lag5) AS kept FROM (SELECT lag(close, 5) OVER (PARTITION BY stock_code ORDER BY trade_date) AS lag5 FROM price))
+           UNION ALL SELECT 'moneyflow_daily', 'not in catalog', NULL, count(*) FROM metric
+           UNION ALL SELECT 'news_daily', 'not written', count(*), NULL FROM price""",
+    ),
+)
+def catalog_checks(spark, sf):
+    """A catalog against what is written: one block changed since, one never listed, one never written, one right."""
+    blocks = written_blocks(spark, sf)
+    listed = [(name, "daily", row["row_count"], len(made.names), made.names) for name, (row, _, made) in blocks.items()]
+    listed.append(("news_daily", "daily", tables.price(spark, sf).count(), 1, ["news_count"]))
+    rows = spark.createDataFrame(listed, BLOCK_SCHEMA)
+    bars, metric = blocks["alpha158_bars"][1], blocks["metric_daily"][1]
+    changed = f"{stage_path(spark, 'block')}/changed"
+    bars.where(F.col(f"{P}ROC5").isNotNull()).drop(f"{P}KMID").write.parquet(changed)
+    actual = [
+        describe_block(spark.read.parquet(changed), "alpha158_bars"),
+        describe_block(metric, "metric_daily"),
+        describe_block(metric, "moneyflow_daily"),
+    ]
+    actual = reduce(DataFrame.unionByName, actual)
+    found = block_problems(rows, actual).join(rows.select("name", "row_count"), "name", "left")
+    return found.join(actual.select("name", "rows"), "name", "left")

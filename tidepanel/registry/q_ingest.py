@@ -23,15 +23,22 @@ def _csv(df: DataFrame, name: str, sep: str = ",", suffix: str = "csv") -> str:
     return path
 
 
+_HARD_TEXT = "chr(10) || 'line; \"' || text || '\"; end'"
+
+
 @query(
     "read_delimited",
-    "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, 1 AS files FROM supplier",
+    f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(coalesce({_HARD_TEXT}, '')) AS text_md5, lang, 1 AS files FROM documents",
 )
 def read_delimited(spark, sf):
-    """A semicolon-separated file whose delimiter is found out."""
-    path = _csv(table(spark, sf, "supplier").coalesce(1), "supplier", ";")
+    """Semicolon-separated texts with line breaks, quotes and delimiters inside; the delimiter is found out."""
+    docs = table(spark, sf, "documents").select("doc_id", F.expr(_HARD_TEXT.replace("chr(10)", "char(10)")).alias("text"), "lang")
+    path = f"{stage_path(spark, 'raw')}/documents.csv"
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.write.options(header=True, sep=";", escape='"', **keep).csv(path)
     out = rd.read_delimited(spark, path)
-    return out.select("s_suppkey", "s_name", out[rd.SOURCE_FILE].isNotNull().cast("int").alias("files"))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return out.select("doc_id", digest.alias("text_md5"), "lang", out[rd.SOURCE_FILE].isNotNull().cast("int").alias("files"))
 
 
 @query(
@@ -54,20 +61,24 @@ def read_json_forms(spark, sf):
 
 @query(
     "union_many_files",
-    """SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, CASE WHEN n_regionkey % 2 = 0 THEN n_regionkey::VARCHAR END AS n_regionkey,
-      CASE WHEN n_regionkey % 2 = 0 THEN 'even' ELSE 'odd' END AS origin FROM nation""",
+    """SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS text_md5, CASE WHEN doc_id % 3 = 0 THEN source END AS source,
+      CASE doc_id % 3 WHEN 0 THEN 'wide' WHEN 1 THEN 'narrow' ELSE 'json' END AS origin FROM documents""",
 )
 def union_many_files(spark, sf):
-    """Files with different columns, found by words in their path, with the file they come from."""
+    """Files of other columns and kinds, found by words in their path, with the file they come from."""
     root = stage_path(spark, "raw")
-    nation = table(spark, sf, "nation")
-    nation.where(F.col("n_regionkey") % 2 == 0).coalesce(1).write.option("header", True).csv(f"{root}/Daily_even")
-    nation.where(F.col("n_regionkey") % 2 == 1).drop("n_regionkey").coalesce(1).write.option("header", True).csv(f"{root}/daily_odd")
-    nation.coalesce(1).write.option("header", True).csv(f"{root}/other")
-    files = [f for f in rd.find_files(spark, root, ("daily",)) if f.endswith(".csv")]
-    out = rd.load_many(spark, files)
-    origin = F.regexp_extract(F.col(rd.SOURCE_FILE), "(?i)daily_(even|odd)", 1)
-    return out.select("n_nationkey", "n_name", "n_regionkey", origin.alias("origin"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "source")
+    part = lambda k: docs.where(F.col("doc_id").cast("bigint") % 3 == k)
+    part(0).write.options(header=True, escape='"').csv(f"{root}/Daily_wide")
+    part(1).drop("source").repartition(4).write.options(header=True, escape='"').csv(f"{root}/daily_narrow")
+    part(2).drop("source").write.json(f"{root}/daily_json")
+    docs.write.options(header=True, escape='"').csv(f"{root}/other")
+    files = [f for f in rd.find_files(spark, root, ("daily",)) if f.endswith((".csv", ".json"))]
+    csv = rd.load_many(spark, [f for f in files if f.endswith(".csv")])
+    lines = rd.with_source_file(spark.read.json([f for f in files if f.endswith(".json")]))
+    out = rd.union_tables([csv, lines])
+    origin = F.regexp_extract(F.col(rd.SOURCE_FILE), "(?i)daily_(wide|narrow|json)", 1)
+    return out.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"), "source", origin.alias("origin"))
 
 
 @query(
@@ -94,8 +105,7 @@ def select_files_by_date(spark, sf):
 def scan_date_range(spark, sf):
     """One month of three columns; range and columns reach the file scan."""
     start, end = (F.lit(d).cast("timestamp_ntz") for d in ("1997-05-01", "1997-05-31"))
-    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate")
-    return df.where(F.col("l_shipdate").between(start, end))
+    return rd.scan_range(spark, f"{sf}/lineitem.parquet", "l_shipdate", start, end, ("l_orderkey", "l_linenumber", "l_shipdate"))
 
 
 @query(

@@ -253,23 +253,22 @@ def _signals_sql(positions: str, wanted: str, n_sold: str, size: str) -> str:
     return f"""SELECT stock_code, rank, current_position, action AS suggested_action, CASE WHEN action IN ('buy', 'hold') THEN round(1.0 / ({size}), 6) + 0 ELSE 0 END::DOUBLE AS target_weight,
       CASE action WHEN 'buy' THEN '{po.ORDER_NOTES['buy']}' WHEN 'sell' THEN '{po.ORDER_NOTES['sell']}' WHEN 'hold' THEN '{po.ORDER_NOTES['hold']}' ELSE '{po.ORDER_NOTES['watch']}' END AS order_note
       FROM (SELECT *, CASE WHEN current_position AND worst <= {n_sold} THEN 'sell' WHEN current_position THEN 'hold' WHEN best <= {wanted} THEN 'buy' ELSE 'watch' END AS action FROM (
-        SELECT *, {first_rank_sql('y_score', row_id='stock_code')} AS rank, row_number() OVER (PARTITION BY current_position ORDER BY y_score NULLS LAST, stock_code) AS worst,
+        SELECT *, CAST(row_number() OVER (ORDER BY y_score DESC NULLS LAST, stock_code) AS INTEGER) AS rank, row_number() OVER (PARTITION BY current_position ORDER BY y_score NULLS LAST, stock_code) AS worst,
           row_number() OVER (PARTITION BY current_position ORDER BY y_score DESC NULLS LAST, stock_code) AS best FROM (
-          SELECT *, stock_code IN ({positions}) AS current_position FROM predictions WHERE target_trade_date = (SELECT max(target_trade_date) FROM predictions)
-            AND y_score IS NOT NULL)))"""
+          SELECT *, stock_code IN ({positions}) AS current_position FROM predictions WHERE target_trade_date = (SELECT max(target_trade_date) FROM predictions))))"""
 
 
 @query("trade_signals_first", sql("predictions", _signals_sql("SELECT '' WHERE false", "20", "0", "20")))
 def trade_signals_first(spark, sf):
     """Signals of the latest month without positions."""
-    df = tables.predictions(spark, sf).where(F.col("y_score").isNotNull())
+    df = tables.predictions(spark, sf)
     out = po.trade_signals(df, None, 20, 3, tables.fits(spark, sf))
     return tidy(out.select("stock_code", "rank", "current_position", "suggested_action", "target_weight", "order_note"))
 
 
 _POSITIONS = "SELECT DISTINCT stock_code FROM predictions WHERE sector = 'EUROPE' UNION SELECT 'GONE.SH'"
 _HELD = f"(SELECT count(*) FROM ({_POSITIONS}))"
-_LATEST = "FROM predictions WHERE target_trade_date = (SELECT max(target_trade_date) FROM predictions) AND y_score IS NOT NULL"
+_LATEST = "FROM predictions WHERE target_trade_date = (SELECT max(target_trade_date) FROM predictions)"
 _SOLD = f"(SELECT least(3, count(*)) {_LATEST} AND stock_code IN ({_POSITIONS}))"
 _FREE = f"(SELECT count(*) {_LATEST} AND stock_code NOT IN ({_POSITIONS}))"
 
@@ -284,7 +283,7 @@ _FREE = f"(SELECT count(*) {_LATEST} AND stock_code NOT IN ({_POSITIONS}))"
 )
 def trade_signals(spark, sf):
     """Signals of the latest month against positions, one of them no longer predicted."""
-    df = tables.predictions(spark, sf).where(F.col("y_score").isNotNull())
+    df = tables.predictions(spark, sf)
     mine = df.where(F.col("sector") == "EUROPE").select("stock_code").distinct().withColumn("weight", F.lit(0.1))
     gone = spark.createDataFrame([("GONE.SH", 0.1), ("ZERO.SH", 0.0)], "stock_code string, weight double")
     out = po.trade_signals(df, mine.unionByName(gone), 20, 3, tables.fits(spark, sf))
@@ -295,8 +294,8 @@ def trade_signals(spark, sf):
     "buy_list",
     sql(
         "predictions",
-        """SELECT stock_code, CAST(row_number() OVER (ORDER BY y_score DESC, stock_code) AS INTEGER) AS rank FROM predictions
-          WHERE target_trade_date = (SELECT max(target_trade_date) FROM predictions) AND y_score IS NOT NULL ORDER BY rank LIMIT 20""",
+        """SELECT stock_code, CAST(row_number() OVER (ORDER BY y_score DESC NULLS LAST, stock_code) AS INTEGER) AS rank FROM predictions
+          WHERE target_trade_date = (SELECT max(target_trade_date) FROM predictions) ORDER BY rank LIMIT 20""",
     ),
 )
 def buy_list(spark, sf):

@@ -418,7 +418,10 @@ def keep_last(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("hash_sample")
+@query(
+    "hash_sample",
+    "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(concat_ws(':', o_orderkey::VARCHAR, '20260520')), o_orderkey LIMIT 1000",
+)
 def hash_sample(spark, sf):
     """A thousand orders in the order of a seeded hash."""
     return ky.hash_sample(tables.table(spark, sf, "orders"), 1000, "o_orderkey").select("o_orderkey", "o_totalprice")

@@ -28,39 +28,66 @@ def with_source_file(df: DataFrame) -> DataFrame:
     return df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str | None:
-    """The delimiter that occurs most often in the first line; None for an empty file."""
-    lines = spark.read.text(path).limit(1).collect()
-    if not lines:
-        return None
-    counts = {d: lines[0][0].count(d) for d in DELIMITERS}
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, or of the first file of a folder that has one; no Spark job. None if there is none."""
+    jvm = spark._jvm
+    for name in list_files(spark, path):
+        if name.rsplit("/", 1)[-1].startswith(("_", ".")):
+            continue
+        place = jvm.org.apache.hadoop.fs.Path(name)
+        stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+        try:
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        if line is not None:
+            return line.removeprefix("\ufeff")
+    return None
+
+
+def delimiter_of(line: str) -> str:
+    """The delimiter that occurs most often in a line."""
+    counts = {d: line.count(d) for d in DELIMITERS}
     best = max(counts, key=counts.get)
     return best if counts[best] else ","
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame | None:
-    """All-text columns of a delimited file with a header; None if it is empty."""
-    sep = sep or sniff_delimiter(spark, path)
+def read_delimited(
+    spark: SparkSession, paths: str | Sequence[str], sep: str | None = None, multi_line: bool = True
+) -> DataFrame | None:
+    """All-text columns of delimited files with one header; None if they are empty.
+
+    Quoted fields may hold line breaks and doubled quotes. Such a file cannot be cut, so one file is one task; files known
+    to have one row per line split over tasks with ``multi_line=False``.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
     if sep is None:
-        return None
+        head = next((line for line in (first_line(spark, p) for p in paths) if line is not None), None)
+        if head is None:
+            return None
+        sep = delimiter_of(head)
     return with_source_file(
-        spark.read.csv(path, header=True, sep=sep, multiLine=False, nullValue="", escape='"')
+        spark.read.csv(paths, header=True, sep=sep, multiLine=multi_line, nullValue="", quote='"', escape='"')
     )
 
 
-def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
-    """A JSON array, JSON lines, one object, or an object holding the rows under a known key.
+def read_json(spark: SparkSession, paths: str | Sequence[str], lines: bool | None = None) -> DataFrame:
+    """A JSON array, JSON lines, one object, or an object holding the rows under a known key; also several such files.
 
     JSON lines (the default for ``.jsonl``) split over many tasks; a document that
     spans lines is read whole.
     """
-    lines = path.rstrip("/").lower().endswith("jsonl") if lines is None else lines
-    raw = spark.read.json(path, multiLine=not lines)
-    for key in ENVELOPE_KEYS:
-        if key in raw.columns and raw.schema[key].dataType.typeName() == "array":
-            rows = raw.select(F.col("_metadata.file_path").alias(SOURCE_FILE), F.explode(key).alias("_row"))
-            return rows.select("_row.*", SOURCE_FILE)
-    return with_source_file(raw)
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    lines = paths[0].rstrip("/").lower().endswith("jsonl") if lines is None else lines
+    raw = with_source_file(spark.read.json(paths, multiLine=not lines))
+    keys = [k for k in ENVELOPE_KEYS if k in raw.columns and raw.schema[k].dataType.typeName() == "array"]
+    if not keys:
+        return raw
+    parts = [raw.select(SOURCE_FILE, F.explode(k).alias("_row")).select("_row.*", SOURCE_FILE) for k in keys]
+    rest = [c for c in raw.columns if c not in (*keys, SOURCE_FILE)]
+    if rest:
+        parts.append(raw.where(F.coalesce(*keys).isNull()).drop(*keys))
+    return union_tables(parts)
 
 
 def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -122,26 +149,25 @@ def union_tables(tables: Sequence[DataFrame | None]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), present)
 
 
-def load_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
+def load_many(spark: SparkSession, paths: Sequence[str], multi_line: bool = True) -> DataFrame | None:
     """Union of many files with the file of origin; files of one kind and header are read together."""
     groups: dict[tuple, list[str]] = {}
     for path in paths:
         suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
-        if TABLE_SUFFIXES.get(suffix) != "delimited":
-            groups.setdefault((suffix, path), []).append(path)
-            continue
-        head = spark.read.text(path).limit(1).collect()
-        if head:
-            groups.setdefault((suffix, head[0][0]), []).append(path)
+        kind = TABLE_SUFFIXES.get(suffix)
+        if kind is None:
+            raise ValueError(f"unsupported file type: {path}")
+        header = first_line(spark, path) if kind == "delimited" else suffix
+        if header is not None:
+            groups.setdefault((kind, header), []).append(path)
     tables = []
-    for (suffix, header), members in groups.items():
-        if TABLE_SUFFIXES.get(suffix) == "delimited":
-            counts = {d: header.count(d) for d in DELIMITERS}
-            best = max(counts, key=counts.get)
-            sep = best if counts[best] else ","
-            tables.append(with_source_file(spark.read.csv(members, header=True, sep=sep, nullValue="", escape='"')))
+    for (kind, header), members in groups.items():
+        if kind == "delimited":
+            tables.append(read_delimited(spark, members, delimiter_of(header), multi_line))
+        elif kind == "json":
+            tables.append(read_json(spark, members))
         else:
-            tables.append(read_table(spark, members[0]))
+            tables.append(with_source_file(spark.read.option("mergeSchema", True).parquet(*members)))
     return union_tables(tables) if tables else None
 
 
