@@ -12,8 +12,7 @@ from tidepanel.functions.text import BLANKS, iso_time, norm_code, norm_label, no
 from tidepanel.functions.text import sample_id, squeeze, text_hash, to_half_width
 from tidepanel.operators.joins import forward_trade_day, on_calendar
 from tidepanel.operators.keys import keep_first, keep_last, require_columns, require_unique
-from tidepanel.operators.ordered import join_row_number
-from tidepanel.scale import freeze, groups_fit
+from tidepanel.scale import null_safe_join
 from tidepanel.sources.readers import SOURCE_FILE, find_column
 
 # Headers that name each part of a news row.
@@ -23,7 +22,8 @@ NAME_HEADERS = ("stock_name", "name", "security_name", "证券简称", "股票
 TEXT_HEADERS = ("title", "headline", "content", "summary", "text", "标题", "内容", "摘要")
 TITLE_HEADERS = ("title", "headline", "标题")
 SHORTEST_ALIAS = 3
-TEXTS_PER_PART = 1000
+PART_BYTES = 8_000_000
+STOCK_TEXT, MARKET_TEXT = "news_text_concat", "market_news_text_concat"
 
 
 def compose_text(news: DataFrame) -> DataFrame:
@@ -174,12 +174,15 @@ def _distinct_news(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return keep_last(work, [*keys, "_text"], order).drop("_text")
 
 
-def market_daily(detail: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Count and latest time of all news of each trading day, also of days without any."""
+def market_daily(detail: DataFrame, calendar: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Count, latest time and first text part of all news of each trading day, also of days without any."""
     daily = detail.groupBy("trade_date").agg(
         F.count(F.lit(1)).alias("market_news_count"), F.max("publish_time").alias("market_latest_publish_time")
     )
-    return on_calendar(calendar, daily, ["market_news_count"])
+    if texts is None:
+        texts = joined_texts(detail, ["trade_date"], MARKET_TEXT)
+    daily = daily.join(first_parts(texts, ["trade_date"], MARKET_TEXT, "market_text_parts"), "trade_date", "left")
+    return on_calendar(calendar, daily, ["market_news_count", "market_text_parts"], [MARKET_TEXT])
 
 
 def stock_rows(detail: DataFrame) -> DataFrame:
@@ -191,35 +194,43 @@ def stock_rows(detail: DataFrame) -> DataFrame:
     return _distinct_news(rows, ["stock_code", "trade_date", "publish_time"])
 
 
-def stock_daily(rows: DataFrame) -> DataFrame:
-    """Count and latest time per stock and day."""
+def stock_daily(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Count, latest time and first text part per stock and day."""
+    keys = ["stock_code", "trade_date"]
+    if texts is None:
+        texts = joined_texts(rows, keys, STOCK_TEXT)
     keyed = rows.withColumn("sample_id", sample_id("stock_code", "trade_date"))
-    return keyed.groupBy("sample_id", "stock_code", "trade_date").agg(
+    daily = keyed.groupBy("sample_id", *keys).agg(
         F.count(F.lit(1)).alias("news_count"), F.max("publish_time").alias("latest_publish_time")
     )
+    daily = daily.join(first_parts(texts, keys, STOCK_TEXT, "text_parts"), keys, "left")
+    return daily.withColumns({STOCK_TEXT: F.coalesce(STOCK_TEXT, F.lit("")), "text_parts": F.coalesce("text_parts", F.lit(0))})
 
 
 def joined_texts(
-    rows: DataFrame, keys: Sequence[str], out: str, texts_per_part: int = TEXTS_PER_PART, separator: str = "\n\n"
+    rows: DataFrame, keys: Sequence[str], out: str, part_bytes: int = PART_BYTES, separator: str = "\n\n"
 ) -> DataFrame:
-    """All texts of a group in order of time, as one row per ``texts_per_part`` texts.
+    """All texts of a group in order of time, as parts of about ``part_bytes`` each.
 
-    Nearly all groups have only part 0, which is then the whole text; a day with
-    very many texts becomes several rows instead of one that no task can hold.
+    A text belongs to the part in which it begins, so no part is longer than that by more than one text. Places are
+    found on time, hash and length alone; the texts only meet inside their part.
     """
     keys = list(keys)
-    work = rows.where(F.col("news_text") != "").select(*keys, "publish_time", "news_text").dropDuplicates()
-    work = work.withColumn("_id", text_hash(F.concat_ws("\n", F.coalesce(iso_time("publish_time"), F.lit("")), F.col("news_text"))))
-    work = freeze(work, "texts")
-    time = F.coalesce(F.col("publish_time").cast("string"), F.lit(""))
-    if groups_fit(work, keys):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("publish_time", "news_text"))
-        work = work.withColumn("_n", place)
-    else:
-        work = join_row_number(work, keys, [time, F.col("news_text")], "_id", "_n")
-    work = work.withColumn("part", F.floor((F.col("_n") - 1) / texts_per_part).cast("int"))
-    pieces = F.transform(F.sort_array(F.collect_list(F.struct("_n", "news_text"))), lambda t: t["news_text"])
-    return work.groupBy(*keys, "part").agg(F.array_join(pieces, separator).alias(out))
+    work = rows.where(F.col("news_text") != "").select(*keys, "publish_time", "news_text", text_hash("news_text").alias("_text"))
+    work = work.dropDuplicates([*keys, "publish_time", "_text"])
+    slim = work.select(*keys, "publish_time", "_text", F.octet_length("news_text").cast("bigint").alias("_bytes"))
+    before = Window.partitionBy(*keys).orderBy("publish_time", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("_bytes").over(before), F.lit(0))
+    slim = slim.withColumn("part", F.floor(begin / part_bytes).cast("int")).drop("_bytes")
+    placed = null_safe_join(work, slim, [*keys, "publish_time", "_text"])
+    pieces = F.sort_array(F.collect_list(F.struct("publish_time", "_text", "news_text")))
+    return placed.groupBy(*keys, "part").agg(F.array_join(F.transform(pieces, lambda t: t["news_text"]), separator).alias(out))
+
+
+def first_parts(texts: DataFrame, keys: Sequence[str], text: str, parts: str) -> DataFrame:
+    """The first part of each group's text and the number of parts."""
+    first = F.max(F.when(F.col("part") == 0, F.col(text)))
+    return texts.groupBy(*keys).agg(first.alias(text), F.count(F.lit(1)).cast("int").alias(parts))
 
 
 # -- items ------------------------------------------------------------------------
@@ -298,7 +309,7 @@ def items_between(items: DataFrame, start=None, end=None) -> DataFrame:
 
 
 __all__ = [
-    "alias_table", "check_items", "code_table", "codes_in_text", "compose_text", "items_between",
+    "alias_table", "check_items", "code_table", "codes_in_text", "compose_text", "first_parts", "items_between",
     "joined_texts", "listed_code", "market_daily", "match_stocks", "names_in_text", "news_items", "orphan_ids",
     "prepare_news", "stock_daily", "stock_rows",
 ]

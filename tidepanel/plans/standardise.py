@@ -9,7 +9,8 @@ are dropped afterwards.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,7 @@ PATH_HINTS = {
     "moneyflow": ("moneyflow",),
     "stock_st": ("stock_st",),
 }
+SUMMARY_RULES = {"rows": "rows", "duplicate": "duplicates_removed", "exchange": "exchange_removed", "special": "special_removed"}
 PRICE_COLUMNS = ("preclose", "close", "open", "high", "low", "vwap")
 ZERO_FILLED = ("volume", "amount")
 STATIC_FIELDS = ("stock_name", "industry", "market", "area", "list_date")
@@ -81,6 +83,17 @@ def _keyed(df: DataFrame, what: str, with_name: bool = False) -> DataFrame:
     return out.dropna(subset=["trade_date", "stock_code"])
 
 
+def _renamed(raw: DataFrame, kind: str) -> DataFrame:
+    """Raw columns under their standard names."""
+    if kind == "price":
+        return rename_by_alias(raw, PRICE_ALIASES)
+    if kind == "metric":
+        for target, names in METRIC_ALIASES.items():
+            if target not in raw.columns:
+                raw = rename_by_alias(raw, {target: names})
+    return raw
+
+
 def _last_per_day(df: DataFrame) -> DataFrame:
     order = [SOURCE_FILE] if SOURCE_FILE in df.columns else []
     rest = [c for c in df.columns if c not in ("stock_code", "trade_date", SOURCE_FILE)]
@@ -95,7 +108,7 @@ def prepare_price(raw: DataFrame, fits: bool | None = None) -> DataFrame:
     bar's prices takes its close.
     """
     df = numeric_columns(
-        _keyed(rename_by_alias(raw, PRICE_ALIASES), "price"), ("trade_date", "stock_code", "stock_name", SOURCE_FILE)
+        _keyed(_renamed(raw, "price"), "price"), ("trade_date", "stock_code", "stock_name", SOURCE_FILE)
     )
     df = _last_per_day(df)
     numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "long", "integer")]
@@ -136,12 +149,8 @@ def prepare_basic(raw: DataFrame) -> DataFrame:
 
 def prepare_metric(raw: DataFrame) -> DataFrame:
     """One metric row per entity and day."""
-    renamed = raw
-    for target, names in METRIC_ALIASES.items():
-        if target not in renamed.columns:
-            renamed = rename_by_alias(renamed, {target: names})
     skip = ("trade_date", "stock_code", "stock_name", SOURCE_FILE)
-    return _last_per_day(numeric_columns(_keyed(renamed, "metric"), skip))
+    return _last_per_day(numeric_columns(_keyed(_renamed(raw, "metric"), "metric"), skip))
 
 
 def prepare_flow(raw: DataFrame) -> DataFrame:
@@ -158,7 +167,10 @@ def prepare_exclusions(raw: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class StandardTables:
-    """The standard tables of one run; absent inputs are None."""
+    """The standard tables of one run; absent inputs are None.
+
+    ``steps`` holds, per table and rule, the rows before and after the rule.
+    """
 
     price: DataFrame
     panel: DataFrame
@@ -170,9 +182,12 @@ class StandardTables:
     news: DataFrame | None = None
     news_stock_daily: DataFrame | None = None
     news_market_daily: DataFrame | None = None
+    news_stock_texts: DataFrame | None = None
+    news_market_texts: DataFrame | None = None
+    steps: Mapping[tuple[str, str], tuple[DataFrame, DataFrame]] = field(default_factory=dict)
 
     def present(self) -> dict[str, DataFrame]:
-        return {name: df for name, df in vars(self).items() if df is not None}
+        return {name: df for name, df in vars(self).items() if df is not None and name != "steps"}
 
 
 def standardise(raw: Mapping[str, DataFrame | None], cutoff_hour: int = 15, fits: bool | None = None) -> StandardTables:
@@ -180,39 +195,44 @@ def standardise(raw: Mapping[str, DataFrame | None], cutoff_hour: int = 15, fits
     if raw.get("price") is None:
         raise ValueError("no price files")
     have = lambda kind: raw.get(kind) is not None
+    steps: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
     basic = freeze(prepare_basic(raw["basic"]), "basic") if have("basic") else None
-    price = prepare_price(raw["price"], fits)
-    metric = prepare_metric(raw["metric"]) if have("metric") else None
-    flow = prepare_flow(raw["moneyflow"]) if have("moneyflow") else None
+    made = {"price": prepare_price(raw["price"], fits)}
+    for kind, prepare in (("metric", prepare_metric), ("moneyflow", prepare_flow)):
+        if have(kind):
+            made[kind] = prepare(raw[kind])
     if basic is not None:
-        price = attach_static(price, basic, STATIC_FIELDS)
-        metric = attach_static(metric, basic) if metric is not None else None
-        flow = attach_static(flow, basic) if flow is not None else None
-    keep_exchange = lambda df: exclude_exchange(df) if df is not None else None
+        made = {kind: attach_static(df, basic, *([STATIC_FIELDS] if kind == "price" else [])) for kind, df in made.items()}
     # these are results of their own and read by everything below, so they are written here
-    stored = lambda df, name: freeze(df, name) if df is not None else None
-    price, metric, flow = (
-        stored(keep_exchange(df), name) for df, name in ((price, "price"), (metric, "metric"), (flow, "moneyflow"))
-    )
-    listed = freeze(prepare_exclusions(raw["stock_st"]), "exclusions") if have("stock_st") else None
-
-    panel = daily_panel(price, *[t for t in (metric, flow) if t is not None])
+    whole = {kind: freeze(df, kind) for kind, df in made.items()}
+    if have("stock_st"):
+        whole["stock_st"] = freeze(prepare_exclusions(raw["stock_st"]), "exclusions")
+    for kind, df in whole.items():
+        steps[kind, "duplicate"] = _keyed(_renamed(raw[kind], kind), kind), df
+    listed = whole.pop("stock_st", None)
+    traded = {kind: exclude_exchange(df) for kind, df in whole.items()}
+    steps |= {(kind, "exchange"): (whole[kind], df) for kind, df in traded.items()}
+
+    panel = daily_panel(*traded.values())
     samples = prediction_samples(panel)
+    out = {**traded, "panel": panel, "samples": samples}
     if listed is not None:
-        price, panel = exclude_keys(price, listed), exclude_keys(panel, listed)
-        metric = exclude_keys(metric, listed) if metric is not None else None
-        flow = exclude_keys(flow, listed) if flow is not None else None
-        samples = exclude_samples(samples, listed)
+        clean = {kind: (exclude_samples if kind == "samples" else exclude_keys)(df, listed) for kind, df in out.items()}
+        steps |= {(kind, "special"): (out[kind], df) for kind, df in clean.items()}
+        out = clean
 
-    news = stock_daily = market_daily = None
     if have("news"):
-        detail = freeze(nw.prepare_news(raw["news"], price, cutoff_hour), "news")
-        stock_daily = nw.stock_daily(nw.stock_rows(detail))
-        market_daily = nw.market_daily(detail, price.select("trade_date"))
-        news = detail.drop("codes", "title_text")
-        samples = attach_news_counts(samples, stock_daily, market_daily)
-    samples = keep_last(samples, ["sample_id"], ["feature_asof_date"])
-    return StandardTables(price, panel, samples, basic, metric, flow, listed, news, stock_daily, market_daily)
+        detail = freeze(nw.prepare_news(raw["news"], out["price"], cutoff_hour), "news")
+        rows = nw.stock_rows(detail)
+        out["news_stock_texts"] = nw.joined_texts(rows, ["stock_code", "trade_date"], nw.STOCK_TEXT)
+        out["news_market_texts"] = nw.joined_texts(detail, ["trade_date"], nw.MARKET_TEXT)
+        out["news_stock_daily"] = nw.stock_daily(rows, out["news_stock_texts"])
+        out["news_market_daily"] = nw.market_daily(detail, out["price"].select("trade_date"), out["news_market_texts"])
+        out["news"] = detail.drop("codes", "title_text")
+        out["samples"] = attach_news_counts(out["samples"], out["news_stock_daily"], out["news_market_daily"])
+    once = keep_last(out["samples"], ["sample_id"], ["feature_asof_date"])
+    steps["samples", "duplicate"] = out["samples"], once
+    return StandardTables(**{**out, "samples": once}, basic=basic, stock_st=listed, steps=steps)
 
 
 def read_raw(spark: SparkSession, root: str, basic: Sequence[str] = ()) -> dict[str, DataFrame | None]:
@@ -222,12 +242,17 @@ def read_raw(spark: SparkSession, root: str, basic: Sequence[str] = ()) -> dict[
     return raw
 
 
-def run_summary(tables: StandardTables, before: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Rows of each table, and rows removed against an earlier stage of it."""
-    spark = tables.price.sparkSession
-    rows = [(name, df.count(), (before[name].count() if before and name in before else None)) for name, df in tables.present().items()]
-    out = spark.createDataFrame(rows, "table_name string, rows bigint, rows_before bigint")
-    return out.withColumn("removed", F.col("rows_before") - F.col("rows"))
+def run_summary(tables: StandardTables) -> DataFrame:
+    """Rows of each table and how many each rule removed: duplicates, exchange, special treatment. One job."""
+    counts = [_counted(df, name, "rows") for name, df in tables.present().items()]
+    for (name, rule), (before, after) in tables.steps.items():
+        counts += [_counted(before, name, rule), _counted(after, name, rule, -1)]
+    total = reduce(DataFrame.unionByName, counts).groupBy("table_name")
+    return total.agg(*[F.sum(F.when(F.col("rule") == r, F.col("n"))).alias(c) for r, c in SUMMARY_RULES.items()])
+
+
+def _counted(df: DataFrame, name: str, rule: str, sign: int = 1) -> DataFrame:
+    return df.agg((F.count(F.lit(1)) * sign).alias("n")).select(F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), "n")
 
 
 def save(tables: StandardTables, folder: str) -> dict[str, str]:

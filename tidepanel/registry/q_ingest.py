@@ -332,21 +332,35 @@ def standard_samples(spark, sf):
     return tidy(out.select("sample_id", "feature_asof_date", "target_trade_date", "label_next_open_return"), 5)
 
 
+_LISTED = "ANTI JOIN listed_days USING (stock_code, trade_date)"
+
+
+def _left_sql(name: str, source: str, duplicates: str) -> str:
+    return f"""SELECT '{name}' AS table_name, (SELECT count(*) FROM on_exchange {_LISTED}) AS rows, {duplicates} AS duplicates_removed,
+      (SELECT count(*) FROM {source}) - (SELECT count(*) FROM on_{'metric' if name == 'metric' else 'exchange'}) AS exchange_removed,
+      (SELECT count(*) FROM on_exchange) - (SELECT count(*) FROM on_exchange {_LISTED}) AS special_removed"""
+
+
 @query(
     "run_summary",
     sql(
         "price metric",
-        """SELECT * FROM (SELECT 'price' AS table_name, (SELECT count(*) FROM on_exchange ANTI JOIN listed_days USING (stock_code, trade_date)) AS rows)
-          UNION ALL SELECT 'stock_st', (SELECT count(*) FROM listed_days)
-          UNION ALL SELECT 'metric', (SELECT count(*) FROM on_exchange ANTI JOIN listed_days USING (stock_code, trade_date))
-          UNION ALL SELECT 'panel', (SELECT count(*) FROM on_exchange ANTI JOIN listed_days USING (stock_code, trade_date))""",
+        f"""{_left_sql('price', 'price', '(SELECT count(*) FROM price WHERE month(trade_date) = 6)')}
+          UNION ALL {_left_sql('metric', 'metric', '0')}
+          UNION ALL SELECT 'stock_st', (SELECT count(*) FROM listed_days), 0, NULL, NULL
+          UNION ALL SELECT 'basic', (SELECT count(*) FROM supplier), NULL, NULL, NULL
+          UNION ALL SELECT 'panel', (SELECT count(*) FROM on_exchange {_LISTED}), NULL, NULL, (SELECT count(*) FROM on_exchange) - (SELECT count(*) FROM on_exchange {_LISTED})
+          UNION ALL SELECT 'samples', (SELECT count(*) FROM made WHERE clean), 0, NULL, (SELECT count(*) FROM made WHERE NOT clean)""",
         _STANDARD,
+        """on_metric AS (SELECT * FROM metric WHERE NOT ends_with(stock_code, '.BJ') AND NOT ends_with(stock_code, '7.SZ')),
+        made AS (SELECT NOT EXISTS (SELECT 1 FROM listed_days b WHERE b.stock_code = s.stock_code AND b.trade_date IN (s.trade_date, s.target, s.ending)) AS clean FROM (
+          SELECT stock_code, trade_date, lead(trade_date) OVER w AS target, lead(trade_date, 2) OVER w AS ending FROM on_exchange
+          WINDOW w AS (PARTITION BY stock_code ORDER BY trade_date)) s WHERE target IS NOT NULL AND ending IS NOT NULL)""",
     ),
 )
 def run_summary(spark, sf):
-    """Rows of the standard tables."""
-    summary = st.run_summary(st.standardise(_raw(spark, sf), fits=tables.fits(spark, sf)))
-    return summary.where(F.col("table_name").isin("price", "panel", "metric", "stock_st")).select("table_name", "rows")
+    """Rows of all standard tables and the rows each rule removed."""
+    return st.run_summary(st.standardise(_raw(spark, sf), fits=tables.fits(spark, sf)))
 
 
 # -- long and wide ---------------------------------------------------------------------------

@@ -204,31 +204,39 @@ def news_detail(spark, sf):
     )
 
 
+_SEPARATOR = "chr(10) || chr(10)"
+_PART_BYTES = 20_000
+
+
+def _joined_sql(keys: str, source: str) -> str:
+    """Texts of each group in parts, as the operator makes them with parts of _PART_BYTES."""
+    return f"""SELECT {keys}, part, sha256(string_agg(news_text, {_SEPARATOR} ORDER BY publish_time, sha256(news_text))) AS text_hash FROM (
+      SELECT *, CAST(floor(coalesce(sum(octet_length(encode(news_text))) OVER (PARTITION BY {keys} ORDER BY publish_time, sha256(news_text)
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {_PART_BYTES}) AS INTEGER) AS part
+      FROM (SELECT DISTINCT {keys}, publish_time, news_text FROM {source} WHERE news_text <> '')) GROUP BY {keys}, part"""
+
+
 @query(
     "market_news_daily",
     sql(
         "detail",
-        """SELECT day AS trade_date, count(publish_time) AS market_news_count, max(publish_time) AS market_latest_publish_time
+        f"""SELECT day AS trade_date, count(publish_time) AS market_news_count, max(publish_time) AS market_latest_publish_time,
+          sha256(coalesce(string_agg(news_text, {_SEPARATOR} ORDER BY publish_time, sha256(news_text)), '')) AS text_hash
           FROM days LEFT JOIN detail ON day = trade_date GROUP BY 1""",
     ),
 )
 def market_news_daily(spark, sf):
-    """News count and latest time for every trading day, also the empty ones."""
-    return nw.market_daily(detail(spark, sf), trading(spark, sf).select("trade_date"))
+    """News count, latest time and text for every trading day, also the empty ones."""
+    out = nw.market_daily(detail(spark, sf), trading(spark, sf).select("trade_date"))
+    text = F.sha2(nw.MARKET_TEXT, 256).alias("text_hash")
+    return out.select("trade_date", "market_news_count", "market_latest_publish_time", text)
 
 
-@query(
-    "market_news_texts",
-    sql(
-        "detail",
-        """SELECT trade_date, 0 AS part, sha256(string_agg(news_text, chr(10) || chr(10) ORDER BY publish_time, news_text)) AS text_hash
-          FROM detail GROUP BY 1""",
-    ),
-)
+@query("market_news_texts", sql("detail", _joined_sql("trade_date", "detail")))
 def market_news_texts(spark, sf):
-    """All news texts of a day joined in order of time."""
-    out = nw.joined_texts(detail(spark, sf), ["trade_date"], "market_news_text_concat")
-    return out.select("trade_date", "part", F.sha2("market_news_text_concat", 256).alias("text_hash"))
+    """All news texts of a day joined in order of time, in parts of bounded size."""
+    out = nw.joined_texts(detail(spark, sf), ["trade_date"], "text", _PART_BYTES)
+    return out.select("trade_date", "part", F.sha2("text", 256).alias("text_hash"))
 
 
 define(
@@ -238,38 +246,51 @@ define(
 )
 
 
+@query("stock_news_texts", sql("stock_news", _joined_sql("stock_code, trade_date", "stock_news")))
+def stock_news_texts(spark, sf):
+    """All texts of a stock's day in order of time, in parts of bounded size."""
+    out = nw.joined_texts(nw.stock_rows(detail(spark, sf)), ["stock_code", "trade_date"], "text", _PART_BYTES)
+    return out.select("stock_code", "trade_date", "part", F.sha2("text", 256).alias("text_hash"))
+
+
 @query(
     "stock_news_daily",
     sql(
         "stock_news",
-        """SELECT stock_code || '_' || strftime(trade_date, '%Y-%m-%d') AS sample_id, stock_code, trade_date,
-          count(*) AS news_count, max(publish_time) AS latest_publish_time FROM stock_news GROUP BY stock_code, trade_date""",
+        f"""SELECT stock_code || '_' || strftime(trade_date, '%Y-%m-%d') AS sample_id, stock_code, trade_date,
+          count(*) AS news_count, max(publish_time) AS latest_publish_time,
+          sha256(string_agg(news_text, {_SEPARATOR} ORDER BY publish_time, sha256(news_text))) AS text_hash
+          FROM stock_news GROUP BY stock_code, trade_date""",
     ),
 )
 def stock_news_daily(spark, sf):
-    """News count and latest time per stock and day."""
-    return nw.stock_daily(nw.stock_rows(detail(spark, sf)))
+    """News count, latest time and text per stock and day."""
+    out = nw.stock_daily(nw.stock_rows(detail(spark, sf)))
+    columns = ("sample_id", "stock_code", "trade_date", "news_count", "latest_publish_time")
+    return out.select(*columns, F.sha2(nw.STOCK_TEXT, 256).alias("text_hash"))
 
 
 @query(
     "attach_news_counts",
     sql(
         "samples stock_news",
-        """SELECT s.sample_id, coalesce(n.c, 0) AS news_count, coalesce(m.c, 0) AS market_news_count FROM samples s
-          LEFT JOIN (SELECT stock_code, date_trunc('month', trade_date)::DATE AS month, count(*) AS c FROM stock_news GROUP BY ALL) n
+        f"""SELECT s.sample_id, coalesce(n.c, 0) AS news_count, coalesce(m.c, 0) AS market_news_count, n.text_hash FROM samples s
+          LEFT JOIN (SELECT stock_code, date_trunc('month', trade_date)::DATE AS month, count(*) AS c,
+              sha256(string_agg(news_text, {_SEPARATOR} ORDER BY publish_time, sha256(news_text))) AS text_hash FROM stock_news GROUP BY ALL) n
             ON n.stock_code = s.stock_code AND n.month = s.trade_date
           LEFT JOIN (SELECT date_trunc('month', trade_date)::DATE AS month, count(*) AS c FROM detail GROUP BY ALL) m
             ON m.month = s.trade_date""",
     ),
 )
 def attach_news_counts_query(spark, sf):
-    """Monthly news counts joined to samples, zero where there is none."""
+    """Monthly news counts and texts joined to samples, counts zero where there is none."""
     month = F.trunc("trade_date", "month")
     news = detail(spark, sf)
     rows = nw.stock_rows(news).withColumn("trade_date", month)
     stock = nw.stock_daily(rows)
     market = news.withColumn("trade_date", month).groupBy("trade_date").agg(F.count(F.lit(1)).alias("market_news_count"))
-    return attach_news_counts(tables.samples(spark, sf), stock, market).select("sample_id", "news_count", "market_news_count")
+    out = attach_news_counts(tables.samples(spark, sf), stock, market)
+    return out.select("sample_id", "news_count", "market_news_count", F.sha2(nw.STOCK_TEXT, 256).alias("text_hash"))
 
 
 # -- items ---------------------------------------------------------------------------
