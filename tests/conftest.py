@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from tidepanel.scale import GROUP_ROWS, GROUP_ROWS_DEFAULT  # noqa: E402
+from tidepanel.scale import GROUP_ROWS, GROUP_ROWS_DEFAULT, clear_stages  # noqa: E402
 from tidepanel.session import panel_session  # noqa: E402
 
 
@@ -14,6 +14,7 @@ def spark():
     session = panel_session("tests", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_stages(session)
 
 
 @pytest.fixture

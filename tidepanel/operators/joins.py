@@ -236,7 +236,8 @@ def lookback_arrays(
     Adds for each variable an array padded on the left with 0.0, a ``<name>_mask``
     of present values, ``window_rows`` and ``full_window``. Panel rows and samples
     of one entity meet in one ordered pass, so the as-of date need not be a panel
-    date.
+    date. Panel rows are numbered there; the asked rows carry the number of the last one and read the rows of that
+    number and the ones before it, so no array goes through a sort.
     """
     stamp = F.struct(*[number(v).alias(v) for v in variables])
     points = panel.select("stock_code", F.col("trade_date").alias("_day"), stamp.alias("_v"), F.lit(0).alias("_side"))
@@ -244,18 +245,11 @@ def lookback_arrays(
         samples.select("stock_code", F.col(asof).alias("_day")).distinct()
         .withColumns({"_v": F.lit(None).cast(points.schema["_v"].dataType), "_side": F.lit(1)})
     )
-    so_far = (
-        Window.partitionBy("stock_code").orderBy("_day", "_side")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = points.withColumn(
-        "_w",
-        F.collect_list("_v").over(
-            Window.partitionBy("stock_code").orderBy("_day").rowsBetween(1 - length, Window.currentRow)
-        ),
-    )
-    both = rows.unionByName(asked.withColumn("_w", F.lit(None).cast(rows.schema["_w"].dataType)))
-    seen = both.withColumn("_w", F.last("_w", ignorenulls=True).over(so_far)).where(F.col("_side") == 1)
+    both = points.unionByName(asked)
+    so_far = Window.partitionBy("stock_code").orderBy("_day", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_n", F.count(F.when(F.col("_side") == 0, 1)).over(so_far))
+    last = Window.partitionBy("stock_code").orderBy("_n").rangeBetween(1 - length, Window.currentRow)
+    seen = both.withColumn("_w", F.collect_list("_v").over(last)).where((F.col("_side") == 1) & (F.col("_n") > 0))
     work = samples.join(
         seen.select("stock_code", F.col("_day").alias(asof), "_w"), ["stock_code", asof], "left"
     ).withColumn("window_rows", F.coalesce(F.size("_w"), F.lit(0)))

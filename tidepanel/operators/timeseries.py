@@ -17,7 +17,7 @@ not by the size of the raw data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -57,6 +57,20 @@ def _complete(x: Column, w: int, min_periods: int | None, frame: WindowSpec) ->
     return _enough(x, w, min_periods, frame) & (F.count(x).over(frame) == F.count(F.lit(1)).over(frame))
 
 
+def ts_apply(
+    x: Column | str,
+    w: int,
+    function: Callable[[Column], Column],
+    min_periods: int | None = None,
+    entity: str = ENTITY,
+    date: str = DATE,
+) -> Column:
+    """An own function of the last ``w`` values, given as an array in order of time with gaps as NULL."""
+    x, frame = col(x), last_rows(w, entity, date)
+    values = F.transform(F.collect_list(F.struct(x.alias("v"))).over(frame), lambda r: r["v"])
+    return F.when(_enough(x, w, min_periods, frame), function(values))
+
+
 def _rolling(aggregate, x, w: int, min_periods: int | None, entity: str, date: str) -> Column:
     x, frame = col(x), last_rows(w, entity, date)
     return F.when(_enough(x, w, min_periods, frame), aggregate(x).over(frame))

@@ -21,6 +21,16 @@ MIN_ABS_RANK_IC = 0.01
 CORR_THRESHOLD = 0.95
 MIN_CORR_PAIRS = 10_000
 MAX_IR = 3.0
+GLOBAL_NOTE = "global_note"
+# Other names of review flags.
+REVIEW_FLAG_ALIASES = {
+    "sparse_event_factor": "sparse_event_signal",
+    "event_factor": "sparse_event_signal",
+    "event_signal": "sparse_event_signal",
+    "market_state": "state_factor",
+    "regime_factor": "state_factor",
+    "state": "state_factor",
+}
 REVIEW_FLAGS = (
     "state_factor",
     "interaction_candidate",
@@ -298,15 +308,17 @@ def final_pick(candidates: DataFrame, clusters: DataFrame, pairs: DataFrame, max
 def review_problems(candidates: DataFrame, selected: DataFrame, review: DataFrame, allow_failed: bool = False) -> DataFrame:
     """Rows of a review that break a rule, with the broken ``rule``.
 
-    ``review`` has action (remove, add_back or flag), factor_name, flag and reason.
+    ``review`` has action (remove, add_back, flag or global_note), factor_name, flag and reason.
     """
+    review = review_items(review)
     known = candidates.select("factor_name", "quality_pass", "constant_flag", F.lit(True).alias("_known"))
     mine = selected.select("factor_name", F.lit(True).alias("_selected")).distinct()
     work = review.join(known, "factor_name", "left").join(mine, "factor_name", "left")
     again = F.count(F.lit(1)).over(Window.partitionBy("action", "factor_name", F.coalesce("flag", F.lit("")))) > 1
     sound = F.coalesce(F.col("quality_pass"), F.lit(False)) & ~F.coalesce(F.col("constant_flag"), F.lit(False))
     rule = (
-        F.when(F.col("_known").isNull(), "unknown factor")
+        F.when(F.col("action") == GLOBAL_NOTE, F.lit(None).cast("string"))
+        .when(F.col("_known").isNull(), "unknown factor")
         .when(again, "listed twice")
         .when(F.trim(F.coalesce("reason", F.lit(""))) == "", "no reason")
         .when((F.col("action") == "remove") & F.col("_selected").isNull(), "not selected")
@@ -317,9 +329,17 @@ def review_problems(candidates: DataFrame, selected: DataFrame, review: DataFram
     return work.withColumn("rule", rule).where(F.col("rule").isNotNull()).select(*review.columns, "rule")
 
 
+def review_items(review: DataFrame) -> DataFrame:
+    """Review rows with flags under their own names; a global note belongs to no factor."""
+    flag = F.coalesce(*[F.when(F.col("flag") == a, F.lit(f)) for a, f in REVIEW_FLAG_ALIASES.items()], F.col("flag"))
+    name = F.when(F.col("action") == GLOBAL_NOTE, F.lit("")).otherwise(F.col("factor_name"))
+    return review.withColumns({"flag": flag, "factor_name": name})
+
+
 def apply_review(candidates: DataFrame, selected: DataFrame, review: DataFrame) -> DataFrame:
     """Candidates still selected after the review, with action, reason and flags."""
     require_columns(review, ["action", "factor_name", "flag", "reason"], "review")
+    review = review_items(review)
     mine = selected.select("factor_name").distinct().withColumn("_selected", F.lit(True))
     decision = review.where(F.col("action").isin("remove", "add_back")).select("factor_name", "action", "reason")
     flags = review.where(F.col("action") == "flag").groupBy("factor_name").agg(
@@ -336,7 +356,8 @@ def apply_review(candidates: DataFrame, selected: DataFrame, review: DataFrame)
 
 
 def review_audit(selected_after: DataFrame, review: DataFrame) -> DataFrame:
-    """One audit row per review item and whether its factor is selected in the end."""
+    """One audit row per review item and whether its factor is selected in the end; notes always count."""
+    review = review_items(review)
     final = selected_after.select("factor_name", F.lit(True).alias("_in")).distinct()
     work = review.join(final, "factor_name", "left")
     action = F.when(F.col("action") == "flag", F.concat(F.lit("flag:"), F.col("flag"))).otherwise(F.col("action"))

@@ -424,6 +424,9 @@ _REVIEW = [
     ("flag", f"{P}KMID", "watchlist", "new"),
     ("flag", f"{P}ROC5", "manual_review", "short history"),
     ("flag", f"{P}ROC5", "redundancy_risk", "see volume"),
+    ("flag", f"{P}ROC5", "regime_factor", "follows the market"),
+    ("flag", f"{P}KLEN", "market_state", "of a removed factor"),
+    ("global_note", None, None, "few factors of volume"),
 ]
 _AUTO = (f"{P}KLEN", f"{P}ROC5", "coarse")
 
@@ -434,7 +437,7 @@ _AUTO = (f"{P}KLEN", f"{P}ROC5", "coarse")
         "candidates",
         f"""SELECT factor_name, selection_status, CASE WHEN factor_name = '{P}KMID' THEN 'added_back' ELSE 'kept_auto' END AS review_action,
           CASE WHEN factor_name = '{P}KMID' THEN 'keep one body factor' ELSE '' END AS review_reason,
-          CASE WHEN factor_name = '{P}KMID' THEN 'watchlist' WHEN factor_name = '{P}ROC5' THEN 'manual_review;redundancy_risk' ELSE '' END AS review_flags
+          CASE WHEN factor_name = '{P}KMID' THEN 'watchlist' WHEN factor_name = '{P}ROC5' THEN 'manual_review;redundancy_risk;state_factor' ELSE '' END AS review_flags
           FROM candidates WHERE factor_name IN ('{P}KMID', '{P}ROC5', 'coarse')""",
     ),
 )
@@ -488,8 +491,10 @@ def feature_list_choice(spark, sf):
         "candidates",
         f"""SELECT action, factor_name, applied, reason FROM (VALUES ('remove', '{P}KLEN', true, 'too close to range'),
             ('add_back', '{P}KMID', true, 'keep one body factor'), ('flag:watchlist', '{P}KMID', true, 'new'),
-            ('flag:manual_review', '{P}ROC5', true, 'short history'), ('flag:redundancy_risk', '{P}ROC5', true, 'see volume'))
-            t(action, factor_name, applied, reason) WHERE factor_name IN (SELECT factor_name FROM candidates)""",
+            ('flag:manual_review', '{P}ROC5', true, 'short history'), ('flag:redundancy_risk', '{P}ROC5', true, 'see volume'),
+            ('flag:state_factor', '{P}ROC5', true, 'follows the market'), ('flag:state_factor', '{P}KLEN', false, 'of a removed factor'),
+            ('global_note', '', true, 'few factors of volume'))
+            t(action, factor_name, applied, reason) WHERE factor_name IN (SELECT factor_name FROM candidates) OR factor_name = ''""",
     ),
 )
 def review_audit(spark, sf):
@@ -500,6 +505,34 @@ def review_audit(spark, sf):
     return se.review_audit(after, review)
 
 
+_BAD_REVIEW = [
+    *_REVIEW,
+    ("remove", "coarser", None, "no such factor"),
+    ("remove", f"{P}KMID", None, "was never in"),
+    ("add_back", "coarse", None, "is in already"),
+    ("flag", "coarse", "event_factor", "an alias is no problem"),
+    ("flag", "coarse", "nonsense", "no such flag"),
+    ("flag", f"{P}ROC5", "watchlist", " "),
+]
+
+
+@query(
+    "review_problems",
+    sql(
+        "candidates",
+        f"""SELECT action, factor_name, flag, rule FROM (VALUES ('remove', 'coarser', NULL, 'unknown factor'), ('remove', '{P}KMID', NULL, 'not selected'),
+            ('add_back', 'coarse', NULL, 'already selected'), ('flag', 'coarse', 'nonsense', 'unknown flag'), ('flag', '{P}ROC5', 'watchlist', 'no reason'))
+            t(action, factor_name, flag, rule) WHERE rule = 'unknown factor' OR factor_name IN (SELECT factor_name FROM candidates)""",
+    ),
+)
+def review_problems(spark, sf):
+    """Review items that break a rule."""
+    scored = candidates(spark, sf)
+    review = spark.createDataFrame(_BAD_REVIEW, "action string, factor_name string, flag string, reason string")
+    found = se.review_problems(scored, scored.where(F.col("factor_name").isin(*_AUTO)), review, allow_failed=True)
+    return found.select("action", "factor_name", "flag", "rule")
+
+
 # -- catalog, panels, keys, scaler --------------------------------------------------------
 
 

@@ -648,7 +648,14 @@ def news_market_windows(spark, sf):
 )
 def net_event_score(spark, sf):
     """Mean net event score over three and five days."""
-    scored, pairs, samples = event_tables(spark, sf)
+    events, pairs, samples = event_tables(spark, sf)
+    # every third text was never scored for novelty, which this score does not ask for
+    novelty = F.when(F.col("news_id") % 3 != 0, F.col("novelty_score"))
+    scores = events.select(F.sha2(F.col("news_id").cast("string"), 256).alias("news_text_hash"), *es.SCORE_COLUMNS, "event_type")
+    scores = scores.join(events.select(F.sha2(F.col("news_id").cast("string"), 256).alias("news_text_hash"), novelty.alias("_n")), "news_text_hash")
+    scores = scores.withColumn("novelty_score", F.col("_n")).drop("_n")
+    items = events.drop(*es.SCORE_COLUMNS, "event_type").withColumn("news_text_hash", F.sha2(F.col("news_id").cast("string"), 256))
+    scored = nf.scored_items(items, scores, ["risk_score"], nf.NET_SCORES)
     return tidy(nf.net_event_score(samples, scored, pairs, clocks=[CLOCK]))
 
 

@@ -172,6 +172,22 @@ simple(
     {"d5": _decay("x", 5, 5), "d10": _decay("y", 10, 10), "d6p3": _decay("x", 6, 3)},
     position=True,
 )
+def _gaps_weighed(values):
+    """Sum of value times place, a gap counting as zero."""
+    return F.aggregate(F.transform(values, lambda v, i: F.coalesce(v, F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+
+
+def _weighed_sql(x: str, w: int, need: int) -> str:
+    over = f"OVER ({ENTITY} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    total = f"list_sum(list_transform(list({x}) {over}, lambda v, i: coalesce(v, 0) * i))"
+    return f"CASE WHEN count({x}) {over} >= {need} THEN {total} END"
+
+
+simple(
+    "ts_apply",
+    lambda: {"own5": ts.ts_apply("x", 5, _gaps_weighed), "own8p3": ts.ts_apply("y", 8, _gaps_weighed, 3)},
+    {"own5": _weighed_sql("x", 5, 5), "own8p3": _weighed_sql("y", 8, 3)},
+)
 simple(
     "forward_fill",
     lambda: {"fx": ts.forward_fill("x"), "fy": ts.forward_fill("y")},

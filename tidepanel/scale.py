@@ -57,9 +57,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The folder of this application's stage tables."""
+    return f"{shared_folder(spark).rstrip('/')}/tidepanel/{spark.sparkContext.applicationId}"
+
+
 def stage_path(spark: SparkSession, name: str = "stage") -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tidepanel/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's stage folder."""
+    return f"{stage_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove all stage tables of this application; results not yet written can no longer be read then."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def freeze(df: DataFrame, name: str = "stage") -> DataFrame:
