@@ -110,17 +110,22 @@ class Vocabulary:
             a, b = vocab[left], vocab[right]
             self.rank[a, b] = rank
             self.parts.setdefault(vocab[left + right], (a, b, rank))
-        # suffixes of tokens: the token that is spelt so, or -1
-        self.ending: dict[bytes, int] = {}
-        for t in [*self.base.values(), *self.parts]:
-            word = self.token_bytes[t]
-            for i in range(1, len(word)):
-                self.ending.setdefault(word[i:], -1)
-            self.ending[word] = t
+        self._ending: dict[bytes, int] = {}
         self._right: dict[int, list] = {}
         self._left: dict[int, list] = {}
         self._pairs: dict[int, bool] = {}
 
+    @property
+    def ending(self) -> dict[bytes, int]:
+        """Suffixes of tokens: the token that is spelt so, or -1. Made when first asked for."""
+        if not self._ending:
+            for t in [*self.base.values(), *self.parts]:
+                word = self.token_bytes[t]
+                for i in range(1, len(word)):
+                    self._ending.setdefault(word[i:], -1)
+                self._ending[word] = t
+        return self._ending
+
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens at one edge of ``token`` from its byte up, each with the rank of the merge that takes it up."""
         kept = self._right if side else self._left
@@ -158,7 +163,7 @@ class Vocabulary:
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word; ``words`` sorted and distinct, so that neighbours share prefixes."""
         ending, pairs, spelt = self.ending.get, self._pairs, self.token_bytes
-        if len(pairs) > 2_000_000:
+        if len(pairs) > 1_000_000:
             pairs.clear()
         pair = pairs.get
         last: list[int] = [-1]
@@ -199,7 +204,7 @@ class Vocabulary:
 class Encoder:
     """Encodes texts with a bounded memory of words, kept by each worker between tasks."""
 
-    def __init__(self, path: str, cache_words: int = 600_000, longest_cached: int = 64):
+    def __init__(self, path: str, cache_words: int = 400_000, longest_cached: int = 64):
         self.vocabulary = Vocabulary(path)
         self.cache_words, self.longest = cache_words, longest_cached
         self.known: dict[str, bytes] = {}
@@ -249,7 +254,7 @@ class Encoder:
 class LibraryEncoder(Encoder):
     """The same ids, with new words encoded by a tokenizer library instead of the trie."""
 
-    def __init__(self, path: str, cache_words: int = 600_000, longest_cached: int = 64):
+    def __init__(self, path: str, cache_words: int = 200_000, longest_cached: int = 64):
         import tiktoken
 
         super().__init__(path, cache_words, longest_cached)

@@ -30,6 +30,12 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def slices(batch, rows: int = 256):
+    """Short runs of an Arrow batch, so that only a few rows at a time become Python objects."""
+    for start in range(0, max(len(batch), 1), rows):
+        yield batch.slice(start, rows)
+
+
 def with_text_result(
     df: DataFrame, text_col: str, function: Callable[[list], list], schema: str, name: str
 ) -> DataFrame:
@@ -37,17 +43,25 @@ def with_text_result(
 
     Rows keep their place, so nothing is joined or shuffled and any other column passes untouched.
     """
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    fields = list(to_arrow_schema(StructType.fromDDL(schema)))
+
+    def over(texts: pa.Array) -> pa.Array:
+        done = [_columns(function(part.to_pylist()), fields) for part in slices(texts)]
+        whole = [pa.concat_arrays(parts) for parts in zip(*done)]
+        return pa.StructArray.from_arrays(whole, fields=fields)
+
+    over.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return df.withColumn(name, F.arrow_udf(over, schema)(F.col(f"`{text_col}`").cast("string")))
 
-    fields = StructType.fromDDL(schema).names
 
-    def over(texts: pd.Series) -> pd.DataFrame:
-        values = [None if t is None or t != t else t for t in texts]
-        rows = function(values)
-        return pd.DataFrame({f: pd.Series([r[i] for r in rows], dtype=object) for i, f in enumerate(fields)})
+def _columns(rows: list, fields: list) -> list:
+    import pyarrow as pa
 
-    over.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return df.withColumn(name, F.pandas_udf(over, schema)(F.col(f"`{text_col}`").cast("string")))
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return [pa.array(c, f.type) for c, f in zip(columns, fields)]
 
 
 def crc32_of_id(column: str) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import in_chunks
-from tidepanel.llm.common import crc32_of_id, free_name, read, with_text_result
+from tidepanel.llm.common import crc32_of_id, free_name, read, slices, with_text_result
 
 ORDER = 5
 UNKNOWN = "und"
@@ -278,7 +278,7 @@ def _margin(entropy: np.ndarray) -> np.ndarray:
 def _count(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         languages, texts = (c.to_pylist() for c in batch.columns)
         grams: dict[str, list] = {}
         for g, t in zip(languages, texts):

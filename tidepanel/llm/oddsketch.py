@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import in_chunks
-from tidepanel.llm.common import free_name
+from tidepanel.llm.common import free_name, slices
 from tidepanel.scale import freeze
 
 WORDS, ROWS, BANDS, SKETCH_BITS = 5, 5, 32, 1024
@@ -163,7 +163,7 @@ def most_different_bits(threshold=THRESHOLD, samples: int = SAMPLES) -> int:
 def _describe(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         ids, keys, texts = (c.to_pylist() for c in batch.columns)
         at = 0
         for run in in_chunks([t or "" for t in texts], 1_000_000):
@@ -196,7 +196,7 @@ def _describe(batches):
 def _sets(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         sigs, texts = (c.to_pylist() for c in batch.columns)
         at = 0
         for run in in_chunks([t or "" for t in texts], 1_000_000):
@@ -220,7 +220,7 @@ def _confirm(threshold):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             left, right = batch.column(0), batch.column(1)
             keep, before, a = [], None, None
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
@@ -284,7 +284,7 @@ CELL = "key bigint, cell string, side int, sig binary, root binary, sketch array
 def _cells(batches):
     """Runs of rows of one cell, which come one after another; a cell is two blocks at most."""
     held, cell = [], None
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if row[:2] != cell:
                 if held:

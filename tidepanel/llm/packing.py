@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import in_chunks, library_encoder
-from tidepanel.llm.common import tokenizer_path
+from tidepanel.llm.common import slices, tokenizer_path
 
 TIERS = (64, 128, 256, 512, 1024)
 END_ID = 0
@@ -162,7 +162,7 @@ def pack(
             arrays += [pa.array(c, kind) for c, (_, kind) in zip(columns[1:], FIELDS)]
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", *[n for n, _ in FIELDS]])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             id_type = batch.schema.field("doc_id").type
             ids = iter(batch.column(0).to_pylist())
             for texts in in_chunks([t or "" for t in batch.column(1).to_pylist()]):

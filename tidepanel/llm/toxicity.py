@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import in_chunks
-from tidepanel.llm.common import crc32_of_id, free_name, read, with_text_result
+from tidepanel.llm.common import crc32_of_id, free_name, read, slices, with_text_result
 from tidepanel.scale import freeze
 
 U = np.uint64
@@ -210,12 +210,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     return w
 
 
-def fit_field(index: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.25, penalty: float = 2e-5) -> Field:
+def fit_field(index: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: float = 0.25, penalty: float = 2e-5) -> Field:
     """Gradient steps on windows: feature places [windows, words, kinds] (-1: no word) and labels [windows, words]."""
     live = index[:, :, 0] >= 0
-    place = np.where(index >= 0, index, 0)
+    place = np.maximum(index, 0)
     n, width = labels.shape
-    weights, trans, bias = np.zeros(1 << BITS), np.zeros((2, 2)), -2.0
+    weights, trans, bias = np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), -2.0
     grown_w, grown_t, grown_b = np.full(1 << BITS, 1e-4), np.full((2, 2), 1e-4), 1e-4
     y = labels.astype(float) * live
     pairs = live[:, 1:]
@@ -223,9 +223,10 @@ def fit_field(index: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: flo
     for a in (0, 1):
         for b in (0, 1):
             seen[a, b] = ((labels[:, :-1] == a) & (labels[:, 1:] == b) & pairs).sum()
-    flat = place[live]
+    place = place.reshape(-1, KINDS)
+    flat = place[live.ravel()].ravel()
     for _ in range(rounds):
-        s = np.where(live, weights[place].sum(2) + bias, 0.0)
+        s = np.where(live, weights[place].sum(1, dtype=np.float64).reshape(n, width) + bias, 0.0)
         e = np.exp(np.clip(s, -40, 40))
         t = np.exp(trans)
         # messages, normalised at every word
@@ -253,23 +254,23 @@ def fit_field(index: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: flo
             joint /= joint.sum((1, 2), keepdims=True)
             grad_t += joint[pairs[:, i]].sum(0)
         error = (p - y) / n
-        grad = np.bincount(flat.ravel(), weights=np.repeat(error[live], KINDS), minlength=1 << BITS) + penalty * weights
+        grad = np.bincount(flat, weights=np.repeat(error[live], KINDS), minlength=1 << BITS) + penalty * weights
         grown_w += grad * grad
-        weights -= rate * grad / np.sqrt(grown_w) * (grown_w > 1.0000001e-4)
+        weights -= (rate * grad / np.sqrt(grown_w)).astype(np.float32)
         grad_t = grad_t / n + 1e-4 * trans
         grown_t += grad_t * grad_t
         trans -= rate * grad_t / np.sqrt(grown_t)
         grad_b = float(error.sum())
         grown_b += grad_b * grad_b
         bias -= rate * grad_b / np.sqrt(grown_b)
-    return Field(weights.astype(np.float32), trans, bias)
+    return Field(weights, trans, bias)
 
 
 def _contexts(batches):
     """(feature, context, toxic) of every word, once per batch."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 64)):
         for toxic in (0, 1):
             parts = []
             for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -297,7 +298,7 @@ def _windows(markers: np.ndarray, per_text: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 f = words(text)[2]
@@ -326,11 +327,11 @@ def train(
     labels: DataFrame,
     text_col: str = "text",
     id_col: str = "doc_id",
-    toxic_rows: int = 1500,
-    clean_rows: int = 2500,
+    toxic_rows: int = 1200,
+    clean_rows: int = 1800,
     calibration_share: float = 0.3,
     longest: int = 100_000,
-    per_text: int = 6,
+    per_text: int = 3,
 ) -> Field:
     """A field from a bounded sample of labelled texts: at most ``toxic_rows`` and ``clean_rows``, copies once.
 
