@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from tidepanel.scale import GROUP_ROWS, GROUP_ROWS_DEFAULT, clear_stages  # noqa: E402
+from tidepanel.scale import clear_stages  # noqa: E402
 from tidepanel.session import panel_session  # noqa: E402
 
 
@@ -17,13 +17,5 @@ def spark():
     clear_stages(session)
 
 
-@pytest.fixture
-def tiny_groups(spark):
-    """Every group of more than two rows counts as too large for one task."""
-    spark.conf.set(GROUP_ROWS, "2")
-    yield
-    spark.conf.set(GROUP_ROWS, str(GROUP_ROWS_DEFAULT))
-
-
 def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import math
-import os
 import sys
 import time
 from pathlib import Path
@@ -77,9 +76,6 @@ def main(argv) -> int:
     names = [n for n in queries if not argv[1:] or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in argv[1:])]
     spark = panel_session("oracle-check", 8)
     spark.sparkContext.setLogLevel("ERROR")
-    if os.environ.get("GROUP_ROWS"):
-        # small enough, every section counts as too large for one task
-        spark.conf.set("spark.tidepanel.groupRows", os.environ["GROUP_ROWS"])
     con, bad = connect(sf_dir), 0
     for name in names:
         start = time.time()

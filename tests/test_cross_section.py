@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidepanel.operators import cross_section as cs
-from tidepanel.operators.ordered import exact_quantiles, join_row_number, value_positions
+from tidepanel.operators.ordered import exact_quantiles, number_rows, value_positions
 
 
 @pytest.fixture(scope="module")
@@ -38,23 +38,15 @@ def same(got, want):
         assert got[k] == pytest.approx(v), k
 
 
-@pytest.fixture(params=["one_task", "many_tasks"])
-def path(request, spark):
-    """Both ways a section can be computed must agree."""
-    if request.param == "many_tasks":
-        request.getfixturevalue("tiny_groups")
-    return request.param == "one_task"
-
-
-def test_ranks(frame, path):
+def test_ranks(frame):
     df, pdf = frame
-    out = cs.cs_rank(df, {"r": "x"}, cs.TARGET, fits=path)
+    out = cs.cs_rank(df, {"r": "x"}, cs.TARGET)
     same(by_id(out, "r"), expected(pdf.groupby("target_trade_date")["x"].rank(), pdf["sample_id"]))
-    out = cs.cs_rank(df, {"r": "x"}, cs.TARGET, ascending=False, share=True, fits=path)
+    out = cs.cs_rank(df, {"r": "x"}, cs.TARGET, ascending=False, share=True)
     same(by_id(out, "r"), expected(pdf.groupby("target_trade_date")["x"].rank(pct=True, ascending=False), pdf["sample_id"]))
 
 
-def test_robust_z(frame, path):
+def test_robust_z(frame):
     df, pdf = frame
 
     def one(s):
@@ -64,50 +56,50 @@ def test_robust_z(frame, path):
         return ((s - med) / scale).fillna(0.0).clip(-4, 4)
 
     want = pdf.groupby("target_trade_date")["x"].transform(one)
-    same(by_id(cs.robust_z(df, {"z": "x"}, fits=path), "z"), expected(want, pdf["sample_id"]))
+    same(by_id(cs.robust_z(df, {"z": "x"}), "z"), expected(want, pdf["sample_id"]))
 
 
 def test_zscore_of_constant_section_is_missing(spark):
     df = spark.createDataFrame([("a", "2024-01-01", 2.0), ("b", "2024-01-01", 2.0)], "k string, trade_date string, x double")
-    assert [r.z for r in cs.cs_zscore(df, {"z": "x"}, fits=True).collect()] == [None, None]
-    filled = cs.daily_zscore(df, {"z": "x"}, ("trade_date",), fits=True)
+    assert [r.z for r in cs.cs_zscore(df, {"z": "x"}).collect()] == [None, None]
+    filled = cs.daily_zscore(df, {"z": "x"}, ("trade_date",))
     assert [r.z for r in filled.collect()] == [0.0, 0.0]
 
 
-def test_first_rank_and_top(frame, path):
+def test_first_rank_and_top(frame):
     df, pdf = frame
     work = pdf.dropna().sort_values(["target_trade_date", "x", "sample_id"], ascending=[True, False, True])
     want = dict(zip(work["sample_id"], work.groupby("target_trade_date").cumcount() + 1))
-    got = {k: v for k, v in by_id(cs.first_rank(df, "x", fits=path), "rank").items() if v is not None}
+    got = {k: v for k, v in by_id(cs.first_rank(df, "x"), "rank").items() if v is not None}
     assert got == want
-    top = by_id(cs.in_top(df, "x", 5, "best", fits=path), "best")
+    top = by_id(cs.in_top(df, "x", 5, "best"), "best")
     assert {k for k, v in top.items() if v} == {k for k, v in want.items() if v <= 5}
 
 
-def test_quantile_bins_and_median_fill(frame, path):
+def test_quantile_bins_and_median_fill(frame):
     df, pdf = frame
     share = pdf.groupby("target_trade_date")["x"].rank(pct=True).clip(upper=0.999999)
     want = np.floor(share * 5).fillna(-1).astype(int)
-    got = by_id(cs.quantile_bin(df, {"b": ("x", 5)}, fits=path), "b")
+    got = by_id(cs.quantile_bin(df, {"b": ("x", 5)}), "b")
     assert got == dict(zip(pdf["sample_id"], want))
     filled = pdf["x"].fillna(pdf.groupby("target_trade_date")["x"].transform("median"))
-    same(by_id(cs.median_fill(df, ["x"], cs.TARGET, fits=path), "x"), dict(zip(pdf["sample_id"], filled)))
+    same(by_id(cs.median_fill(df, ["x"], cs.TARGET), "x"), dict(zip(pdf["sample_id"], filled)))
 
 
-def test_exact_quantiles_of_a_whole_table(frame, path):
+def test_exact_quantiles_of_a_whole_table(frame):
     df, pdf = frame
     got = exact_quantiles(df, [], "x", {"a": 0.01, "b": 0.5, "c": 0.993}).first()
     assert [got.a, got.b, got.c] == pytest.approx(list(pdf["x"].quantile([0.01, 0.5, 0.993])))
     assert got.total == pdf["x"].notna().sum()
 
 
-def test_winsorize_whole_table(frame, path):
+def test_winsorize_whole_table(frame):
     df, pdf = frame
     low, high = pdf["x"].quantile([0.05, 0.9])
     same(by_id(cs.winsorize(df, {"w": "x"}, 0.05, 0.9), "w"), expected(pdf["x"].clip(low, high), pdf["sample_id"]))
 
 
-def test_positions_cover_every_row_once(frame, path):
+def test_positions_cover_every_row_once(frame):
     df, pdf = frame
     placed = value_positions(df, ["target_trade_date"], "x").toPandas()
     assert placed["cnt"].sum() == pdf["x"].notna().sum()
@@ -116,17 +108,17 @@ def test_positions_cover_every_row_once(frame, path):
         assert list(day["below"]) == list(day["cnt"].cumsum() - day["cnt"])
 
 
-def test_row_numbers_by_text_and_missing_key(spark, path):
+def test_row_numbers_by_text_and_missing_key(spark):
     data = [("g", "b", 1), ("g", "a", 2), (None, "z", 3), (None, "y", 4), ("g", "a", 5), ("g", "c", 6)]
     df = spark.createDataFrame(data, "k string, t string, id int")
-    out = join_row_number(df, ["k"], [F.col("t")], "id", "n")
+    out = number_rows(df, ["k"], [F.col("t")], "id", "n")
     assert {r.id: r.n for r in out.collect()} == {2: 1, 5: 2, 1: 3, 6: 4, 4: 1, 3: 2}
 
 
-def test_top_floor_guard(spark, path):
+def test_top_floor_guard(spark):
     data = [(f"s{i}", "2024-01-01", float(i)) for i in range(10)]
     df = spark.createDataFrame(data, "sample_id string, target_trade_date string, score double")
-    out = cs.top_floor_guard(df, "score", F.col("score") >= 8, 3, fits=path)
+    out = cs.top_floor_guard(df, "score", F.col("score") >= 8, 3)
     got = by_id(out, "score")
     assert got["s9"] == got["s8"] == pytest.approx(7 - 1e-6) and got["s7"] == 7.0
 
@@ -134,9 +126,24 @@ def test_top_floor_guard(spark, path):
 def test_direction_and_blend(spark):
     data = [("a", "2024-01-01", 0.02, None), ("b", "2024-01-01", -0.02, 0.1), ("c", "2024-01-01", None, 0.3)]
     df = spark.createDataFrame(data, "sample_id string, target_trade_date string, x double, y double")
-    out = cs.direction_label(df, "x", fixed_epsilon=0.005, fits=True)
+    out = cs.direction_label(df, "x", fixed_epsilon=0.005)
     assert rows(out.select("sample_id", "direction_target", "direction_valid"), "sample_id") == [
         ("a", 1.0, True), ("b", 0.0, True), ("c", 0.0, False)
     ]
     blended = df.select("sample_id", cs.blend_labels("x", "y", 0.25).alias("v"))
     assert [v for _, v in rows(blended, "sample_id")] == pytest.approx([0.02, 0.01, 0.3])
+
+
+def test_a_large_section_is_split(spark):
+    """One day with all rows, a third of them with one value: positions come from many ranges."""
+    df = spark.range(30_000).select(
+        F.col("id").cast("string").alias("sample_id"), F.lit("d").alias("target_trade_date"),
+        F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double")).alias("x"),
+    )
+    ranged = number_rows(df, ["target_trade_date"], [F.col("x")], "sample_id", "n", "all")
+    got = ranged.select("sample_id", "x", "n", "all").toPandas()
+    assert set(got["all"]) == {30_000} and sorted(got["n"]) == list(range(1, 30_001))
+    work = got.sort_values(["x", "sample_id"]).reset_index(drop=True)
+    assert list(work["n"]) == list(range(1, 30_001))
+    ranks = cs.cs_rank(df, {"r": "x"}, cs.TARGET).select("x", "r").toPandas()
+    assert np.allclose(ranks["r"], ranks["x"].rank())

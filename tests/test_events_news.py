@@ -153,11 +153,12 @@ def test_news_ids_and_map(spark):
         nw.check_items(items.where(F.col("matched_stock_count") == 0), pairs)
 
 
-def test_long_days_are_joined_in_parts(spark, tiny_groups):
-    data = [(dt.date(2024, 1, 1), at(1, 9, 0, i % 3), f"t{i:02d}") for i in range(7)] + [(dt.date(2024, 1, 2), at(2), "x")]
-    df = spark.createDataFrame(data, "trade_date date, publish_time timestamp_ntz, news_text string")
-    out = rows(nw.joined_texts(df, ["trade_date"], "text", texts_per_part=3), "trade_date", "part")
-    order = [t for _, _, t in sorted(data[:7], key=lambda r: (r[1], r[2]))]
+def test_long_days_are_joined_in_parts(spark):
+    data = [(dt.date(2024, 1, 1), at(1, 9, 0, i), f"t{i:02d}") for i in range(7)] + [(dt.date(2024, 1, 2), at(2), "x")]
+    df = spark.createDataFrame(data + data[:2], "trade_date date, publish_time timestamp_ntz, news_text string")
+    # three texts of three bytes begin within the first nine bytes
+    out = rows(nw.joined_texts(df, ["trade_date"], "text", part_bytes=9), "trade_date", "part")
+    order = [t for _, _, t in data[:7]]
     assert out == [
         (dt.date(2024, 1, 1), 0, "\n\n".join(order[:3])),
         (dt.date(2024, 1, 1), 1, "\n\n".join(order[3:6])),

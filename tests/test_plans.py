@@ -62,7 +62,7 @@ def test_counts_of_default_families(price, spark):
 
 def test_neutral_forms_and_eligibility(price):
     table = pf.price_factors(price, relative=False, return_windows=(1,), rolling_windows=())
-    full = append_neutral(table, fits=True).validate()
+    full = append_neutral(table).validate()
     assert len(full.names) == 40
     assert full.specs[-1].category.endswith(".ind_neu") and "industry" in full.specs[-1].inputs
     assert full.df.where("stock_code = 'B'").first()["alpha158_KMID_ind_neu"] is None
@@ -149,7 +149,7 @@ def test_signals_against_positions(spark):
     data = [(D(2024, 1, 2), c, s) for c, s in (("A", 0.9), ("B", 0.8), ("C", 0.7), ("D", 0.1), ("E", 0.05))] + [(D(2024, 1, 1), "A", 0.0)]
     df = spark.createDataFrame(data, "target_trade_date date, stock_code string, y_score double")
     held = spark.createDataFrame([("C", 0.5), ("D", 0.5), ("X", 0.0)], "stock_code string, weight double")
-    out = po.trade_signals(df, held, top_n=2, replace_k=1, fits=True)
+    out = po.trade_signals(df, held, top_n=2, replace_k=1)
     got = {r.stock_code: (r.suggested_action, r.target_weight) for r in out.collect()}
     assert got == {"A": ("buy", 0.5), "B": ("watch", 0.0), "C": ("hold", 0.5), "D": ("sell", 0.0), "E": ("watch", 0.0)}
     first = {r.stock_code: r.suggested_action for r in po.trade_signals(df, None, 2, 1, True).collect()}
@@ -166,7 +166,7 @@ def test_round_robin_order(spark):
         for n, s in zip(names, (2.0, 1.0, 5.0, 4.0, 9.0, 8.0))
     ]
     df = spark.createDataFrame(data)
-    out = bl.prepare_predictions(df, bl.ScoreParams("direct_theme_soft_cluster2"), fits=True)
+    out = bl.prepare_predictions(df, bl.ScoreParams("direct_theme_soft_cluster2"))
     assert [r[0] for r in rows(out.select("sample_id", "rank"), "rank")][:4] == ["A1", "B1", "A2", "B2"]
 
 
@@ -174,7 +174,7 @@ def test_ensemble_ignores_row_order(spark):
     schema = "sample_id string, target_trade_date string, final_score double, direction_prob double"
     a = spark.createDataFrame([("x", "d", 1.0, 0.2), ("y", "d", 2.0, 0.4), ("z", "d", 3.0, 0.9)], schema)
     b = spark.createDataFrame([("y", "d", 20.0, 0.6), ("x", "d", 10.0, 0.4)], schema)
-    got = rows(pr.ensemble([a, b], fits=True).select("sample_id", "direction_prob", "rank"), "sample_id")
+    got = rows(pr.ensemble([a, b]).select("sample_id", "direction_prob", "rank"), "sample_id")
     assert [(i, pytest.approx(p), r) for i, p, r in got] == [("x", 0.3, 2), ("y", 0.5, 1)]
 
 
@@ -212,7 +212,7 @@ def test_raw_files_to_standard_tables(spark, tmp_path):
     write(tmp_path / "raw/news/n.csv", "datetime,title,content\n2024-01-02 16:00:00,浦发银行公告,内容\n")
     basic = write(tmp_path / "basic.csv", "ts_code,stock_name,industry,market\n600000.SH,浦发银行,银行,主板\n")
     raw = st.read_raw(spark, str(tmp_path / "raw"), [basic])
-    out = st.standardise(raw, fits=True)
+    out = st.standardise(raw)
     bars = rows(out.price.select("trade_date", "open", "volume", "industry", "stock_name"), "trade_date")
     assert bars == [
         (D(2024, 1, 2), 10.0, 100.0, "银行", "浦发银行"), (D(2024, 1, 3), 10.0, 0.0, "银行", "浦发银行"), (D(2024, 1, 4), 12.0, 5.0, "银行", "浦发银行")

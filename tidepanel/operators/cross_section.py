@@ -1,10 +1,9 @@
 """Operators within one date (or any other group) across entities.
 
-All take a DataFrame and return it with columns added. ``fits`` says whether a
-section is known to fit in one task: then the operators are windows that share
-one shuffle by date. If it is False they use grouped aggregates with partial
-aggregation and the exact positions of :mod:`tidepanel.operators.ordered`, so no
-section has to fit anywhere. If it is None the sections are counted first.
+All take a DataFrame and return it with columns added. Group statistics are grouped aggregates with partial
+aggregation, joined back by group; ranks and row numbers are the exact positions of :mod:`tidepanel.operators.ordered`. So no
+section has to fit in one task, and there is one plan for every size. The input is stored first (once, and not if it is
+a stage table already), because an operator reads it more than once.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import clip, col, finite, flag, logit, safe_div
-from tidepanel.operators.ordered import exact_quantiles, join_average_rank, join_row_number
-from tidepanel.scale import freeze, groups_fit, null_safe_join
+from tidepanel.operators.ordered import exact_quantiles, join_average_ranks, number_rows
+from tidepanel.scale import freeze, null_safe_join, settled
 
 BY = ("trade_date",)
 TARGET = ("target_trade_date",)
@@ -24,14 +23,6 @@ ROBUST_SCALE = 1.4826
 LOWEST_SCORE = -1e9
 
 
-def _decide(df: DataFrame, by: Sequence[str], fits: bool | None) -> tuple[DataFrame, bool]:
-    if fits is None:
-        df = freeze(df, "section")
-        fits = groups_fit(df, by)
-        return df, fits
-    return (df, True) if fits else (freeze(df, "section"), False)
-
-
 def average_rank(x: Column | str, by: Sequence[str] = BY, ascending: bool = True) -> Column:
     """Rank with ties averaged, as a window expression."""
     x = col(x)
@@ -46,40 +37,23 @@ def pct_rank(x: Column | str, by: Sequence[str] = BY, ascending: bool = True) ->
 
 
 def cs_rank(
-    df: DataFrame,
-    ranks: Mapping[str, str],
-    by: Sequence[str] = BY,
-    ascending: bool = True,
-    share: bool = False,
-    fits: bool | None = None,
+    df: DataFrame, ranks: Mapping[str, str], by: Sequence[str] = BY, ascending: bool = True, share: bool = False
 ) -> DataFrame:
     """Add average-tie ranks ``{out: column}``; with ``share`` percentile ranks."""
-    df, fits = _decide(df, by, fits)
-    if fits:
-        kind = pct_rank if share else average_rank
-        return df.withColumns({out: kind(x, by, ascending) for out, x in ranks.items()})
     values = {f"_x_{out}": finite(x) for out, x in ranks.items()}
-    stored = df.withColumns(values)
-    work = stored
-    for out in ranks:
-        work = join_average_rank(work, stored, by, f"_x_{out}", out, ascending, share)
-    return work.drop(*values)
+    work = settled(df.withColumns(values))
+    return join_average_ranks(work, by, {out: f"_x_{out}" for out in ranks}, ascending, share).drop(*values)
 
 
-def cs_pct_rank(df, ranks, by: Sequence[str] = BY, ascending: bool = True, fits: bool | None = None) -> DataFrame:
-    return cs_rank(df, ranks, by, ascending, share=True, fits=fits)
+def cs_pct_rank(df, ranks, by: Sequence[str] = BY, ascending: bool = True) -> DataFrame:
+    return cs_rank(df, ranks, by, ascending, share=True)
 
 
-def group_values(
-    df: DataFrame, by: Sequence[str], aggregates: Mapping[str, Column], fits: bool | None = None
-) -> DataFrame:
+def group_values(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
     """Add aggregates of the row's group as columns."""
-    df, fits = _decide(df, by, fits)
-    if fits:
-        group = Window.partitionBy(*by)
-        return df.withColumns({out: a.over(group) for out, a in aggregates.items()})
-    stats = df.groupBy(*by).agg(*[a.alias(out) for out, a in aggregates.items()])
-    return null_safe_join(df, stats, by)
+    work = settled(df)
+    stats = work.groupBy(*by).agg(*[a.alias(out) for out, a in aggregates.items()])
+    return null_safe_join(work, stats, by)
 
 
 def zscore(
@@ -87,8 +61,7 @@ def zscore(
     columns: Mapping[str, Column | str],
     by: Sequence[str] = BY,
     ddof: int = 0,
-    fill: float | None = None,
-    fits: bool | None = None,
+    fill: float | None = None
 ) -> DataFrame:
     """Add ``(x - mean) / std`` per group; NULL (or ``fill``) where the deviation is zero or unknown."""
     spread = F.stddev_pop if ddof == 0 else F.stddev_samp
@@ -98,7 +71,7 @@ def zscore(
     for out in columns:
         stats[f"_m_{out}"] = F.avg(f"_x_{out}")
         stats[f"_s_{out}"] = spread(f"_x_{out}")
-    work = group_values(work, by, stats, fits)
+    work = group_values(work, by, stats)
     results = {}
     for out in columns:
         z = safe_div(F.col(f"_x_{out}") - F.col(f"_m_{out}"), F.col(f"_s_{out}"))
@@ -106,54 +79,39 @@ def zscore(
     return work.withColumns(results).drop(*values, *stats)
 
 
-def cs_zscore(df, columns, by: Sequence[str] = BY, ddof: int = 0, fits: bool | None = None) -> DataFrame:
-    return zscore(df, columns, by, ddof, None, fits)
+def cs_zscore(df, columns, by: Sequence[str] = BY, ddof: int = 0) -> DataFrame:
+    return zscore(df, columns, by, ddof, None)
 
 
-def daily_zscore(df, columns, by: Sequence[str] = TARGET, fits: bool | None = None) -> DataFrame:
+def daily_zscore(df, columns, by: Sequence[str] = TARGET) -> DataFrame:
     """Score form: one degree of freedom, zero where undefined."""
-    return zscore(df, columns, by, 1, 0.0, fits)
+    return zscore(df, columns, by, 1, 0.0)
 
 
-def daily_logit_zscore(df, columns, by: Sequence[str] = TARGET, fits: bool | None = None) -> DataFrame:
-    return daily_zscore(df, {out: logit(x) for out, x in columns.items()}, by, fits)
+def daily_logit_zscore(df, columns, by: Sequence[str] = TARGET) -> DataFrame:
+    return daily_zscore(df, {out: logit(x) for out, x in columns.items()}, by)
 
 
 def industry_neutralize(
     df: DataFrame,
     columns: Mapping[str, str],
     industry: str = "industry",
-    by: Sequence[str] = BY,
-    fits: bool | None = None,
+    by: Sequence[str] = BY
 ) -> DataFrame:
     """Add the distance to the mean of the same date and industry; no industry, no value."""
     known = F.trim(F.col(industry)) != ""
     work = group_values(
-        df, [*by, industry], {f"_m_{out}": F.avg(finite(x)) for out, x in columns.items()}, fits
+        df, [*by, industry], {f"_m_{out}": F.avg(finite(x)) for out, x in columns.items()}
     )
     results = {out: finite(F.when(known, col(x) - F.col(f"_m_{out}"))) for out, x in columns.items()}
     return work.withColumns(results).drop(*[f"_m_{out}" for out in columns])
 
 
 def group_quantiles(
-    df: DataFrame,
-    quantiles: Mapping[str, tuple[str, float]],
-    by: Sequence[str] = BY,
-    fits: bool | None = None,
+    df: DataFrame, quantiles: Mapping[str, tuple[str, float]], by: Sequence[str] = BY
 ) -> DataFrame:
     """Add ``{out: (column, q)}`` quantiles of the row's group, linearly interpolated."""
-    df, fits = _decide(df, by, fits)
-    if fits:
-        group = Window.partitionBy(*by)
-        return df.withColumns({out: F.percentile(finite(x), q).over(group) for out, (x, q) in quantiles.items()})
-    wanted: dict[str, dict[str, float]] = {}
-    for out, (x, q) in quantiles.items():
-        wanted.setdefault(x, {})[out] = q
-    work = df
-    for x, outs in wanted.items():
-        table = exact_quantiles(df.select(*by, finite(x).alias("_x")), by, "_x", outs)
-        work = null_safe_join(work, table.drop("total"), by)
-    return work
+    return group_values(df, by, {out: F.percentile(finite(x), q) for out, (x, q) in quantiles.items()})
 
 
 def robust_z(
@@ -161,37 +119,39 @@ def robust_z(
     columns: Mapping[str, Column | str],
     by: Sequence[str] = TARGET,
     limit: float = 4.0,
-    fits: bool | None = None,
+    quantiles: Mapping[str, tuple[str, float]] | None = None,
 ) -> DataFrame:
-    """Add ``(x - median) / (1.4826 MAD)`` clipped to the limit.
+    """Add ``(x - median) / (1.4826 MAD)`` clipped to the limit, and ``{out: (column, q)}`` group quantiles.
 
     Where the median deviation is zero the standard deviation takes its place;
-    where that is zero too, or x is missing, the result is zero.
+    where that is zero too, or x is missing, the result is zero. All columns share two aggregates per group.
     """
+    by = list(by)
     values = {f"_x_{out}": finite(x) for out, x in columns.items()}
-    work, fits = _decide(df.withColumns(values), by, fits)
-    work = group_quantiles(work, {f"_m_{out}": (f"_x_{out}", 0.5) for out in columns}, by, fits)
-    work = work.withColumns({f"_d_{out}": F.abs(F.col(f"_x_{out}") - F.col(f"_m_{out}")) for out in columns})
-    work = group_quantiles(work, {f"_a_{out}": (f"_d_{out}", 0.5) for out in columns}, by, fits)
-    work = group_values(work, by, {f"_s_{out}": F.stddev_samp(f"_x_{out}") for out in columns}, fits)
+    work = settled(df.withColumns(values))
+    first = [F.percentile(x, 0.5).alias(f"_m{x}") for x in values] + [F.stddev_samp(x).alias(f"_s{x}") for x in values]
+    first += [F.percentile(finite(x), q).alias(out) for out, (x, q) in (quantiles or {}).items()]
+    middle = work.groupBy(*by).agg(*first)
+    apart = null_safe_join(work.select(*by, *values), middle, by)
+    spread = apart.groupBy(*by).agg(*[F.percentile(F.abs(F.col(x) - F.col(f"_m{x}")), 0.5).alias(f"_a{x}") for x in values])
+    work = null_safe_join(work, null_safe_join(middle, spread, by), by)
     results = {}
     for out in columns:
-        mad = F.lit(ROBUST_SCALE) * F.col(f"_a_{out}")
-        scale = F.coalesce(F.nullif(mad, F.lit(0.0)), F.nullif(F.col(f"_s_{out}"), F.lit(0.0)))
-        z = F.coalesce(safe_div(F.col(f"_x_{out}") - F.col(f"_m_{out}"), scale), F.lit(0.0))
+        x = f"_x_{out}"
+        mad = F.lit(ROBUST_SCALE) * F.col(f"_a{x}")
+        scale = F.coalesce(F.nullif(mad, F.lit(0.0)), F.nullif(F.col(f"_s{x}"), F.lit(0.0)))
+        z = F.coalesce(safe_div(F.col(x) - F.col(f"_m{x}"), scale), F.lit(0.0))
         results[out] = clip(z, -limit, limit)
-    helpers = [f"_{h}_{out}" for out in columns for h in "xmdas"]
-    return work.withColumns(results).drop(*helpers)
+    return work.withColumns(results).drop(*[f"{h}{x}" for x in values for h in ("", "_m", "_a", "_s")])
 
 
 def quantile_bin(
     df: DataFrame,
     columns: Mapping[str, tuple[str, int]],
-    by: Sequence[str] = TARGET,
-    fits: bool | None = None,
+    by: Sequence[str] = TARGET
 ) -> DataFrame:
     """Add ``{out: (column, bins)}`` bins 0..bins-1 of the percentile rank, -1 for a missing value."""
-    work = cs_pct_rank(df, {f"_p_{out}": x for out, (x, _) in columns.items()}, by, fits=fits)
+    work = cs_pct_rank(df, {f"_p_{out}": x for out, (x, _) in columns.items()}, by)
     results = {}
     for out, (_, bins) in columns.items():
         share = F.least(F.col(f"_p_{out}"), F.lit(0.999999))
@@ -199,19 +159,19 @@ def quantile_bin(
     return work.withColumns(results).drop(*[f"_p_{out}" for out in columns])
 
 
-def median_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str] = BY, fits: bool | None = None) -> DataFrame:
+def median_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str] = BY) -> DataFrame:
     """Replace NULLs by the median of the row's group."""
-    work = group_quantiles(df, {f"_m_{c}": (c, 0.5) for c in columns}, by, fits)
+    work = group_quantiles(df, {f"_m_{c}": (c, 0.5) for c in columns}, by)
     return work.withColumns({c: F.coalesce(finite(c), F.col(f"_m_{c}")) for c in columns}).drop(
         *[f"_m_{c}" for c in columns]
     )
 
 
 def quantile_floor_flag(
-    df: DataFrame, x: str, q: float, out: str, by: Sequence[str] = TARGET, fits: bool | None = None
+    df: DataFrame, x: str, q: float, out: str, by: Sequence[str] = TARGET
 ) -> DataFrame:
     """1.0 where x is at or above the group's q-quantile."""
-    work = group_quantiles(df, {"_floor": (x, q)}, by, fits)
+    work = group_quantiles(df, {"_floor": (x, q)}, by)
     return work.withColumn(out, flag(F.col(x) >= F.col("_floor"))).drop("_floor")
 
 
@@ -222,23 +182,16 @@ def first_rank(
     by: Sequence[str] = TARGET,
     row_id: str = "sample_id",
     ascending: bool = False,
-    fits: bool | None = None,
     missing_last: bool = False,
 ) -> DataFrame:
     """Number the rows of a group by score; ties go by ``row_id``.
 
     A missing score gets no rank, with ``missing_last`` those after all others.
     """
-    df, fits = _decide(df, by, fits)
     value = finite(score)
-    if fits:
-        order = value.asc_nulls_last() if ascending else value.desc_nulls_last()
-        ranked = F.row_number().over(Window.partitionBy(*by).orderBy(order, F.col(row_id)))
-        return df.withColumn(out, ranked if missing_last else F.when(value.isNotNull(), ranked))
-    order = [value if ascending else -value]
-    if missing_last:
-        order = [value.isNull(), *order]
-    return join_row_number(df, by, order, row_id, out).withColumn(out, F.col(out).cast("int"))
+    ranked = number_rows(df, by, [value.isNull(), value if ascending else -value], row_id, out)
+    place = F.col(out).cast("int")
+    return ranked.withColumn(out, place if missing_last else F.when(value.isNotNull(), place))
 
 
 def top_rows(
@@ -262,43 +215,28 @@ def top_floor_guard(
     k: int = 40,
     by: Sequence[str] = TARGET,
     row_id: str = "sample_id",
-    fits: bool | None = None,
 ) -> DataFrame:
     """Push guarded rows just below the k-th best score of the group (the lowest if there are fewer)."""
-    df, fits = _decide(df.withColumn("_guard", guard), by, fits)
-    if fits:
-        work = first_rank(df, score, "_place", by, row_id, fits=True)
-        best = F.when(F.col("_place") <= k, finite(score))
-        work = work.withColumn("_floor", F.min(best).over(Window.partitionBy(*by))).drop("_place")
-    else:
-        floors = top_rows(df, score, k, by, row_id).groupBy(*by).agg(F.min(score).alias("_floor"))
-        work = null_safe_join(df, floors, by)
+    work = settled(df.withColumn("_guard", guard))
+    floors = top_rows(work, score, k, by, row_id).groupBy(*by).agg(F.min(score).alias("_floor"))
+    work = null_safe_join(work, floors, by)
     limit = F.coalesce(F.col("_floor"), F.lit(LOWEST_SCORE)) - 1e-6
     capped = F.when(F.col("_guard"), F.least(F.col(score), limit)).otherwise(F.col(score))
     return work.withColumn(score, capped).drop("_guard", "_floor")
 
 
 def in_top(
-    df: DataFrame,
-    score: str,
-    k: int,
-    out: str,
-    by: Sequence[str] = TARGET,
-    row_id: str = "sample_id",
-    fits: bool | None = None,
+    df: DataFrame, score: str, k: int, out: str, by: Sequence[str] = TARGET, row_id: str = "sample_id"
 ) -> DataFrame:
     """Mark the k best rows of each group."""
-    df, fits = _decide(df, by, fits)
-    if fits:
-        work = first_rank(df, score, "_place", by, row_id, fits=True)
-        return work.withColumn(out, F.coalesce(F.col("_place") <= k, F.lit(False))).drop("_place")
-    best = top_rows(df, score, k, by, row_id).select(*by, row_id, F.lit(True).alias(out))
-    return null_safe_join(df, best, [*by, row_id]).withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+    work = settled(df)
+    best = top_rows(work, score, k, by, row_id).select(*by, row_id, F.lit(True).alias(out))
+    return null_safe_join(work, best, [*by, row_id]).withColumn(out, F.coalesce(F.col(out), F.lit(False)))
 
 
-def daily_excess(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = TARGET, fits: bool | None = None):
+def daily_excess(df: DataFrame, columns: Mapping[str, str], by: Sequence[str] = TARGET):
     """Add x minus the group mean of its present values."""
-    work = group_values(df, by, {f"_m_{out}": F.avg(finite(x)) for out, x in columns.items()}, fits)
+    work = group_values(df, by, {f"_m_{out}": F.avg(finite(x)) for out, x in columns.items()})
     return work.withColumns({out: finite(x) - F.col(f"_m_{out}") for out, x in columns.items()}).drop(
         *[f"_m_{out}" for out in columns]
     )
@@ -311,12 +249,11 @@ def direction_label(
     valid: str = "direction_valid",
     fixed_epsilon: float = 0.0,
     std_fraction: float = 0.0,
-    by: Sequence[str] = TARGET,
-    fits: bool | None = None,
+    by: Sequence[str] = TARGET
 ) -> DataFrame:
     """Up or not up beyond a dead zone, and whether x lies outside that zone at all."""
     work = group_values(
-        df, by, {"_s": F.stddev_pop(finite(x)), "_n": F.count(finite(x))}, fits
+        df, by, {"_s": F.stddev_pop(finite(x)), "_n": F.count(finite(x))}
     )
     zone = F.greatest(F.lit(max(fixed_epsilon, 0.0)), F.lit(max(std_fraction, 0.0)) * F.col("_s"))
     value = finite(x)
@@ -372,11 +309,9 @@ def winsorize(df: DataFrame, columns: Mapping[str, str], low: float = 0.01, high
     """Add columns clipped to quantiles of the whole table."""
     if not 0 <= low <= high <= 1:
         raise ValueError("quantiles must satisfy 0 <= low <= high <= 1")
-    frozen = freeze(df, "winsorize")
-    results = {}
-    for out, x in columns.items():
-        bounds = freeze(
-            exact_quantiles(frozen.select(finite(x).alias("_x")), [], "_x", {"lo": low, "hi": high}), "bounds"
-        )
-        results[out] = clip(finite(x), bounds.select("lo").scalar(), bounds.select("hi").scalar())
-    return frozen.withColumns(results)
+    work = settled(df)
+    pairs = F.array(*[F.struct(F.lit(out).alias("_out"), finite(x).alias("_x")) for out, x in columns.items()])
+    long = work.select(F.explode(pairs).alias("_p")).select("_p._out", "_p._x")
+    bounds = freeze(exact_quantiles(long, ["_out"], "_x", {"lo": low, "hi": high}), "bounds")
+    limit = lambda out, side: bounds.where(F.col("_out") == out).select(side).scalar()
+    return work.withColumns({out: clip(finite(x), limit(out, "lo"), limit(out, "hi")) for out, x in columns.items()})

@@ -162,8 +162,7 @@ def bucket_means_with_fallback(
     large: Sequence[str],
     values: dict[str, Column | str],
     count: str,
-    min_rows: int = 5,
-    fits: bool | None = None,
+    min_rows: int = 5
 ) -> DataFrame:
     """Means over a row's small bucket, or over its large one if the small has too few rows.
 
@@ -174,8 +173,8 @@ def bucket_means_with_fallback(
     def stats(prefix):
         return {f"{prefix}_n": F.count(F.lit(1)), **{f"{prefix}_{o}": F.avg(col(v)) for o, v in values.items()}}
 
-    work = group_values(df, large, stats("_big"), fits)
-    work = group_values(work, small, stats("_small"), fits)
+    work = group_values(df, large, stats("_big"))
+    work = group_values(work, small, stats("_small"))
     enough = F.col("_small_n") >= min_rows
     results = {o: F.when(enough, F.col(f"_small_{o}")).otherwise(F.col(f"_big_{o}")) for o in values}
     results[count] = F.when(enough, F.col("_small_n")).otherwise(F.col("_big_n"))

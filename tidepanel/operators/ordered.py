@@ -1,12 +1,9 @@
-"""Exact ranks, row numbers and quantiles for groups of any size.
-
-A window over a group sorts the whole group in one task. Here the group is first
-reduced to its distinct values with their counts (partial aggregation happens
-before the shuffle, so a value shared by a third of all rows costs one row). If
-a group still has too many distinct values, its value range is cut into buckets
-and positions come from a prefix sum over bucket totals plus one within each
-bucket. Cut points are order statistics of the values picked by a hash of the
-value, so they depend on the data alone and are the same in every run of a task.
+"""Exact ranks, row numbers and quantiles for groups of any size, by one plan.
+
+A window over a group sorts the whole group in one task. Here a group is first reduced to its distinct values with their
+counts (partial aggregation happens before the shuffle, so a value shared by a third of all rows costs one row). The
+values of all groups are then dealt out by range of (group, value): many small groups share a task, a large one is split over
+many. A place is the number of rows in the group's earlier ranges plus those before it in its own range.
 """
 
 from __future__ import annotations
@@ -17,10 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import col
-from tidepanel.scale import freeze, group_row_limit, groups_fit, null_safe_join
-
-# Distinct values per group kept to choose cut points from.
-SAMPLED_VALUES = 20_000
+from tidepanel.scale import freeze, null_safe_join
 
 
 def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -30,77 +24,48 @@ def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     out; a NULL key is a group of its own.
     """
     keys = list(keys)
-    counted = freeze(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("cnt")),
-        "values",
-    )
-    if groups_fit(counted, keys):
-        return _one_window(counted, keys, value)
-    return _by_bucket(counted, keys, value)
-
-
-def _before(window) -> Column:
-    frame = window.rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("cnt").over(frame), F.lit(0))
-
-
-def _one_window(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return counted.select(
-        *keys,
-        value,
-        "cnt",
-        _before(Window.partitionBy(*keys).orderBy(value)).alias("below"),
-        F.sum("cnt").over(Window.partitionBy(*keys)).alias("total"),
-    )
-
-
-def _by_bucket(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
-    rows_per_bucket = max(group_row_limit(counted.sparkSession) // 2, 1)
-    sizes = counted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_values"), F.sum("cnt").alias("total")
-    )
-    thinning = F.greatest(F.floor(F.col("_values") / SAMPLED_VALUES), F.lit(1)).cast("bigint")
-    picked = _attach(counted, sizes, keys).where(F.pmod(F.xxhash64(value), thinning) == 0)
-    chosen = picked.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(value)).alias("_picked"),
-        F.max("_values").alias("_values"),
-        F.max("total").alias("total"),
-    )
-    buckets = F.ceil(F.col("_values") / rows_per_bucket).cast("int")
-    cut = lambda i: F.element_at("_picked", (F.floor(i * F.size("_picked") / buckets) + 1).cast("int"))
-    cuts = F.when(buckets > 1, F.transform(F.sequence(F.lit(1), buckets - 1), cut))
-    chosen = chosen.select(*keys, cuts.alias("_cuts"), "total")
-    placed = _attach(counted, chosen, keys).withColumn(
-        "_bucket",
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-            F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-        ),
-    )
-    totals = placed.groupBy(*keys, "_bucket").agg(F.sum("cnt").alias("cnt"))
-    offsets = totals.select(
-        *keys, "_bucket", _before(Window.partitionBy(*keys).orderBy("_bucket")).alias("_offset")
-    )
-    inside = placed.select(
-        *keys,
-        value,
-        "cnt",
-        "total",
-        "_bucket",
-        _before(Window.partitionBy(*keys, "_bucket").orderBy(value)).alias("_inside"),
-    )
-    return null_safe_join(inside, offsets, [*keys, "_bucket"], "inner").select(
-        *keys, value, "cnt", (F.col("_inside") + F.col("_offset")).alias("below"), "total"
-    )
-
-
-def _attach(df: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    """Add per-group columns; for one global group they are scalar subqueries."""
-    if keys:
-        return null_safe_join(df, per_group, keys, "inner")
-    extra = [name for name in per_group.columns if name not in df.columns]
-    return df.select("*", *[per_group.select(name).scalar().alias(name) for name in extra])
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    ranged = by_range(counted, keys, [value], "values")
+    inside = ranged.withColumn("_in_range", _before("cnt", Window.partitionBy(*keys, PART).orderBy(value)))
+    placed = null_safe_join(inside, _offsets(ranged, keys, F.sum("cnt")), [*keys, PART])
+    return placed.select(*keys, value, "cnt", (F.col("_in_range") + F.col("_in_earlier")).alias("below"), F.col("_total").alias("total"))
+
+
+PART = "_part"
+
+
+def by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """``df`` dealt out by range of keys and order, with its range number ``_part``; stored, so that ranges stay."""
+    return freeze(df.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()), name)
+
+
+def _before(x: str, window) -> Column:
+    return F.coalesce(F.sum(x).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _offsets(ranged: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """Per group and range the rows in earlier ranges, and the rows of the group: a row per range at most."""
+    sizes = ranged.groupBy(*keys, PART).agg(size.alias("_n"))
+    group = Window.partitionBy(*keys)
+    return sizes.select(*keys, PART, _before("_n", group.orderBy(PART)).alias("_in_earlier"), F.sum("_n").over(group).alias("_total"))
+
+
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], row_id: str, out: str, total: str | None = None
+) -> DataFrame:
+    """Add the 1-based place of each row in its group by ``order``, then by ``row_id``, and the group's ``total`` rows.
+
+    ``row_id`` must be unique within a group, so equal order values are dealt out as well.
+    """
+    keys = list(keys)
+    names = [f"_order_{i}" for i in range(len(order))]
+    ranged = by_range(df.withColumns(dict(zip(names, order))), keys, [*names, row_id], "numbered")
+    inside = F.row_number().over(Window.partitionBy(*keys, PART).orderBy(*names, row_id))
+    placed = null_safe_join(ranged.withColumn("_in_range", inside), _offsets(ranged, keys, F.count(F.lit(1))), [*keys, PART])
+    placed = placed.withColumn(out, F.col("_in_range") + F.col("_in_earlier"))
+    if total:
+        placed = placed.withColumn(total, F.col("_total"))
+    return placed.drop("_in_range", "_in_earlier", "_total", PART, *names)
 
 
 def exact_quantiles(
@@ -124,43 +89,26 @@ def exact_quantiles(
     return grouped.select(*keys, "total", *results)
 
 
-def join_average_rank(
-    df: DataFrame,
-    stored: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    out: str,
-    ascending: bool = True,
-    share: bool = False,
+def join_average_ranks(
+    df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], ascending: bool = True, share: bool = False
 ) -> DataFrame:
-    """Add the average-tie rank of ``value`` in its group; ``share`` divides it by the count.
+    """Add average-tie ranks ``{out: column}`` in the row's group; ``share`` divides them by the count.
 
-    Positions come from ``stored`` and meet ``df`` on the value itself, so both
-    must read the same stored rows.
+    The positions of all columns are found together. They meet ``df`` on the value itself, so ``df`` must be stored.
     """
     keys = list(keys)
-    placed = value_positions(stored, keys, value)
+    pairs = F.array(*[F.struct(F.lit(out).alias("_out"), F.col(x).alias("_value")) for out, x in columns.items()])
+    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._out", "_p._value")
+    placed = value_positions(long, [*keys, "_out"], "_value")
     rank = F.col("below") + (F.col("cnt") + 1) / 2.0
     if not ascending:
         rank = F.col("total") + 1 - rank
     if share:
         rank = rank / F.col("total")
-    return null_safe_join(df, placed.select(*keys, value, rank.alias(out)), [*keys, value])
-
-
-def join_row_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], row_id: str, out: str
-) -> DataFrame:
-    """Add the 1-based place of each row in its group by ``order``, then by ``row_id``.
-
-    ``row_id`` must be unique within a group; rows with a NULL first order
-    column get no number.
-    """
-    keys = list(keys)
-    names = [f"_o{i}" for i in range(len(order))]
-    tagged = df.where(col(order[0]).isNotNull()).select(
-        *keys, F.struct(*[c.alias(n) for n, c in zip(names, order)], F.col(row_id)).alias("_order")
-    )
-    placed = value_positions(tagged, keys, "_order")
-    numbered = placed.select(*keys, F.col("_order")[row_id].alias(row_id), (F.col("below") + 1).alias(out))
-    return null_safe_join(df, numbered, [*keys, row_id])
+    placed = placed.select(*keys, "_out", "_value", rank.alias("_rank"))
+    if len(columns) > 1:
+        placed = freeze(placed, "ranks")
+    for out, x in columns.items():
+        own = placed.where(F.col("_out") == out).select(*keys, F.col("_value").alias(x), F.col("_rank").alias(out))
+        df = null_safe_join(df, own, [*keys, x])
+    return df

@@ -21,7 +21,7 @@ from tidepanel.operators.cross_section import (
     top_floor_guard,
 )
 from tidepanel.operators.keys import require_columns, tradable_universe
-from tidepanel.scale import freeze, null_safe_join
+from tidepanel.scale import null_safe_join, settled
 
 # Weights of the heads and components in each score.
 MULTIHEAD = {"final_score": 0.62, "y_score": 0.10, "return_pred": 0.22, "direction_logit": 0.06}
@@ -120,7 +120,7 @@ def _filled(df: DataFrame, name: str) -> Column:
 # -- components ----------------------------------------------------------------------
 
 
-def context_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
+def context_components(df: DataFrame) -> DataFrame:
     """Add ``c_`` components: heads as robust z-scores, context with gaps as zero.
 
     A bearish direction counts less the healthier a row is.
@@ -134,7 +134,7 @@ def context_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
     }
     if "context_cluster_size" in df.columns:
         heads["c_CLUSTER_SIZE"] = F.col("context_cluster_size")
-    work = robust_z(df, heads, TARGET, fits=fits)
+    work = robust_z(df, heads, TARGET)
     health = F.coalesce(clip(finite("context_h"), 0.0, 1.0), F.lit(0.0))
     unit = lambda name: F.coalesce(clip(finite(name), 0.0, 1.0), F.lit(0.0))
     columns = {
@@ -157,7 +157,7 @@ def context_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
     return work.withColumns(columns).drop("_d")
 
 
-def exact_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
+def exact_components(df: DataFrame) -> DataFrame:
     """Add ``c_`` components computed from raw price context."""
     require_columns(df, EXACT_INPUTS, "exact context")
     z = {f"_{n}": F.col(f"context_{n}") for n in ("roc3", "roc5", "roc20", "roc60", "rsv20", "volume_ratio")}
@@ -169,7 +169,7 @@ def exact_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
         "c_NEWS": F.col("context_news_exact"),
         "c_CAP": F.col("context_log_total_mv"),
     }
-    work = robust_z(df, {**z, **heads}, TARGET, fits=fits)
+    work = robust_z(df, {**z, **heads}, TARGET)
     c = F.col
     heat = c("_roc3") * 0.80 + c("_roc5") * 0.80 + c("_rsv20") * 0.50 + c("_volume_ratio") * 0.30
     broken = _filled(df, "context_broken_ma") - c("_roc20") * 0.60 - c("_roc60") * 0.40
@@ -184,7 +184,7 @@ def exact_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
     ).drop(*z)
 
 
-def trend_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
+def trend_components(df: DataFrame) -> DataFrame:
     """Add ``c_`` components of the pullback score from ``trend_`` columns, in three levels of z-scores."""
     c = F.col
     first = {
@@ -203,7 +203,7 @@ def trend_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
         first["c_NEWS"] = c("news_count")
     if "log_total_mv" in df.columns:
         first["c_CAP"] = c("log_total_mv")
-    work = robust_z(df, first, TARGET, fits=fits)
+    work = robust_z(df, first, TARGET)
     severe = flag((c("trend_roc5") < -0.12) | (c("trend_drawdown20") < -0.18))
     strength = c("_roc20") * 0.55 + c("_roc60") * 0.35 + c("_industry_excess20") * 0.30 + c("_industry_excess60") * 0.15
     heat = c("_roc3") * 0.80 + c("_roc5") * 0.80 + c("_rsv20") * 0.50 + c("_volume_ratio") * 0.40 - c("_mf_ratio") * 0.30
@@ -211,13 +211,13 @@ def trend_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
         c("_roc20") * -0.70 - c("_roc60") * 0.50 - c("_mf_ratio") * 0.50 - c("_industry_excess20") * 0.40
         + _filled(df, "trend_broken_ma") * 0.80 + severe * 0.50
     )
-    work = robust_z(work, {"c_TR": strength, "c_OH": heat, "c_BR": broken}, TARGET, fits=fits)
+    work = robust_z(work, {"c_TR": strength, "c_OH": heat, "c_BR": broken}, TARGET)
     pullback = (clip("_neg3", 0.0, 1.5) + clip("_neg5", 0.0, 1.5)) / 2.0
     healthy = (
         c("c_TR") * 0.55 + pullback * 0.45 + c("_mf_ratio") * 0.25
         - clip("c_OH", lower=0.0) * 0.25 - clip("c_BR", lower=0.0) * 0.40
     )
-    work = robust_z(work, {"c_HP": healthy}, TARGET, fits=fits)
+    work = robust_z(work, {"c_HP": healthy}, TARGET)
     positive = clip("c_HP", 0.0, 2.0) / 2.0
     columns = {
         "c_MF": c("_mf_ratio"),
@@ -227,16 +227,16 @@ def trend_components(df: DataFrame, fits: bool | None = None) -> DataFrame:
     return work.withColumns(columns).drop(*[n for n in first if n.startswith("_")])
 
 
-def pullback_score(df: DataFrame, out: str = "score", fits: bool | None = None) -> DataFrame:
+def pullback_score(df: DataFrame, out: str = "score") -> DataFrame:
     """Trend and pullback score from ``trend_`` columns."""
-    work = trend_components(df, fits).withColumn(out, weighted_sum(LINEAR["context_s2"], "c_"))
+    work = trend_components(df).withColumn(out, weighted_sum(LINEAR["context_s2"], "c_"))
     return work.drop(*[n for n in work.columns if n.startswith("c_")])
 
 
 # -- scores --------------------------------------------------------------------------
 
 
-def _multihead(df: DataFrame, out: str, score: str, fits: bool | None) -> DataFrame:
+def _multihead(df: DataFrame, out: str, score: str) -> DataFrame:
     """Weighted z-scores of all heads; ``score`` stands for the raw score head."""
     heads = {
         "_z_final_score": finite("final_score"),
@@ -244,12 +244,12 @@ def _multihead(df: DataFrame, out: str, score: str, fits: bool | None) -> DataFr
         "_z_return_pred": finite("return_pred"),
         "_z_direction_logit": logit(finite("direction_prob")),
     }
-    work = daily_zscore(df, heads, TARGET, fits)
+    work = daily_zscore(df, heads, TARGET)
     return work.withColumn(out, weighted_sum(MULTIHEAD, "_z_")).drop(*heads)
 
 
 def score_by(
-    df: DataFrame, params: ScoreParams, out: str = "score", row_id: str = "sample_id", fits: bool | None = None
+    df: DataFrame, params: ScoreParams, out: str = "score", row_id: str = "sample_id"
 ) -> DataFrame:
     """Add the score of a variant; a missing score and rows below the cap limit are at the bottom."""
     variant = params.variant or "y_score"
@@ -257,30 +257,30 @@ def score_by(
         work = df.withColumn(out, finite(variant))
     elif variant in SIMPLE:
         heads = SIMPLE[variant]
-        work = daily_zscore(df, {f"_z_{h}": h for h in heads}, TARGET, fits)
+        work = daily_zscore(df, {f"_z_{h}": h for h in heads}, TARGET)
         work = work.withColumn(out, weighted_sum(dict.fromkeys(heads, 1.0), "_z_")).drop(*[f"_z_{h}" for h in heads])
     elif variant == "direct_multihead":
-        work = _multihead(df, out, "y_score", fits)
+        work = _multihead(df, out, "y_score")
     elif variant == "weighted":
         weights = {"y_score": params.weight_y, "return_pred": params.weight_return, "direction_prob": params.weight_direction}
         if params.weight_cap:
             weights["log_total_mv"] = params.weight_cap
         require_columns(df, list(weights), "score")
-        work = daily_zscore(df, {f"_z_{h}": h for h in weights}, TARGET, fits)
+        work = daily_zscore(df, {f"_z_{h}": h for h in weights}, TARGET)
         work = work.withColumn(out, weighted_sum(weights, "_z_")).drop(*[f"_z_{h}" for h in weights])
     elif needs_context(variant):
-        work = exact_components(df, fits) if variant.startswith("exact_") else context_components(df, fits)
-        work = _context_score(work, variant, out, row_id, fits)
+        work = exact_components(df) if variant.startswith("exact_") else context_components(df)
+        work = _context_score(work, variant, out, row_id)
         work = work.drop(*[n for n in work.columns if n.startswith("c_")])
     else:
         raise ValueError(f"unknown score variant: {variant}")
-    return _limit_by_cap(work, params, out, fits)
+    return _limit_by_cap(work, params, out)
 
 
-def _limit_by_cap(work: DataFrame, params: ScoreParams, out: str, fits: bool | None) -> DataFrame:
+def _limit_by_cap(work: DataFrame, params: ScoreParams, out: str) -> DataFrame:
     if params.cap_bonus:
         require_columns(work, ["log_total_mv"], "cap bonus")
-        work = daily_zscore(work, {"_z_cap": "log_total_mv"}, TARGET, fits)
+        work = daily_zscore(work, {"_z_cap": "log_total_mv"}, TARGET)
         work = work.withColumn(out, F.col(out) + F.col("_z_cap") * params.cap_bonus).drop("_z_cap")
     score = F.col(out)
     if params.cap_min_pct > 0:
@@ -289,29 +289,29 @@ def _limit_by_cap(work: DataFrame, params: ScoreParams, out: str, fits: bool | N
     return work.withColumn(out, F.coalesce(finite(score), F.lit(LOWEST_SCORE)))
 
 
-def _context_score(work: DataFrame, variant: str, out: str, row_id: str, fits: bool | None) -> DataFrame:
+def _context_score(work: DataFrame, variant: str, out: str, row_id: str) -> DataFrame:
     c = F.col
     if variant.startswith("direct_theme_"):
         theme = 0.12 if variant == "direct_theme_medium" else 0.06
-        work = _multihead(work, "_base", _raw_score(work), fits)
+        work = _multihead(work, "_base", _raw_score(work))
         overlaid = c("_base") + weighted_sum({"THEME": theme, **OVERLAY}, "c_")
         if variant in ("direct_theme_soft", "direct_theme_medium"):
             return work.withColumn(out, overlaid).drop("_base")
         work = work.withColumn("_base", overlaid)
         if variant.startswith("direct_theme_soft_cluster_boost"):
-            return _cluster_boost(work, _boost(variant), out, fits)
+            return _cluster_boost(work, _boost(variant), out)
         if variant.startswith("direct_theme_soft_cluster"):
-            return _cluster_round_robin(work, _cluster_count(variant), out, row_id, fits)
+            return _cluster_round_robin(work, _cluster_count(variant), out, row_id)
     elif variant == "context_s3":
         guard = (
             (c("c_R") < -0.8) & F.coalesce(finite("direction_prob") < 0.48, F.lit(False))
             & F.coalesce(finite("context_h") < 0.5, F.lit(False))
         )
         work = work.withColumn(out, weighted_sum(LINEAR[variant], "c_"))
-        return top_floor_guard(work, out, guard, 40, TARGET, row_id, fits)
+        return top_floor_guard(work, out, guard, 40, TARGET, row_id)
     elif variant == "context_s5_rerank":
         work = work.withColumn("_base", weighted_sum(RERANK_BASE, "c_"))
-        work = in_top(work, "_base", 80, "_in", TARGET, row_id, fits)
+        work = in_top(work, "_base", 80, "_in", TARGET, row_id)
         confirmed = (c("c_F") > 2.0) & (c("c_R") > 1.0) & (c("c_MF") > 0.8) & (c("c_NEWS") > 0.0)
         return _reranked(
             work, LINEAR["context_s2"], c("_in"), (c("c_BR") > 0.75) & ~confirmed,
@@ -319,8 +319,8 @@ def _context_score(work: DataFrame, variant: str, out: str, row_id: str, fits: b
         ).drop("_base", "_in")
     elif variant == "context_theme_s5_rerank":
         work = work.withColumn("_base", weighted_sum(THEME_RERANK_BASE, "c_"))
-        work = in_top(work, "_base", 100, "_in", TARGET, row_id, fits)
-        work = in_top(work, "c_THEME", 80, "_theme", TARGET, row_id, fits)
+        work = in_top(work, "_base", 100, "_in", TARGET, row_id)
+        work = in_top(work, "c_THEME", 80, "_theme", TARGET, row_id)
         confirmed = ((c("c_F") > 1.5) & (c("c_R") > 0.6) & (c("c_MF") > 0.5)) | (
             (c("c_THEME") > 1.4) & (c("c_MF") > 0.2) & (c("c_BR") < 0.70)
         )
@@ -350,7 +350,7 @@ def _cluster_count(variant: str) -> int:
     return count
 
 
-def _ranked_clusters(work: DataFrame, fits: bool | None) -> DataFrame:
+def _ranked_clusters(work: DataFrame) -> DataFrame:
     """Add the row's own cluster score, whether its cluster counts, the cluster's place and their number.
 
     Clusters of a day are numbered by mean score; there are at most a few hundred
@@ -358,8 +358,7 @@ def _ranked_clusters(work: DataFrame, fits: bool | None) -> DataFrame:
     """
     valid = F.col("context_cluster_id").isNotNull() & F.coalesce(F.col("context_cluster_size") >= CLUSTER_MIN_SIZE, F.lit(False))
     work = work.withColumns({"_own": weighted_sum(CLUSTER, "c_"), "_valid": valid})
-    if not fits:
-        work = freeze(work, "clusters")
+    work = settled(work, "clusters")
     means = work.where("_valid").groupBy("target_trade_date", "context_cluster_id").agg(F.avg("_own").alias("_mean"))
     day = Window.partitionBy("target_trade_date")
     ranked = means.withColumns(
@@ -371,22 +370,22 @@ def _ranked_clusters(work: DataFrame, fits: bool | None) -> DataFrame:
     return null_safe_join(work, ranked, ["target_trade_date", "context_cluster_id"])
 
 
-def _cluster_boost(work: DataFrame, weight: float, out: str, fits: bool | None) -> DataFrame:
-    work = _ranked_clusters(work, fits)
+def _cluster_boost(work: DataFrame, weight: float, out: str) -> DataFrame:
+    work = _ranked_clusters(work)
     weak = F.col("_place") > F.greatest(F.lit(20), F.ceil(F.col("_number") * 0.75))
     bonus = F.col("_own") * weight + flag(F.col("_place") <= 8) * 0.04 - flag(weak) * 0.05
     score = F.when(F.col("_valid"), F.col("_base") + bonus).otherwise(F.col("_base"))
     return work.withColumn(out, score).drop("_own", "_valid", "_place", "_number", "_base")
 
 
-def _cluster_round_robin(work: DataFrame, count: int, out: str, row_id: str, fits: bool | None) -> DataFrame:
+def _cluster_round_robin(work: DataFrame, count: int, out: str, row_id: str) -> DataFrame:
     """Interleave the best clusters: the best row of each, then the second of each, and so on."""
-    work = _ranked_clusters(work, fits)
+    work = _ranked_clusters(work)
     chosen = F.col("_valid") & (F.col("_place") <= count)
     work = work.withColumns({"_chosen": chosen, "_inside": F.when(chosen, F.col("_base"))})
     keys = ("target_trade_date", "context_cluster_id")
-    work = first_rank(work, "_inside", "_within", keys, row_id, fits=fits)
-    work = group_values(work, TARGET, {"_any": F.max("_chosen")}, fits)
+    work = first_rank(work, "_inside", "_within", keys, row_id)
+    work = group_values(work, TARGET, {"_any": F.max("_chosen")})
     place = -((F.col("_within") - 1) * float(max(count, 1)) + F.col("_place"))
     score = (
         F.when(F.col("_chosen"), place + F.col("_base") * 1e-4)
@@ -400,7 +399,7 @@ def _cluster_round_robin(work: DataFrame, count: int, out: str, row_id: str, fit
 # -- strategy ------------------------------------------------------------------------
 
 
-def attach_market_cap(df: DataFrame, metric: DataFrame, samples: DataFrame | None = None, fits: bool | None = None) -> DataFrame:
+def attach_market_cap(df: DataFrame, metric: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """Add market value at the as-of date, its log, and its percentile among the day's rows."""
     work = df
     if "feature_asof_date" not in df.columns:
@@ -408,11 +407,11 @@ def attach_market_cap(df: DataFrame, metric: DataFrame, samples: DataFrame | Non
     side = metric.select("stock_code", F.col("trade_date").alias("feature_asof_date"), "total_mv", "circ_mv", "turnover_rate")
     work = work.join(side, ["stock_code", "feature_asof_date"], "left")
     work = work.withColumn("log_total_mv", F.ln(clip(finite("total_mv"), lower=1.0)))
-    return cs_pct_rank(work, {"cap_pct": "log_total_mv"}, TARGET, fits=fits)
+    return cs_pct_rank(work, {"cap_pct": "log_total_mv"}, TARGET)
 
 
 def prepare_predictions(
-    df: DataFrame, params: ScoreParams, row_id: str = "sample_id", fits: bool | None = None
+    df: DataFrame, params: ScoreParams, row_id: str = "sample_id"
 ) -> DataFrame:
     """Tradable rows with the strategy's score in ``y_score`` and their daily rank.
 
@@ -422,11 +421,11 @@ def prepare_predictions(
     require_columns(df, ["target_trade_date", "stock_code", "y_score"], "predictions")
     work = tradable_universe(df, params.exclude_special, params.exclude_bj)
     if params.cap_min_pct > 0 and "cap_pct" not in work.columns:
-        work = cs_pct_rank(work, {"cap_pct": "log_total_mv"}, TARGET, fits=fits)
+        work = cs_pct_rank(work, {"cap_pct": "log_total_mv"}, TARGET)
     if "raw_y_score" not in work.columns:
         work = work.withColumn("raw_y_score", finite("y_score"))
-    work = score_by(work, params, "_score", row_id, fits)
+    work = score_by(work, params, "_score", row_id)
     work = work.withColumns({"y_score": F.col("_score"), "strategy_score_variant": F.lit(params.variant)}).drop("_score")
-    return first_rank(work, "y_score", "rank", TARGET, row_id, fits=fits)
+    return first_rank(work, "y_score", "rank", TARGET, row_id)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import clip, finite, flag, number, safe_div, sigmoid
-from tidepanel.operators.cross_section import TARGET, group_quantiles, group_values, quantile_bin, robust_z
+from tidepanel.operators.cross_section import TARGET, group_values, quantile_bin, robust_z
 from tidepanel.operators.joins import bucket_means_with_fallback
 from tidepanel.operators.keys import require_columns
 from tidepanel.operators.timeseries import (
@@ -48,7 +48,7 @@ def _ranges(close: str = "close") -> dict[str, Column]:
     }
 
 
-def price_context(price: DataFrame, repair: bool = True, fits: bool | None = None) -> DataFrame:
+def price_context(price: DataFrame, repair: bool = True) -> DataFrame:
     """Returns, range position, broken trend and industry-relative returns per entity and day."""
     work = price.withColumn("industry", F.coalesce(F.col("industry"), F.lit("")))
     if repair and {"preclose", "change", "pct_chg"} <= set(work.columns):
@@ -64,7 +64,7 @@ def price_context(price: DataFrame, repair: bool = True, fits: bool | None = Non
         }
     )
     means = {"_i20": F.avg("context_roc20"), "_i60": F.avg("context_roc60")}
-    work = group_values(work, ["industry", "trade_date"], means, fits)
+    work = group_values(work, ["industry", "trade_date"], means)
     work = work.withColumns(
         {
             "context_industry_relative20": F.col("context_roc20") - F.col("_i20"),
@@ -111,23 +111,28 @@ def attach_raw_context(
     metric: DataFrame,
     flow: DataFrame,
     regime: DataFrame,
-    news: DataFrame,
-    fits: bool | None = None,
+    news: DataFrame
 ) -> DataFrame:
     """Samples with all raw context at their feature date."""
     require_columns(samples, ("sample_id", "stock_code", "industry", "feature_asof_date", "target_trade_date"), "samples")
     work = samples
-    for side in (price_context(price, fits=fits), metric_context(metric), flow_confirm(flow)):
+    for side in (price_context(price), metric_context(metric), flow_confirm(flow)):
         work = work.join(
             side.withColumnRenamed("trade_date", "feature_asof_date"), ["stock_code", "feature_asof_date"], "left"
         )
     return work.join(regime, "sample_id", "left").join(news, "sample_id", "left")
 
 
-def _pullback_inputs(fits: bool | None, df: DataFrame) -> DataFrame:
+RELATIVE = {"_r20": "context_industry_relative20", "_r60": "context_industry_relative60"}
+
+
+def _pullback_inputs(df: DataFrame) -> DataFrame:
     """Add bounded recent losses and whether the 5-row return is above the day's worst 5%."""
-    work = robust_z(df, {"_neg3": -F.col("context_roc3"), "_neg5": -F.col("context_roc5")}, TARGET, fits=fits)
-    work = group_quantiles(work, {"_floor": ("context_roc5", 0.05)}, TARGET, fits)
+    losses = {"_neg3": -F.col("context_roc3"), "_neg5": -F.col("context_roc5")}
+    if "_floor" in df.columns:  # scored with all other raw columns
+        work = df
+    else:
+        work = robust_z(df, losses, TARGET, quantiles={"_floor": ("context_roc5", 0.05)})
     above = flag(F.col("context_roc5") >= F.col("_floor"))
     moderate = clip("_neg3", 0.0, 1.5) * clip("_neg5", 0.0, 1.5) * above
     return work.withColumn("context_moderate_pullback", moderate).drop("_neg3", "_neg5", "_floor")
@@ -136,15 +141,14 @@ def _pullback_inputs(fits: bool | None, df: DataFrame) -> DataFrame:
 def theme_context(
     df: DataFrame,
     min_peers: int = THEME_MIN_PEERS,
-    industry: str = "industry",
-    fits: bool | None = None,
+    industry: str = "industry"
 ) -> DataFrame:
     """Peers in the same industry and momentum bucket, or in the market's bucket where the industry's is thin.
 
     Needs ``context_moderate_pullback``; the five by five buckets are quintiles of
     the 20- and 60-row returns of the day.
     """
-    work = quantile_bin(df, {"_b20": ("context_roc20", 5), "_b60": ("context_roc60", 5)}, TARGET, fits)
+    work = quantile_bin(df, {"_b20": ("context_roc20", 5), "_b60": ("context_roc60", 5)}, TARGET)
     valid = F.col("context_roc20").isNotNull() & F.col("context_roc60").isNotNull()
     only = lambda x: F.when(valid, x)
     work = work.withColumns(
@@ -167,7 +171,6 @@ def theme_context(
         },
         "context_theme_peer_count",
         min_peers,
-        fits,
     )
     names = [f"context_theme_peer_{n}" for n in ("count", "ret20", "ret60", "pos20", "mf")]
     work = peers.withColumns({n: only(F.col(n)).cast("double") for n in names})
@@ -182,52 +185,64 @@ def theme_context(
         "_z60": F.col("context_theme_peer_ret60"),
         "_zp": F.col("context_theme_peer_pos20"),
         "_zm": F.col("context_theme_peer_mf"),
-        "_r20": F.col("context_industry_relative20"),
-        "_r60": F.col("context_industry_relative60"),
+        **{n: x for n, x in RELATIVE.items() if n not in work.columns},
     }
-    work = robust_z(work, z, TARGET, fits=fits)
+    work = robust_z(work, z, TARGET)
     c = F.col
     strength = c("_z20") * 0.35 + c("_z60") * 0.30 + c("_zp") * 0.15 + c("_zm") * 0.10 + c("_r20") * 0.05 + c("_r60") * 0.05
-    work = robust_z(work, {"context_theme_strength": strength}, TARGET, fits=fits)
+    work = robust_z(work, {"context_theme_strength": strength}, TARGET)
     health = (
         sigmoid("context_theme_strength", SQUASH)
         * F.coalesce(c("context_moderate_pullback"), F.lit(0.0))
         * sigmoid("_zm", SQUASH)
     )
-    return work.withColumn("context_theme_h", health).drop(*z, "_b20", "_b60", "_ind")
+    return work.withColumn("context_theme_h", health).drop(*z, *RELATIVE, "_b20", "_b60", "_ind")
 
 
-def state_context(df: DataFrame, fits: bool | None = None) -> DataFrame:
-    """Trend, flow, industry, regime, news and size as z-scores, overheat and break, and health."""
+def _state_inputs() -> dict[str, Column]:
+    """What the state is scored from, all of it raw."""
     c = F.col
-    work = df.withColumn("context_news_exact", c("context_news_exact3") * 0.5 + c("context_news_exact5") * 0.5)
     trend = (
         c("context_roc20") * 0.6 + c("context_roc60") * 0.4 + c("context_industry_relative") * 0.4
         + c("context_regime_momentum") * 0.4
     )
-    first = {
+    return {
         "context_tr": trend,
         "context_mf": c("context_moneyflow_confirm"),
         "context_industry": c("context_industry_relative"),
         "context_regime": c("context_regime_momentum"),
-        "context_news": c("context_news_exact"),
+        "context_news": c("context_news_exact3") * 0.5 + c("context_news_exact5") * 0.5,
         "context_cap": c("context_log_total_mv"),
-        "_z3": c("context_roc3"),
-        "_z5": c("context_roc5"),
-        "_z20": c("context_roc20"),
-        "_z60": c("context_roc60"),
-        "_zr": c("context_rsv20"),
-        "_zv": c("context_volume_ratio"),
-        "context_theme_hp": c("context_theme_h"),
+        "_s3": c("context_roc3"),
+        "_s5": c("context_roc5"),
+        "_s20": c("context_roc20"),
+        "_s60": c("context_roc60"),
+        "_sr": c("context_rsv20"),
+        "_sv": c("context_volume_ratio"),
     }
-    work = robust_z(work, first, TARGET, fits=fits)
-    heat = c("_z3") * 0.8 + c("_z5") * 0.8 + c("_zr") * 0.5 + c("_zv") * 0.4 - c("context_mf") * 0.3
+
+
+def raw_scores(df: DataFrame) -> DataFrame:
+    """Add the daily scores of everything raw that later steps need, with one pair of aggregates per day."""
+    losses = {"_neg3": -F.col("context_roc3"), "_neg5": -F.col("context_roc5")}
+    return robust_z(df, {**losses, **RELATIVE, **_state_inputs()}, TARGET, quantiles={"_floor": ("context_roc5", 0.05)})
+
+
+def state_context(df: DataFrame) -> DataFrame:
+    """Trend, flow, industry, regime, news and size as z-scores, overheat and break, and health."""
+    c = F.col
+    work = df.withColumn("context_news_exact", c("context_news_exact3") * 0.5 + c("context_news_exact5") * 0.5)
+    first = {n: x for n, x in _state_inputs().items() if n not in work.columns}
+    scored_before = not first
+    if first:
+        work = robust_z(work, {**first, "context_theme_hp": c("context_theme_h")}, TARGET)
+    heat = c("_s3") * 0.8 + c("_s5") * 0.8 + c("_sr") * 0.5 + c("_sv") * 0.4 - c("context_mf") * 0.3
     broken = (
-        c("_z20") * -0.7 - c("_z60") * 0.5 - c("context_mf") * 0.5 - c("context_industry") * 0.4
+        c("_s20") * -0.7 - c("_s60") * 0.5 - c("context_mf") * 0.5 - c("context_industry") * 0.4
         + F.coalesce(c("context_broken_ma"), F.lit(0.0))
     )
     work = work.withColumns({"context_oh": sigmoid(heat, SQUASH), "context_br": sigmoid(broken, SQUASH)})
-    tide = c("_z20") * 0.6 + c("_z60") * 0.4 + c("context_industry") * 0.4 + c("context_regime") * 0.4
+    tide = c("_s20") * 0.6 + c("_s60") * 0.4 + c("context_industry") * 0.4 + c("context_regime") * 0.4
     health = (
         sigmoid(tide, SQUASH)
         * F.coalesce(c("context_moderate_pullback"), F.lit(0.0))
@@ -237,11 +252,13 @@ def state_context(df: DataFrame, fits: bool | None = None) -> DataFrame:
         * (1.0 - c("context_br"))
     )
     work = work.withColumn("context_h", health)
-    work = robust_z(work, {"context_hp": c("context_h")}, TARGET, fits=fits)
-    return work.drop("_z3", "_z5", "_z20", "_z60", "_zr", "_zv")
+    late = {"context_hp": c("context_h")}
+    if scored_before:
+        late["context_theme_hp"] = c("context_theme_h")
+    return robust_z(work, late, TARGET).drop("_s3", "_s5", "_s20", "_s60", "_sr", "_sv")
 
 
-def cluster_context(df: DataFrame, fits: bool | None = None) -> DataFrame:
+def cluster_context(df: DataFrame) -> DataFrame:
     """Style cluster of each row from daily quantile bins, with the cluster's size and mean strength, flow, health."""
     c = F.col
     theme = c("context_theme_strength")
@@ -249,7 +266,7 @@ def cluster_context(df: DataFrame, fits: bool | None = None) -> DataFrame:
     risk = c("context_oh") * 0.45 + c("context_br") * 0.55 - c("context_hp") * 0.25
     work = df.withColumns({"_theme": theme, "_trend": trend, "_flow": c("context_mf"), "_risk": risk})
     bins = {"_bt": ("_theme", 4), "_br": ("_trend", 4), "_bf": ("_flow", 3), "_bk": ("_risk", 3)}
-    work = quantile_bin(work, bins, TARGET, fits)
+    work = quantile_bin(work, bins, TARGET)
     valid = (c("_bt") >= 0) & (c("_br") >= 0) & (c("_bf") >= 0) & (c("_bk") >= 0)
     ident = c("_bt") * 36 + c("_br") * 9 + c("_bf") * 3 + c("_bk")
     work = work.withColumn("context_cluster_id", F.when(valid, ident).cast("double"))
@@ -259,7 +276,7 @@ def cluster_context(df: DataFrame, fits: bool | None = None) -> DataFrame:
         "_cm": F.avg("context_mf"),
         "_ch": F.avg("context_hp"),
     }
-    work = group_values(work, ["target_trade_date", "context_cluster_id"], stats, fits)
+    work = group_values(work, ["target_trade_date", "context_cluster_id"], stats)
     member = c("context_cluster_id").isNotNull()
     only = lambda name: F.when(member, c(name))
     work = work.withColumn("context_cluster_size", only("_n").cast("double"))
@@ -268,15 +285,15 @@ def cluster_context(df: DataFrame, fits: bool | None = None) -> DataFrame:
         "context_cluster_mf": only("_cm"),
         "context_cluster_hp": only("_ch"),
     }
-    work = robust_z(work, z, TARGET, fits=fits)
+    work = robust_z(work, z, TARGET)
     return work.drop("_theme", "_trend", "_flow", "_risk", "_bt", "_br", "_bf", "_bk", "_n", "_cs", "_cm", "_ch")
 
 
-def derive_context(df: DataFrame, min_peers: int = THEME_MIN_PEERS, industry: str = "industry", fits: bool | None = None) -> DataFrame:
+def derive_context(df: DataFrame, min_peers: int = THEME_MIN_PEERS, industry: str = "industry") -> DataFrame:
     """All derived context from raw context."""
-    work = _pullback_inputs(fits, df)
-    work = theme_context(work, min_peers, industry, fits)
-    return cluster_context(state_context(work, fits), fits)
+    work = _pullback_inputs(raw_scores(df))
+    work = theme_context(work, min_peers, industry)
+    return cluster_context(state_context(work))
 
 
 def require_coverage(df: DataFrame, columns: Sequence[str] = CONTEXT_COLUMNS) -> None:

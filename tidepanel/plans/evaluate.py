@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import correlation, finite
-from tidepanel.operators.cross_section import cs_rank, first_rank
+from tidepanel.operators.cross_section import cs_rank
 from tidepanel.operators.keys import date_range, require_columns
-from tidepanel.operators.ordered import exact_quantiles, value_positions
-from tidepanel.scale import freeze, groups_fit, null_safe_join
+from tidepanel.operators.ordered import exact_quantiles, number_rows, value_positions
+from tidepanel.scale import freeze, null_safe_join
 
 FACTOR = ("factor_name", "label")
 FACTOR_DAY = (*FACTOR, "target_trade_date")
@@ -41,8 +41,7 @@ def daily_ic(
     rows: DataFrame,
     min_pairs: int = 2,
     groups: int = 5,
-    key: str = "sample_id",
-    fits: bool | None = None,
+    key: str = "sample_id"
 ) -> DataFrame:
     """IC, rank IC, coverage and group spread per factor, label and day.
 
@@ -50,11 +49,8 @@ def daily_ic(
     sides. The spread is the mean label of the highest group minus the lowest.
     """
     pairs = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    if fits is None:
-        pairs = freeze(pairs, "pairs")
-        fits = groups_fit(pairs, FACTOR_DAY)
-    pairs = _grouped(pairs, groups, key, fits)
-    pairs = cs_rank(pairs, {"rx": "x", "ry": "y"}, FACTOR_DAY, fits=fits)
+    pairs = _grouped(pairs, groups, key)
+    pairs = cs_rank(pairs, {"rx": "x", "ry": "y"}, FACTOR_DAY)
     counts = rows.groupBy(*FACTOR_DAY).agg(F.count(F.lit(1)).alias("row_count"))
     usable = (
         (F.count(F.lit(1)) >= min_pairs)
@@ -72,14 +68,9 @@ def daily_ic(
     return joined.withColumn("coverage", F.col("pair_count") / F.col("row_count"))
 
 
-def _grouped(pairs: DataFrame, groups: int, key: str, fits: bool) -> DataFrame:
+def _grouped(pairs: DataFrame, groups: int, key: str) -> DataFrame:
     """Quantile group 1..q of each pair by factor value, ties in the order of the key."""
-    ranked = first_rank(pairs, "x", "_n", FACTOR_DAY, key, ascending=True, fits=fits)
-    if fits:
-        ranked = ranked.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(*FACTOR_DAY)))
-    else:
-        sizes = ranked.groupBy(*FACTOR_DAY).agg(F.count(F.lit(1)).alias("_all"))
-        ranked = null_safe_join(ranked, sizes, FACTOR_DAY)
+    ranked = number_rows(pairs, FACTOR_DAY, [F.col("x")], key, "_n", "_all")
     # exact in integers: ceil((n - 1) q / (N - 1)), at least 1
     step = F.col("_all") - 1
     place = F.floor(((F.col("_n") - 1) * groups + step - 1) / F.greatest(step, F.lit(1)))
@@ -87,14 +78,11 @@ def _grouped(pairs: DataFrame, groups: int, key: str, fits: bool) -> DataFrame:
 
 
 def group_returns(
-    rows: DataFrame, min_pairs: int = 2, groups: int = 5, key: str = "sample_id", fits: bool | None = None
+    rows: DataFrame, min_pairs: int = 2, groups: int = 5, key: str = "sample_id"
 ) -> DataFrame:
     """Count and mean label of each quantile group, on days that count."""
     pairs = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    if fits is None:
-        pairs = freeze(pairs, "pairs")
-        fits = groups_fit(pairs, FACTOR_DAY)
-    members = _grouped(pairs, groups, key, fits)
+    members = _grouped(pairs, groups, key)
     parts = members.groupBy(*FACTOR_DAY, "group").agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("y").alias("mean_return"),

@@ -101,7 +101,7 @@ class NeutralForms:
     date_column: str = "trade_date"
 
 
-def append_neutral(table: FactorTable, forms: NeutralForms = NeutralForms(), fits: bool | None = None) -> FactorTable:
+def append_neutral(table: FactorTable, forms: NeutralForms = NeutralForms()) -> FactorTable:
     """Add percentile rank, z-score and industry-neutral forms of each factor.
 
     The forms of all factors share the two groupings (date; date and industry).
@@ -114,11 +114,11 @@ def append_neutral(table: FactorTable, forms: NeutralForms = NeutralForms(), fit
     require_columns(table.df, [*by, *([forms.industry_column] if forms.industry else [])], "neutral")
     df = table.df
     if forms.cs_pct:
-        df = cs_pct_rank(df, {f"{n}_cs_pct": n for n in names}, by, fits=fits)
+        df = cs_pct_rank(df, {f"{n}_cs_pct": n for n in names}, by)
     if forms.cs_z:
-        df = cs_zscore(df, {f"{n}_cs_z": n for n in names}, by, fits=fits)
+        df = cs_zscore(df, {f"{n}_cs_z": n for n in names}, by)
     if forms.industry:
-        df = industry_neutralize(df, {f"{n}_ind_neu": n for n in names}, forms.industry_column, by, fits=fits)
+        df = industry_neutralize(df, {f"{n}_ind_neu": n for n in names}, forms.industry_column, by)
     specs = list(table.specs)
     for base in (s for s in table.specs if s.name in names):
         kinds = []

@@ -247,8 +247,7 @@ def trade_signals(
     df: DataFrame,
     positions: DataFrame | None = None,
     top_n: int = 20,
-    replace_k: int = 3,
-    fits: bool | None = None,
+    replace_k: int = 3
 ) -> DataFrame:
     """Action and target weight for every row of the latest day.
 
@@ -260,7 +259,7 @@ def trade_signals(
     """
     require_columns(df, (DAY, "stock_code", "y_score"), "predictions")
     day = on_latest_date(df, DAY)
-    day = first_rank(day, "y_score", "rank", (DAY,), "stock_code", fits=fits, missing_last=True)
+    day = first_rank(day, "y_score", "rank", (DAY,), "stock_code", missing_last=True)
     held = _held(positions) if positions is not None else None
     if held is None:
         day = day.withColumn("current_position", F.lit(False))
@@ -271,9 +270,9 @@ def trade_signals(
     day = freeze(day, "signals")
     # the place within held names from below, and within names not held from above
     own = day.where("current_position")
-    worst = first_rank(own.select(DAY, "stock_code", "y_score"), "y_score", "_worst", (DAY,), "stock_code", True, fits, True)
+    worst = first_rank(own.select(DAY, "stock_code", "y_score"), "y_score", "_worst", (DAY,), "stock_code", True, True)
     free = day.where(~F.col("current_position"))
-    best = first_rank(free.select(DAY, "stock_code", "y_score"), "y_score", "_best", (DAY,), "stock_code", False, fits, True)
+    best = first_rank(free.select(DAY, "stock_code", "y_score"), "y_score", "_best", (DAY,), "stock_code", False, True)
     if held is None:
         is_held, wanted, kept_size = F.lit(False), F.lit(top_n), F.lit(0)
     else:

@@ -11,7 +11,7 @@ from tidepanel.functions.scalar import clip, correlation, finite, number, row_me
 from tidepanel.operators.cross_section import blend_labels, cs_rank, daily_zscore, first_rank, top_rows
 from tidepanel.operators.joins import in_all
 from tidepanel.operators.keys import keep_last, require_columns
-from tidepanel.operators.ordered import exact_quantiles, join_average_rank
+from tidepanel.operators.ordered import exact_quantiles, join_average_ranks
 from tidepanel.scale import freeze, null_safe_join
 
 TARGET = ("target_trade_date",)
@@ -27,12 +27,12 @@ def _pairs(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def daily_rank_ic(
-    df: DataFrame, label: str = OPEN_LABEL, score: str = "y_score", fits: bool | None = None
+    df: DataFrame, label: str = OPEN_LABEL, score: str = "y_score"
 ) -> DataFrame:
     """Rank correlation of score and label per day; NULL with fewer than two pairs or a constant side."""
     both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     days = df.select("target_trade_date").distinct()
-    rows = cs_rank(_pairs(df, score, label).where(both), {"_rx": "_x", "_ry": "_y"}, TARGET, fits=fits)
+    rows = cs_rank(_pairs(df, score, label).where(both), {"_rx": "_x", "_ry": "_y"}, TARGET)
     varied = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
     stats = rows.groupBy(*TARGET).agg(
         F.when(varied, correlation(F.col("_rx"), F.col("_ry"))).alias("rank_ic"), F.count(F.lit(1)).alias("pair_count")
@@ -108,8 +108,7 @@ def regression_metrics(
     pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), y.alias("y")) for t, y in targets.items()]))
     rows = df.select(finite(pred).alias("x"), pairs.alias("_t")).select("x", "_t.target", "_t.y")
     stored = freeze(rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "regression")
-    ranked = join_average_rank(stored, stored, ["target"], "x", "rx")
-    ranked = join_average_rank(ranked, stored, ["target"], "y", "ry")
+    ranked = join_average_ranks(stored, ["target"], {"rx": "x", "ry": "y"})
     error = F.col("x") - F.col("y")
     varied = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
     return ranked.groupBy("target").agg(
@@ -123,10 +122,10 @@ def regression_metrics(
 
 
 def prediction_summary(
-    df: DataFrame, topk: int = 20, score: str = "y_score", row_id: str = "sample_id", fits: bool | None = None
+    df: DataFrame, topk: int = 20, score: str = "y_score", row_id: str = "sample_id"
 ) -> DataFrame:
     """Rank IC mean, deviation and ratio, direction accuracy, top-k mean, number of days."""
-    ic = daily_rank_ic(df, score=score, fits=fits)
+    ic = daily_rank_ic(df, score=score)
     stats = ic.agg(
         F.avg("rank_ic").alias("rank_ic_mean"),
         F.stddev_pop("rank_ic").alias("rank_ic_std"),
@@ -210,7 +209,7 @@ def run_comparison(runs: DataFrame) -> DataFrame:
 
 
 def single_factor_predictions(
-    samples: DataFrame, factor: str, label: str = OPEN_LABEL, row_id: str = "sample_id", fits: bool | None = None
+    samples: DataFrame, factor: str, label: str = OPEN_LABEL, row_id: str = "sample_id"
 ) -> DataFrame:
     """A factor taken as prediction: as score, as return, and squashed as probability."""
     require_columns(samples, [factor], "baseline")
@@ -226,10 +225,10 @@ def single_factor_predictions(
             "g_fundamental": F.lit(0.0),
         }
     )
-    return first_rank(work, "y_score", "rank", TARGET, row_id, fits=fits)
+    return first_rank(work, "y_score", "rank", TARGET, row_id)
 
 
-def ensemble(tables: Sequence[DataFrame], row_id: str = "sample_id", fits: bool | None = None) -> DataFrame:
+def ensemble(tables: Sequence[DataFrame], row_id: str = "sample_id") -> DataFrame:
     """Mean of daily z-scores, clipped probabilities and gates over samples that every table has.
 
     Other columns come from the first table; the rank is by the averaged final score.
@@ -242,7 +241,7 @@ def ensemble(tables: Sequence[DataFrame], row_id: str = "sample_id", fits: bool
     out = None
     for i, t in enumerate(tables):
         part = t.withColumn(row_id, F.col(row_id).cast("string")).join(shared, row_id, "left_semi")
-        part = daily_zscore(part, {f"_{c}_{i}": c for c in scores}, TARGET, fits)
+        part = daily_zscore(part, {f"_{c}_{i}": c for c in scores}, TARGET)
         for c in others:
             value = clip(number(c), 1e-6, 1.0 - 1e-6) if c in PROBABILITIES else number(c)
             part = part.withColumn(f"_{c}_{i}", value)
@@ -250,7 +249,7 @@ def ensemble(tables: Sequence[DataFrame], row_id: str = "sample_id", fits: bool
         out = part if out is None else out.join(part.select(row_id, *added), row_id)
     means = {c: row_mean([f"_{c}_{i}" for i in range(len(tables))]) for c in (*scores, *others)}
     helpers = [f"_{c}_{i}" for c in (*scores, *others) for i in range(len(tables))]
-    return first_rank(out.withColumns(means).drop(*helpers), "final_score", "rank", TARGET, row_id, fits=fits)
+    return first_rank(out.withColumns(means).drop(*helpers), "final_score", "rank", TARGET, row_id)
 
 
 # Weights of the evaluation windows and the metrics to score them by, in this order.

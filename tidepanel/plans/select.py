@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import clip, correlation, finite
 from tidepanel.operators.keys import require_columns
-from tidepanel.operators.ordered import join_average_rank
+from tidepanel.operators.ordered import join_average_ranks
 from tidepanel.scale import freeze
 
 # Default thresholds.
@@ -127,7 +127,7 @@ def standardised(panel: DataFrame, factors: Sequence[str], method: str = "spearm
     long = wide.unpivot([key], list(factors), "factor_name", "x").where(F.col("x").isNotNull())
     if method == "spearman":
         stored = freeze(long, "ranks")
-        long = join_average_rank(stored, stored, ["factor_name"], "x", "v")
+        long = join_average_ranks(stored, ["factor_name"], {"v": "x"})
     else:
         long = long.withColumn("v", F.col("x"))
     stats = long.groupBy("factor_name").agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
@@ -182,8 +182,7 @@ def pair_correlation(
     x, y = "x", "y"
     if method == "spearman":
         stored = freeze(both, "pairs")
-        both = join_average_rank(stored, stored, group, "x", "rx")
-        both = join_average_rank(both, stored, group, "y", "ry")
+        both = join_average_ranks(stored, group, {"rx": "x", "ry": "y"})
         x, y = "rx", "ry"
     return both.groupBy(*group).agg(
         F.when((F.min("x") < F.max("x")) & (F.min("y") < F.max("y")), correlation(F.col(x), F.col(y))).alias("corr"),

@@ -100,7 +100,7 @@ def _last_per_day(df: DataFrame) -> DataFrame:
     return keep_last(df, ["stock_code", "trade_date"], [*order, F.xxhash64(*rest) if rest else F.lit(0)])
 
 
-def prepare_price(raw: DataFrame, fits: bool | None = None) -> DataFrame:
+def prepare_price(raw: DataFrame) -> DataFrame:
     """One bar per entity and day, gaps filled.
 
     Prices are carried forward, volume and amount become zero, other numbers are
@@ -122,7 +122,7 @@ def prepare_price(raw: DataFrame, fits: bool | None = None) -> DataFrame:
         }
     )
     if others:
-        df = median_fill(df, others, fits=fits)
+        df = median_fill(df, others)
     if "close" in prices:
         df = df.withColumns({c: F.coalesce(F.col(c), F.col("close")) for c in prices if c != "close"})
     return df.withColumn("sample_id", sample_id("stock_code", "trade_date"))
@@ -190,14 +190,14 @@ class StandardTables:
         return {name: df for name, df in vars(self).items() if df is not None and name != "steps"}
 
 
-def standardise(raw: Mapping[str, DataFrame | None], cutoff_hour: int = 15, fits: bool | None = None) -> StandardTables:
+def standardise(raw: Mapping[str, DataFrame | None], cutoff_hour: int = 15) -> StandardTables:
     """All standard tables from raw tables by kind: price, basic, metric, moneyflow, stock_st, news."""
     if raw.get("price") is None:
         raise ValueError("no price files")
     have = lambda kind: raw.get(kind) is not None
     steps: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
     basic = freeze(prepare_basic(raw["basic"]), "basic") if have("basic") else None
-    made = {"price": prepare_price(raw["price"], fits)}
+    made = {"price": prepare_price(raw["price"])}
     for kind, prepare in (("metric", prepare_metric), ("moneyflow", prepare_flow)):
         if have(kind):
             made[kind] = prepare(raw[kind])

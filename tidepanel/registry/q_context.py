@@ -53,7 +53,7 @@ PRICE_COLUMNS = [*[f"context_roc{w}" for w in ROCS], "context_rsv20", "context_b
 @query("context_price", sql("price_context", f"SELECT stock_code, trade_date, {rounded(PRICE_COLUMNS)} FROM price_context"))
 def context_price(spark, sf):
     """Returns, range place, broken trend and industry-relative returns."""
-    return tidy(cx.price_context(tables.price(spark, sf), fits=tables.fits(spark, sf)))
+    return tidy(cx.price_context(tables.price(spark, sf)))
 
 
 define(
@@ -110,7 +110,7 @@ def raw_context(spark, sf) -> DataFrame:
     )
     return cx.attach_raw_context(
         samples, price, tables.metric(spark, sf, price), tables.flow(spark, sf),
-        cx.regime_momentum(regime_features(samples)), news_scores(samples), tables.fits(spark, sf),
+        cx.regime_momentum(regime_features(samples)), news_scores(samples),
     )
 
 
@@ -179,8 +179,7 @@ THEME_COLUMNS = [c for c in cx.CONTEXT_COLUMNS if c.startswith("context_theme")
 
 
 def themed(spark, sf) -> DataFrame:
-    one = tables.fits(spark, sf)
-    return cx.theme_context(cx._pullback_inputs(one, raw_context(spark, sf)), 2, "sector", one)
+    return cx.theme_context(cx._pullback_inputs(raw_context(spark, sf)), 2, "sector")
 
 
 @query(
@@ -221,7 +220,7 @@ STATE_COLUMNS = ["context_news_exact", "context_tr", "context_mf", "context_indu
 @query("context_state", sql("state", f"SELECT sample_id, {rounded(STATE_COLUMNS)} FROM state"))
 def context_state(spark, sf):
     """Trend, flow, industry, regime, news, size, overheat, break and health."""
-    return tidy(cx.state_context(themed(spark, sf), tables.fits(spark, sf)).select("sample_id", *STATE_COLUMNS))
+    return tidy(cx.state_context(themed(spark, sf)).select("sample_id", *STATE_COLUMNS))
 
 
 define(
@@ -245,8 +244,7 @@ CLUSTER_COLUMNS = [c for c in cx.CONTEXT_COLUMNS if c.startswith("context_cluste
 )
 def context_cluster(spark, sf):
     """Style clusters and their means."""
-    one = tables.fits(spark, sf)
-    df = cx.cluster_context(cx.state_context(themed(spark, sf), one), one)
+    df = cx.cluster_context(cx.state_context(themed(spark, sf)))
     return tidy(df.select("sample_id", *CLUSTER_COLUMNS), 5)
 
 
@@ -256,7 +254,7 @@ def context_cluster(spark, sf):
 )
 def context_table(spark, sf):
     """All 42 context columns of every sample in one job."""
-    df = cx.derive_context(raw_context(spark, sf), 2, "sector", tables.fits(spark, sf))
+    df = cx.derive_context(raw_context(spark, sf), 2, "sector")
     return tidy(cx.context_table(df), 5)
 
 

@@ -54,9 +54,8 @@ def robust_sql(source: str, out: str, columns: dict[str, str], by: str = "target
 )
 def cs_rank(spark, sf):
     """Average-tie ranks per month, up and down."""
-    one = tables.fits(spark, sf)
-    df = cs.cs_rank(tables.gappy(spark, sf), {"rx": "x", "rt": "t"}, fits=one)
-    df = cs.cs_rank(df, {"rt_desc": "t"}, ascending=False, fits=one)
+    df = cs.cs_rank(tables.gappy(spark, sf), {"rx": "x", "rt": "t"})
+    df = cs.cs_rank(df, {"rt_desc": "t"}, ascending=False)
     return tidy(df.select(*KEYS, "rx", "rt", "rt_desc"))
 
 
@@ -70,7 +69,7 @@ def cs_rank(spark, sf):
 )
 def cs_pct_rank(spark, sf):
     """Percentile ranks per month."""
-    df = cs.cs_pct_rank(tables.gappy(spark, sf), {"px": "x", "pt": "t"}, fits=tables.fits(spark, sf))
+    df = cs.cs_pct_rank(tables.gappy(spark, sf), {"px": "x", "pt": "t"})
     return tidy(df.select(*KEYS, "px", "pt"))
 
 
@@ -87,7 +86,7 @@ def cs_pct_rank(spark, sf):
 def mean_rank(spark, sf):
     """Flagship: a rolling mean per entity, then its percentile rank per month."""
     df = tables.gappy(spark, sf).withColumn("m3", ts.ts_mean("x", 3))
-    return tidy(cs.cs_pct_rank(df, {"p": "m3"}, fits=tables.fits(spark, sf)).select(*KEYS, "m3", "p"))
+    return tidy(cs.cs_pct_rank(df, {"p": "m3"}).select(*KEYS, "m3", "p"))
 
 
 @query(
@@ -102,9 +101,8 @@ def mean_rank(spark, sf):
 )
 def cs_zscore(spark, sf):
     """Z-scores per month; months in which all values are equal have none."""
-    one = tables.fits(spark, sf)
-    df = cs.cs_zscore(tables.gappy(spark, sf), {"zx": "x", "zf": "f"}, fits=one)
-    return tidy(cs.cs_zscore(df, {"z1": "x"}, ddof=1, fits=one).select(*KEYS, "zx", "zf", "z1"))
+    df = cs.cs_zscore(tables.gappy(spark, sf), {"zx": "x", "zf": "f"})
+    return tidy(cs.cs_zscore(df, {"z1": "x"}, ddof=1).select(*KEYS, "zx", "zf", "z1"))
 
 
 @query(
@@ -118,7 +116,7 @@ def cs_zscore(spark, sf):
 )
 def industry_neutralize(spark, sf):
     """Distance to the industry mean of the month; entities without industry have none."""
-    df = cs.industry_neutralize(tables.gappy(spark, sf), {"nx": "vwap", "ny": "y"}, fits=tables.fits(spark, sf))
+    df = cs.industry_neutralize(tables.gappy(spark, sf), {"nx": "vwap", "ny": "y"})
     return tidy(df.select(*KEYS, "nx", "ny"))
 
 
@@ -135,7 +133,7 @@ def industry_neutralize(spark, sf):
 def daily_zscore(spark, sf):
     """Score z-scores, zero where undefined."""
     df = cs.daily_zscore(
-        tables.predictions(spark, sf), {"zy": "y_score", "zr": "return_pred"}, fits=tables.fits(spark, sf)
+        tables.predictions(spark, sf), {"zy": "y_score", "zr": "return_pred"}
     )
     return tidy(df.select("sample_id", "zy", "zr"))
 
@@ -154,7 +152,7 @@ _LOGIT = "ln(greatest(least(direction_prob, 1 - 1e-6), 1e-6) / (1 - greatest(lea
 )
 def daily_logit_zscore(spark, sf):
     """Z-scores of the clipped log-odds."""
-    df = cs.daily_logit_zscore(tables.predictions(spark, sf), {"z": "direction_prob"}, fits=tables.fits(spark, sf))
+    df = cs.daily_logit_zscore(tables.predictions(spark, sf), {"z": "direction_prob"})
     return tidy(df.select("sample_id", "z"))
 
 
@@ -169,7 +167,7 @@ def daily_logit_zscore(spark, sf):
 def daily_robust_z(spark, sf):
     """Median-based z-scores, clipped at four."""
     columns = {"zy": "y_score", "zr": "return_pred", "zl": "label_next_open_return"}
-    df = cs.robust_z(tables.predictions(spark, sf), columns, fits=tables.fits(spark, sf))
+    df = cs.robust_z(tables.predictions(spark, sf), columns)
     return tidy(df.select("sample_id", *columns))
 
 
@@ -188,7 +186,7 @@ def bin_sql(x: str, bins: int, by: str = TARGET) -> str:
 def daily_quantile_bin(spark, sf):
     """Quantile bins per day, -1 for a missing value."""
     df = cs.quantile_bin(
-        tables.predictions(spark, sf), {"b4": ("y_score", 4), "b3": ("return_pred", 3)}, fits=tables.fits(spark, sf)
+        tables.predictions(spark, sf), {"b4": ("y_score", 4), "b3": ("return_pred", 3)}
     )
     return df.select("sample_id", "b4", "b3")
 
@@ -204,7 +202,7 @@ def daily_quantile_bin(spark, sf):
 )
 def daily_median_fill(spark, sf):
     """Gaps filled with the month's median."""
-    df = cs.median_fill(tables.gappy(spark, sf), ["x", "y", "t"], fits=tables.fits(spark, sf))
+    df = cs.median_fill(tables.gappy(spark, sf), ["x", "y", "t"])
     return tidy(df.select(*KEYS, "x", "y", "t"))
 
 
@@ -218,7 +216,7 @@ def daily_median_fill(spark, sf):
 )
 def daily_quantile_floor(spark, sf):
     """Flag of values at or above the day's 5% quantile."""
-    df = cs.quantile_floor_flag(tables.predictions(spark, sf), "return_pred", 0.05, "above", fits=tables.fits(spark, sf))
+    df = cs.quantile_floor_flag(tables.predictions(spark, sf), "return_pred", 0.05, "above")
     return df.select("sample_id", "above")
 
 
@@ -238,9 +236,8 @@ def first_rank_sql(x: str, order: str = "DESC", by: str = TARGET, row_id: str =
 )
 def first_come_rank(spark, sf):
     """Row numbers by score, ties by sample id."""
-    one = tables.fits(spark, sf)
-    df = cs.first_rank(tables.predictions(spark, sf), "y_score", fits=one)
-    return cs.first_rank(df, "y_score", "worst", ascending=True, fits=one).select("sample_id", "rank", "worst")
+    df = cs.first_rank(tables.predictions(spark, sf), "y_score")
+    return cs.first_rank(df, "y_score", "worst", ascending=True).select("sample_id", "rank", "worst")
 
 
 @query(
@@ -258,7 +255,7 @@ def top_floor_guard(spark, sf):
     """Guarded rows are held below the day's 40th score."""
     guard = (F.col("direction_prob") < 0.4) & (F.col("g_price") < 0.5)
     df = tables.predictions(spark, sf).withColumn("score", F.col("final_score"))
-    df = cs.top_floor_guard(df, "score", guard, fits=tables.fits(spark, sf))
+    df = cs.top_floor_guard(df, "score", guard)
     return tidy(df.select("sample_id", "score"))
 
 
@@ -272,7 +269,7 @@ def top_floor_guard(spark, sf):
 )
 def daily_excess(spark, sf):
     """Label minus the day's mean label."""
-    df = cs.daily_excess(tables.predictions(spark, sf), {"excess": "label_next_open_return"}, fits=tables.fits(spark, sf))
+    df = cs.daily_excess(tables.predictions(spark, sf), {"excess": "label_next_open_return"})
     return tidy(df.select("sample_id", "excess"))
 
 
@@ -290,7 +287,7 @@ def direction_label(spark, sf):
     """Up label beyond a dead zone of a quarter deviation."""
     df = cs.direction_label(
         tables.predictions(spark, sf), "label_next_open_return", fixed_epsilon=0.001, std_fraction=0.25,
-        fits=tables.fits(spark, sf),
+        
     )
     return df.select("sample_id", "direction_target", "direction_valid")
 

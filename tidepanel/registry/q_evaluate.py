@@ -74,12 +74,12 @@ group_rows AS (SELECT factor_name, label, target_trade_date, grp, count(*) AS n,
 
 def daily(spark, sf) -> DataFrame:
     rows = ev.factor_label_rows(panel(spark, sf), FACTORS, LABELS)
-    return ev.daily_ic(rows, 10, GROUPS, fits=tables.fits(spark, sf))
+    return ev.daily_ic(rows, 10, GROUPS)
 
 
 def group_rows(spark, sf) -> DataFrame:
     rows = ev.factor_label_rows(panel(spark, sf), FACTORS, LABELS)
-    return ev.group_returns(rows, 10, GROUPS, fits=tables.fits(spark, sf))
+    return ev.group_returns(rows, 10, GROUPS)
 
 
 _DAILY = ["coverage", "ic", "rank_ic", "group_spread"]
@@ -267,7 +267,7 @@ def candidates(spark, sf) -> DataFrame:
     """Quality and summary reports merged; the panel and the result are stage tables, as in a daily run."""
     p = freeze(panel(spark, sf), "panel")
     quality = ev.factor_quality(p.select("sample_id", *FACTORS), p, FACTORS, 0.8, 1000, 0.05)
-    days = ev.daily_ic(ev.factor_label_rows(p, FACTORS, LABELS), 10, GROUPS, fits=tables.fits(spark, sf))
+    days = ev.daily_ic(ev.factor_label_rows(p, FACTORS, LABELS), 10, GROUPS)
     merged = se.merge_reports(quality, ev.factor_summary(days), *LABELS)
     return freeze(se.candidate_status(merged, **THRESHOLDS), "candidates")
 

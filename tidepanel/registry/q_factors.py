@@ -220,7 +220,7 @@ _KBAR_NEUTRAL = neutral_sql(_KBAR)
 def neutral_expansion(spark, sf):
     """Candlestick factors with percentile, z-score and industry-neutral forms."""
     table = pf.price_factors(tables.price(spark, sf), **{**NO_FAMILY, "kbar": True})
-    return tidy(append_neutral(table, fits=tables.fits(spark, sf)).output())
+    return tidy(append_neutral(table).output())
 
 
 # -- metric ----------------------------------------------------------------------
@@ -296,7 +296,7 @@ _ELIGIBLE = [n for n in METRIC_SQL if n in ("metric_pb", "metric_turnover_rate",
 def value_factors_neutral(spark, sf):
     """Neutral forms of some metric factors."""
     table = vf.value_factors(tables.metric(spark, sf))
-    out = append_neutral(table, NeutralForms(names=tuple(_ELIGIBLE)), tables.fits(spark, sf))
+    out = append_neutral(table, NeutralForms(names=tuple(_ELIGIBLE)))
     return tidy(out.df.select(*out.keys, *neutral_sql(_ELIGIBLE)))
 
 
@@ -371,7 +371,6 @@ def flow_factors(spark, sf):
 def candidate_functions(spark, sf):
     """Candidate formulas written with the allowed functions."""
     f = {**ROW_FUNCTIONS, **WINDOW_FUNCTIONS}
-    one = tables.fits(spark, sf)
     df = tables.gappy(spark, sf).withColumns(
         {
             "trend": f["pct_change"]("x", 3),
@@ -382,9 +381,9 @@ def candidate_functions(spark, sf):
             ),
         }
     )
-    df = cs.cs_pct_rank(df, {"rank": "trend"}, fits=one)
-    df = cs.cs_zscore(df, {"z": "swing"}, fits=one)
-    df = cs.industry_neutralize(df, {"neutral": "pull"}, fits=one)
+    df = cs.cs_pct_rank(df, {"rank": "trend"})
+    df = cs.cs_zscore(df, {"z": "swing"})
+    df = cs.industry_neutralize(df, {"neutral": "pull"})
     return tidy(df.select("stock_code", "trade_date", "trend", "swing", "pull", "mix", "rank", "z", "neutral"))
 
 

@@ -296,7 +296,7 @@ listed_days AS (SELECT stock_code, trade_date FROM price WHERE close > 12 * open
 )
 def prepare_price(spark, sf):
     """Raw bars typed, deduplicated and filled."""
-    out = st.prepare_price(_raw(spark, sf)["price"], tables.fits(spark, sf))
+    out = st.prepare_price(_raw(spark, sf)["price"])
     return tidy(out.select("stock_code", "trade_date", "open", "close", "vwap", "volume", "lines"), keep=["vwap"])
 
 
@@ -310,7 +310,7 @@ def prepare_price(spark, sf):
 )
 def standard_panel(spark, sf):
     """The standardised panel: one exchange and listed days left out."""
-    out = st.standardise(_raw(spark, sf), fits=tables.fits(spark, sf)).panel
+    out = st.standardise(_raw(spark, sf)).panel
     return tidy(out.select("stock_code", "trade_date", "open", "close", "vwap", "volume", "lines", "pb"), keep=["vwap", "pb"])
 
 
@@ -328,7 +328,7 @@ def standard_panel(spark, sf):
 )
 def standard_samples(spark, sf):
     """Samples of the whole standardisation; labels still see excluded days."""
-    out = st.standardise(_raw(spark, sf), fits=tables.fits(spark, sf)).samples
+    out = st.standardise(_raw(spark, sf)).samples
     return tidy(out.select("sample_id", "feature_asof_date", "target_trade_date", "label_next_open_return"), 5)
 
 
@@ -360,7 +360,7 @@ def _left_sql(name: str, source: str, duplicates: str) -> str:
 )
 def run_summary(spark, sf):
     """Rows of all standard tables and the rows each rule removed."""
-    return st.run_summary(st.standardise(_raw(spark, sf), fits=tables.fits(spark, sf)))
+    return st.run_summary(st.standardise(_raw(spark, sf)))
 
 
 # -- long and wide ---------------------------------------------------------------------------

@@ -262,7 +262,7 @@ def _signals_sql(positions: str, wanted: str, n_sold: str, size: str) -> str:
 def trade_signals_first(spark, sf):
     """Signals of the latest month without positions."""
     df = tables.predictions(spark, sf)
-    out = po.trade_signals(df, None, 20, 3, tables.fits(spark, sf))
+    out = po.trade_signals(df, None, 20, 3)
     return tidy(out.select("stock_code", "rank", "current_position", "suggested_action", "target_weight", "order_note"))
 
 
@@ -286,7 +286,7 @@ def trade_signals(spark, sf):
     df = tables.predictions(spark, sf)
     mine = df.where(F.col("sector") == "EUROPE").select("stock_code").distinct().withColumn("weight", F.lit(0.1))
     gone = spark.createDataFrame([("GONE.SH", 0.1), ("ZERO.SH", 0.0)], "stock_code string, weight double")
-    out = po.trade_signals(df, mine.unionByName(gone), 20, 3, tables.fits(spark, sf))
+    out = po.trade_signals(df, mine.unionByName(gone), 20, 3)
     return tidy(out.select("stock_code", "rank", "current_position", "suggested_action", "target_weight", "order_note"))
 
 
@@ -301,7 +301,7 @@ def trade_signals(spark, sf):
 def buy_list(spark, sf):
     """Names to buy in the latest month."""
     df = tables.predictions(spark, sf)
-    return po.buy_list(po.trade_signals(df, None, 20, 3, tables.fits(spark, sf))).select("stock_code", "rank")
+    return po.buy_list(po.trade_signals(df, None, 20, 3)).select("stock_code", "rank")
 
 
 # -- samples and windows of the model --------------------------------------------------------

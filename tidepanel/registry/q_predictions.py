@@ -23,7 +23,7 @@ IC_SQL = f"""ic AS (SELECT target_trade_date, CASE WHEN min(x) < max(x) AND min(
 )
 def daily_rank_ic(spark, sf):
     """Rank correlation of score and label per month."""
-    return tidy(pr.daily_rank_ic(tables.predictions(spark, sf), fits=tables.fits(spark, sf)))
+    return tidy(pr.daily_rank_ic(tables.predictions(spark, sf)))
 
 
 TOPK_SQL = """topk AS (SELECT target_trade_date, k AS topk, avg(y) FILTER (n <= k) AS topk_return, count(*) FILTER (n <= k) AS selected_count FROM (
@@ -137,7 +137,7 @@ _SUMMARY = ["rank_ic_mean", "rank_ic_std", "rank_ic_ir", "direction_accuracy", "
 )
 def prediction_summary(spark, sf):
     """The headline numbers of a prediction table."""
-    return tidy(pr.prediction_summary(tables.predictions(spark, sf), fits=tables.fits(spark, sf)))
+    return tidy(pr.prediction_summary(tables.predictions(spark, sf)))
 
 
 @query(

@@ -52,10 +52,9 @@ _SIMPLE = {
 )
 def score_simple_variants(spark, sf):
     """Single heads and sums of their z-scores."""
-    one = tables.fits(spark, sf)
     df = tables.predictions(spark, sf)
     for v in _SIMPLE:
-        df = bl.score_by(df, bl.ScoreParams(v), f"s_{v}", fits=one)
+        df = bl.score_by(df, bl.ScoreParams(v), f"s_{v}")
     return tidy(df.select("sample_id", *[f"s_{v}" for v in _SIMPLE]))
 
 
@@ -70,7 +69,7 @@ def multihead_sql(source: str, out: str, extra: str = "") -> str:
 )
 def score_direct_multihead(spark, sf):
     """Fixed weights over all heads."""
-    df = bl.score_by(tables.predictions(spark, sf), bl.ScoreParams("direct_multihead"), fits=tables.fits(spark, sf))
+    df = bl.score_by(tables.predictions(spark, sf), bl.ScoreParams("direct_multihead"))
     return tidy(df.select("sample_id", "score"))
 
 
@@ -89,11 +88,9 @@ _WEIGHTED = f"0.5 * {zsql('y_score')} + 0.3 * {zsql('return_pred')} + 0.2 * {zsq
 def score_weighted_cap(spark, sf):
     """Chosen weights with a size term, a size bonus and a lower size limit."""
     from tidepanel.operators.cross_section import cs_pct_rank
-
-    one = tables.fits(spark, sf)
-    df = cs_pct_rank(tables.predictions(spark, sf), {"cap_pct": "log_total_mv"}, ("target_trade_date",), fits=one)
+    df = cs_pct_rank(tables.predictions(spark, sf), {"cap_pct": "log_total_mv"}, ("target_trade_date",))
     params = bl.ScoreParams("weighted", 0.5, 0.3, 0.2, 0.1, cap_min_pct=0.2, cap_bonus=0.05)
-    return tidy(bl.score_by(df, params, fits=one).select("sample_id", "score"))
+    return tidy(bl.score_by(df, params).select("sample_id", "score"))
 
 
 # -- components ----------------------------------------------------------------------
@@ -124,7 +121,7 @@ _CONTEXT_NAMES = ["F", "Y", "R", "D_eff", "TR", "MF", "NEWS", "HP", "OH", "BR",
 )
 def score_context_components(spark, sf):
     """Heads and context as score components."""
-    df = bl.context_components(tables.context_predictions(spark, sf), tables.fits(spark, sf))
+    df = bl.context_components(tables.context_predictions(spark, sf))
     return tidy(df.select("sample_id", *[f"c_{n}" for n in _CONTEXT_NAMES]))
 
 
@@ -156,8 +153,7 @@ _EXACT_NAMES = ["F", "Y", "R", "D_eff", "TR", "MF", "NEWS", "HP", "OH", "BR", "C
 )
 def score_exact_components(spark, sf):
     """Components from raw price context, and the score made of them."""
-    one = tables.fits(spark, sf)
-    df = bl.exact_components(tables.context_predictions(spark, sf), one)
+    df = bl.exact_components(tables.context_predictions(spark, sf))
     df = df.withColumn("score", bl.weighted_sum(bl.LINEAR["exact_s5_soft"], "c_"))
     return tidy(df.select("sample_id", *[f"c_{n}" for n in _EXACT_NAMES], "score"))
 
@@ -177,7 +173,7 @@ _LINEAR = ["context_a4", "context_a4_no_news", "context_s1", "context_s2", "cont
 )
 def score_linear_context(spark, sf):
     """Six linear scores from one set of components."""
-    df = bl.context_components(tables.context_predictions(spark, sf), tables.fits(spark, sf))
+    df = bl.context_components(tables.context_predictions(spark, sf))
     return tidy(df.select("sample_id", *[bl.weighted_sum(bl.LINEAR[v], "c_").alias(v) for v in _LINEAR]))
 
 
@@ -186,7 +182,7 @@ def _register(name: str, variant: str, body: str, *ctes: str, doc: str) -> None:
 
     @query(name, oracle)
     def run(spark, sf):
-        df = bl.score_by(tables.context_predictions(spark, sf), bl.ScoreParams(variant), fits=tables.fits(spark, sf))
+        df = bl.score_by(tables.context_predictions(spark, sf), bl.ScoreParams(variant))
         return tidy(df.select("sample_id", "score"))
 
     run.__doc__ = doc
@@ -308,7 +304,7 @@ _TREND_NAMES = ["TR", "OH", "BR", "HP", "MF", "D_eff", "F", "Y", "R", "CAP"]
 def score_trend_pullback(spark, sf):
     """Trend, pullback, heat and break components in three levels, and their score."""
     df = tables.context_predictions(spark, sf).withColumns({n: F.expr(e) for n, e in _TREND.items()})
-    df = bl.trend_components(df, tables.fits(spark, sf))
+    df = bl.trend_components(df)
     df = df.withColumn("score", bl.weighted_sum(bl.LINEAR["context_s2"], "c_"))
     return tidy(df.select("sample_id", *[f"c_{n}" for n in _TREND_NAMES], "score"))
 
@@ -344,7 +340,7 @@ def tradable_universe_query(spark, sf):
 def strategy_predictions(spark, sf):
     """Tradable rows scored and ranked, small caps at the bottom."""
     params = bl.ScoreParams("z_y_plus_return", cap_min_pct=0.1, exclude_special=True, exclude_bj=True)
-    df = bl.prepare_predictions(tables.predictions(spark, sf), params, fits=tables.fits(spark, sf))
+    df = bl.prepare_predictions(tables.predictions(spark, sf), params)
     return tidy(df.select("sample_id", "y_score", "raw_y_score", "rank"))
 
 
@@ -362,7 +358,7 @@ def attach_market_cap(spark, sf):
     """Market value at the feature date, found by sample id, and its percentile."""
     preds = tables.predictions(spark, sf).drop("log_total_mv", "feature_asof_date")
     metric = tables.metric(spark, sf).where(F.col("turnover_rate") > 1)
-    df = bl.attach_market_cap(preds, metric, tables.samples(spark, sf), tables.fits(spark, sf))
+    df = bl.attach_market_cap(preds, metric, tables.samples(spark, sf))
     return tidy(df.select("sample_id", "log_total_mv", "cap_pct"))
 
 
@@ -407,7 +403,7 @@ def ensemble_predictions(spark, sf):
                 F.expr(r).alias("return_pred"), F.expr(d).alias("direction_prob"), F.expr(g).alias("g_price"),
             )
         )
-    out = pr.ensemble(parts, fits=tables.fits(spark, sf))
+    out = pr.ensemble(parts)
     return tidy(out.select("sample_id", "y_score", "final_score", "return_pred", "direction_prob", "g_price", "rank"))
 
 
@@ -422,5 +418,5 @@ def ensemble_predictions(spark, sf):
 )
 def single_factor_baseline(spark, sf):
     """One factor taken as the prediction."""
-    df = pr.single_factor_predictions(tables.predictions(spark, sf), "return_pred", fits=tables.fits(spark, sf))
+    df = pr.single_factor_predictions(tables.predictions(spark, sf), "return_pred")
     return tidy(df.select("sample_id", "y_score", "direction_prob", "g_price", "rank"))

@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidepanel.scale import groups_fit
-
 DAY_SHIFT = 1 << 40
 
 
@@ -30,14 +28,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def fits(spark: SparkSession, sf: str) -> bool:
-    """Whether one date's cross-section may sit in one task: it has at most one row per supplier."""
-    return groups_fit(table(spark, sf, "supplier"), [], bound=table(spark, sf, "supplier").count())
-
-
-# -- price ---------------------------------------------------------------------
-
-
 def code_of(k: Column) -> Column:
     """Six-digit code with an exchange suffix; distinct suppliers get distinct codes."""
     spread = F.when(k < 1_000_003, F.pmod(k * 7919, F.lit(1_000_003))).otherwise(k).cast("string")

@@ -1,10 +1,7 @@
-"""Size checks and stage tables: what may sit in one task, and where lineage is cut.
+"""Stage tables: where lineage is cut, and joins that know NULL keys.
 
-Three rules hold all over the library:
+Two rules hold all over the library:
 
-* a window group runs in one task only if its size is known to be at most
-  ``spark.tidepanel.groupRows`` rows; beyond that the operators in
-  :mod:`tidepanel.operators.ordered` take over;
 * no side of a join is broadcast by hand, Spark does it from measured sizes;
 * a table read by several branches whose values must be bit-equal in all of
   them is written once to the shared checkpoint folder (:func:`freeze`).
@@ -19,31 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GROUP_ROWS = "spark.tidepanel.groupRows"
-GROUP_ROWS_DEFAULT = 2_000_000
-
-
-def group_row_limit(spark: SparkSession) -> int:
-    """Most rows one window group may hold in one task."""
-    return int(spark.conf.get(GROUP_ROWS, str(GROUP_ROWS_DEFAULT)))
-
-
-def groups_fit(df: DataFrame, keys: Sequence[str], bound: int | None = None) -> bool:
-    """True if no group of ``keys`` has more rows than one task may hold.
-
-    ``bound`` is a bound the caller can prove (for example the number of
-    entities, for sections with one row per entity); without it the groups are
-    counted, which brings a single number to the driver.
-    """
-    limit = group_row_limit(df.sparkSession)
-    if bound is not None:
-        return bound <= limit
-    if keys:
-        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    else:
-        largest = df.count()
-    return (largest or 0) <= limit
-
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for stage tables: the session's checkpoint folder."""
@@ -83,7 +55,14 @@ def freeze(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.is_stored = True
+    return stored
+
+
+def settled(df: DataFrame, name: str = "section") -> DataFrame:
+    """``df`` as a stage table; itself if it is one already."""
+    return df if getattr(df, "is_stored", False) else freeze(df, name)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
