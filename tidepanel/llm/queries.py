@@ -25,7 +25,19 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return flac.media_digests(read(spark, sf, "documents"))
 
 
-@query("op10_odd_sketch_dedup")
+NEAR_SQL = r"""WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] ELSE list_distinct(list_transform(range(0, greatest(len(w) - 4, 1)),
+  lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s FROM worded),
+items AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM items a JOIN items b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x),
+lowest AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN lowest USING (doc_id)"""
+
+
+@query("op10_odd_sketch_dedup", NEAR_SQL)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return oddsketch.near_duplicates(read(spark, sf, "documents")).drop("tid", "group_id")
 
@@ -40,7 +52,15 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.held_out_toxicity(spark, sf)
 
 
-@query("op3_norm_bucket_topk")
+TOP_SQL = """WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 5"""
+
+
+@query("op3_norm_bucket_topk", TOP_SQL)
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return topk.nearest_embeddings(spark, sf)
 
