@@ -106,8 +106,6 @@ def join_average_ranks(
     if share:
         rank = rank / F.col("total")
     placed = placed.select(*keys, "_out", "_value", rank.alias("_rank"))
-    if len(columns) > 1:
-        placed = freeze(placed, "ranks")
     for out, x in columns.items():
         own = placed.where(F.col("_out") == out).select(*keys, F.col("_value").alias(x), F.col("_rank").alias(out))
         df = null_safe_join(df, own, [*keys, x])
