@@ -72,7 +72,7 @@ def test_news_factors_open_below_closed_above(spark):
         "news_text_hash string, sentiment_score double, impact_score double, risk_score double, relevance_score double, "
         "novelty_score double, event_type string",
     )
-    table = news_factors(samples, scored_items(items, scores), "market", windows=(1, 3))
+    table = news_factors(samples, scored_items(items, scores, ["news_text_hash"]), "market", windows=(1, 3))
     row = table.df.first()
     assert row["news_market_count_1d"] == 2.0 and row["news_market_count_3d"] == 3.0
     assert row["news_market_negative_high_impact_count_1d"] == 1.0 and row["news_market_high_impact_count_1d"] == 1.0

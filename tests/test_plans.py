@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidepanel.functions.text import parse_time
 from tidepanel.operators.joins import align_to_samples, forward_trade_day
 from tidepanel.operators.keys import hash_sample, keep_last, require_unique
 from tidepanel.plans import blend as bl
@@ -152,7 +153,7 @@ def test_signals_against_positions(spark):
     out = po.trade_signals(df, held, top_n=2, replace_k=1)
     got = {r.stock_code: (r.suggested_action, r.target_weight) for r in out.collect()}
     assert got == {"A": ("buy", 0.5), "B": ("watch", 0.0), "C": ("hold", 0.5), "D": ("sell", 0.0), "E": ("watch", 0.0)}
-    first = {r.stock_code: r.suggested_action for r in po.trade_signals(df, None, 2, 1, True).collect()}
+    first = {r.stock_code: r.suggested_action for r in po.trade_signals(df, None, 2, 1).collect()}
     assert [c for c, a in first.items() if a == "buy"] == ["A", "B"]
 
 
@@ -270,3 +271,29 @@ def test_feed_reads_each_file_once(spark, tmp_path):
     run()
     run()
     assert [r.close for r in spark.read.parquet(target).orderBy("close").collect()] == [1.0, 2.0]
+
+
+def test_names_without_a_score_rank_last(spark):
+    data = [(D(2024, 1, 2), c, s) for c, s in (("A", 0.9), ("B", None), ("C", 0.1))]
+    df = spark.createDataFrame(data, "target_trade_date date, stock_code string, y_score double")
+    got = {r.stock_code: (r["rank"], r.suggested_action) for r in po.trade_signals(df, None, 3, 1).collect()}
+    assert got == {"A": (1, "buy"), "C": (2, "buy"), "B": (3, "buy")}
+    held = spark.createDataFrame([("B",), ("C",)], "stock_code string")
+    got = {r.stock_code: r.suggested_action for r in po.trade_signals(df, held, 2, 1).collect()}
+    assert got == {"A": "buy", "C": "sell", "B": "hold"}
+
+
+def test_quoted_line_breaks_stay_in_one_row(spark, tmp_path):
+    for i, sep in enumerate(";,"):
+        write(tmp_path / f"daily_{i}.csv", f'id{sep}text\n1{sep}"two\nlines{sep} and ""quotes"""\n2{sep}plain\n')
+    paths = rd.find_files(spark, str(tmp_path), ("daily",))
+    got = sorted((r.id, r.text) for r in rd.load_many(spark, paths).collect())
+    assert got == [("1", 'two\nlines, and "quotes"'), ("1", 'two\nlines; and "quotes"'), ("2", "plain"), ("2", "plain")]
+
+
+def test_times_are_read_from_all_forms(spark):
+    forms = ["20240105", "20240105093000", "2024-1-5 9:30", "2024/01/05 09:30:00", "2024.1.5", "1/5/2024", " 2024-01-05T09:30 ", "2024", "x", "20241", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(forms)], "i int, t string")
+    got = [str(r.v) if r.v else None for r in df.select("i", parse_time("t").alias("v")).orderBy("i").collect()]
+    day, half = "2024-01-05 00:00:00", "2024-01-05 09:30:00"
+    assert got == [day, half, half, half, day, day, half, None, None, None, None]
