@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.scale import null_safe_join, settled
 from tidepanel.functions.scalar import col, number, safe_div
 from tidepanel.operators.keys import require_columns, require_unique
 
@@ -168,18 +169,18 @@ def bucket_means_with_fallback(
 
     ``large`` keys are among the ``small`` keys. ``count`` names the row count column.
     """
-    from tidepanel.operators.cross_section import group_values
-
-    def stats(prefix):
-        return {f"{prefix}_n": F.count(F.lit(1)), **{f"{prefix}_{o}": F.avg(col(v)) for o, v in values.items()}}
-
-    work = group_values(df, large, stats("_big"))
-    work = group_values(work, small, stats("_small"))
-    enough = F.col("_small_n") >= min_rows
-    results = {o: F.when(enough, F.col(f"_small_{o}")).otherwise(F.col(f"_big_{o}")) for o in values}
-    results[count] = F.when(enough, F.col("_small_n")).otherwise(F.col("_big_n"))
-    helpers = [f"{p}_{o}" for p in ("_big", "_small") for o in ["n", *values]]
-    return work.withColumns(results).drop(*helpers)
+    work = settled(df)
+    sums = [F.sum(col(v)).alias(f"_sum_{o}") for o, v in values.items()] + [F.count(col(v)).alias(f"_count_{o}") for o, v in values.items()]
+    own = work.groupBy(*small).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    # the large buckets are sums of small ones, so the rows are read once
+    parts = ["_n", *[f"_{kind}_{o}" for kind in ("sum", "count") for o in values]]
+    wide = own.groupBy(*large).agg(*[F.sum(c).alias(f"_all{c}") for c in parts])
+    both = null_safe_join(own, wide, large)
+    enough = F.col("_n") >= min_rows
+    pick = lambda c: F.when(enough, F.col(c)).otherwise(F.col(f"_all{c}"))
+    means = {o: F.try_divide(pick(f"_sum_{o}"), pick(f"_count_{o}")) for o in values}
+    both = both.select(*small, *[m.alias(o) for o, m in means.items()], pick("_n").alias(count))
+    return null_safe_join(work, both, small)
 
 
 def price_flow_frame(price: DataFrame, flow: DataFrame) -> DataFrame:
