@@ -1,4 +1,7 @@
-"""Texts and schemas that the tests of this folder share."""
+"""Texts, schemas and fixtures that the tests of this folder share."""
+
+import pytest
+from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -12,3 +15,16 @@ def odd_texts():
         "x" * 30000, "word " * 20000, "\u0000" * 3000, "a" * 64, "ÿ" * 4097,
     ]
 
+
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(odd_texts())]
+    rows += [(None, "a row without an id", None, None, None), (3, "\n\t ", "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    # names that operators use for their own columns
+    return df.withColumns({c: F.lit("kept") for c in ("r", "score", "spans", "pii", "late", "language", "_read", "h", "key")})
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], DOCS)

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from edge_rows import DOCS, odd_texts
+from edge_rows import DOCS, no_docs, odd_docs, odd_texts  # noqa: F401
 from pyspark.sql import functions as F
 
 from tidepanel.llm import langid, pii, toxicity

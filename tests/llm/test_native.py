@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+from edge_rows import no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from tidepanel.llm import sharding, urlfilter

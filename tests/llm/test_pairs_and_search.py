@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pytest
-from edge_rows import DOCS
+from edge_rows import DOCS, no_docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from tidepanel.llm import oddsketch, topk

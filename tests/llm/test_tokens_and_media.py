@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from edge_rows import odd_texts
+from edge_rows import no_docs, odd_docs, odd_texts  # noqa: F401
 from tokenizers import Tokenizer
 
 from tidepanel.llm import bpe, flac, packing
