@@ -343,6 +343,8 @@ def train(
     rows = rows.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).withColumn("h", F.xxhash64("text"))
     keys = rows.select("key", "h").join(marks, "key").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("key").alias("key"))
     keys = keys.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("h")))
+    # the constant limit lets each task keep its own first rows, before they meet
+    keys = keys.filter(F.col("place") <= max(toxic_rows, clean_rows))
     keys = keys.filter(F.col("place") <= F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows))
     # bounded by the parameters: a few thousand keys
     chosen = rows.join(F.broadcast(keys), ["key", "h"]).dropDuplicates(["h"]).repartition(16, "h")
