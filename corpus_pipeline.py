@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidepanel.llm import langid, oddsketch, packing, pii, toxicity
 from tidepanel.scale import freeze
 
+# similarity from which documents are near-duplicates here; op10 has the 0.85 of its contract
+NEAR = (80, 100)
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(spark, docs, sf_dir)
@@ -21,7 +24,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return oddsketch.keep_first(docs)
+    return oddsketch.keep_first(docs, threshold=NEAR)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -169,6 +169,37 @@ def test_pipeline_decisions_take_effect(spark, queries, tmp_path):
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == ids
 
 
+def test_pipeline_joins_near_duplicates_from_four_fifths(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets = brute_sets(r.text for r in rows)
+    holders, parent = collections.defaultdict(list), list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    between = 0
+    for i, own in enumerate(sets):
+        common = collections.Counter(j for shingle in own for j in holders[shingle])
+        for j, n in common.items():
+            if 100 * n >= 80 * len(own | sets[j]):
+                parent[root(i)] = root(j)
+                between += 100 * n < 85 * len(own | sets[j])
+        for shingle in own:
+            holders[shingle].append(i)
+    assert between  # pairs that a threshold of 0.85 leaves in
+    want = {}
+    for i, r in enumerate(rows):
+        group = root(i) if sets[i] else (i,)
+        want[group] = min(r.doc_id, want.get(group, r.doc_id))
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, LARGER).select("doc_id").collect()]
+    assert sorted(kept) == sorted(want.values())
+
+
 def test_entry_imports_without_the_subpackage():
     import subprocess
     import sys

@@ -15,7 +15,8 @@ Candidates are asked for in two steps, so that a large group of near copies is n
    a time, whatever the size of the bucket. Pairs are never written out: the bitmaps tell which rows of two blocks
    have something to compare, those rows fetch their sets, and a pair is read only while its components are apart.
 
-A pair of similarity 0.85 is missed by all bands with a probability of 1e-8, by the bitmap bound with 1e-7.
+A pair of similarity 0.85 is missed by all bands with a probability of 1e-8, one of 0.8 with 3e-6; by the bitmap bound, which
+follows the threshold, with 1e-7.
 
 Defined results: null texts and texts without a word have an empty set, no links, and are kept; a text of fewer words than
 a shingle is one shingle; repeated rows fall in one class; a component's id is its smallest document id (missing ids
@@ -484,12 +485,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "tid", "group_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold=THRESHOLD) -> DataFrame:
     """One row of each group stays: that of the smallest id, then of the smallest text digest; all columns as they are.
 
     Rows equal in id and text are one. Texts without a word are in no group and all stay.
     """
-    found = near_duplicates(df, id_col, text_col).filter(F.col("n_shingles") > 0)
+    found = near_duplicates(df, id_col, text_col, threshold).filter(F.col("n_shingles") > 0)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tid")).alias("first")
     key, digest, place = free_name(df, "_id"), free_name(df, "_digest"), free_name(df, "_place")
     kept = found.groupBy("group_id").agg(first)
