@@ -167,6 +167,21 @@ def test_long_days_are_joined_in_parts(spark):
     ]
 
 
+def test_daily_digests_cover_all_parts(spark):
+    texts = [f"t{i:02d}é" for i in range(7)]
+    day, empty = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
+    data = [(code, day, at(1, 9, 0, i), t) for code in ("a", "b") for i, t in enumerate(texts[: 7 if code == "a" else 1])]
+    df = spark.createDataFrame(data, "stock_code string, trade_date date, publish_time timestamp_ntz, news_text string")
+    whole, one = (hashlib.sha256("\n\n".join(t).encode()).hexdigest() for t in (texts, texts[:1]))
+    parts = nw.joined_texts(df, ["stock_code", "trade_date"], nw.STOCK_TEXT, part_bytes=8)
+    stock = nw.stock_daily(df, parts)
+    assert [(r.stock_code, r.news_text_sha256, r.text_parts) for r in stock.orderBy("stock_code").collect()] == [("a", whole, 4), ("b", one, 1)]
+    own = df.where("stock_code = 'a'")
+    market = nw.market_daily(own, spark.createDataFrame([(day,), (empty,)], "d date"), nw.joined_texts(own, ["trade_date"], nw.MARKET_TEXT, part_bytes=8))
+    none = hashlib.sha256(b"").hexdigest()
+    assert [(r.market_news_text_sha256, r.market_text_parts) for r in market.orderBy("trade_date").collect()] == [(whole, 4), (none, 0)]
+
+
 def test_bad_answers_are_rejected_with_a_reason(spark):
     good = '{"sentiment_score": "-0.5", "impact_score": 1, "risk_score": 0, "relevance_score": 0.2, "novelty_score": 0.1, "event_type": "Geo politics"}'
     data = [(1, good), (2, good.replace('"impact_score": 1,', '"impact_score": 1.5,')), (3, "no json"), (4, f"text {good} more")]

@@ -110,9 +110,9 @@ def on_calendar(calendar: DataFrame, daily: DataFrame, counts: Sequence[str], te
 
 
 def attach_news_counts(samples: DataFrame, stock_daily: DataFrame, market_daily: DataFrame) -> DataFrame:
-    """Daily stock news with its text, and market counts, at each sample's trade_date; counts filled with 0."""
+    """Daily stock news with its text's digest, and market counts, at each sample's trade_date; counts filled with 0."""
     work = samples.join(stock_daily, ["sample_id", "stock_code", "trade_date"], "left")
-    market = market_daily.drop("market_news_text_concat", "market_text_parts")
+    market = market_daily.drop("market_news_text_sha256", "market_text_parts")
     work = work.join(market, "trade_date", "left")
     return work.withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)) for c in ("news_count", "text_parts", "market_news_count") if c in work.columns}

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidepanel.functions.scalar import col
 from tidepanel.functions.text import BLANKS, iso_time, norm_code, norm_label, norm_name, parse_time
 from tidepanel.functions.text import sample_id, squeeze, text_hash, to_half_width
 from tidepanel.operators.joins import forward_trade_day, on_calendar
 from tidepanel.operators.keys import keep_first, keep_last, require_columns, require_unique
-from tidepanel.scale import null_safe_join
+from tidepanel.scale import null_safe_join, settled
 from tidepanel.sources.readers import SOURCE_FILE, find_column
 
 # Headers that name each part of a news row.
@@ -23,7 +25,9 @@ TEXT_HEADERS = ("title", "headline", "content", "summary", "text", "标题", "
 TITLE_HEADERS = ("title", "headline", "标题")
 SHORTEST_ALIAS = 3
 PART_BYTES = 8_000_000
+SEPARATOR = "\n\n"
 STOCK_TEXT, MARKET_TEXT = "news_text_concat", "market_news_text_concat"
+STOCK_DIGEST, MARKET_DIGEST = "news_text_sha256", "market_news_text_sha256"
 
 
 def compose_text(news: DataFrame) -> DataFrame:
@@ -175,14 +179,19 @@ def _distinct_news(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def market_daily(detail: DataFrame, calendar: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Count, latest time and first text part of all news of each trading day, also of days without any."""
+    """Count, latest time and digest of the whole text of all news of each trading day, also of days without any.
+
+    The text itself is in the parts of ``texts`` under the same trade_date.
+    """
+    if texts is None:
+        detail = settled(detail, "news")
+        texts = joined_texts(detail, ["trade_date"], MARKET_TEXT)
     daily = detail.groupBy("trade_date").agg(
         F.count(F.lit(1)).alias("market_news_count"), F.max("publish_time").alias("market_latest_publish_time")
     )
-    if texts is None:
-        texts = joined_texts(detail, ["trade_date"], MARKET_TEXT)
-    daily = daily.join(first_parts(texts, ["trade_date"], MARKET_TEXT, "market_text_parts"), "trade_date", "left")
-    return on_calendar(calendar, daily, ["market_news_count", "market_text_parts"], [MARKET_TEXT])
+    daily = daily.join(whole_digests(texts, ["trade_date"], MARKET_TEXT, MARKET_DIGEST, "market_text_parts"), "trade_date", "left")
+    out = on_calendar(calendar, daily, ["market_news_count", "market_text_parts"])
+    return out.withColumn(MARKET_DIGEST, F.coalesce(MARKET_DIGEST, F.sha2(F.lit(""), 256)))
 
 
 def stock_rows(detail: DataFrame) -> DataFrame:
@@ -195,20 +204,23 @@ def stock_rows(detail: DataFrame) -> DataFrame:
 
 
 def stock_daily(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Count, latest time and first text part per stock and day."""
+    """Count, latest time and digest of the whole text per stock and day; the text is in the parts of ``texts``."""
     keys = ["stock_code", "trade_date"]
     if texts is None:
+        rows = settled(rows, "stock_news")
         texts = joined_texts(rows, keys, STOCK_TEXT)
     keyed = rows.withColumn("sample_id", sample_id("stock_code", "trade_date"))
     daily = keyed.groupBy("sample_id", *keys).agg(
         F.count(F.lit(1)).alias("news_count"), F.max("publish_time").alias("latest_publish_time")
     )
-    daily = daily.join(first_parts(texts, keys, STOCK_TEXT, "text_parts"), keys, "left")
-    return daily.withColumns({STOCK_TEXT: F.coalesce(STOCK_TEXT, F.lit("")), "text_parts": F.coalesce("text_parts", F.lit(0))})
+    daily = daily.join(whole_digests(texts, keys, STOCK_TEXT, STOCK_DIGEST, "text_parts"), keys, "left")
+    return daily.withColumns(
+        {STOCK_DIGEST: F.coalesce(STOCK_DIGEST, F.sha2(F.lit(""), 256)), "text_parts": F.coalesce("text_parts", F.lit(0))}
+    )
 
 
 def joined_texts(
-    rows: DataFrame, keys: Sequence[str], out: str, part_bytes: int = PART_BYTES, separator: str = "\n\n"
+    rows: DataFrame, keys: Sequence[str], out: str, part_bytes: int = PART_BYTES, separator: str = SEPARATOR
 ) -> DataFrame:
     """All texts of a group in order of time, as parts of about ``part_bytes`` each.
 
@@ -227,10 +239,44 @@ def joined_texts(
     return placed.groupBy(*keys, "part").agg(F.array_join(F.transform(pieces, lambda t: t["news_text"]), separator).alias(out))
 
 
-def first_parts(texts: DataFrame, keys: Sequence[str], text: str, parts: str) -> DataFrame:
-    """The first part of each group's text and the number of parts."""
-    first = F.max(F.when(F.col("part") == 0, F.col(text)))
-    return texts.groupBy(*keys).agg(first.alias(text), F.count(F.lit(1)).cast("int").alias(parts))
+def whole_digests(
+    texts: DataFrame, keys: Sequence[str], text: str, digest: str, parts: str, separator: str = SEPARATOR
+) -> DataFrame:
+    """SHA-256 of each group's whole text, that is of all its parts joined, and their number.
+
+    The parts of a group pass through the digest one after another; the whole text is never held.
+    """
+    import pyarrow as pa
+
+    keys, n = list(keys), len(keys)
+    kinds = [texts.schema[k].dataType for k in keys]
+    fields = [StructField(k, kind) for k, kind in zip(keys, kinds)]
+    schema = StructType([*fields, StructField(digest, StringType()), StructField(parts, IntegerType())])
+
+    def run(batches):
+        group, state, seen, names, types = None, None, 0, [*keys, digest, parts], None
+
+        def row():
+            columns = [pa.array([k], t) for k, t in zip(group, types)] + [pa.array([state.hexdigest()]), pa.array([seen], pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(n)]
+            for i in range(batch.num_rows):
+                key = tuple(batch.column(k)[i].as_py() for k in range(n))
+                if key != group:
+                    if seen:
+                        yield row()
+                    group, state, seen = key, hashlib.sha256(), 0
+                elif seen:
+                    state.update(separator.encode())
+                state.update(batch.column(n + 1)[i].as_buffer())
+                seen += 1
+        if seen:
+            yield row()
+
+    ordered = texts.select(*keys, "part", text).repartition(*keys).sortWithinPartitions(*keys, "part")
+    return ordered.mapInArrow(run, schema)
 
 
 # -- items ------------------------------------------------------------------------
@@ -309,7 +355,7 @@ def items_between(items: DataFrame, start=None, end=None) -> DataFrame:
 
 
 __all__ = [
-    "alias_table", "check_items", "code_table", "codes_in_text", "compose_text", "first_parts", "items_between",
+    "alias_table", "check_items", "code_table", "codes_in_text", "compose_text", "items_between",
     "joined_texts", "listed_code", "market_daily", "match_stocks", "names_in_text", "news_items", "orphan_ids",
-    "prepare_news", "stock_daily", "stock_rows",
+    "prepare_news", "stock_daily", "stock_rows", "whole_digests",
 ]

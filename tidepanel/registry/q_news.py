@@ -228,7 +228,7 @@ def _joined_sql(keys: str, source: str) -> str:
 def market_news_daily(spark, sf):
     """News count, latest time and text for every trading day, also the empty ones."""
     out = nw.market_daily(detail(spark, sf), trading(spark, sf).select("trade_date"))
-    text = F.sha2(nw.MARKET_TEXT, 256).alias("text_hash")
+    text = F.col(nw.MARKET_DIGEST).alias("text_hash")
     return out.select("trade_date", "market_news_count", "market_latest_publish_time", text)
 
 
@@ -267,7 +267,7 @@ def stock_news_daily(spark, sf):
     """News count, latest time and text per stock and day."""
     out = nw.stock_daily(nw.stock_rows(detail(spark, sf)))
     columns = ("sample_id", "stock_code", "trade_date", "news_count", "latest_publish_time")
-    return out.select(*columns, F.sha2(nw.STOCK_TEXT, 256).alias("text_hash"))
+    return out.select(*columns, F.col(nw.STOCK_DIGEST).alias("text_hash"))
 
 
 @query(
@@ -290,7 +290,7 @@ def attach_news_counts_query(spark, sf):
     stock = nw.stock_daily(rows)
     market = news.withColumn("trade_date", month).groupBy("trade_date").agg(F.count(F.lit(1)).alias("market_news_count"))
     out = attach_news_counts(tables.samples(spark, sf), stock, market)
-    return out.select("sample_id", "news_count", "market_news_count", F.sha2(nw.STOCK_TEXT, 256).alias("text_hash"))
+    return out.select("sample_id", "news_count", "market_news_count", F.col(nw.STOCK_DIGEST).alias("text_hash"))
 
 
 # -- items ---------------------------------------------------------------------------
