@@ -219,3 +219,22 @@ def test_redaction(spark):
     assert out[1].text == "é <EMAIL>, <PHONE> end" and out[1].n_chars == len(out[1].text)
     assert out[2].text is None and out[2].n_chars == 5 and out[3].text == "plain 12"
     assert pii.redact_documents(spark, docs, "").columns == docs.columns
+
+
+def test_a_rare_language_keeps_its_toxic_words(spark):
+    rnd = random.Random(8)
+
+    def text(lang, toxic):
+        words = [f"{lang}{rnd.randrange(300)}w" for _ in range(40)]
+        if toxic:
+            words[rnd.randrange(1, 39)] = {"aa": "aavile", "bb": "bbgrim"}[lang]
+        return " ".join(words)
+
+    made = [(lang, toxic) for lang, n in (("aa", 600), ("bb", 30)) for toxic in (0, 1) for _ in range(n)]
+    rows = [(i, text(lang, toxic), lang, "s", 0) for i, (lang, toxic) in enumerate(made)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, toxic) for i, (_, toxic) in enumerate(made)], "doc_id long, toxic int")
+    field = toxicity.train(docs, labels, toxic_rows=60, clean_rows=60)
+    fresh = spark.createDataFrame([(i, text("bb", i % 2), "bb", "s", 0) for i in range(60)], DOCS)
+    got = toxicity.score(fresh, field).select("doc_id", "toxicity.predicted").collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in got) >= 57

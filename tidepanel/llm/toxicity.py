@@ -20,6 +20,7 @@ scores; a document with several labels counts as toxic if one says so; without l
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -210,7 +211,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     return w
 
 
-def fit_field(index: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: float = 0.25, penalty: float = 2e-5) -> Field:
+def fit_field(index: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.25, penalty: float = 2e-5) -> Field:
     """Gradient steps on windows: feature places [windows, words, kinds] (-1: no word) and labels [windows, words]."""
     live = index[:, :, 0] >= 0
     place = np.maximum(index, 0)
@@ -223,10 +224,11 @@ def fit_field(index: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: flo
     for a in (0, 1):
         for b in (0, 1):
             seen[a, b] = ((labels[:, :-1] == a) & (labels[:, 1:] == b) & pairs).sum()
-    place = place.reshape(-1, KINDS)
-    flat = place[live.ravel()].ravel()
+    # features are read a few windows at a time, so that only their places are held
+    runs = [slice(i, i + 2048) for i in range(0, n, 2048)]
     for _ in range(rounds):
-        s = np.where(live, weights[place].sum(1, dtype=np.float64).reshape(n, width) + bias, 0.0)
+        s = np.concatenate([weights[place[r]].sum(2, dtype=np.float64) for r in runs])
+        s = np.where(live, s + bias, 0.0)
         e = np.exp(np.clip(s, -40, 40))
         t = np.exp(trans)
         # messages, normalised at every word
@@ -254,7 +256,10 @@ def fit_field(index: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: flo
             joint /= joint.sum((1, 2), keepdims=True)
             grad_t += joint[pairs[:, i]].sum(0)
         error = (p - y) / n
-        grad = np.bincount(flat, weights=np.repeat(error[live], KINDS), minlength=1 << BITS) + penalty * weights
+        grad = penalty * weights.astype(np.float64)
+        for r in runs:
+            shares = np.repeat(error[r][live[r]], KINDS)
+            grad += np.bincount(place[r][live[r]].ravel(), weights=shares, minlength=1 << BITS)
         grown_w += grad * grad
         weights -= (rate * grad / np.sqrt(grown_w)).astype(np.float32)
         grad_t = grad_t / n + 1e-4 * trans
@@ -327,27 +332,37 @@ def train(
     labels: DataFrame,
     text_col: str = "text",
     id_col: str = "doc_id",
-    toxic_rows: int = 1200,
-    clean_rows: int = 1800,
+    toxic_rows: int = 1500,
+    clean_rows: int = 2500,
     calibration_share: float = 0.3,
     longest: int = 100_000,
-    per_text: int = 3,
+    per_text: int = 6,
+    strata: Sequence[str] = ("lang", "source"),
 ) -> Field:
     """A field from a bounded sample of labelled texts: at most ``toxic_rows`` and ``clean_rows``, copies once.
 
-    Texts above ``longest`` characters take no part in training.
+    The columns ``strata``, where ``docs`` has them, share the sample evenly: each value of the first takes its turn, inside it
+    each of the second, so a rare language or source keeps its texts until all have as many. Texts above ``longest`` characters
+    take no part in training.
     """
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("key"))
     marks = marks.agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    of = [F.col(f"`{c}`").cast("string").alias(f"s{i}") for i, c in enumerate(c for c in strata if c in docs.columns)]
+    groups = [f"s{i}" for i in range(len(of))]
+    rows = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"), *of)
     rows = rows.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).withColumn("h", F.xxhash64("text"))
-    keys = rows.select("key", "h").join(marks, "key").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("key").alias("key"))
-    keys = keys.withColumn("place", F.row_number().over(Window.partitionBy("toxic").orderBy("h")))
-    # the constant limit lets each task keep its own first rows, before they meet
-    keys = keys.filter(F.col("place") <= max(toxic_rows, clean_rows))
+    first = F.min(F.struct("key", *groups)).alias("first")
+    keys = rows.select("key", "h", *groups).join(marks, "key").groupBy("h").agg(F.max("toxic").alias("toxic"), first)
+    keys = keys.select("h", "toxic", "first.*").withColumn("place", F.lit(0))
+    for depth in range(len(groups), -1, -1):
+        turns = Window.partitionBy("toxic", *groups[:depth]).orderBy("place", "h")
+        # the constant limit lets each task keep its own first rows, before they meet
+        keys = keys.withColumn("next", F.row_number().over(turns)).filter(F.col("next") <= max(toxic_rows, clean_rows))
+        keys = keys.withColumn("place", F.col("next")).drop("next")
+    keys = keys.select("h", "toxic", "key", "place")
     keys = keys.filter(F.col("place") <= F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows))
     # bounded by the parameters: a few thousand keys
-    chosen = rows.join(F.broadcast(keys), ["key", "h"]).dropDuplicates(["h"]).repartition(16, "h")
+    chosen = rows.drop(*groups).join(F.broadcast(keys), ["key", "h"]).dropDuplicates(["h"]).repartition(16, "h")
     chosen = chosen.withColumn("calibrates", F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * calibration_share))
     def summary(field: Field) -> tuple[np.ndarray, np.ndarray]:
         shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded: a weight per hashed feature
