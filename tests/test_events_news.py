@@ -53,12 +53,38 @@ def test_windows_against_brute_force(spark, clock_count):
         assert got == brute(samples, events, days)
 
 
-def test_wrong_clock_is_an_error(spark):
-    samples = spark.createDataFrame([("a", "A", at(2, 10))], SAMPLE_SCHEMA)
-    events = spark.createDataFrame([("n", "A", at(1), 1.0)], EVENT_SCHEMA)
-    out = windowed_events(samples, events, [1], SlotMeasures(), "stock_code", clocks=[565 * 60_000_000])
-    with pytest.raises(Exception, match="none of the given clocks"):
-        out.collect()
+def plan_nodes(df):
+    """Names of the plan's nodes, in order."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line.lstrip(" :+-").split(" ")[0].split("(")[0] for line in text.splitlines()]
+
+
+def test_any_decision_times_by_one_plan(spark):
+    """Times to the microsecond, many in one minute, and one entity with most events in a single minute; the plan is that of one clock."""
+    rng = random.Random(9)
+    start = dt.datetime(2024, 1, 1)
+    when = lambda days: start + dt.timedelta(microseconds=rng.randrange(days * 86_400_000_000))
+    busy = [start + dt.timedelta(days=6, hours=9, microseconds=rng.randrange(60_000_000)) for _ in range(60)]
+    samples = [(f"s{i}", rng.choice("AB"), when(9)) for i in range(40)] + [(f"b{i}", "A", t) for i, t in enumerate(busy)]
+    samples += [("again", "A", busy[0]), ("lonely", "Z", busy[0])]
+    events = [(f"n{i}", rng.choice("AB"), when(9), rng.random()) for i in range(300)]
+    events += [(f"m{i}", "A", t - dt.timedelta(days=rng.choice([0, 1, 4])), rng.random()) for i, t in enumerate(busy * 3)]
+    events += [(f"d{i}", "A", start + dt.timedelta(days=5), 0.5) for i in range(50)]
+    measures = SlotMeasures(sums={"total": F.col("v")}, maxima={"high": F.col("v")}, minima={"low": F.col("v")}, latest=("v",))
+    run = lambda rows: windowed_events(
+        spark.createDataFrame(rows, SAMPLE_SCHEMA), spark.createDataFrame(events, EVENT_SCHEMA), [1, 4], measures, "stock_code"
+    )
+    out = run(samples).collect()
+    assert len(out) == len(samples)
+    for days in (1, 4):
+        got = {r["sample_id"]: (r[f"count_{days}d"], r[f"total_{days}d"], r[f"latest_v_{days}d"]) for r in out}
+        assert got == brute(samples, events, days)
+        for r in out:
+            code, decision = next((c, t) for s, c, t in samples if s == r["sample_id"])
+            seen = [v for _, c, t, v in events if c == code and decision - dt.timedelta(days=days) < t <= decision]
+            assert (r[f"high_{days}d"], r[f"low_{days}d"]) == ((max(seen), min(seen)) if seen else (None, None))
+    one_clock = [(s, c, t.replace(hour=9, minute=25, second=0, microsecond=0)) for s, c, t in samples]
+    assert plan_nodes(run(one_clock)) == plan_nodes(run(samples))
 
 
 def test_news_factors_open_below_closed_above(spark):

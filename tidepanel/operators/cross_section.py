@@ -1,9 +1,10 @@
 """Operators within one date (or any other group) across entities.
 
-All take a DataFrame and return it with columns added. Group statistics are grouped aggregates with partial
-aggregation, joined back by group; ranks and row numbers are the exact positions of :mod:`tidepanel.operators.ordered`. So no
-section has to fit in one task, and there is one plan for every size. The input is stored first (once, and not if it is
-a stage table already), because an operator reads it more than once.
+All take a DataFrame and return it with columns added. Means and deviations are grouped aggregates with partial
+aggregation, joined back by group; ranks, quantiles and row numbers are the exact positions of
+:mod:`tidepanel.operators.ordered`, which cut a group where it is large. So no section has to fit in one task, and there is
+one plan for every size. An operator that reads its input more than once stores it first, unless it only projects and
+filters stored rows already.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import clip, col, finite, flag, logit, safe_div
-from tidepanel.operators.ordered import exact_quantiles, join_average_ranks, number_rows
-from tidepanel.scale import freeze, null_safe_join, settled
+from tidepanel.operators.ordered import add_ranks, exact_quantiles, median_of_distances, number_rows
+from tidepanel.scale import null_safe_join, settled
 
 BY = ("trade_date",)
 TARGET = ("target_trade_date",)
@@ -37,22 +38,29 @@ def pct_rank(x: Column | str, by: Sequence[str] = BY, ascending: bool = True) ->
 
 
 def cs_rank(
-    df: DataFrame, ranks: Mapping[str, str], by: Sequence[str] = BY, ascending: bool = True, share: bool = False
+    df: DataFrame,
+    ranks: Mapping[str, str],
+    by: Sequence[str] = BY,
+    ascending: bool = True,
+    share: bool = False,
+    row: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add average-tie ranks ``{out: column}``; with ``share`` percentile ranks."""
+    """Add average-tie ranks ``{out: column}``; with ``share`` percentile ranks. ``row``: columns that name a row, if known."""
     values = {f"_x_{out}": finite(x) for out, x in ranks.items()}
-    work = settled(df.withColumns(values))
-    return join_average_ranks(work, by, {out: f"_x_{out}" for out in ranks}, ascending, share).drop(*values)
+    ranked = add_ranks(df.withColumns(values), by, {out: f"_x_{out}" for out in ranks}, ascending, share, row)
+    return ranked.drop(*values)
 
 
-def cs_pct_rank(df, ranks, by: Sequence[str] = BY, ascending: bool = True) -> DataFrame:
-    return cs_rank(df, ranks, by, ascending, share=True)
+def cs_pct_rank(df, ranks, by: Sequence[str] = BY, ascending: bool = True, row: Sequence[str] | None = None) -> DataFrame:
+    return cs_rank(df, ranks, by, ascending, share=True, row=row)
 
 
-def group_values(df: DataFrame, by: Sequence[str], aggregates: Mapping[str, Column]) -> DataFrame:
-    """Add aggregates of the row's group as columns."""
-    work = settled(df)
-    stats = work.groupBy(*by).agg(*[a.alias(out) for out, a in aggregates.items()])
+def group_values(
+    df: DataFrame, by: Sequence[str], aggregates: Mapping[str, Column], source: DataFrame | None = None
+) -> DataFrame:
+    """Add aggregates of the row's group as columns; ``source``: a settled table that ``df`` was made from, to aggregate instead."""
+    work = df if source is not None else settled(df)
+    stats = (work if source is None else source).groupBy(*by).agg(*[a.alias(out) for out, a in aggregates.items()])
     return null_safe_join(work, stats, by)
 
 
@@ -61,7 +69,8 @@ def zscore(
     columns: Mapping[str, Column | str],
     by: Sequence[str] = BY,
     ddof: int = 0,
-    fill: float | None = None
+    fill: float | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``(x - mean) / std`` per group; NULL (or ``fill``) where the deviation is zero or unknown."""
     spread = F.stddev_pop if ddof == 0 else F.stddev_samp
@@ -71,7 +80,7 @@ def zscore(
     for out in columns:
         stats[f"_m_{out}"] = F.avg(f"_x_{out}")
         stats[f"_s_{out}"] = spread(f"_x_{out}")
-    work = group_values(work, by, stats)
+    work = group_values(work, by, stats, None if source is None else source.withColumns(values))
     results = {}
     for out in columns:
         z = safe_div(F.col(f"_x_{out}") - F.col(f"_m_{out}"), F.col(f"_s_{out}"))
@@ -79,8 +88,8 @@ def zscore(
     return work.withColumns(results).drop(*values, *stats)
 
 
-def cs_zscore(df, columns, by: Sequence[str] = BY, ddof: int = 0) -> DataFrame:
-    return zscore(df, columns, by, ddof, None)
+def cs_zscore(df, columns, by: Sequence[str] = BY, ddof: int = 0, source: DataFrame | None = None) -> DataFrame:
+    return zscore(df, columns, by, ddof, None, source)
 
 
 def daily_zscore(df, columns, by: Sequence[str] = TARGET) -> DataFrame:
@@ -96,22 +105,38 @@ def industry_neutralize(
     df: DataFrame,
     columns: Mapping[str, str],
     industry: str = "industry",
-    by: Sequence[str] = BY
+    by: Sequence[str] = BY,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add the distance to the mean of the same date and industry; no industry, no value."""
     known = F.trim(F.col(industry)) != ""
     work = group_values(
-        df, [*by, industry], {f"_m_{out}": F.avg(finite(x)) for out, x in columns.items()}
+        df, [*by, industry], {f"_m_{out}": F.avg(finite(x)) for out, x in columns.items()}, source
     )
     results = {out: finite(F.when(known, col(x) - F.col(f"_m_{out}"))) for out, x in columns.items()}
     return work.withColumns(results).drop(*[f"_m_{out}" for out in columns])
 
 
+def _long(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column | str]) -> DataFrame:
+    """One row per row and column: group, ``_out`` and the value ``_x``."""
+    pairs = F.array(*[F.struct(F.lit(out).alias("_out"), finite(x).cast("double").alias("_x")) for out, x in columns.items()])
+    return df.select(*by, F.inline(pairs))
+
+
+def _pivoted(stats: DataFrame, by: Sequence[str], wanted: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """One row per group from a row per group and ``_out``: ``{name: (out, statistic)}``."""
+    return stats.groupBy(*by).agg(*[F.max(F.when(F.col("_out") == o, F.col(s))).alias(n) for n, (o, s) in wanted.items()])
+
+
 def group_quantiles(
     df: DataFrame, quantiles: Mapping[str, tuple[str, float]], by: Sequence[str] = BY
 ) -> DataFrame:
     """Add ``{out: (column, q)}`` quantiles of the row's group, linearly interpolated."""
-    return group_values(df, by, {out: F.percentile(finite(x), q) for out, (x, q) in quantiles.items()})
+    work = settled(df)
+    shares = sorted({q for _, q in quantiles.values()})
+    long = _long(work, by, {x: x for x, _ in quantiles.values()})
+    stats = exact_quantiles(long, [*by, "_out"], "_x", {f"_q{i}": q for i, q in enumerate(shares)})
+    return null_safe_join(work, _pivoted(stats, by, {out: (x, f"_q{shares.index(q)}") for out, (x, q) in quantiles.items()}), by)
 
 
 def robust_z(
@@ -124,17 +149,22 @@ def robust_z(
     """Add ``(x - median) / (1.4826 MAD)`` clipped to the limit, and ``{out: (column, q)}`` group quantiles.
 
     Where the median deviation is zero the standard deviation takes its place;
-    where that is zero too, or x is missing, the result is zero. All columns share two aggregates per group.
+    where that is zero too, or x is missing, the result is zero. The statistics of all columns come from two selections over
+    one long table and are joined back once.
     """
-    by = list(by)
+    by, wanted = list(by), dict(quantiles or {})
     values = {f"_x_{out}": finite(x) for out, x in columns.items()}
     work = settled(df.withColumns(values))
-    first = [F.percentile(x, 0.5).alias(f"_m{x}") for x in values] + [F.stddev_samp(x).alias(f"_s{x}") for x in values]
-    first += [F.percentile(finite(x), q).alias(out) for out, (x, q) in (quantiles or {}).items()]
-    middle = work.groupBy(*by).agg(*first)
-    apart = null_safe_join(work.select(*by, *values), middle, by)
-    spread = apart.groupBy(*by).agg(*[F.percentile(F.abs(F.col(x) - F.col(f"_m{x}")), 0.5).alias(f"_a{x}") for x in values])
-    work = null_safe_join(work, null_safe_join(middle, spread, by), by)
+    long = _long(work, by, {**{x: x for x in values}, **{f"_q_{out}": x for out, (x, _) in wanted.items()}})
+    shares = sorted({0.5, *[q for _, q in wanted.values()]})
+    names = {f"_q{i}": q for i, q in enumerate(shares)}
+    middle = exact_quantiles(long, [*by, "_out"], "_x", names, {"_s": F.stddev_samp("_x")}, "_grid")
+    median = f"_q{shares.index(0.5)}"
+    spread = median_of_distances(long, [*by, "_out"], "_x", middle, median, "_grid", "_a")
+    stats = {f"_m{x}": (x, median) for x in values} | {f"_s{x}": (x, "_s") for x in values} | {f"_a{x}": (x, "_a") for x in values}
+    stats |= {out: (f"_q_{out}", f"_q{shares.index(q)}") for out, (_, q) in wanted.items()}
+    found = _pivoted(spread, by, stats)
+    work = null_safe_join(work, found, by)
     results = {}
     for out in columns:
         x = f"_x_{out}"
@@ -310,8 +340,8 @@ def winsorize(df: DataFrame, columns: Mapping[str, str], low: float = 0.01, high
     if not 0 <= low <= high <= 1:
         raise ValueError("quantiles must satisfy 0 <= low <= high <= 1")
     work = settled(df)
-    pairs = F.array(*[F.struct(F.lit(out).alias("_out"), finite(x).alias("_x")) for out, x in columns.items()])
-    long = work.select(F.explode(pairs).alias("_p")).select("_p._out", "_p._x")
-    bounds = freeze(exact_quantiles(long, ["_out"], "_x", {"lo": low, "hi": high}), "bounds")
-    limit = lambda out, side: bounds.where(F.col("_out") == out).select(side).scalar()
-    return work.withColumns({out: clip(finite(x), limit(out, "lo"), limit(out, "hi")) for out, x in columns.items()})
+    bounds = exact_quantiles(_long(work, [], columns), ["_out"], "_x", {"lo": low, "hi": high})
+    sides = {f"_{side}_{out}": (out, side) for out in columns for side in ("lo", "hi")}
+    work = work.withColumn("_bounds", _pivoted(bounds, [], sides).select(F.struct(*sides)).scalar())  # one row
+    limit = lambda side, out: F.col("_bounds")[f"_{side}_{out}"]
+    return work.withColumns({out: clip(finite(x), limit("lo", out), limit("hi", out)) for out, x in columns.items()}).drop("_bounds")

@@ -1,9 +1,16 @@
 """Exact ranks, row numbers and quantiles for groups of any size, by one plan.
 
-A window over a group sorts the whole group in one task. Here a group is first reduced to its distinct values with their
-counts (partial aggregation happens before the shuffle, so a value shared by a third of all rows costs one row). The
-values of all groups are then dealt out by range of (group, value): many small groups share a task, a large one is split over
-many. A place is the number of rows in the group's earlier ranges plus those before it in its own range.
+A window over a group sorts the whole group in one task. Here a group is cut where its own sketch says (``percentile_approx``,
+mergeable and bounded), and what has to be exact is counted:
+
+* **Ranks.** The cuts make slots: below the first cut, equal to it, between the first and the second, and so on. One
+  aggregate counts the rows of every slot. A row that equals a cut has its rank from these counts alone; a value that many rows
+  share always is a cut. All others are ranked by a window inside their open slot, which holds about one row in ``CUTS``.
+* **Quantiles.** Two bounds around a quantile, wider than the sketch's error, leave a few rows per thousand. Their distinct values are counted and summed in order, behind the number of rows below the lower bound.
+* **Row numbers** need an order among equal values: rows are dealt out by range of (group, order, id), and a place is the number
+  of rows in the group's earlier ranges plus those before it in its own.
+
+No join meets a value, no task sorts a group, and rows without a value are spread like any others.
 """
 
 from __future__ import annotations
@@ -13,24 +20,187 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.scalar import col
-from tidepanel.scale import freeze, null_safe_join
+from tidepanel.scale import freeze, null_safe_join, settled
+
+CUTS = 32
+ACCURACY = 1000  # of the sketches: one part in so many of a group's rows
+# distances from a quantile's place, as shares, and the rows from which each is more than two rows and twice the sketch's error
+MARGINS = (0.004, 0.02, 0.1, 1.0)
+LEAST_ROWS = (1000, 120, 24)
+GRID = 40
+
+
+# -- ranks ---------------------------------------------------------------------------
+
 
+def slot_of(value: Column, cuts: Column) -> Column:
+    """Number of the slot: odd for a value that is a cut, even between cuts."""
+    smaller = F.size(F.filter(cuts, lambda c: c < value))
+    return F.when(value.isNotNull(), 2 * smaller + F.array_contains(cuts, value).cast("int"))
 
-def value_positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """One row per group and distinct value: ``cnt``, rows ``below`` it, group ``total``.
 
-    ``value`` may be any orderable column, also a struct. NULL values are left
-    out; a NULL key is a group of its own.
+def add_rank(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, ascending: bool = True, share: bool = False
+) -> DataFrame:
+    """Add the average-tie rank of ``value`` in the row's group; ``share`` divides it by the count.
+
+    ``df`` is read more than once and must give the same rows each time (:func:`tidepanel.scale.settled`).
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
-    ranged = by_range(counted, keys, [value], "values")
-    inside = ranged.withColumn("_in_range", _before("cnt", Window.partitionBy(*keys, PART).orderBy(value)))
-    placed = null_safe_join(inside, _offsets(ranged, keys, F.sum("cnt")), [*keys, PART])
-    return placed.select(*keys, value, "cnt", (F.col("_in_range") + F.col("_in_earlier")).alias("below"), F.col("_total").alias("total"))
+    x = F.col(value)
+    narrow = df.select(*keys, value).where(x.isNotNull())
+    steps = [i / CUTS for i in range(1, CUTS)]
+    cuts = narrow.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(x, steps, ACCURACY)).alias("_cuts"))
+    slotted = null_safe_join(narrow, cuts, keys).withColumn("_slot", slot_of(x, F.col("_cuts")))
+    sizes = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("n"), F.max(x).alias("v"))
+    # a row per slot from here on, 2 * CUTS at most in a group; every cut is a value of the group, so odd slots have rows
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("_slot")) - F.col("n")
+    listed = F.array_sort(F.collect_list(F.struct("_slot", "below", "n", "v")))
+    slots = sizes.withColumn("below", before).groupBy(*keys).agg(listed.alias("_list"), F.sum("n").alias("_total"))
+    cut_values = F.transform(F.filter("_list", lambda s: s["_slot"] % 2 == 1), lambda s: s["v"])
+    by_slot = F.map_from_entries(F.transform("_list", lambda s: F.struct(s["_slot"], F.struct(s["below"].alias("below"), s["n"].alias("n")))))
+    slots = slots.select(*keys, "_total", cut_values.alias("_cuts"), by_slot.alias("_slots"))
+    work = null_safe_join(df, slots, keys).withColumn("_slot", slot_of(x, F.col("_cuts")))
+    work = work.withColumn("_at", F.element_at("_slots", F.col("_slot"))).drop("_slots", "_cuts")
+    counted = F.col("_slot").isNull() | (F.col("_slot") % 2 == 1)  # rows that need no order, dealt out by their content
+    spread = F.when(counted, F.pmod(F.xxhash64(*df.columns), F.lit(CUTS)) + 1).otherwise(F.lit(0))
+    work = work.withColumn("_spread", spread.cast("int"))
+    inside = Window.partitionBy(*keys, "_slot", "_spread").orderBy(value)
+    peers = F.count(F.lit(1)).over(inside.rangeBetween(Window.currentRow, Window.currentRow))
+    among = F.when(F.col("_slot") % 2 == 1, (F.col("_at.n") + 1) / 2.0).otherwise(F.rank().over(inside) + (peers - 1) / 2.0)
+    rank = F.col("_at.below") + among
+    if not ascending:
+        rank = F.col("_total") + 1 - rank
+    if share:
+        rank = rank / F.col("_total")
+    return work.withColumn(out, F.when(x.isNotNull(), rank)).drop("_slot", "_at", "_spread", "_total")
+
+
+def add_ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Mapping[str, str],
+    ascending: bool = True,
+    share: bool = False,
+    row: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add average-tie ranks ``{out: column}`` in the row's group.
+
+    One column is ranked on the rows themselves. Several become one long table of (row, column, value), ranked together and
+    joined back once by ``row``, columns that name a row; without them rows are numbered.
+    """
+    keys = list(keys)
+    if len(columns) == 1:
+        ((out, x),) = columns.items()
+        return add_rank(settled(df), keys, x, out, ascending, share)
+    work = settled(df) if row else freeze(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    row = list(row or ["_row"])
+    pairs = F.array(*[F.struct(F.lit(out).alias("_out"), F.col(x).alias("_value")) for out, x in columns.items()])
+    rest = [k for k in keys if k not in row]
+    long = work.select(*row, *rest, F.inline(pairs)).where(F.col("_value").isNotNull())
+    ranked = add_rank(long, [*keys, "_out"], "_value", "_rank", ascending, share)
+    wide = ranked.groupBy(*row).agg(*[F.max(F.when(F.col("_out") == out, F.col("_rank"))).alias(out) for out in columns])
+    return null_safe_join(work, wide, row).drop("_row")
+
+
+# -- quantiles -----------------------------------------------------------------------
+
+
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    quantiles: Mapping[str, float],
+    more: Mapping[str, Column] | None = None,
+    grid: str | None = None,
+) -> DataFrame:
+    """Quantiles per group with linear interpolation, the number of values as ``total``, and ``more`` aggregates.
+
+    A NULL key is a group of its own; groups without any value have a total of 0. ``df`` must be settled. ``grid`` names an
+    array of approximate quantiles to keep, for :func:`median_of_distances`.
+    """
+    keys, x = list(keys), F.col(value)
+    # bounds at several distances; the nearest that is safe for the group's size holds
+    ends = [min(1.0, max(0.0, q + side * m)) for q in quantiles.values() for m in MARGINS for side in (-1, 1)]
+    points = [i / GRID for i in range(1, GRID)] if grid else []
+    sketch = df.groupBy(*keys).agg(
+        F.count(x).alias("total"), F.percentile_approx(x, ends + points, ACCURACY).alias("_all"), *[a.alias(n) for n, a in (more or {}).items()]
+    )
+    safe = F.when(F.col("total") >= LEAST_ROWS[0], 0)
+    for i, rows in enumerate(LEAST_ROWS[1:], 1):
+        safe = safe.when(F.col("total") >= rows, i)
+    sketch = sketch.withColumn("_at", 2 * safe.otherwise(len(LEAST_ROWS)))
+    near = F.array(*[F.col("_all")[F.col("_at") + (2 * len(MARGINS) * i + side)] for i in range(len(quantiles)) for side in (0, 1)])
+    kept = ["total", *(more or {})]
+    if grid:
+        sketch = sketch.withColumn(grid, F.slice("_all", len(ends) + 1, len(points)))
+        kept.append(grid)
+    rows = _with_stats(df.select(*keys, x.alias("_v")), sketch.select(*keys, near.alias("_ends"), F.struct(*kept).alias("_kept")), keys)
+    return _selected(rows, keys, quantiles)
+
+
+def _selected(rows: DataFrame, keys: list[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """Quantiles of ``_v`` per group between the bounds ``_ends``, with what is in ``_kept``.
+
+    Per quantile, rows below its bounds (and those without a value) count as one value before all others; rows above do not matter.
+    """
+    names, v = list(quantiles), F.col("_v")
+    low, high = [F.col("_ends")[2 * i] for i in range(len(names))], [F.col("_ends")[2 * i + 1] for i in range(len(names))]
+    near = lambda i: v.isNull() | (v <= high[i])
+    counts = v.isNotNull().cast("long").alias("_n")
+    if len(names) == 1:
+        each, by = rows.where(near(0)).select(*keys, "_kept", F.when(v >= low[0], v).alias("_v"), counts), keys
+    else:
+        part = lambda i: F.struct(F.lit(i).alias("_q"), F.when(v >= low[i], v).alias("_v"), counts)
+        parts = F.array_compact(F.array(*[F.when(near(i), part(i)) for i in range(len(names))]))
+        each, by = rows.select(*keys, "_kept", F.inline(parts)), [*keys, "_q"]
+    counted = each.groupBy(*by, "_v").agg(F.sum("_n").alias("_n"), F.first("_kept").alias("_kept"))
+    end = F.sum("_n").over(Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()))
+    counted = counted.withColumn("_end", end)
+    share = F.lit(float(quantiles[names[0]])) if by == keys else F.array(*[F.lit(float(q)) for q in quantiles.values()])[F.col("_q")]
+    place = share * (F.col("_kept.total") - 1)
+    value_at = lambda p: F.max(F.when((p >= F.col("_end") - F.col("_n")) & (p < F.col("_end")), F.col("_v")))
+    two = counted.groupBy(*by).agg(
+        value_at(F.floor(place)).alias("_lo"), value_at(F.ceil(place)).alias("_hi"), F.max(place).alias("_p"), F.first("_kept").alias("_kept")
+    )
+    a, b, p = F.col("_lo"), F.col("_hi"), F.col("_p")
+    missed = F.when((a.isNull() | b.isNull()) & (F.col("_kept.total") > 0), F.raise_error(F.lit("a sketch missed its quantile")).cast("double"))
+    two = two.withColumn("_x", missed.when(a == b, a).otherwise((F.ceil(p) - p) * a + (p - F.floor(p)) * b))
+    if by == keys:
+        return two.select(*keys, "_kept.*", F.col("_x").alias(names[0]))
+    found = two.groupBy(*keys).agg(F.first("_kept").alias("_kept"), *[F.max(F.when(F.col("_q") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)])
+    return found.select(*keys, "_kept.*", *names)
+
+
+def median_of_distances(df: DataFrame, keys: Sequence[str], value: str, centres: DataFrame, centre: str, grid: str, out: str) -> DataFrame:
+    """``centres`` (a row per group, with ``total`` and a ``grid`` of the value) and the median distance of ``value`` to ``centre``.
+
+    Bounds of the median come from the grid: the share of values within a distance d is known from the points between
+    centre - d and centre + d, up to a step of the grid on each side and the sketch's error.
+    """
+    keys, c, points = list(keys), F.col(centre), F.col(grid)
+    error = F.lit(2.0 / ACCURACY) + 4.0 / F.col("total")
+    bounds = centres.withColumn("_far", F.transform(points, lambda g: F.abs(g - c)))
+    within = lambda d: F.size(F.filter("_far", lambda e: e <= d))
+    surely_less = F.array_max(F.filter("_far", lambda d: (within(d) + 1) / GRID + error <= 0.5))
+    surely_more = F.array_min(F.filter("_far", lambda d: (within(d) - 1) / GRID - error >= 0.5))
+    ends = F.array(F.coalesce(surely_less, F.lit(0.0)), F.coalesce(surely_more, F.lit(float("inf"))))
+    kept = [n for n in centres.columns if n not in keys and n != grid]
+    bounds = bounds.select(*keys, ends.alias("_ends"), c.alias("_c"), F.struct(*kept).alias("_kept"))
+    rows = _with_stats(df.select(*keys, F.col(value).alias("_v")), bounds, keys).withColumn("_v", F.abs(F.col("_v") - F.col("_c")))
+    return _selected(rows, keys, {out: 0.5})
 
 
+def _with_stats(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of its group's row in ``stats``; without keys there is one row."""
+    if keys:
+        return null_safe_join(df, stats, keys)
+    row = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    return df.withColumn("_one", row).select(*df.columns, *[F.col("_one")[c].alias(c) for c in stats.columns])
+
+
+# -- row numbers ---------------------------------------------------------------------
+
 PART = "_part"
 
 
@@ -43,8 +213,8 @@ def _before(x: str, window) -> Column:
     return F.coalesce(F.sum(x).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _offsets(ranged: DataFrame, keys: list[str], size: Column) -> DataFrame:
-    """Per group and range the rows in earlier ranges, and the rows of the group: a row per range at most."""
+def offsets(ranged: DataFrame, keys: Sequence[str], size: Column) -> DataFrame:
+    """Per group and range the sizes of earlier ranges (``_in_earlier``) and of the group (``_total``): a row per range at most."""
     sizes = ranged.groupBy(*keys, PART).agg(size.alias("_n"))
     group = Window.partitionBy(*keys)
     return sizes.select(*keys, PART, _before("_n", group.orderBy(PART)).alias("_in_earlier"), F.sum("_n").over(group).alias("_total"))
@@ -61,52 +231,8 @@ def number_rows(
     names = [f"_order_{i}" for i in range(len(order))]
     ranged = by_range(df.withColumns(dict(zip(names, order))), keys, [*names, row_id], "numbered")
     inside = F.row_number().over(Window.partitionBy(*keys, PART).orderBy(*names, row_id))
-    placed = null_safe_join(ranged.withColumn("_in_range", inside), _offsets(ranged, keys, F.count(F.lit(1))), [*keys, PART])
+    placed = null_safe_join(ranged.withColumn("_in_range", inside), offsets(ranged, keys, F.count(F.lit(1))), [*keys, PART])
     placed = placed.withColumn(out, F.col("_in_range") + F.col("_in_earlier"))
     if total:
         placed = placed.withColumn(total, F.col("_total"))
     return placed.drop("_in_range", "_in_earlier", "_total", PART, *names)
-
-
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float]
-) -> DataFrame:
-    """Quantiles per group with linear interpolation, and the number of values as ``total``."""
-    keys = list(keys)
-    placed = value_positions(df, keys, value)
-    first, last = F.col("below"), F.col("below") + F.col("cnt") - 1
-    aggregates = [F.max("total").alias("total")]
-    for out, q in quantiles.items():
-        place = F.lit(float(q)) * (F.col("total") - 1)
-        for side, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            aggregates.append(F.max(F.when((at >= first) & (at <= last), F.col(value))).alias(f"_{side}_{out}"))
-    grouped = placed.groupBy(*keys).agg(*aggregates)
-    results = []
-    for out, q in quantiles.items():
-        place = F.lit(float(q)) * (F.col("total") - 1)
-        low, high = F.col(f"_lo_{out}"), F.col(f"_hi_{out}")
-        results.append((low + (high - low) * (place - F.floor(place))).alias(out))
-    return grouped.select(*keys, "total", *results)
-
-
-def join_average_ranks(
-    df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], ascending: bool = True, share: bool = False
-) -> DataFrame:
-    """Add average-tie ranks ``{out: column}`` in the row's group; ``share`` divides them by the count.
-
-    The positions of all columns are found together. They meet ``df`` on the value itself, so ``df`` must be stored.
-    """
-    keys = list(keys)
-    pairs = F.array(*[F.struct(F.lit(out).alias("_out"), F.col(x).alias("_value")) for out, x in columns.items()])
-    long = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p._out", "_p._value")
-    placed = value_positions(long, [*keys, "_out"], "_value")
-    rank = F.col("below") + (F.col("cnt") + 1) / 2.0
-    if not ascending:
-        rank = F.col("total") + 1 - rank
-    if share:
-        rank = rank / F.col("total")
-    placed = placed.select(*keys, "_out", "_value", rank.alias("_rank"))
-    for out, x in columns.items():
-        own = placed.where(F.col("_out") == out).select(*keys, F.col("_value").alias(x), F.col("_rank").alias(out))
-        df = null_safe_join(df, own, [*keys, x])
-    return df

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.scalar import correlation, finite
 from tidepanel.operators.cross_section import cs_rank
 from tidepanel.operators.keys import date_range, require_columns
-from tidepanel.operators.ordered import exact_quantiles, number_rows, value_positions
+from tidepanel.operators.ordered import exact_quantiles, number_rows
 from tidepanel.scale import freeze, null_safe_join
 
 FACTOR = ("factor_name", "label")
@@ -50,7 +50,7 @@ def daily_ic(
     """
     pairs = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     pairs = _grouped(pairs, groups, key)
-    pairs = cs_rank(pairs, {"rx": "x", "ry": "y"}, FACTOR_DAY)
+    pairs = cs_rank(pairs, {"rx": "x", "ry": "y"}, FACTOR_DAY, row=[key, *FACTOR])
     counts = rows.groupBy(*FACTOR_DAY).agg(F.count(F.lit(1)).alias("row_count"))
     usable = (
         (F.count(F.lit(1)) >= min_pairs)
@@ -163,8 +163,7 @@ def factor_quality(
 ) -> DataFrame:
     """Missing, infinite and non-numeric counts, moments, quantiles, year coverage and flags per factor.
 
-    Only rows of known samples count. Quantiles and distinct counts are exact and
-    come from the distinct values of each factor.
+    Only rows of known samples count. Quantiles and distinct counts are exact.
     """
     require_columns(block, ["sample_id", *factors], "block")
     years = samples.select("sample_id", F.year("target_trade_date").cast("bigint").alias("target_year")).dropDuplicates(["sample_id"])
@@ -186,7 +185,7 @@ def factor_quality(
         F.min("x").alias("min"),
         F.max("x").alias("max"),
     )
-    distinct = value_positions(long, ["factor_name"], "x").groupBy("factor_name").agg(
+    distinct = long.where(F.col("x").isNotNull()).select("factor_name", "x").distinct().groupBy("factor_name").agg(
         F.count(F.lit(1)).alias("unique_count")
     )
     spread = exact_quantiles(long, ["factor_name"], "x", QUANTILES).drop("total")

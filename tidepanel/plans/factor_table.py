@@ -13,6 +13,7 @@ from tidepanel.operators.cross_section import cs_pct_rank, cs_zscore, industry_n
 from tidepanel.operators.joins import combine_on_keys
 from tidepanel.operators.keys import require_columns, require_unique
 from tidepanel.plans.terms import Term
+from tidepanel.scale import settled
 
 DAILY_KEYS = ("stock_code", "trade_date")
 
@@ -104,7 +105,7 @@ class NeutralForms:
 def append_neutral(table: FactorTable, forms: NeutralForms = NeutralForms()) -> FactorTable:
     """Add percentile rank, z-score and industry-neutral forms of each factor.
 
-    The forms of all factors share the two groupings (date; date and industry).
+    The table is stored once; all ranks come from one long table, all means and deviations from one aggregate per grouping.
     """
     names = list(forms.names) if forms.names is not None else table.names
     unknown = [n for n in names if n not in table.names]
@@ -112,13 +113,13 @@ def append_neutral(table: FactorTable, forms: NeutralForms = NeutralForms()) ->
         raise KeyError(f"cannot neutralise unknown factors: {unknown}")
     by = (forms.date_column,)
     require_columns(table.df, [*by, *([forms.industry_column] if forms.industry else [])], "neutral")
-    df = table.df
+    df = base = settled(table.df, "factors")
     if forms.cs_pct:
-        df = cs_pct_rank(df, {f"{n}_cs_pct": n for n in names}, by)
+        df = cs_pct_rank(df, {f"{n}_cs_pct": n for n in names}, by, row=table.keys)
     if forms.cs_z:
-        df = cs_zscore(df, {f"{n}_cs_z": n for n in names}, by)
+        df = cs_zscore(df, {f"{n}_cs_z": n for n in names}, by, source=base)
     if forms.industry:
-        df = industry_neutralize(df, {f"{n}_ind_neu": n for n in names}, forms.industry_column, by)
+        df = industry_neutralize(df, {f"{n}_ind_neu": n for n in names}, forms.industry_column, by, base)
     specs = list(table.specs)
     for base in (s for s in table.specs if s.name in names):
         kinds = []

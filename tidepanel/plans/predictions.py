@@ -11,7 +11,7 @@ from tidepanel.functions.scalar import clip, correlation, finite, number, row_me
 from tidepanel.operators.cross_section import blend_labels, cs_rank, daily_zscore, first_rank, top_rows
 from tidepanel.operators.joins import in_all
 from tidepanel.operators.keys import keep_last, require_columns
-from tidepanel.operators.ordered import exact_quantiles, join_average_ranks
+from tidepanel.operators.ordered import exact_quantiles, add_ranks
 from tidepanel.scale import freeze, null_safe_join
 
 TARGET = ("target_trade_date",)
@@ -108,7 +108,7 @@ def regression_metrics(
     pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), y.alias("y")) for t, y in targets.items()]))
     rows = df.select(finite(pred).alias("x"), pairs.alias("_t")).select("x", "_t.target", "_t.y")
     stored = freeze(rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()), "regression")
-    ranked = join_average_ranks(stored, ["target"], {"rx": "x", "ry": "y"})
+    ranked = add_ranks(stored, ["target"], {"rx": "x", "ry": "y"})
     error = F.col("x") - F.col("y")
     varied = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
     return ranked.groupBy("target").agg(

@@ -13,6 +13,7 @@ from tidepanel.operators.keys import keep_last, require_columns
 from tidepanel.operators.joins import feature_panel
 from tidepanel.operators.timeseries import forward_return, history
 from tidepanel.operators.ordered import exact_quantiles
+from tidepanel.scale import settled
 
 # Fixed value: decisions are made at 09:25 of the target day.
 DECISION_MINUTE = 9 * 60 + 25
@@ -102,7 +103,7 @@ def fit_scaler(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     nothing becomes 1. All features go through one long table.
     """
     long = train.select(*[finite(c).alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    long = long.where(F.col("value").isNotNull())
+    long = settled(long.where(F.col("value").isNotNull()), "features")
     middle = exact_quantiles(long, ["feature"], "value", {"median": 0.5}).drop("total")
     spread = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
     names = train.sparkSession.createDataFrame([(c,) for c in columns], "feature string")

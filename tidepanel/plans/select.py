@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import clip, correlation, finite
 from tidepanel.operators.keys import require_columns
-from tidepanel.operators.ordered import join_average_ranks
+from tidepanel.operators.ordered import add_ranks
 from tidepanel.scale import freeze
 
 # Default thresholds.
@@ -126,8 +125,7 @@ def standardised(panel: DataFrame, factors: Sequence[str], method: str = "spearm
     wide = panel.select(key, *[finite(f).alias(f) for f in factors])
     long = wide.unpivot([key], list(factors), "factor_name", "x").where(F.col("x").isNotNull())
     if method == "spearman":
-        stored = freeze(long, "ranks")
-        long = join_average_ranks(stored, ["factor_name"], {"v": "x"})
+        long = add_ranks(long, ["factor_name"], {"v": "x"})
     else:
         long = long.withColumn("v", F.col("x"))
     stats = long.groupBy("factor_name").agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
@@ -149,16 +147,17 @@ def correlation_matrix(
     factors = list(factors)
     z = standardised(panel, factors, method, key).select(F.array(*factors).alias("z"))
 
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def products(batches):
+        import pyarrow as pa
+
         total = np.zeros((len(factors), len(factors)))
         for batch in batches:
-            if len(batch):
-                block = np.stack(batch["z"].to_numpy())
-                total += block.T @ block
+            block = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(factors))
+            total += block.T @ block
         i, j = np.triu_indices(len(factors), k=1)
-        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "dot": total[i, j]})
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "dot"])
 
-    sums = z.mapInPandas(products, "i int, j int, dot double").groupBy("i", "j").agg(F.sum("dot").alias("dot"))
+    sums = z.mapInArrow(products, "i int, j int, dot double").groupBy("i", "j").agg(F.sum("dot").alias("dot"))
     present = panel.agg(*[F.count(finite(f)).alias(f) for f in factors]).unpivot([], factors, "factor_name", "n")
     names = panel.sparkSession.createDataFrame(list(enumerate(factors)), "i int, factor_name string")
     sizes = names.join(present, "factor_name")
@@ -181,8 +180,7 @@ def pair_correlation(
     group = ["factor_a", "factor_b"]
     x, y = "x", "y"
     if method == "spearman":
-        stored = freeze(both, "pairs")
-        both = join_average_ranks(stored, group, {"rx": "x", "ry": "y"})
+        both = add_ranks(both, group, {"rx": "x", "ry": "y"}, row=[key, *group])
         x, y = "rx", "ry"
     return both.groupBy(*group).agg(
         F.when((F.min("x") < F.max("x")) & (F.min("y") < F.max("y")), correlation(F.col(x), F.col(y))).alias("corr"),

@@ -14,7 +14,6 @@ from tidepanel.registry import tables
 from tidepanel.registry.base import query, rounded, tidy
 from tidepanel.registry.tables import code_of, code_sql, define, sql, table
 
-CLOCK = 565 * 60_000_000
 
 # -- raw news ----------------------------------------------------------------------
 
@@ -626,14 +625,14 @@ def window_sql(scope: str, types) -> str:
 def news_stock_windows(spark, sf):
     """Stock event factors over 1, 3, 5 and 10 days before 09:25."""
     scored, pairs, samples = event_tables(spark, sf)
-    return tidy(nf.news_factors(samples, scored, "stock", pairs, clocks=[CLOCK], check=False).output())
+    return tidy(nf.news_factors(samples, scored, "stock", pairs, check=False).output())
 
 
 @query("news_market_windows", window_sql("market", nf.MARKET_TYPES))
 def news_market_windows(spark, sf):
     """Market event factors over 1, 3, 5 and 10 days before 09:25."""
     scored, _, samples = event_tables(spark, sf)
-    return tidy(nf.news_factors(samples, scored, "market", clocks=[CLOCK], check=False).output())
+    return tidy(nf.news_factors(samples, scored, "market", check=False).output())
 
 
 @query(
@@ -656,7 +655,7 @@ def net_event_score(spark, sf):
     scores = scores.withColumn("novelty_score", F.col("_n")).drop("_n")
     items = events.drop(*es.SCORE_COLUMNS, "event_type").withColumn("news_text_hash", F.sha2(F.col("news_id").cast("string"), 256))
     scored = nf.scored_items(items, scores, ["risk_score"], nf.NET_SCORES)
-    return tidy(nf.net_event_score(samples, scored, pairs, clocks=[CLOCK]))
+    return tidy(nf.net_event_score(samples, scored, pairs))
 
 
 @query(

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for stage tables: the session's checkpoint folder."""
+    """Folder for stage tables: the session's checkpoint folder, which all executors must reach.
+
+    Only where none is set and driver and executors are one local process, a folder of its own.
+    """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -55,14 +58,30 @@ def freeze(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    stored.is_stored = True
-    return stored
+    return spark.read.schema(df.schema).parquet(path)
+
+
+# plan nodes that give the same rows, value by value, whenever they are read again
+REREAD = {"Project", "Filter", "LogicalRelation", "Relation", "LocalRelation", "SubqueryAlias", "Union"}
+
+
+def reads_alike(df: DataFrame) -> bool:
+    """Whether ``df`` only projects and filters stored rows, so that reading it again gives the same values."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if not plan.deterministic():
+        return False
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().split(" ")[0] not in REREAD:
+            return False
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return True
 
 
 def settled(df: DataFrame, name: str = "section") -> DataFrame:
-    """``df`` as a stage table; itself if it is one already."""
-    return df if getattr(df, "is_stored", False) else freeze(df, name)
+    """``df`` as a stage table; itself if reading it again gives the same values anyway."""
+    return df if reads_alike(df) else freeze(df, name)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:

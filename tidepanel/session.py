@@ -21,6 +21,7 @@ def panel_session(app: str = "tidepanel", cores: int | None = None, shuffle_part
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         # window work is heavy per byte: keep small shuffles spread over the cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .getOrCreate()
