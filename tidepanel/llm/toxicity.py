@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm.bpe import in_chunks
 from tidepanel.llm.common import crc32_of_id, free_name, read, slices, with_text_result
-from tidepanel.scale import freeze
+from tidepanel.scale import freeze, null_safe_join
 
 U = np.uint64
 BITS = 18
@@ -211,61 +211,65 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
     return w
 
 
+def _window_marginals(e: np.ndarray, t: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of label 1 per word, and the expected label pairs summed, of windows with odds ``e`` and pair weights ``t``."""
+    n, width = e.shape
+    # messages, normalised at every word
+    alpha, beta = np.empty((width, n, 2)), np.ones((width, n, 2))
+    alpha[0] = np.stack([np.ones(n), e[:, 0]], 1)
+    alpha[0] /= alpha[0].sum(1, keepdims=True)
+    for i in range(1, width):
+        v = alpha[i - 1] @ t
+        v[:, 1] *= e[:, i]
+        v /= v.sum(1, keepdims=True)
+        alpha[i] = np.where(live[:, i : i + 1], v, alpha[i - 1])
+    for i in range(width - 2, -1, -1):
+        v = beta[i + 1].copy()
+        v[:, 1] *= e[:, i + 1]
+        v = v @ t.T
+        v /= v.sum(1, keepdims=True)
+        beta[i] = np.where(live[:, i + 1 : i + 2], v, 1.0)
+    both = alpha * beta
+    p = (both[:, :, 1] / both.sum(2)).T * live
+    pairs = np.zeros((2, 2))
+    for i in range(width - 1):
+        right = beta[i + 1].copy()
+        right[:, 1] *= e[:, i + 1]
+        joint = alpha[i][:, :, None] * t[None] * right[:, None, :]
+        joint /= joint.sum((1, 2), keepdims=True)
+        pairs += joint[live[:, i + 1]].sum(0)
+    return p, pairs
+
+
 def fit_field(index: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.25, penalty: float = 2e-5) -> Field:
     """Gradient steps on windows: feature places [windows, words, kinds] (-1: no word) and labels [windows, words]."""
-    live = index[:, :, 0] >= 0
-    place = np.maximum(index, 0)
     n, width = labels.shape
     weights, trans, bias = np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), -2.0
     grown_w, grown_t, grown_b = np.full(1 << BITS, 1e-4), np.full((2, 2), 1e-4), 1e-4
-    y = labels.astype(float) * live
-    pairs = live[:, 1:]
     seen = np.zeros((2, 2))
+    first = index[:, :, 0] >= 0
     for a in (0, 1):
         for b in (0, 1):
-            seen[a, b] = ((labels[:, :-1] == a) & (labels[:, 1:] == b) & pairs).sum()
-    # features are read a few windows at a time, so that only their places are held
+            seen[a, b] = ((labels[:, :-1] == a) & (labels[:, 1:] == b) & first[:, 1:]).sum()
+    # some thousand windows at a time, so that only their messages are held
     runs = [slice(i, i + 2048) for i in range(0, n, 2048)]
     for _ in range(rounds):
-        s = np.concatenate([weights[place[r]].sum(2, dtype=np.float64) for r in runs])
-        s = np.where(live, s + bias, 0.0)
-        e = np.exp(np.clip(s, -40, 40))
         t = np.exp(trans)
-        # messages, normalised at every word
-        alpha, beta = np.empty((width, n, 2)), np.ones((width, n, 2))
-        alpha[0] = np.stack([np.ones(n), e[:, 0]], 1)
-        alpha[0] /= alpha[0].sum(1, keepdims=True)
-        for i in range(1, width):
-            v = alpha[i - 1] @ t
-            v[:, 1] *= e[:, i]
-            v /= v.sum(1, keepdims=True)
-            alpha[i] = np.where(live[:, i : i + 1], v, alpha[i - 1])
-        for i in range(width - 2, -1, -1):
-            v = beta[i + 1].copy()
-            v[:, 1] *= e[:, i + 1]
-            v = v @ t.T
-            v /= v.sum(1, keepdims=True)
-            beta[i] = np.where(live[:, i + 1 : i + 2], v, 1.0)
-        both = alpha * beta
-        p = (both[:, :, 1] / both.sum(2)).T * live
-        grad_t = -seen.copy()
-        for i in range(width - 1):
-            right = beta[i + 1].copy()
-            right[:, 1] *= e[:, i + 1]
-            joint = alpha[i][:, :, None] * t[None] * right[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            grad_t += joint[pairs[:, i]].sum(0)
-        error = (p - y) / n
-        grad = penalty * weights.astype(np.float64)
+        grad, grad_t, grad_b = penalty * weights.astype(np.float64), -seen, 0.0
         for r in runs:
-            shares = np.repeat(error[r][live[r]], KINDS)
-            grad += np.bincount(place[r][live[r]].ravel(), weights=shares, minlength=1 << BITS)
+            live = index[r, :, 0] >= 0
+            place = np.maximum(index[r], 0)
+            s = np.where(live, weights[place].sum(2, dtype=np.float64) + bias, 0.0)
+            p, joint = _window_marginals(np.exp(np.clip(s, -40, 40)), t, live)
+            error = (p - labels[r] * live) / n
+            grad += np.bincount(place[live].ravel(), weights=np.repeat(error[live], KINDS), minlength=1 << BITS)
+            grad_t = grad_t + joint
+            grad_b += float(error.sum())
         grown_w += grad * grad
         weights -= (rate * grad / np.sqrt(grown_w)).astype(np.float32)
         grad_t = grad_t / n + 1e-4 * trans
         grown_t += grad_t * grad_t
         trans -= rate * grad_t / np.sqrt(grown_t)
-        grad_b = float(error.sum())
         grown_b += grad_b * grad_b
         bias -= rate * grad_b / np.sqrt(grown_b)
     return Field(weights, trans, bias)
@@ -353,24 +357,25 @@ def train(
     rows = rows.filter(F.col("text").isNotNull() & (F.length("text") <= longest)).withColumn("h", F.xxhash64("text"))
     first = F.min(F.struct("key", *groups)).alias("first")
     keys = rows.select("key", "h", *groups).join(marks, "key").groupBy("h").agg(F.max("toxic").alias("toxic"), first)
-    keys = keys.select("h", "toxic", "first.*").withColumn("place", F.lit(0))
+    keys = freeze(keys.select("h", "toxic", "first.*", F.lit(0).alias("place")), "labelled")
     for depth in range(len(groups), -1, -1):
-        turns = Window.partitionBy("toxic", *groups[:depth]).orderBy("place", "h")
-        # the constant limit lets each task keep its own first rows, before they meet
-        keys = keys.withColumn("next", F.row_number().over(turns)).filter(F.col("next") <= max(toxic_rows, clean_rows))
-        keys = keys.withColumn("place", F.col("next")).drop("next")
+        lead = F.shiftright("h", 56) if depth == len(groups) else F.floor(F.col("place") / 16)
+        keys = _first_rows(keys.withColumn("lead", lead.cast("long")), ["toxic", *groups[:depth]], max(toxic_rows, clean_rows))
     keys = keys.select("h", "toxic", "key", "place")
     keys = keys.filter(F.col("place") <= F.when(F.col("toxic") == 1, toxic_rows).otherwise(clean_rows))
     # bounded by the parameters: a few thousand keys
     chosen = rows.drop(*groups).join(F.broadcast(keys), ["key", "h"]).dropDuplicates(["h"]).repartition(16, "h")
     chosen = chosen.withColumn("calibrates", F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * calibration_share))
+
     def summary(field: Field) -> tuple[np.ndarray, np.ndarray]:
         shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded: a weight per hashed feature
         base = chosen.filter("calibrates").select("text", "toxic")
         schema = "top double, next double, words bigint, spans string"
         seen = with_text_result(base, "text", lambda t: shared.value.summaries(t), schema, "r")
-        seen = seen.select("r.top", "r.next", "r.words", "toxic").toArrow().to_pandas()
-        return _document_features(seen[["top", "next", "words"]].to_numpy(float)), seen["toxic"].to_numpy(float)
+        seen = seen.select("r.top", "r.next", "r.words", "toxic").toArrow()
+        top, second, count, toxic = (c.to_numpy().astype(float) for c in seen.columns)
+        shared.destroy()
+        return _document_features(np.column_stack([top, second, count])), toxic
 
     part = _fit(chosen.filter(~F.col("calibrates")).select("text", "toxic"), per_text)
     if part is None:
@@ -382,6 +387,21 @@ def train(
     return field
 
 
+def _first_rows(keys: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each group by (place, h), numbered as ``place``; ``lead`` grows with that order.
+
+    Rows are counted per group and lead first. What is numbered are rows of equal lead, behind the rows of smaller ones, so no
+    task meets a whole group.
+    """
+    counts = keys.groupBy(*by, "lead").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*by).orderBy("lead")) - F.col("n")
+    counts = counts.withColumn("before", before).filter(F.col("before") < limit).drop("n")
+    near = null_safe_join(keys, counts, [*by, "lead"], "inner")
+    turn = Window.partitionBy(*by, "lead").orderBy("place", "h")
+    near = near.withColumn("next", F.col("before") + F.row_number().over(turn)).filter(F.col("next") <= limit)
+    return freeze(near.withColumn("place", F.col("next")).drop("next", "before", "lead"), "sample")
+
+
 def nothing() -> Field:
     """What is learnt from no labels, or from labels of one kind."""
     return Field(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), 0.0)
@@ -407,11 +427,26 @@ def _fit(rows: DataFrame, per_text: int) -> Field | None:
     cut = rows.mapInArrow(_windows(markers, per_text), "index binary, label binary").toArrow()
     if not len(markers) or not cut.num_rows:
         return None
-    index = np.frombuffer(b"".join(cut.column("index").to_pylist()), np.int32).reshape(-1, WINDOW, KINDS)
-    label = np.frombuffer(b"".join(cut.column("label").to_pylist()), np.int8).reshape(-1, WINDOW)
+    index = _joined(cut, "index", np.int32).reshape(-1, WINDOW, KINDS)
+    label = _joined(cut, "label", np.int8).reshape(-1, WINDOW)
+    del cut
     return fit_field(index, label)
 
 
+def _joined(table, name: str, kind) -> np.ndarray:
+    """The bytes of a binary column of non-null values, as one array, straight from Arrow's buffers."""
+    column = table.column(name)
+    out = np.empty(sum(int(c.nbytes) for c in column.chunks), np.uint8)
+    at = 0
+    for chunk in column.chunks:
+        _, ends, data = chunk.buffers()
+        ends = np.frombuffer(ends, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        part = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if len(chunk) else out[:0]
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out[:at].view(kind)
+
+
 SCHEMA = "score double, predicted int, spans string"
 
 
