@@ -5,7 +5,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidepanel.operators import cross_section as cs
-from tidepanel.operators.ordered import exact_quantiles, number_rows, value_positions
+from tidepanel.operators.ordered import add_rank, exact_quantiles, number_rows, running_totals
+from tidepanel.scale import settled
 
 
 @pytest.fixture(scope="module")
@@ -99,13 +100,65 @@ def test_winsorize_whole_table(frame):
     same(by_id(cs.winsorize(df, {"w": "x"}, 0.05, 0.9), "w"), expected(pdf["x"].clip(low, high), pdf["sample_id"]))
 
 
-def test_positions_cover_every_row_once(frame):
-    df, pdf = frame
-    placed = value_positions(df, ["target_trade_date"], "x").toPandas()
-    assert placed["cnt"].sum() == pdf["x"].notna().sum()
-    for _, day in placed.groupby("target_trade_date"):
-        day = day.sort_values("x")
-        assert list(day["below"]) == list(day["cnt"].cumsum() - day["cnt"])
+def hot_day(spark, rows=40_000):
+    """A day with nearly all rows: half of them share a value, a tenth have none; and two small days."""
+    x = F.when(F.col("id") % 10 == 9, None).when(F.col("id") % 2 == 0, 0.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(997)) / 100 - 4)
+    day = F.when(F.col("id") < 7, "small").when(F.col("id") == 7, None).otherwise("hot")
+    return spark.range(rows).repartition(8).select(F.col("id").cast("string").alias("sample_id"), day.alias("target_trade_date"), x.alias("x"), (x * 3 + F.col("id") % 7).alias("y"))
+
+
+def test_ranks_of_a_hot_day_and_value(spark):
+    df = hot_day(spark)
+    got = cs.cs_rank(df, {"rx": "x", "ry": "y"}, cs.TARGET, row=["sample_id"]).toPandas()
+    for c in ("x", "y"):
+        assert np.allclose(got["r" + c].astype(float), got.groupby("target_trade_date", dropna=False)[c].rank(), equal_nan=True)
+    down = cs.cs_pct_rank(df, {"r": "x"}, cs.TARGET, ascending=False).toPandas()
+    assert np.allclose(down["r"].astype(float), down.groupby("target_trade_date", dropna=False)["x"].rank(ascending=False, pct=True), equal_nan=True)
+
+
+def test_no_task_ranks_a_whole_day(spark):
+    """Rows of the last exchange, with as many partitions as cuts: none has twice the median."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranked = add_rank(settled(hot_day(spark)), cs.TARGET, "x", "r")
+        sizes = [r["count"] for r in ranked.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) > 1 and max(sizes) <= 2 * np.median(sizes)
+    assert "percentile(" not in ranked._jdf.queryExecution().toString()
+
+
+def test_quantiles_and_robust_z_of_a_hot_day(spark):
+    """Exact in a day of nearly all rows, where bounds from the sketch leave few of them, and in days of a few rows."""
+    df = hot_day(spark)
+    got = cs.robust_z(df, {"zx": "x", "zy": "y"}, quantiles={"q": ("y", 0.05)}).toPandas()
+    by = got.groupby("target_trade_date", dropna=False)
+    for c in ("x", "y"):
+        x = got[c].astype(float)
+        middle = by[c].transform("median")
+        spread = (x - middle).abs().groupby(got["target_trade_date"], dropna=False).transform("median") * 1.4826
+        spread = spread.where(spread > 0, by[c].transform("std"))
+        z = ((x - middle) / spread).clip(-4, 4).fillna(0.0)
+        assert np.allclose(got["z" + c], z)
+    assert np.allclose(got["q"], by["y"].transform(lambda v: v.quantile(0.05)))
+    filled = cs.median_fill(df, ["x"], cs.TARGET).toPandas()
+    assert filled["x"].notna().all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 23, 24, 25, 119, 120, 500, 999, 1000, 1001, 2500])
+def test_quantiles_at_every_bound(spark, n):
+    values = np.random.default_rng(n).integers(0, max(2, n // 3), n).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    shares = {"a": 0.0, "b": 0.01, "c": 0.05, "d": 0.5, "e": 0.9, "f": 1.0}
+    got = exact_quantiles(settled(df), [], "x", shares).first()
+    assert [got[k] for k in shares] == pytest.approx(list(np.quantile(values, list(shares.values()))))
+
+
+def test_running_totals_over_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 3 == 0).alias("k"), F.col("id"), (F.col("id") % 11).alias("v"))
+    got = running_totals(df, ["k"], ["id"], {"place": F.lit(1), "sum": F.col("v")}).toPandas().sort_values("id")
+    for _, g in got.groupby("k"):
+        assert list(g["place"]) == list(range(len(g))) and list(g["sum"]) == list(g["v"].cumsum() - g["v"])
 
 
 def test_row_numbers_by_text_and_missing_key(spark):

@@ -198,14 +198,21 @@ def test_daily_digests_cover_all_parts(spark):
     day, empty = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
     data = [(code, day, at(1, 9, 0, i), t) for code in ("a", "b") for i, t in enumerate(texts[: 7 if code == "a" else 1])]
     df = spark.createDataFrame(data, "stock_code string, trade_date date, publish_time timestamp_ntz, news_text string")
-    whole, one = (hashlib.sha256("\n\n".join(t).encode()).hexdigest() for t in (texts, texts[:1]))
-    parts = nw.joined_texts(df, ["stock_code", "trade_date"], nw.STOCK_TEXT, part_bytes=8)
-    stock = nw.stock_daily(df, parts)
-    assert [(r.stock_code, r.news_text_sha256, r.text_parts) for r in stock.orderBy("stock_code").collect()] == [("a", whole, 4), ("b", one, 1)]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def tree(leaves, fan):
+        nodes = [",".join(sha(t) for t in leaves[i : i + fan]) for i in range(0, len(leaves), fan)]
+        return sha(",".join(sha(n) for n in nodes))
+
+    stock = nw.stock_daily(df, part_bytes=8, fan=3)
+    found = [(r.stock_code, r.news_count, r.news_text_sha256, r.text_parts) for r in stock.orderBy("stock_code").collect()]
+    assert found == [("a", 7, tree(texts, 3), 4), ("b", 1, tree(texts[:1], 3), 1)]
     own = df.where("stock_code = 'a'")
-    market = nw.market_daily(own, spark.createDataFrame([(day,), (empty,)], "d date"), nw.joined_texts(own, ["trade_date"], nw.MARKET_TEXT, part_bytes=8))
-    none = hashlib.sha256(b"").hexdigest()
-    assert [(r.market_news_text_sha256, r.market_text_parts) for r in market.orderBy("trade_date").collect()] == [(whole, 4), (none, 0)]
+    market = nw.market_daily(own, spark.createDataFrame([(day,), (empty,)], "d date"), part_bytes=8)
+    found = [(r.market_news_text_sha256, r.market_text_parts) for r in market.orderBy("trade_date").collect()]
+    assert found == [(tree(texts, 1024), 4), (sha(""), 0)]
+    parts = nw.joined_texts(df, ["stock_code", "trade_date"], nw.STOCK_TEXT, part_bytes=8)
+    assert "\n\n".join(nw.text_of(parts, nw.STOCK_TEXT, stock_code="a", trade_date=day)) == "\n\n".join(texts)
 
 
 def test_bad_answers_are_rejected_with_a_reason(spark):

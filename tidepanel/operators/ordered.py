@@ -236,3 +236,19 @@ def number_rows(
     if total:
         placed = placed.withColumn(total, F.col("_total"))
     return placed.drop("_in_range", "_in_earlier", "_total", PART, *names)
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Add ``{out: sum of a whole-numbered column over the earlier rows of the group}``; ``order`` must tell rows apart.
+
+    Rows are dealt out by range of (group, order) and summed where they lie, behind the totals of the group's earlier ranges.
+    """
+    keys, names = list(keys), list(sums)
+    ranged = by_range(df.withColumns({f"_sum_{n}": c for n, c in sums.items()}), keys, order, "totals")
+    inside = Window.partitionBy(*keys, PART).orderBy(*order)
+    totals = ranged.groupBy(*keys, PART).agg(*[F.sum(f"_sum_{n}").alias(f"_all_{n}") for n in names])
+    ranges = Window.partitionBy(*keys).orderBy(PART)
+    earlier = totals.select(*keys, PART, *[_before(f"_all_{n}", ranges).alias(f"_all_{n}") for n in names])
+    placed = null_safe_join(ranged.withColumns({f"_in_{n}": _before(f"_sum_{n}", inside) for n in names}), earlier, [*keys, PART])
+    out = {n: F.col(f"_in_{n}") + F.col(f"_all_{n}") for n in names}
+    return placed.withColumns(out).drop(PART, *[f"{h}_{n}" for n in names for h in ("_in", "_all", "_sum")])

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tidepanel.functions.scalar import col
 from tidepanel.functions.text import BLANKS, iso_time, norm_code, norm_label, norm_name, parse_time
 from tidepanel.functions.text import sample_id, squeeze, text_hash, to_half_width
 from tidepanel.operators.joins import forward_trade_day, on_calendar
 from tidepanel.operators.keys import keep_first, keep_last, require_columns, require_unique
+from tidepanel.operators.ordered import running_totals
 from tidepanel.scale import null_safe_join, settled
 from tidepanel.sources.readers import SOURCE_FILE, find_column
 
@@ -26,6 +25,7 @@ TITLE_HEADERS = ("title", "headline", "标题")
 SHORTEST_ALIAS = 3
 PART_BYTES = 8_000_000
 SEPARATOR = "\n\n"
+FAN = 1024  # text digests in a node of a digest tree
 STOCK_TEXT, MARKET_TEXT = "news_text_concat", "market_news_text_concat"
 STOCK_DIGEST, MARKET_DIGEST = "news_text_sha256", "market_news_text_sha256"
 
@@ -178,18 +178,16 @@ def _distinct_news(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return keep_last(work, [*keys, "_text"], order).drop("_text")
 
 
-def market_daily(detail: DataFrame, calendar: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Count, latest time and digest of the whole text of all news of each trading day, also of days without any.
+def market_daily(detail: DataFrame, calendar: DataFrame, part_bytes: int = PART_BYTES, fan: int = FAN) -> DataFrame:
+    """Count, latest time and digest of all news of each trading day, also of days without any.
 
-    The text itself is in the parts of ``texts`` under the same trade_date.
+    The text itself is in the parts of :func:`joined_texts` under the same trade_date.
     """
-    if texts is None:
-        detail = settled(detail, "news")
-        texts = joined_texts(detail, ["trade_date"], MARKET_TEXT)
-    daily = detail.groupBy("trade_date").agg(
-        F.count(F.lit(1)).alias("market_news_count"), F.max("publish_time").alias("market_latest_publish_time")
-    )
-    daily = daily.join(whole_digests(texts, ["trade_date"], MARKET_TEXT, MARKET_DIGEST, "market_text_parts"), "trade_date", "left")
+    daily = _daily(detail, ["trade_date"], part_bytes, fan)
+    daily = daily.select(
+        "trade_date", F.col("n").alias("market_news_count"), F.col("latest").alias("market_latest_publish_time"),
+        F.col("digest").alias(MARKET_DIGEST), F.col("parts").alias("market_text_parts"),
+    )
     out = on_calendar(calendar, daily, ["market_news_count", "market_text_parts"])
     return out.withColumn(MARKET_DIGEST, F.coalesce(MARKET_DIGEST, F.sha2(F.lit(""), 256)))
 
@@ -203,80 +201,68 @@ def stock_rows(detail: DataFrame) -> DataFrame:
     return _distinct_news(rows, ["stock_code", "trade_date", "publish_time"])
 
 
-def stock_daily(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Count, latest time and digest of the whole text per stock and day; the text is in the parts of ``texts``."""
-    keys = ["stock_code", "trade_date"]
-    if texts is None:
-        rows = settled(rows, "stock_news")
-        texts = joined_texts(rows, keys, STOCK_TEXT)
-    keyed = rows.withColumn("sample_id", sample_id("stock_code", "trade_date"))
-    daily = keyed.groupBy("sample_id", *keys).agg(
-        F.count(F.lit(1)).alias("news_count"), F.max("publish_time").alias("latest_publish_time")
-    )
-    daily = daily.join(whole_digests(texts, keys, STOCK_TEXT, STOCK_DIGEST, "text_parts"), keys, "left")
-    return daily.withColumns(
-        {STOCK_DIGEST: F.coalesce(STOCK_DIGEST, F.sha2(F.lit(""), 256)), "text_parts": F.coalesce("text_parts", F.lit(0))}
+def stock_daily(rows: DataFrame, part_bytes: int = PART_BYTES, fan: int = FAN) -> DataFrame:
+    """Count, latest time and digest of all news per stock and day; the text is in the parts of :func:`joined_texts`."""
+    daily = _daily(rows, ["stock_code", "trade_date"], part_bytes, fan)
+    return daily.select(
+        sample_id("stock_code", "trade_date").alias("sample_id"), "stock_code", "trade_date", F.col("n").alias("news_count"),
+        F.col("latest").alias("latest_publish_time"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias(STOCK_DIGEST),
+        F.coalesce("parts", F.lit(0)).alias("text_parts"),
+    )
+
+
+def _slim(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What places and digests need of each text: its time, its digest and its bytes."""
+    return rows.select(
+        *keys, "publish_time", text_hash("news_text").alias("_text"), F.octet_length("news_text").cast("bigint").alias("_bytes")
     )
 
 
+def _daily(rows: DataFrame, keys: Sequence[str], part_bytes: int, fan: int) -> DataFrame:
+    """Per group: ``n`` news, ``latest`` time, ``digest`` of the texts in order of time, and the number ``parts`` after its last part.
+
+    The digest is a tree, so no task meets a group: texts have digests, ``fan`` neighbouring ones (joined by commas) make a
+    node, and the nodes of a group its digest. No text is moved for it.
+    """
+    keys = list(keys)
+    slim = settled(_slim(rows, keys), "news")
+    counts = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("publish_time").alias("latest"))
+    texts = slim.where(F.col("_bytes") > 0).distinct()
+    placed = running_totals(texts, keys, ["publish_time", "_text"], {"_place": F.lit(1), "_begin": F.col("_bytes")})
+    placed = placed.withColumn("_node", F.floor(F.col("_place") / fan))
+    joined = lambda x, by: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, x))), lambda s: s[x]), ","), 256)
+    nodes = placed.groupBy(*keys, "_node").agg(joined("_text", "_place").alias("_digest"), F.max("_begin").alias("_begin"))
+    last = F.floor(F.max("_begin") / part_bytes).cast("int") + 1
+    whole = nodes.groupBy(*keys).agg(joined("_digest", "_node").alias("digest"), last.alias("parts"))
+    return null_safe_join(counts, whole, keys)
+
+
 def joined_texts(
     rows: DataFrame, keys: Sequence[str], out: str, part_bytes: int = PART_BYTES, separator: str = SEPARATOR
 ) -> DataFrame:
     """All texts of a group in order of time, as parts of about ``part_bytes`` each.
 
-    A text belongs to the part in which it begins, so no part is longer than that by more than one text. Places are
-    found on time, hash and length alone; the texts only meet inside their part.
+    A text belongs to the part in which it begins, so no part is longer than that by more than one text (and a long text may
+    leave the numbers of parts unused). Places are found on time, digest and length alone, by ranges; the texts only meet
+    inside their part.
     """
     keys = list(keys)
     work = rows.where(F.col("news_text") != "").select(*keys, "publish_time", "news_text", text_hash("news_text").alias("_text"))
     work = work.dropDuplicates([*keys, "publish_time", "_text"])
-    slim = work.select(*keys, "publish_time", "_text", F.octet_length("news_text").cast("bigint").alias("_bytes"))
-    before = Window.partitionBy(*keys).orderBy("publish_time", "_text").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.sum("_bytes").over(before), F.lit(0))
-    slim = slim.withColumn("part", F.floor(begin / part_bytes).cast("int")).drop("_bytes")
+    slim = _slim(rows.where(F.col("news_text") != ""), keys).distinct()
+    slim = running_totals(slim, keys, ["publish_time", "_text"], {"_begin": F.col("_bytes")})
+    slim = slim.select(*keys, "publish_time", "_text", F.floor(F.col("_begin") / part_bytes).cast("int").alias("part"))
     placed = null_safe_join(work, slim, [*keys, "publish_time", "_text"])
     pieces = F.sort_array(F.collect_list(F.struct("publish_time", "_text", "news_text")))
     return placed.groupBy(*keys, "part").agg(F.array_join(F.transform(pieces, lambda t: t["news_text"]), separator).alias(out))
 
 
-def whole_digests(
-    texts: DataFrame, keys: Sequence[str], text: str, digest: str, parts: str, separator: str = SEPARATOR
-) -> DataFrame:
-    """SHA-256 of each group's whole text, that is of all its parts joined, and their number.
-
-    The parts of a group pass through the digest one after another; the whole text is never held.
-    """
-    import pyarrow as pa
-
-    keys, n = list(keys), len(keys)
-    kinds = [texts.schema[k].dataType for k in keys]
-    fields = [StructField(k, kind) for k, kind in zip(keys, kinds)]
-    schema = StructType([*fields, StructField(digest, StringType()), StructField(parts, IntegerType())])
-
-    def run(batches):
-        group, state, seen, names, types = None, None, 0, [*keys, digest, parts], None
-
-        def row():
-            columns = [pa.array([k], t) for k, t in zip(group, types)] + [pa.array([state.hexdigest()]), pa.array([seen], pa.int32())]
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        for batch in batches:
-            types = [batch.schema.field(i).type for i in range(n)]
-            for i in range(batch.num_rows):
-                key = tuple(batch.column(k)[i].as_py() for k in range(n))
-                if key != group:
-                    if seen:
-                        yield row()
-                    group, state, seen = key, hashlib.sha256(), 0
-                elif seen:
-                    state.update(separator.encode())
-                state.update(batch.column(n + 1)[i].as_buffer())
-                seen += 1
-        if seen:
-            yield row()
-
-    ordered = texts.select(*keys, "part", text).repartition(*keys).sortWithinPartitions(*keys, "part")
-    return ordered.mapInArrow(run, schema)
+def text_of(texts: DataFrame, text: str, **key) -> Iterator[str]:
+    """The parts of one group's text in order, one at a time: ``"\\n\\n".join(text_of(parts, "news_text_concat", trade_date=day))``."""
+    for name, value in key.items():
+        texts = texts.where(F.col(name).eqNullSafe(F.lit(value)))
+    for row in texts.orderBy("part").select(text).toLocalIterator():
+        yield row[0]
 
 
 # -- items ------------------------------------------------------------------------

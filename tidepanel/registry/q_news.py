@@ -215,18 +215,29 @@ def _joined_sql(keys: str, source: str) -> str:
       FROM (SELECT DISTINCT {keys}, publish_time, news_text FROM {source} WHERE news_text <> '')) GROUP BY {keys}, part"""
 
 
+_FAN = 8
+
+
+def _digest_sql(keys: str, source: str) -> str:
+    """Digest per group of the node digests of its text digests, _FAN texts a node."""
+    return f"""SELECT {keys}, sha256(string_agg(d, ',' ORDER BY node)) AS text_hash FROM (
+      SELECT {keys}, place // {_FAN} AS node, sha256(string_agg(leaf, ',' ORDER BY place)) AS d FROM (
+        SELECT {keys}, sha256(news_text) AS leaf, row_number() OVER (PARTITION BY {keys} ORDER BY publish_time, sha256(news_text)) - 1 AS place
+        FROM (SELECT DISTINCT {keys}, publish_time, news_text FROM {source} WHERE news_text <> '')) GROUP BY ALL) GROUP BY ALL"""
+
+
 @query(
     "market_news_daily",
     sql(
         "detail",
         f"""SELECT day AS trade_date, count(publish_time) AS market_news_count, max(publish_time) AS market_latest_publish_time,
-          sha256(coalesce(string_agg(news_text, {_SEPARATOR} ORDER BY publish_time, sha256(news_text)), '')) AS text_hash
-          FROM days LEFT JOIN detail ON day = trade_date GROUP BY 1""",
+          coalesce(min(text_hash), sha256('')) AS text_hash
+          FROM days LEFT JOIN detail ON day = trade_date LEFT JOIN ({_digest_sql("trade_date", "detail")}) t ON t.trade_date = day GROUP BY 1""",
     ),
 )
 def market_news_daily(spark, sf):
     """News count, latest time and text for every trading day, also the empty ones."""
-    out = nw.market_daily(detail(spark, sf), trading(spark, sf).select("trade_date"))
+    out = nw.market_daily(detail(spark, sf), trading(spark, sf).select("trade_date"), fan=_FAN)
     text = F.col(nw.MARKET_DIGEST).alias("text_hash")
     return out.select("trade_date", "market_news_count", "market_latest_publish_time", text)
 
@@ -257,25 +268,31 @@ def stock_news_texts(spark, sf):
     sql(
         "stock_news",
         f"""SELECT stock_code || '_' || strftime(trade_date, '%Y-%m-%d') AS sample_id, stock_code, trade_date,
-          count(*) AS news_count, max(publish_time) AS latest_publish_time,
-          sha256(string_agg(news_text, {_SEPARATOR} ORDER BY publish_time, sha256(news_text))) AS text_hash
-          FROM stock_news GROUP BY stock_code, trade_date""",
+          count(*) AS news_count, max(publish_time) AS latest_publish_time, min(text_hash) AS text_hash
+          FROM stock_news JOIN ({_digest_sql("stock_code, trade_date", "stock_news")}) USING (stock_code, trade_date) GROUP BY stock_code, trade_date""",
     ),
 )
 def stock_news_daily(spark, sf):
     """News count, latest time and text per stock and day."""
-    out = nw.stock_daily(nw.stock_rows(detail(spark, sf)))
+    out = nw.stock_daily(nw.stock_rows(detail(spark, sf)), fan=_FAN)
     columns = ("sample_id", "stock_code", "trade_date", "news_count", "latest_publish_time")
     return out.select(*columns, F.col(nw.STOCK_DIGEST).alias("text_hash"))
 
 
+define(
+    "monthly",
+    """monthly AS (SELECT stock_code, date_trunc('month', trade_date)::DATE AS month, publish_time, news_text FROM stock_news)""",
+    ("stock_news",),
+)
+
+
 @query(
     "attach_news_counts",
     sql(
-        "samples stock_news",
+        "samples monthly",
         f"""SELECT s.sample_id, coalesce(n.c, 0) AS news_count, coalesce(m.c, 0) AS market_news_count, n.text_hash FROM samples s
-          LEFT JOIN (SELECT stock_code, date_trunc('month', trade_date)::DATE AS month, count(*) AS c,
-              sha256(string_agg(news_text, {_SEPARATOR} ORDER BY publish_time, sha256(news_text))) AS text_hash FROM stock_news GROUP BY ALL) n
+          LEFT JOIN (SELECT stock_code, month, count(*) AS c, min(text_hash) AS text_hash FROM monthly
+              JOIN ({_digest_sql("stock_code, month", "monthly")}) USING (stock_code, month) GROUP BY ALL) n
             ON n.stock_code = s.stock_code AND n.month = s.trade_date
           LEFT JOIN (SELECT date_trunc('month', trade_date)::DATE AS month, count(*) AS c FROM detail GROUP BY ALL) m
             ON m.month = s.trade_date""",
@@ -286,7 +303,7 @@ def attach_news_counts_query(spark, sf):
     month = F.trunc("trade_date", "month")
     news = detail(spark, sf)
     rows = nw.stock_rows(news).withColumn("trade_date", month)
-    stock = nw.stock_daily(rows)
+    stock = nw.stock_daily(rows, fan=_FAN)
     market = news.withColumn("trade_date", month).groupBy("trade_date").agg(F.count(F.lit(1)).alias("market_news_count"))
     out = attach_news_counts(tables.samples(spark, sf), stock, market)
     return out.select("sample_id", "news_count", "market_news_count", F.col(nw.STOCK_DIGEST).alias("text_hash"))
