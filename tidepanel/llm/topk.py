@@ -1,8 +1,9 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Vectors are sorted by length across the cluster and packed into buckets of neighbouring lengths, queries into blocks. Each
-query first meets the bucket of the longest vectors, which gives it a lower bound for its k-th score. Every other bucket
-is then paired with every query block, except where the lengths alone rule the pair out. Inside a pair, each query's bound
+query first meets the bucket of the longest vectors, which gives it a lower bound for its k-th score. From these bounds follows, per
+query block, how long a bucket's longest vector must be; a bucket is sent to the blocks that it can still serve, and to no other.
+Where lengths are alike, that is every block, and the work grows with buckets times blocks. Inside a pair, each query's bound
 becomes a local cosine threshold for that bucket: above 1 the bucket is skipped; if it is high, a coordinate decides
 (only vectors whose angle to the query's largest coordinate is near enough can qualify, found in a sorted list); else
 the vectors long enough are taken. What is left is verified by exact products, and bounds rise as a task goes on.
@@ -182,14 +183,18 @@ def _seed(k: int, longest):
 
         top = [Block(*r) for r in longest.value]
         for batch in batches:
-            bounds = []
+            bounds, least = [], []
             for size, width, ids, rows, data in zip(*(batch.column(c).to_pylist() for c in ("size", "width", "ids", "rows", "data"))):
                 queries = Block(size, width, ids, rows, data)
                 best = Best(queries, k, np.full(size, -np.inf))
                 for block in top:
                     best.meet(block)
                 bounds.append(best.bound.tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bounds, pa.binary())], [*batch.schema.names, "bounds"])
+                # the shortest longest vector that a bucket must have for any of these queries
+                ratio = best.bound / np.maximum(queries.norm * (1 + SLACK), 1e-300)
+                least.append(float(np.where(queries.norm > 0, ratio, np.where(best.bound > 0, np.inf, -np.inf)).min()))
+            columns = [*batch.columns, pa.array(bounds, pa.binary()), pa.array(least, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "bounds", "least"])
 
     return run
 
@@ -244,13 +249,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     queries = queries.select("vec_id", "row", "v").mapInArrow(_pack(QUERY_ROWS), PACKED)
     top = buckets.orderBy(F.col("longest").desc(), "block").limit(1).select("size", "width", "ids", "rows", "data").collect()
     longest = spark.sparkContext.broadcast([tuple(r) for r in top])  # one bucket of BLOCK_BYTES
-    queries = freeze(queries.mapInArrow(_seed(k, longest), f"{PACKED}, bounds binary"), "queries")
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    queries = freeze(queries.mapInArrow(_seed(k, longest), f"{PACKED}, bounds binary, least double"), "queries")
+    q = queries.drop("least").select(*[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "least"])
 
-    # every bucket with every query block: both are dealt to (query block, group of buckets)
-    numbers = [r[0] for r in queries.select("block").collect()]  # a number per QUERY_ROWS queries
+    # a bucket goes to the query blocks that its longest vector can still serve; a number and a bound per QUERY_ROWS queries
+    asking = queries.agg(F.collect_list(F.struct("block", "least")).alias("x")).select("x").scalar()
+    served = F.filter(F.col("asking"), lambda x: F.col("longest") >= x["least"])
     group = F.pmod(F.xxhash64("block"), F.lit(GROUPS))
-    dealt = buckets.withColumn("g", group).withColumn("q_block", F.explode(F.array(*[F.lit(x) for x in numbers]) if numbers else F.array().cast("array<bigint>")))
+    dealt = buckets.withColumns({"g": group, "asking": asking}).withColumn("q_block", F.explode(F.transform(served, lambda x: x["block"])))
+    dealt = dealt.drop("asking")
     asked = q.withColumn("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(GROUPS - 1).cast("bigint"))))
     both = dealt.join(asked.hint("shuffle_hash"), ["q_block", "g"])
     both = both.sortWithinPartitions("q_block", F.col("longest").desc())
