@@ -238,3 +238,21 @@ def test_a_rare_language_keeps_its_toxic_words(spark):
     fresh = spark.createDataFrame([(i, text("bb", i % 2), "bb", "s", 0) for i in range(60)], DOCS)
     got = toxicity.score(fresh, field).select("doc_id", "toxicity.predicted").collect()
     assert sum(r.predicted == r.doc_id % 2 for r in got) >= 57
+
+
+def test_redaction_of_a_text_of_twenty_megabytes(spark):
+    """100,000 spans in one text, in time that grows with its length."""
+    one = "write to ann.bee@mail.example.org or see the page of today, which is long enough to fill two hundred characters of text with words "
+    one += "x" * (205 - len(one)) + " "
+    df = spark.createDataFrame([(1, one * 100_000), (2, None), (3, "")], "doc_id int, text string")
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert got == {1: one.replace("ann.bee@mail.example.org", "<EMAIL>") * 100_000, 2: None, 3: ""}
+
+
+def test_neighbour_words_are_whole():
+    long = "w" * 500
+    text = f"{long} second +44 171 555 8823 {long}z tail"
+    start = text.index("+44")
+    end = start + len("+44 171 555 8823")
+    assert pii._patterns(text, start, end) == ["b second", f"bb {long} second", f"a {long}z", f"ba second {long}z"]
+    assert pii._patterns("one two", 0, 7) == []

@@ -38,7 +38,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"(?<!\S)(?=\S*[0-9@])\S++")
 _EDGE = ".,;:!?()[]{}<>\"'|*#%&$"
-AROUND = 64
+AROUND = 64  # first look around a mention for its neighbour words, in code points; widened until they are whole
 
 
 def _luhn(digits: str) -> bool:
@@ -97,10 +97,35 @@ def _agrees(value: str) -> list[int]:
     return out
 
 
+def _words_before(text: str, start: int, n: int) -> list[str]:
+    """The last ``n`` words before ``start``, whole however long they are."""
+    width = AROUND
+    while True:
+        low = max(0, start - width)
+        parts = text[low:start].split()
+        if parts and low and not (text[low - 1].isspace() or text[low].isspace()):
+            del parts[0]  # its beginning lies further back
+        words = [w for w in (p.strip(_EDGE).lower() for p in parts) if w]
+        if len(words) >= n or not low:
+            return words[-n:]
+        width *= 4
+
+
+def _words_after(text: str, end: int, n: int) -> list[str]:
+    width = AROUND
+    while True:
+        high = min(len(text), end + width)
+        parts = text[end:high].split()
+        if parts and high < len(text) and not (text[high].isspace() or text[high - 1].isspace()):
+            del parts[-1]
+        words = [w for w in (p.strip(_EDGE).lower() for p in parts) if w]
+        if len(words) >= n or high == len(text):
+            return words[:n]
+        width *= 4
+
+
 def _patterns(text: str, start: int, end: int) -> list[str]:
-    before = [w.strip(_EDGE).lower() for w in text[max(0, start - AROUND) : start].split()]
-    after = [w.strip(_EDGE).lower() for w in text[end : end + AROUND].split()]
-    before, after = [w for w in before if w], [w for w in after if w]
+    before, after = _words_before(text, start, 2), _words_after(text, end, 1)
     out = []
     if before:
         out.append("b " + before[-1])
@@ -244,25 +269,32 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with every span of ``text_col`` replaced by its kind in angle brackets; other columns as they are."""
     name = free_name(df, "_pii")
     out = annotate(df, text_col, name)
-    spans = F.col(f"{name}.spans")
-    # pieces between spans; a span inside an earlier one adds nothing
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["a"].alias("a"), (-s["b"]).alias("b"), s["k"].alias("k"))))
-    kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    text = F.col(f"`{text_col}`")
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-
-    def step(s: Column, p: Column) -> Column:
-        return F.when(
-            p["a"] >= s["at"],
-            F.struct(
-                F.concat(s["done"], F.substring(text, s["at"] + 1, p["a"] - s["at"]), F.element_at(kinds, p["k"] + 1)).alias("done"),
-                (-p["b"]).alias("at"),
-            ),
-        ).otherwise(F.struct(s["done"].alias("done"), F.greatest(s["at"], -p["b"]).alias("at")))
-
-    made = F.aggregate(ordered, start, step)
-    done = F.concat(made["done"], F.substring(text, made["at"] + 1, F.length(text)))
-    return out.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).drop(name)
+    kind = "array<struct<k:int,a:int,b:int>>"
+    spans = F.coalesce(F.col(f"{name}.spans"), F.array().cast(kind))
+    done = F.arrow_udf(_replaced(), "string")(F.col(f"`{text_col}`").cast("string"), spans)
+    return out.withColumn(text_col, done).drop(name)
+
+
+def _replaced():
+    """Texts with their spans replaced: pieces between spans, joined once. A span inside an earlier one adds nothing."""
+    import pyarrow as pa
+
+    def over(texts, spans):
+        out = []
+        for text, found in zip(texts, spans):
+            text = text.as_py()
+            if text is not None and len(found):
+                pieces, at = [], 0
+                for a, b, k in sorted((s["a"], -s["b"], s["k"]) for s in found.as_py()):
+                    if a >= at:
+                        pieces += [text[at:a], f"<{KINDS[k].upper()}>"]
+                    at = max(at, -b)
+                text = "".join([*pieces, text[at:]])
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    over.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
+    return over
 
 
 def find_documents(spark, sf: str) -> DataFrame:
