@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows
@@ -291,6 +292,29 @@ def test_quoted_line_breaks_stay_in_one_row(spark, tmp_path):
     assert got == [("1", 'two\nlines, and "quotes"'), ("1", 'two\nlines; and "quotes"'), ("2", "plain"), ("2", "plain")]
 
 
+def test_the_last_line_wins_in_files_of_many_blocks(spark, tmp_path):
+    """Lines of several files, each read in many blocks: the last line of a day in the last file is kept, whatever it holds."""
+    rng = random.Random(4)
+    last = {}
+    for i in range(3):
+        lines = ["ts_code,trade_date,close,vol"]
+        for _ in range(3000):
+            code, day, close = f"{rng.randint(1, 60):06d}.SZ", f"202401{rng.randint(1, 28):02d}", rng.randint(1, 10**6)
+            lines.append(f"{code},{day},{close},1")
+            last[code, day] = float(close)
+        write(tmp_path / f"daily_{i}.csv", "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        paths = [str(tmp_path / f"daily_{i}.csv") for i in (2, 0, 1)]
+        raw = rd.load_many(spark, paths, multi_line=False, places=True)
+        assert raw.rdd.getNumPartitions() > 10
+        got = {(r.stock_code, r.trade_date.strftime("%Y%m%d")): r.close for r in st.prepare_flow(raw).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == last
+
+
 def test_times_are_read_from_all_forms(spark):
     forms = ["20240105", "20240105093000", "2024-1-5 9:30", "2024/01/05 09:30:00", "2024.1.5", "1/5/2024", " 2024-01-05T09:30 ", "2024", "x", "20241", ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(forms)], "i int, t string")

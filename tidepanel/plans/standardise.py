@@ -24,6 +24,7 @@ from tidepanel.plans import news as nw
 from tidepanel.plans.samples import prediction_samples
 from tidepanel.scale import freeze
 from tidepanel.sources.readers import (
+    ROW_PLACE,
     SOURCE_FILE,
     find_column,
     find_files,
@@ -94,10 +95,15 @@ def _renamed(raw: DataFrame, kind: str) -> DataFrame:
     return raw
 
 
+def _last_row(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key: the last in order of files and lines; rows without a place go by file and a hash of the row."""
+    order = [c for c in (ROW_PLACE, SOURCE_FILE) if c in df.columns]
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    return keep_last(df, keys, [*order, F.xxhash64(*rest) if rest else F.lit(0)]).drop(ROW_PLACE)
+
+
 def _last_per_day(df: DataFrame) -> DataFrame:
-    order = [SOURCE_FILE] if SOURCE_FILE in df.columns else []
-    rest = [c for c in df.columns if c not in ("stock_code", "trade_date", SOURCE_FILE)]
-    return keep_last(df, ["stock_code", "trade_date"], [*order, F.xxhash64(*rest) if rest else F.lit(0)])
+    return _last_row(df, ["stock_code", "trade_date"])
 
 
 def prepare_price(raw: DataFrame) -> DataFrame:
@@ -108,7 +114,7 @@ def prepare_price(raw: DataFrame) -> DataFrame:
     bar's prices takes its close.
     """
     df = numeric_columns(
-        _keyed(_renamed(raw, "price"), "price"), ("trade_date", "stock_code", "stock_name", SOURCE_FILE)
+        _keyed(_renamed(raw, "price"), "price"), ("trade_date", "stock_code", "stock_name", SOURCE_FILE, ROW_PLACE)
     )
     df = _last_per_day(df)
     numbers = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "long", "integer")]
@@ -142,26 +148,26 @@ def prepare_basic(raw: DataFrame) -> DataFrame:
     if "list_date" in raw.columns:
         columns.append(parse_date("list_date").alias("list_date"))
     source = [F.col(SOURCE_FILE)] if SOURCE_FILE in raw.columns else [F.lit("").alias(SOURCE_FILE)]
-    df = raw.select(*columns, *source).where(F.col("stock_code").isNotNull())
-    rest = [c for c in df.columns if c not in ("stock_code", SOURCE_FILE)]
-    return keep_last(df, ["stock_code"], [SOURCE_FILE, F.xxhash64(*rest) if rest else F.lit(0)]).drop(SOURCE_FILE)
+    places = [F.col(ROW_PLACE)] if ROW_PLACE in raw.columns else []
+    df = raw.select(*columns, *source, *places).where(F.col("stock_code").isNotNull())
+    return _last_row(df, ["stock_code"]).drop(SOURCE_FILE)
 
 
 def prepare_metric(raw: DataFrame) -> DataFrame:
     """One metric row per entity and day."""
-    skip = ("trade_date", "stock_code", "stock_name", SOURCE_FILE)
+    skip = ("trade_date", "stock_code", "stock_name", SOURCE_FILE, ROW_PLACE)
     return _last_per_day(numeric_columns(_keyed(_renamed(raw, "metric"), "metric"), skip))
 
 
 def prepare_flow(raw: DataFrame) -> DataFrame:
     """One money-flow row per entity and day."""
-    return _last_per_day(numeric_columns(_keyed(raw, "moneyflow"), ("trade_date", "stock_code", SOURCE_FILE)))
+    return _last_per_day(numeric_columns(_keyed(raw, "moneyflow"), ("trade_date", "stock_code", SOURCE_FILE, ROW_PLACE)))
 
 
 def prepare_exclusions(raw: DataFrame) -> DataFrame:
     """One row per entity and day under special treatment."""
     df = _keyed(raw, "exclusion list")
-    kept = [c for c in ("stock_code", "stock_name", "trade_date", "type", "type_name", SOURCE_FILE) if c in df.columns]
+    kept = [c for c in ("stock_code", "stock_name", "trade_date", "type", "type_name", SOURCE_FILE, ROW_PLACE) if c in df.columns]
     return _last_per_day(df.select(*kept))
 
 
@@ -237,8 +243,8 @@ def standardise(raw: Mapping[str, DataFrame | None], cutoff_hour: int = 15) -> S
 
 def read_raw(spark: SparkSession, root: str, basic: Sequence[str] = ()) -> dict[str, DataFrame | None]:
     """Raw tables of a folder, found by words in the file paths."""
-    raw = {kind: load_many(spark, find_files(spark, root, hints)) for kind, hints in PATH_HINTS.items()}
-    raw["basic"] = load_many(spark, list(basic)) if basic else None
+    raw = {kind: load_many(spark, find_files(spark, root, hints), places=kind != "news") for kind, hints in PATH_HINTS.items()}
+    raw["basic"] = load_many(spark, list(basic), places=True) if basic else None
     return raw
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.text import norm_name, parse_time, sample_id, to_half_width
 from tidepanel.operators import joins as jn
+from tidepanel.operators.keys import keep_last
 from tidepanel.plans import standardise as st
 from tidepanel.plans.price_factors import price_factors
 from tidepanel.registry import tables
@@ -41,6 +42,51 @@ def read_delimited(spark, sf):
     return out.select("doc_id", digest.alias("text_md5"), "lang", out[rd.SOURCE_FILE].isNotNull().cast("int").alias("files"))
 
 
+@query(
+    "last_line_per_key",
+    """SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(o_orderkey AS VARCHAR) AS o_orderkey FROM orders
+      QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1""",
+)
+def last_line_per_key(spark, sf):
+    """The last line of each customer in files that are read in many blocks; lines are written in order of o_orderkey."""
+    path = f"{stage_path(spark, 'raw')}/orders.csv"
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    orders.repartitionByRange(3, "o_orderkey").sortWithinPartitions("o_orderkey").write.options(header=True, escape='"').csv(path)
+    lines = rd.read_delimited(spark, path, multi_line=False, places=True)
+    return keep_last(lines, ["o_custkey"], [rd.ROW_PLACE]).select("o_custkey", "o_orderkey")
+
+
+_SINK_SQL = "SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal, s_nationkey FROM supplier"
+
+
+def _through_sink(spark, sf, kind: str, read):
+    """Suppliers written by the sink and read again, nation by nation in folders of their own."""
+    path = f"{stage_path(spark, 'sink')}/suppliers"
+    suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_acctbal", "s_nationkey")
+    back = read(sk.write_table(suppliers, path, kind, ["s_nationkey"]))
+    kinds = {f.name: f.dataType for f in suppliers.schema.fields}
+    cast = {c: F.col(c).cast(k) for c, k in kinds.items()}
+    return back.select(*[F.round(x, 2).alias(c) if c == "s_acctbal" else x.alias(c) for c, x in cast.items()])
+
+
+@query("csv_sink_round_trip", _SINK_SQL)
+def csv_sink_round_trip(spark, sf):
+    """A table through the CSV sink, partitioned."""
+    return _through_sink(spark, sf, "csv", lambda p: rd.read_delimited(spark, p, sep=","))
+
+
+@query("json_sink_round_trip", _SINK_SQL)
+def json_sink_round_trip(spark, sf):
+    """A table through the JSON sink, partitioned."""
+    return _through_sink(spark, sf, "json", lambda p: rd.read_json(spark, p, lines=True))
+
+
+@query("parquet_sink_round_trip", _SINK_SQL)
+def parquet_sink_round_trip(spark, sf):
+    """A table through the Parquet sink, partitioned."""
+    return _through_sink(spark, sf, "parquet", lambda p: rd.read_parquet(spark, p))
+
+
 @query(
     "read_json_forms",
     "SELECT 'lines' AS form, r_regionkey::BIGINT AS r_regionkey, r_name FROM region UNION ALL SELECT 'envelope', r_regionkey::BIGINT, r_name FROM region",

@@ -12,6 +12,7 @@ from tidepanel.functions.scalar import col
 from tidepanel.functions.text import norm_label
 
 SOURCE_FILE = "__source_file"
+ROW_PLACE = "__row_place"
 DELIMITERS = (",", "\t", ";", "|")
 ENVELOPE_KEYS = ("data", "list", "items", "rows")
 TABLE_SUFFIXES = {
@@ -24,8 +25,16 @@ TABLE_SUFFIXES = {
 }
 
 
-def with_source_file(df: DataFrame) -> DataFrame:
-    return df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
+def with_source_file(df: DataFrame, places: bool = False) -> DataFrame:
+    """``df`` with the file of each row, and with ``places`` its place (ROW_PLACE): file, block of the file, place in the block.
+
+    Places grow in the order of the files' names and lines, however the files are cut and dealt out.
+    """
+    df = df.withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
+    if places:
+        block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        df = df.withColumn(ROW_PLACE, F.struct(*block, F.monotonically_increasing_id().alias("row")))
+    return df
 
 
 def first_line(spark: SparkSession, path: str) -> str | None:
@@ -53,12 +62,12 @@ def delimiter_of(line: str) -> str:
 
 
 def read_delimited(
-    spark: SparkSession, paths: str | Sequence[str], sep: str | None = None, multi_line: bool = True
+    spark: SparkSession, paths: str | Sequence[str], sep: str | None = None, multi_line: bool = True, places: bool = False
 ) -> DataFrame | None:
     """All-text columns of delimited files with one header; None if they are empty.
 
     Quoted fields may hold line breaks and doubled quotes. Such a file cannot be cut, so one file is one task; files known
-    to have one row per line split over tasks with ``multi_line=False``.
+    to have one row per line split over tasks with ``multi_line=False``. ``places`` adds each row's place in file order.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if sep is None:
@@ -67,7 +76,7 @@ def read_delimited(
             return None
         sep = delimiter_of(head)
     return with_source_file(
-        spark.read.csv(paths, header=True, sep=sep, multiLine=multi_line, nullValue="", quote='"', escape='"')
+        spark.read.csv(paths, header=True, sep=sep, multiLine=multi_line, nullValue="", quote='"', escape='"'), places
     )
 
 
@@ -149,8 +158,11 @@ def union_tables(tables: Sequence[DataFrame | None]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), present)
 
 
-def load_many(spark: SparkSession, paths: Sequence[str], multi_line: bool = True) -> DataFrame | None:
-    """Union of many files with the file of origin; files of one kind and header are read together."""
+def load_many(spark: SparkSession, paths: Sequence[str], multi_line: bool = True, places: bool = False) -> DataFrame | None:
+    """Union of many files with the file of origin; files of one kind and header are read together.
+
+    ``places`` adds the place of each row of a delimited or parquet file, so that the last line among equals can be told.
+    """
     groups: dict[tuple, list[str]] = {}
     for path in paths:
         suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
@@ -163,11 +175,11 @@ def load_many(spark: SparkSession, paths: Sequence[str], multi_line: bool = True
     tables = []
     for (kind, header), members in groups.items():
         if kind == "delimited":
-            tables.append(read_delimited(spark, members, delimiter_of(header), multi_line))
+            tables.append(read_delimited(spark, members, delimiter_of(header), multi_line, places))
         elif kind == "json":
             tables.append(read_json(spark, members))
         else:
-            tables.append(with_source_file(spark.read.option("mergeSchema", True).parquet(*members)))
+            tables.append(with_source_file(spark.read.option("mergeSchema", True).parquet(*members), places))
     return union_tables(tables) if tables else None
 
 
