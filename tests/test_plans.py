@@ -17,7 +17,7 @@ from tidepanel.plans import price_factors as pf
 from tidepanel.plans import select as se
 from tidepanel.plans import standardise as st
 from tidepanel.plans import value_factors as vf
-from tidepanel.plans.factor_table import FactorSpec, append_neutral, catalog, combine, eligible_factors
+from tidepanel.plans.factor_table import append_neutral, catalog, combine, eligible_factors
 from tidepanel.sources import readers as rd
 from tidepanel.sources import sinks as sk
 from tidepanel.streaming.daily_feed import append_new_files, new_daily_rows
@@ -50,15 +50,15 @@ def test_price_factors(price):
 
 
 def test_counts_of_default_families(price, spark):
-    assert len(pf.price_factors(price).specs) == 171
+    assert len(pf.price_factors(price).entries) == 171
     metric = price.select("stock_code", "trade_date", *[F.col("close").alias(c) for c in vf.RAW_FIELDS])
-    assert len(vf.value_factors(metric).specs) == 58
+    assert len(vf.value_factors(metric).entries) == 58
     flow = price.select("stock_code", "trade_date", *[F.col("close").alias(c) for c in ff.FLOW_COLUMNS])
     table = ff.flow_factors(flow, price)
-    assert len(table.specs) == 41
+    assert len(table.entries) == 41
     day = table.df.where((F.col("stock_code") == "A") & (F.col("trade_date") == D(2024, 1, 3))).first()
     assert day["mf_net_amount_ratio"] is None  # nothing traded
-    listed = catalog(spark, table.specs)
+    listed = catalog(spark, table.entries)
     assert listed.count() == 41 and listed.where("window is null").count() == 7
 
 
@@ -66,16 +66,12 @@ def test_neutral_forms_and_eligibility(price):
     table = pf.price_factors(price, relative=False, return_windows=(1,), rolling_windows=())
     full = append_neutral(table).validate()
     assert len(full.names) == 40
-    assert full.specs[-1].category.endswith(".ind_neu") and "industry" in full.specs[-1].inputs
+    assert full.entries[-1].category.endswith(".ind_neu") and "industry" in full.entries[-1].term.inputs
     assert full.df.where("stock_code = 'B'").first()["alpha158_KMID_ind_neu"] is None
     assert eligible_factors(table.df, ["alpha158_KMID", "alpha158_ROC1"], 0.25) == ["alpha158_KMID"]
 
 
 def test_specs_and_tables_are_checked(price):
-    with pytest.raises(ValueError):
-        FactorSpec("", "s", "c", (), "e")
-    with pytest.raises(ValueError):
-        FactorSpec("n", "s", "c", (), "e", window=0)
     table = pf.price_factors(price, relative=False, return_windows=(), rolling_windows=())
     with pytest.raises(ValueError, match="duplicate"):
         combine([table, table])

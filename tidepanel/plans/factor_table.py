@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,46 +24,43 @@ CATALOG_SCHEMA = (
 
 
 @dataclass(frozen=True)
-class FactorSpec:
-    """What one factor column is."""
+class CatalogEntry:
+    """Where a factor belongs; everything else that the catalog says of it follows from its term."""
 
     name: str
     source: str
     category: str
-    inputs: tuple[str, ...]
-    expression: str
-    window: int | None = None
-    lookback: int = 0
+    term: Term
     availability: str = "feature_asof_date"
-    description: str = ""
+    note: str = ""
 
-    def __post_init__(self):
-        for part in ("name", "source", "category", "expression"):
-            if not getattr(self, part):
-                raise ValueError(f"factor {part} cannot be empty: {self.name!r}")
-        if self.window is not None and self.window <= 0:
-            raise ValueError(f"window must be positive: {self.name}")
-        if self.lookback < 0:
-            raise ValueError(f"lookback cannot be negative: {self.name}")
+    def row(self) -> tuple:
+        t = self.term
+        return (self.name, self.source, self.category, list(t.inputs), t.text, t.window, t.lookback, self.availability, self.note)
+
+    def form(self, kind: str, text: str, *more_inputs: str) -> CatalogEntry:
+        """The entry of a form made from this factor."""
+        made = replace(self.term, text=text, inputs=(*self.term.inputs, *more_inputs))
+        return replace(self, name=f"{self.name}_{kind}", category=f"{self.category}.{kind}", term=made, note=f"{kind} derived from {self.name}")
 
 
 @dataclass(frozen=True)
 class FactorTable:
-    """Key columns, factor columns, and one spec per factor."""
+    """Key columns, factor columns, and one catalog entry per factor."""
 
     df: DataFrame
-    specs: tuple[FactorSpec, ...] = field(default_factory=tuple)
+    entries: tuple[CatalogEntry, ...] = ()
     keys: tuple[str, ...] = DAILY_KEYS
 
     @property
     def names(self) -> list[str]:
-        return [s.name for s in self.specs]
+        return [e.name for e in self.entries]
 
     def output(self) -> DataFrame:
         return self.df.select(*self.keys, *self.names)
 
     def max_lookback(self) -> int:
-        return max((s.lookback for s in self.specs), default=0)
+        return max((e.term.lookback for e in self.entries), default=0)
 
     def validate(self) -> FactorTable:
         """Raise unless factor names and keys are unique and all columns exist."""
@@ -75,10 +72,9 @@ class FactorTable:
         return self
 
 
-def catalog(spark: SparkSession, specs: Sequence[FactorSpec]) -> DataFrame:
+def catalog(spark: SparkSession, entries: Sequence[CatalogEntry]) -> DataFrame:
     """The factor catalog: one row per factor."""
-    rows = [tuple(list(v) if isinstance(v, tuple) else v for v in asdict(s).values()) for s in specs]
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    return spark.createDataFrame([e.row() for e in entries], CATALOG_SCHEMA)
 
 
 def combine(tables: Sequence[FactorTable]) -> FactorTable:
@@ -87,7 +83,7 @@ def combine(tables: Sequence[FactorTable]) -> FactorTable:
     if any(t.keys != keys for t in tables):
         raise ValueError("factor tables have different keys")
     joined = combine_on_keys([t.output() for t in tables], keys)
-    return FactorTable(joined, tuple(s for t in tables for s in t.specs), keys)
+    return FactorTable(joined, tuple(e for t in tables for e in t.entries), keys)
 
 
 @dataclass(frozen=True)
@@ -120,28 +116,15 @@ def append_neutral(table: FactorTable, forms: NeutralForms = NeutralForms()) ->
         df = cs_zscore(df, {f"{n}_cs_z": n for n in names}, by, source=base)
     if forms.industry:
         df = industry_neutralize(df, {f"{n}_ind_neu": n for n in names}, forms.industry_column, by, base)
-    specs = list(table.specs)
-    for base in (s for s in table.specs if s.name in names):
-        kinds = []
+    made = []
+    for base in (e for e in table.entries if e.name in names):
         if forms.cs_pct:
-            kinds.append(("cs_pct", f"cs_pct_rank({base.name})", ()))
+            made.append(base.form("cs_pct", f"cs_pct_rank({base.name})"))
         if forms.cs_z:
-            kinds.append(("cs_z", f"cs_zscore({base.name})", ()))
+            made.append(base.form("cs_z", f"cs_zscore({base.name})"))
         if forms.industry:
-            expression = f"industry_neutralize({base.name}, {forms.industry_column})"
-            kinds.append(("ind_neu", expression, (forms.industry_column,)))
-        for kind, expression, inputs in kinds:
-            specs.append(
-                replace(
-                    base,
-                    name=f"{base.name}_{kind}",
-                    category=f"{base.category}.{kind}",
-                    inputs=(*base.inputs, *inputs),
-                    expression=expression,
-                    description=f"{kind} derived from {base.name}",
-                )
-            )
-    return FactorTable(df, tuple(specs), table.keys)
+            made.append(base.form("ind_neu", f"industry_neutralize({base.name}, {forms.industry_column})", forms.industry_column))
+    return FactorTable(df, (*table.entries, *made), table.keys)
 
 
 def eligible_factors(df: DataFrame, names: Sequence[str], max_missing_rate: float | None = 0.25) -> list[str]:
@@ -158,12 +141,12 @@ def missing_rates(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 class FactorList:
-    """Collects factor expressions and their specs in order, then makes the table."""
+    """Collects factor terms in order, then makes the table."""
 
     def __init__(self, source: str, prefix: str):
         self.source, self.prefix = source, prefix
         self.columns: dict[str, Column] = {}
-        self.specs: list[FactorSpec] = []
+        self.entries: list[CatalogEntry] = []
 
     def add(
         self,
@@ -175,17 +158,15 @@ class FactorList:
         window: int | None = None,
         lookback: int | None = None,
     ) -> str:
-        full = f"{self.prefix}{name}"
-        self.columns[full] = value
-        self.specs.append(
-            FactorSpec(full, self.source, category, tuple(inputs), expression, window,
-                       (window or 0) if lookback is None else lookback)
-        )
-        return full
+        back = (window or 0) if lookback is None else lookback
+        return self.add_term(name, Term(value, expression, tuple(inputs), back, window), category)
 
     def add_term(self, name: str, value: Term, category: str) -> str:
         """Add a factor whose catalog entry follows from its term."""
-        return self.add(name, value.column, category, value.inputs, value.text, value.window, value.lookback)
+        full = f"{self.prefix}{name}"
+        self.columns[full] = value.column
+        self.entries.append(CatalogEntry(full, self.source, category, value))
+        return full
 
     def table(self, work: DataFrame, keep: Sequence[str]) -> FactorTable:
         """Key columns and all factors, none of them NaN or infinite.
@@ -193,4 +174,4 @@ class FactorList:
         The factors become columns first, so no window expression is repeated.
         """
         raw = work.select(*keep, *[value.alias(name) for name, value in self.columns.items()])
-        return FactorTable(raw.select(*keep, *[finite(n).alias(n) for n in self.columns]), tuple(self.specs))
+        return FactorTable(raw.select(*keep, *[finite(n).alias(n) for n in self.columns]), tuple(self.entries))

@@ -275,7 +275,7 @@ def value_factors(spark, sf):
 def neutral_eligibility(spark, sf):
     """Share of missing values per factor and whether it gets neutral forms."""
     table = vf.value_factors(tables.metric(spark, sf))
-    names = [s.name for s in table.specs if s.category != "metric.missing"]
+    names = [e.name for e in table.entries if e.category != "metric.missing"]
     rates = missing_rates(table.df, names).unpivot([], names, "factor", "missing")
     return tidy(rates.withColumn("eligible", F.col("missing") <= 0.25))
 
@@ -443,7 +443,7 @@ def factor_catalog(spark, sf):
     """The catalog of two written blocks beside the values found in them."""
     found = []
     for _, written, made in written_blocks(spark, sf).values():
-        listed = catalog(spark, made.specs).select("source", F.col("name").alias("factor_name"), "lookback")
+        listed = catalog(spark, made.entries).select("source", F.col("name").alias("factor_name"), "lookback")
         found.append(listed.join(present_values(written, made.names), "factor_name"))
     return reduce(DataFrame.unionByName, found).select("source", "factor_name", "rows", "present", "lookback")
 
