@@ -158,6 +158,35 @@ def test_matching_is_longest_first_without_overlap(spark):
     }
 
 
+def join_rows(df):
+    """Rows that each join of the executed plan gave."""
+    df.collect()
+    found, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in name:
+            nodes.append(node.plan())
+        if "Join" in name:
+            found.append(node.metrics().apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_names_that_begin_alike_are_met_by_equality(spark):
+    names = [(f"{i:06d}.SZ", f"Sup{i:04d}") for i in range(400)] + [("900000.SH", "Sup0007 Holding"), ("900001.SH", "Sup")]
+    aliases = nw.alias_table(spark.createDataFrame(names, "stock_code string, stock_name string"))
+    titles = [(i, f"On Sup{i:04d} and Sup9999") for i in range(300)] + [(900, "Sup0007Holding, Sup0007"), (901, "Su"), (902, None)]
+    out = nw.names_in_text(spark.createDataFrame(titles, "id int, title string"), aliases, "id", "title")
+    # each title: a listed name and the short one; the longest at a place counts
+    assert rows(out.where("id in (3, 900, 901, 902)"), "id", "place") == [
+        (3, 4, "000003.SZ"), (3, 16, "900001.SH"), (900, 1, "900000.SH"), (900, 17, "000007.SZ"),
+    ]
+    assert max(join_rows(out)) < 10 * len(titles)
+
+
 def test_news_ids_and_map(spark):
     schema = "publish_time timestamp_ntz, trade_date date, news_text string, matched_stock_codes string, stock_code string, __source_file string"
     data = [
