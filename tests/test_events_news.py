@@ -187,6 +187,14 @@ def test_names_that_begin_alike_are_met_by_equality(spark):
     assert max(join_rows(out)) < 10 * len(titles)
 
 
+def test_items_and_map_read_the_matched_news_once(spark):
+    data = [(at(1), "a 000001", "000001.SZ", "000001.SZ"), (at(2), "b", "", None)]
+    detail = spark.createDataFrame(data, "publish_time timestamp_ntz, news_text string, matched_stock_codes string, stock_code string")
+    items, pairs = nw.news_items(detail.dropDuplicates())
+    assert items.inputFiles() and set(items.inputFiles()) == set(pairs.inputFiles())
+    assert (items.count(), pairs.count()) == (2, 1)
+
+
 def test_news_ids_and_map(spark):
     schema = "publish_time timestamp_ntz, trade_date date, news_text string, matched_stock_codes string, stock_code string, __source_file string"
     data = [
