@@ -176,6 +176,19 @@ def test_top_floor_guard(spark):
     assert got["s9"] == got["s8"] == pytest.approx(7 - 1e-6) and got["s7"] == 7.0
 
 
+def test_ranks_of_numbered_rows_across_ranges(spark):
+    """Values that many rows share end several ranges, so their ranks are counted over all of them; a missing key is a group."""
+    df = spark.range(24_000).select(
+        F.when(F.col("id") % 4 != 0, F.concat(F.lit("g"), (F.col("id") % 3).cast("string"))).alias("k"), F.col("id"),
+        F.when(F.col("id") % 5 < 2, -0.0).when(F.col("id") % 5 == 2, 7.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(91)) / 7.0).alias("x"),
+    )
+    got = number_rows(df, ["k"], [F.col("x")], "id", "n", "all", "r").toPandas()
+    assert len(got) == 24_000
+    for _, g in got.groupby("k", dropna=False):
+        assert list(g.sort_values("n")["id"]) == list(g.sort_values(["x", "id"])["id"]) and set(g["all"]) == {len(g)}
+        assert np.array_equal(g["r"], g["x"].rank()) and sorted(g["n"]) == list(range(1, len(g) + 1))
+
+
 def test_direction_and_blend(spark):
     data = [("a", "2024-01-01", 0.02, None), ("b", "2024-01-01", -0.02, 0.1), ("c", "2024-01-01", None, 0.3)]
     df = spark.createDataFrame(data, "sample_id string, target_trade_date string, x double, y double")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import correlation, finite
-from tidepanel.operators.cross_section import cs_rank
 from tidepanel.operators.keys import date_range, require_columns
 from tidepanel.operators.ordered import exact_quantiles, number_rows
 from tidepanel.scale import freeze, null_safe_join
@@ -49,8 +48,8 @@ def daily_ic(
     sides. The spread is the mean label of the highest group minus the lowest.
     """
     pairs = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    pairs = _grouped(pairs, groups, key)
-    pairs = cs_rank(pairs, {"rx": "x", "ry": "y"}, FACTOR_DAY, row=[key, *FACTOR])
+    pairs = _grouped(pairs, groups, key, "rx").select(*FACTOR_DAY, "x", "y", "rx", "group", "_n")
+    pairs = number_rows(pairs, FACTOR_DAY, [F.col("y")], "_n", "_m", rank="ry")
     counts = rows.groupBy(*FACTOR_DAY).agg(F.count(F.lit(1)).alias("row_count"))
     usable = (
         (F.count(F.lit(1)) >= min_pairs)
@@ -68,13 +67,13 @@ def daily_ic(
     return joined.withColumn("coverage", F.col("pair_count") / F.col("row_count"))
 
 
-def _grouped(pairs: DataFrame, groups: int, key: str) -> DataFrame:
-    """Quantile group 1..q of each pair by factor value, ties in the order of the key."""
-    ranked = number_rows(pairs, FACTOR_DAY, [F.col("x")], key, "_n", "_all")
+def _grouped(pairs: DataFrame, groups: int, key: str, rank: str | None = None) -> DataFrame:
+    """Quantile group 1..q of each pair by factor value, ties in the order of the key; its place ``_n``, and its average ``rank``."""
+    ranked = number_rows(pairs, FACTOR_DAY, [F.col("x")], key, "_n", "_all", rank)
     # exact in integers: ceil((n - 1) q / (N - 1)), at least 1
     step = F.col("_all") - 1
     place = F.floor(((F.col("_n") - 1) * groups + step - 1) / F.greatest(step, F.lit(1)))
-    return ranked.withColumn("group", F.greatest(place, F.lit(1)).cast("int")).drop("_n", "_all")
+    return ranked.withColumn("group", F.greatest(place, F.lit(1)).cast("int")).drop("_all")
 
 
 def group_returns(
