@@ -115,6 +115,27 @@ def test_hash_sample_is_stable(spark):
     assert rows(hash_sample(df, 20, "k", seed=1).select("k"), "k") != one
 
 
+def test_correlations_by_one_pass_over_the_samples(spark):
+    """Ties, gaps and an unlisted factor: pairs and matrix against pandas, without meeting samples with themselves."""
+    rng = random.Random(3)
+    gap = lambda v: None if rng.random() < 0.2 else v
+    data = [(f"s{i}", gap(float(rng.randrange(9))), gap(rng.random()), gap(float(rng.randrange(3)))) for i in range(400)]
+    panel = spark.createDataFrame(data, "sample_id string, a double, b double, c double")
+    pairs = spark.createDataFrame([("a", "b"), ("c", "a"), ("a", "zz")], "factor_a string, factor_b string")
+    out = se.pair_correlation(panel, pairs, ["a", "b", "c"])
+    frame = panel.toPandas().set_index("sample_id").astype(float)
+    got = {(r.factor_a, r.factor_b): (r.corr, r.overlap_count) for r in out.collect()}
+    assert got.keys() == {("a", "b"), ("c", "a")}
+    for (x, y), (corr, n) in got.items():
+        both = frame[[x, y]].dropna()
+        assert n == len(both) and corr == pytest.approx(both.rank().corr()[x].loc[y])
+    z = se.standardised(panel, ["a", "b", "c"]).toPandas().set_index("sample_id")
+    ranks = frame.rank()
+    assert abs(z - ((ranks - ranks.mean()) / ranks.std()).fillna(0.0).loc[z.index]).max().max() < 1e-9
+    plan = se.standardised(panel, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivot" not in plan and plan.count("Aggregate [sample_id") == 1
+
+
 def test_clusters_follow_chains(spark):
     names = [f"f{i:02d}" for i in range(12)]
     scored = spark.createDataFrame([(n, float(i), 1.0, "candidate", "") for i, n in enumerate(names)],

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import clip, correlation, finite
 from tidepanel.operators.keys import require_columns
-from tidepanel.operators.ordered import add_ranks
+from tidepanel.operators.ordered import number_rows
 from tidepanel.scale import freeze
 
 # Default thresholds.
@@ -125,14 +125,15 @@ def standardised(panel: DataFrame, factors: Sequence[str], method: str = "spearm
     wide = panel.select(key, *[finite(f).alias(f) for f in factors])
     long = wide.unpivot([key], list(factors), "factor_name", "x").where(F.col("x").isNotNull())
     if method == "spearman":
-        long = add_ranks(long, ["factor_name"], {"v": "x"})
+        long = number_rows(long, ["factor_name"], [F.col("x")], key, "_n", rank="v")
     else:
         long = long.withColumn("v", F.col("x"))
     stats = long.groupBy("factor_name").agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
     z = long.join(stats, "factor_name").select(
         key, "factor_name", F.coalesce(F.try_divide(F.col("v") - F.col("_m"), F.col("_s")), F.lit(0.0)).alias("z")
     )
-    return z.groupBy(key).pivot("factor_name", list(factors)).agg(F.first("z")).na.fill(0.0)
+    # a sample has one row per factor, so one aggregation does; a pivot would first group by sample and factor
+    return z.groupBy(key).agg(*[F.coalesce(F.max(F.when(F.col("factor_name") == f, F.col("z"))), F.lit(0.0)).alias(f) for f in factors])
 
 
 def correlation_matrix(
@@ -172,15 +173,18 @@ def pair_correlation(
     panel: DataFrame, pairs: DataFrame, factors: Sequence[str], method: str = "spearman", key: str = "sample_id"
 ) -> DataFrame:
     """Exact correlation of listed pairs over the rows where both are present, ranked anew for each pair."""
-    wide = panel.select(key, *[finite(f).alias(f) for f in factors])
-    long = wide.unpivot([key], list(factors), "factor_name", "x").where(F.col("x").isNotNull())
-    left = long.join(pairs.select("factor_a", "factor_b"), F.col("factor_name") == F.col("factor_a")).drop("factor_name")
-    right = long.select(F.col(key).alias("_k"), F.col("factor_name").alias("_f"), F.col("x").alias("y"))
-    both = left.join(right, (F.col(key) == F.col("_k")) & (F.col("factor_b") == F.col("_f"))).drop("_k", "_f")
+    # both values are in the sample's row, so rows meet the listed pairs and not each other
+    wide = panel.select(key, F.array(*[finite(f) for f in factors]).alias("_values"))
+    place = F.create_map(*[F.lit(v) for i, f in enumerate(factors) for v in (f, i)])
+    listed = pairs.select("factor_a", "factor_b", *[F.element_at(place, F.col(f"factor_{s}")).alias(f"_{s}") for s in "ab"])
+    value = lambda at: F.get("_values", F.col(at))
+    both = wide.crossJoin(listed).select(key, "factor_a", "factor_b", value("_a").alias("x"), value("_b").alias("y"))
+    both = both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
     group = ["factor_a", "factor_b"]
     x, y = "x", "y"
     if method == "spearman":
-        both = add_ranks(both, group, {"rx": "x", "ry": "y"}, row=[key, *group])
+        both = number_rows(both, group, [F.col("x")], key, "_n", rank="rx").drop(key)
+        both = number_rows(both, group, [F.col("y")], "_n", "_m", rank="ry")
         x, y = "rx", "ry"
     return both.groupBy(*group).agg(
         F.when((F.min("x") < F.max("x")) & (F.min("y") < F.max("y")), correlation(F.col(x), F.col(y))).alias("corr"),
