@@ -162,7 +162,8 @@ def slice_spread(spark, sf):
 )
 def slice_summary(spark, sf):
     """Summary of stored daily metrics over three years."""
-    return tidy(ev.slice_summary(daily(spark, sf), group_rows(spark, sf), _SINCE, _UNTIL))
+    rows = ev.factor_label_rows(freeze(panel(spark, sf), "panel"), FACTORS, LABELS)
+    return tidy(ev.slice_summary(ev.daily_ic(rows, 10, GROUPS), ev.group_returns(rows, 10, GROUPS), _SINCE, _UNTIL))
 
 
 # -- quality -------------------------------------------------------------------------
@@ -263,9 +264,9 @@ def industry_coverage(spark, sf):
 THRESHOLDS = {"min_days": 60, "min_coverage": 0.95, "min_abs_rank_ic": 0.004}
 
 
-def candidates(spark, sf) -> DataFrame:
-    """Quality and summary reports merged; the panel and the result are stage tables, as in a daily run."""
-    p = freeze(panel(spark, sf), "panel")
+def candidates(spark, sf, p: DataFrame | None = None) -> DataFrame:
+    """Quality and summary reports merged; the panel (``p`` if it is at hand) and the result are stage tables, as in a daily run."""
+    p = freeze(panel(spark, sf), "panel") if p is None else p
     quality = ev.factor_quality(p.select("sample_id", *FACTORS), p, FACTORS, 0.8, 1000, 0.05)
     days = ev.daily_ic(ev.factor_label_rows(p, FACTORS, LABELS), 10, GROUPS)
     merged = se.merge_reports(quality, ev.factor_summary(days), *LABELS)
@@ -335,7 +336,7 @@ define(
 )
 def factor_correlation_matrix(spark, sf):
     """Rank correlations of all factors from standardised columns."""
-    return tidy(se.correlation_matrix(panel(spark, sf), FACTORS))
+    return tidy(se.correlation_matrix(freeze(panel(spark, sf), "panel"), FACTORS))
 
 
 def _exact_sql(a: str, b: str) -> str:
@@ -354,7 +355,7 @@ _EXACT = " UNION ALL ".join(_exact_sql(a, b) for i, a in enumerate(FACTORS) for
 def exact_pair_correlation(spark, sf):
     """Rank correlations of all pairs over their common rows."""
     pairs = spark.createDataFrame([(a, b) for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :]], "factor_a string, factor_b string")
-    return tidy(se.pair_correlation(panel(spark, sf), pairs, FACTORS))
+    return tidy(se.pair_correlation(freeze(panel(spark, sf), "panel"), pairs, FACTORS))
 
 
 CONFLICT = 0.7
@@ -370,7 +371,8 @@ CONFLICT = 0.7
 )
 def correlation_conflicts(spark, sf):
     """Factor pairs that say nearly the same, confirmed exactly."""
-    return tidy(se.correlation_conflicts(panel(spark, sf), FACTORS, threshold=CONFLICT, min_pairs=100))
+    p = freeze(panel(spark, sf), "panel")
+    return tidy(se.correlation_conflicts(p, FACTORS, threshold=CONFLICT, min_pairs=100))
 
 
 define(
@@ -388,8 +390,9 @@ clusters AS (SELECT 'cluster_' || lpad(CAST(n AS VARCHAR), 4, '0') AS cluster_id
 
 
 def clusters(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    scored = candidates(spark, sf)
-    pairs = freeze(se.conflicts(se.correlation_matrix(panel(spark, sf), FACTORS), CONFLICT, 100), "conflicts")
+    p = freeze(panel(spark, sf), "panel")
+    scored = candidates(spark, sf, p)
+    pairs = freeze(se.conflicts(se.correlation_matrix(p, FACTORS), CONFLICT, 100), "conflicts")
     return scored, pairs, se.redundancy_clusters(scored, pairs)
 
 
