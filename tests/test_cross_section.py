@@ -189,6 +189,17 @@ def test_ranks_of_numbered_rows_across_ranges(spark):
         assert np.array_equal(g["r"], g["x"].rank()) and sorted(g["n"]) == list(range(1, len(g) + 1))
 
 
+def test_quantiles_are_counted_by_hash(spark):
+    df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 != 0, F.pmod(F.xxhash64("id"), F.lit(997)) / 3.0).alias("x"))
+    out = exact_quantiles(df, ["k"], "x", {"p05": 0.05, "p50": 0.5}, {"mean": F.avg("x"), "low": F.min("x")})
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    frame = df.toPandas().groupby("k")["x"]
+    for r in out.collect():
+        x = frame.get_group(r.k)
+        assert (r.total, r.low) == (x.count(), x.min()) and r["mean"] == pytest.approx(x.mean())
+        assert [r.p05, r.p50] == pytest.approx([x.quantile(0.05), x.quantile(0.5)])
+
+
 def test_direction_and_blend(spark):
     data = [("a", "2024-01-01", 0.02, None), ("b", "2024-01-01", -0.02, 0.1), ("c", "2024-01-01", None, 0.3)]
     df = spark.createDataFrame(data, "sample_id string, target_trade_date string, x double, y double")
