@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -338,3 +339,20 @@ def test_times_are_read_from_all_forms(spark):
     got = [str(r.v) if r.v else None for r in df.select("i", parse_time("t").alias("v")).orderBy("i").collect()]
     day, half = "2024-01-05 00:00:00", "2024-01-05 09:30:00"
     assert got == [day, half, half, half, day, day, half, None, None, None, None]
+
+
+def test_lookback_passes_are_dealt_out_by_the_size_of_the_stored_input(spark, tmp_path, monkeypatch):
+    from tidepanel import scale
+    from tidepanel.operators.joins import lookback_arrays
+
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int"))
+    stored = spark.range(2000).select((F.col("id") / 50).cast("int").cast("string").alias("stock_code"), day.alias("trade_date"), F.col("id").cast("double").alias("x"))
+    stored.write.parquet(str(tmp_path / "panel"))
+    panel = spark.read.parquet(str(tmp_path / "panel"))
+    samples = panel.select(F.concat_ws("_", "stock_code", "trade_date").alias("sample_id"), "stock_code", F.col("trade_date").alias("feature_asof_date"))
+    monkeypatch.setattr(scale, "TASK_BYTES", 256)
+    out = lookback_arrays(panel, samples, ["x"], 3)
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", out._jdf.queryExecution().toString())]
+    assert len(dealt) >= 2 and min(dealt) > 4 * spark.sparkContext.defaultParallelism
+    got = out.where((F.col("stock_code") == "3") & (F.col("feature_asof_date") == "2024-01-02")).first()
+    assert (got.window_rows, got.x, got.x_mask) == (2, [0.0, 150.0, 151.0], [False, True, True])
