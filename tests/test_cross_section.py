@@ -224,3 +224,19 @@ def test_a_large_section_is_split(spark):
     assert list(work["n"]) == list(range(1, 30_001))
     ranks = cs.cs_rank(df, {"r": "x"}, cs.TARGET).select("x", "r").toPandas()
     assert np.allclose(ranks["r"], ranks["x"].rank())
+
+
+def test_bins_by_their_first_values_agree_with_ranks_and_rows_are_not_shuffled_for_them(spark, tmp_path):
+    # ties that cross an edge, a value that most rows share, gaps, a tiny group and a NULL group
+    value = F.when(F.col("g") == 0, (F.col("id") * 7 % 50).cast("double")).when(F.col("g") == 1, F.when(F.col("id") % 10 < 7, 5.0).otherwise(F.col("id").cast("double")))
+    data = spark.range(3000).withColumn("g", F.when(F.col("id") < 5, 2).otherwise((F.col("id") % 2)).cast("int"))
+    data = data.withColumn("x", F.when(F.col("id") % 13 != 0, F.coalesce(value, F.col("id").cast("double")))).withColumn("g", F.when(F.col("id") % 101 != 0, F.col("g")))
+    data.write.parquet(str(tmp_path / "bins"))
+    stored = spark.read.parquet(str(tmp_path / "bins"))
+    binned = cs.quantile_bin(stored, {"b4": ("x", 4), "b3": ("x", 3)}, ["g"])
+    ranked = cs.cs_pct_rank(binned, {"p": "x"}, ["g"])
+    for name, bins in (("b4", 4), ("b3", 3)):
+        expected = F.when(F.col("p").isNull(), -1).otherwise(F.floor(F.least("p", F.lit(0.999999)) * bins))
+        assert ranked.where(F.col(name) != expected).count() == 0
+    assert "Exchange hashpartitioning" not in binned._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in cs.robust_z(stored, {"z": "x"}, ["g"])._jdf.queryExecution().executedPlan().toString()

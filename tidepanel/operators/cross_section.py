@@ -3,8 +3,9 @@
 All take a DataFrame and return it with columns added. Means and deviations are grouped aggregates with partial
 aggregation, joined back by group; ranks, quantiles and row numbers are the exact positions of
 :mod:`tidepanel.operators.ordered`, which cut a group where it is large. So no section has to fit in one task, and there is
-one plan for every size. An operator that reads its input more than once stores it first, unless it only projects and
-filters stored rows already.
+one plan for every size. Statistics of groups are stored before they are joined back, so that Spark knows their size and does
+not shuffle the rows for a small table. An operator that reads its input more than once stores it first, unless it only projects,
+filters and joins such small tables to stored rows already.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import clip, col, finite, flag, logit, safe_div
-from tidepanel.operators.ordered import add_ranks, exact_quantiles, median_of_distances, number_rows
-from tidepanel.scale import null_safe_join, settled
+from tidepanel.operators.ordered import add_ranks, exact_quantiles, median_of_distances, number_rows, rank_edges
+from tidepanel.scale import freeze, null_safe_join, settled
 
 BY = ("trade_date",)
 TARGET = ("target_trade_date",)
@@ -61,7 +62,7 @@ def group_values(
     """Add aggregates of the row's group as columns; ``source``: a settled table that ``df`` was made from, to aggregate instead."""
     work = df if source is not None else settled(df)
     stats = (work if source is None else source).groupBy(*by).agg(*[a.alias(out) for out, a in aggregates.items()])
-    return null_safe_join(work, stats, by)
+    return null_safe_join(work, freeze(stats, "groups"), by)
 
 
 def zscore(
@@ -117,9 +118,10 @@ def industry_neutralize(
     return work.withColumns(results).drop(*[f"_m_{out}" for out in columns])
 
 
-def _long(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column | str]) -> DataFrame:
-    """One row per row and column: group, ``_out`` and the value ``_x``."""
-    pairs = F.array(*[F.struct(F.lit(out).alias("_out"), finite(x).cast("double").alias("_x")) for out, x in columns.items()])
+def _long(df: DataFrame, by: Sequence[str], columns: Mapping[str, Column | str], clean: bool = False) -> DataFrame:
+    """One row per row and column: group, ``_out`` and the value ``_x``; ``clean`` if the columns are finite already."""
+    value = (lambda x: F.col(x).cast("double")) if clean else lambda x: finite(x).cast("double")
+    pairs = F.array(*[F.struct(F.lit(out).alias("_out"), value(x).alias("_x")) for out, x in columns.items()])
     return df.select(*by, F.inline(pairs))
 
 
@@ -136,7 +138,8 @@ def group_quantiles(
     shares = sorted({q for _, q in quantiles.values()})
     long = _long(work, by, {x: x for x, _ in quantiles.values()})
     stats = exact_quantiles(long, [*by, "_out"], "_x", {f"_q{i}": q for i, q in enumerate(shares)})
-    return null_safe_join(work, _pivoted(stats, by, {out: (x, f"_q{shares.index(q)}") for out, (x, q) in quantiles.items()}), by)
+    found = _pivoted(stats, by, {out: (x, f"_q{shares.index(q)}") for out, (x, q) in quantiles.items()})
+    return null_safe_join(work, freeze(found, "groups"), by)
 
 
 def robust_z(
@@ -155,24 +158,23 @@ def robust_z(
     by, wanted = list(by), dict(quantiles or {})
     values = {f"_x_{out}": finite(x) for out, x in columns.items()}
     work = settled(df.withColumns(values))
-    long = _long(work, by, {**{x: x for x in values}, **{f"_q_{out}": x for out, (x, _) in wanted.items()}})
+    raw = {f"_q_{out}": finite(x) for out, (x, _) in wanted.items()}
+    long = _long(work.withColumns(raw) if raw else work, by, {x: x for x in (*values, *raw)}, clean=True)
     shares = sorted({0.5, *[q for _, q in wanted.values()]})
     names = {f"_q{i}": q for i, q in enumerate(shares)}
     middle = exact_quantiles(long, [*by, "_out"], "_x", names, {"_s": F.stddev_samp("_x")}, "_grid")
     median = f"_q{shares.index(0.5)}"
     spread = median_of_distances(long, [*by, "_out"], "_x", middle, median, "_grid", "_a")
     stats = {f"_m{x}": (x, median) for x in values} | {f"_s{x}": (x, "_s") for x in values} | {f"_a{x}": (x, "_a") for x in values}
-    stats |= {out: (f"_q_{out}", f"_q{shares.index(q)}") for out, (_, q) in wanted.items()}
-    found = _pivoted(spread, by, stats)
-    work = null_safe_join(work, found, by)
-    results = {}
-    for out in columns:
-        x = f"_x_{out}"
-        mad = F.lit(ROBUST_SCALE) * F.col(f"_a{x}")
-        scale = F.coalesce(F.nullif(mad, F.lit(0.0)), F.nullif(F.col(f"_s{x}"), F.lit(0.0)))
-        z = F.coalesce(safe_div(F.col(x) - F.col(f"_m{x}"), scale), F.lit(0.0))
-        results[out] = clip(z, -limit, limit)
-    return work.withColumns(results).drop(*[f"{h}{x}" for x in values for h in ("", "_m", "_a", "_s")])
+    found = _pivoted(spread, by, stats | {out: (f"_q_{out}", f"_q{shares.index(q)}") for out, (_, q) in wanted.items()})
+    # the divisor is made per group, and the quotient is a column of its own, so that no row's expression is written twice
+    nonzero = lambda n: F.nullif(n, F.lit(0.0))
+    scales = {f"_s{x}": F.coalesce(nonzero(F.lit(ROBUST_SCALE) * F.col(f"_a{x}")), nonzero(F.col(f"_s{x}"))) for x in values}
+    found = found.withColumns(scales).drop(*[f"_a{x}" for x in values])
+    work = null_safe_join(work, freeze(found, "groups"), by)
+    work = work.withColumns({x: (F.col(x) - F.col(f"_m{x}")) / F.col(f"_s{x}") for x in values})
+    limited = lambda z: F.greatest(F.least(F.coalesce(finite(z), F.lit(0.0)), F.lit(limit)), F.lit(-limit))
+    return work.withColumns({out: limited(f"_x_{out}") for out in columns}).drop(*[f"{h}{x}" for x in values for h in ("", "_m", "_s")])
 
 
 def quantile_bin(
@@ -180,13 +182,27 @@ def quantile_bin(
     columns: Mapping[str, tuple[str, int]],
     by: Sequence[str] = TARGET
 ) -> DataFrame:
-    """Add ``{out: (column, bins)}`` bins 0..bins-1 of the percentile rank, -1 for a missing value."""
-    work = cs_pct_rank(df, {f"_p_{out}": x for out, (x, _) in columns.items()}, by)
+    """Add ``{out: (column, bins)}`` bins 0..bins-1 of the percentile rank, -1 for a missing value.
+
+    A row is compared with the values where the bins of its group begin; no row is numbered or ranked for it.
+    """
+    values = {f"_x_{out}": finite(x) for out, (x, _) in columns.items()}
+    work = settled(df.withColumns(values))
+    edges = {f"_{j}_{bins}": (j, bins) for bins in sorted({b for _, b in columns.values()}) for j in range(1, bins)}
+    if not edges:
+        found, begins = work, {}
+    else:
+        stats = rank_edges(_long(work, by, {x: x for x in values}, clean=True), [*by, "_out"], "_x", edges)
+        begins = {f"_begin_{out}_{j}": (f"_x_{out}", f"_{j}_{bins}") for out, (_, bins) in columns.items() for j in range(1, bins)}
+        found = null_safe_join(work, freeze(_pivoted(stats, by, begins), "groups"), by)
     results = {}
     for out, (_, bins) in columns.items():
-        share = F.least(F.col(f"_p_{out}"), F.lit(0.999999))
-        results[out] = F.coalesce(F.when(F.col(f"_p_{out}").isNotNull(), F.floor(share * bins)), F.lit(-1)).cast("int")
-    return work.withColumns(results).drop(*[f"_p_{out}" for out in columns])
+        x, passed = F.col(f"_x_{out}"), F.lit(0)
+        for j in range(1, bins):
+            edge = F.col(f"_begin_{out}_{j}")
+            passed = passed + F.when(edge["after"], x > edge["at"]).otherwise(x >= edge["at"]).cast("int")
+        results[out] = F.when(x.isNotNull(), passed).otherwise(F.lit(-1)).cast("int")
+    return found.withColumns(results).drop(*values, *begins)
 
 
 def median_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str] = BY) -> DataFrame:
