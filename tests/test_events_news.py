@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -269,3 +270,22 @@ def test_keyword_groups_count_each_news_once_per_group(spark):
     assert got["ai_compute", "2024-01-01"] == (1, 1, 0) and got["pcb", "2024-01-01"] == (0, 0, 0)
     assert got["semiconductor", "2024-01-01"] == (2, 1, 1) and got["semiconductor", "2025-01-01"] == (1, 1, 0)
     assert len(got) == 18
+
+
+def test_event_windows_are_dealt_out_by_the_size_of_the_stored_input(spark, tmp_path, monkeypatch):
+    from tidepanel import scale
+
+    start = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+    stored = spark.range(2000).select(
+        F.col("id").alias("news_id"), (F.col("id") % 40).cast("string").alias("stock_code"),
+        (start + F.make_dt_interval(mins=(F.col("id") * 7).cast("int"))).alias("publish_time"),
+    )
+    stored.write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    samples = events.select(F.col("news_id").alias("sample_id"), "stock_code", F.col("publish_time").alias("decision_ts"))
+    monkeypatch.setattr(scale, "TASK_BYTES", 512)
+    out = windowed_events(samples, events, (1, 3), SlotMeasures(), "stock_code")
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", out._jdf.queryExecution().toString())]
+    assert len(dealt) >= 4 and min(dealt) > 4 * spark.sparkContext.defaultParallelism
+    # every 280 minutes an event of the stock: 5 or 6 within a day
+    assert out.where("sample_id = 1999").first().count_1d == 6.0

@@ -12,6 +12,7 @@ three small things are enough, for any number of decision times:
 * Over **days** a window over one row per day gives the whole days between.
 
 The three parts of each (decision time, window) are added up. There is one plan, and nothing is looked up before it is made.
+Decision times, days and parts are dealt out by the size of the input, so a task sorts the same rows at any size.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.text import epoch_micros
+from tidepanel.scale import spread
 
 DAY_MICROS = 86_400_000_000
 MINUTE_MICROS = 60_000_000
@@ -63,10 +65,10 @@ def windowed_events(
         "sample_id", key.alias("_entity"), epoch_micros(decision).alias("_at")
     )
     # what each decision needs: the part up to it (window 0), and per window the part after the same time d days before
-    times = asked.select("_entity", "_at").distinct()
+    times = spread(asked.select("_entity", "_at"), "_entity", "_at").distinct()
     back = F.explode(F.array(F.lit(0), *[F.lit(d) for d in windows])).alias("_d")
     needs = times.select("_entity", "_at", back).withColumn("_cut", F.col("_at") - F.col("_d") * DAY_MICROS)
-    needs = needs.withColumn("_minute", _floor_div(F.col("_cut"), MINUTE_MICROS))
+    needs = spread(needs.withColumn("_minute", _floor_div(F.col("_cut"), MINUTE_MICROS)), "_entity", "_minute")
 
     stamped = events.where(F.col(time).isNotNull()).select(
         key.alias("_entity"),
@@ -83,7 +85,7 @@ def windowed_events(
 
     parts = _parts_of_days(segments, needs, read).unionByName(_whole_days(segments, times, windows, read))
     wide = {f"{n}_{d}d": read[n](F.when((F.col("_d") == d) | (F.col("_d") == 0), F.col(n))) for d in windows for n in names}
-    seen = parts.groupBy("_entity", "_at").agg(*[x.alias(n) for n, x in wide.items()])
+    seen = spread(parts, "_entity", "_at").groupBy("_entity", "_at").agg(*[x.alias(n) for n, x in wide.items()])
 
     out = asked.join(seen, ["_entity", "_at"], "left")
     final = {}
@@ -121,7 +123,7 @@ def _parts_of_days(segments: DataFrame, needs: DataFrame, read: Mapping[str, Cal
     # the segment that ends at this cut; equal cuts of several needs share it
     asked = needs.withColumn("_segment", (F.dense_rank().over(place) - 1).cast("int"))
     asked = asked.withColumn("_day", _floor_div(F.col("_minute"), DAY_MICROS // MINUTE_MICROS)).drop("_cut")
-    line = segments.unionByName(asked, allowMissingColumns=True)
+    line = spread(segments.unionByName(asked, allowMissingColumns=True), "_entity", "_day")
     until = Window.partitionBy("_entity", "_day").orderBy("_minute", "_segment").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # a need stands after its segment; seen from the other end, before the next one
     after = (
@@ -137,7 +139,7 @@ def _whole_days(segments: DataFrame, times: DataFrame, windows: Sequence[int], r
     """Measures of the whole days between the first and the last day of each window."""
     days = segments.groupBy("_entity", "_day").agg(*[f(n).alias(n) for n, f in read.items()])
     asked = times.withColumn("_day", _floor_div(F.col("_at"), DAY_MICROS))
-    line = days.unionByName(asked, allowMissingColumns=True)
+    line = spread(days.unionByName(asked, allowMissingColumns=True), "_entity")
     order = Window.partitionBy("_entity").orderBy("_day")
     between = F.array(
         *[
