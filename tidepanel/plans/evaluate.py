@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import correlation, finite
 from tidepanel.operators.keys import date_range, require_columns
-from tidepanel.operators.ordered import exact_quantiles, number_rows
-from tidepanel.scale import freeze, null_safe_join
+from tidepanel.operators.ordered import cell_starts, cut_groups, exact_quantiles, in_order, ranked_in_cells, with_cells
+from tidepanel.scale import null_safe_join, settled
 
 FACTOR = ("factor_name", "label")
 FACTOR_DAY = (*FACTOR, "target_trade_date")
@@ -24,15 +24,17 @@ def factor_label_rows(
     """Long form: one row per sample, factor and label.
 
     Every later step groups by factor, label and day, so the work of all factors
-    is spread over the cluster at once.
+    is spread over the cluster at once. The samples are stored once, in the order of the key, and ``_row`` numbers them so; the
+    long form is made from them wherever it is read.
     """
     wide = panel.select(
         key, "target_trade_date", *[finite(f).alias(f) for f in factors], *[finite(x).alias(f"_y_{x}") for x in labels]
     )
-    long = wide.unpivot([key, "target_trade_date", *[f"_y_{x}" for x in labels]], list(factors), "factor_name", "x")
+    wide = in_order(wide, key, "_row")
+    long = wide.unpivot([key, "_row", "target_trade_date", *[f"_y_{x}" for x in labels]], list(factors), "factor_name", "x")
     pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"_y_{x}").alias("y")) for x in labels]))
-    return long.select(key, "target_trade_date", "factor_name", "x", pairs.alias("_l")).select(
-        key, "target_trade_date", "factor_name", "x", "_l.label", "_l.y"
+    return long.select(key, "_row", "target_trade_date", "factor_name", "x", pairs.alias("_l")).select(
+        key, "_row", "target_trade_date", "factor_name", "x", "_l.label", "_l.y"
     )
 
 
@@ -46,54 +48,58 @@ def daily_ic(
 
     A day counts only with ``min_pairs`` pairs and more than one value on both
     sides. The spread is the mean label of the highest group minus the lowest.
+    A pair moves twice: to the rows of its factor's cell, and with its rank and group to those of its label's.
     """
+    rows, row = _numbered(rows, key)
     pairs = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    pairs = _grouped(pairs, groups, key, "rx").select(*FACTOR_DAY, "x", "y", "rx", "group", "_n")
-    pairs = number_rows(pairs, FACTOR_DAY, [F.col("y")], "_n", "_m", rank="ry")
-    counts = rows.groupBy(*FACTOR_DAY).agg(F.count(F.lit(1)).alias("row_count"))
-    usable = (
-        (F.count(F.lit(1)) >= min_pairs)
-        & (F.min("x") < F.max("x"))
-        & (F.min("y") < F.max("y"))
-    )
+    usable = _usable(min_pairs)
+    days = cut_groups(pairs, FACTOR_DAY, ["x", "y"], row, {"_usable": usable, "ic": F.when(usable, correlation(F.col("x"), F.col("y")))})
+    celled = with_cells(pairs, days, FACTOR_DAY, ["x", "y"], row, "x")
+    ranked = _grouped(celled, days, groups, row, "rx").select("_cell_y", "y", "rx", "group")
+    ranked = ranked_in_cells(ranked, cell_starts(celled, "y"), "y", "ry")
     top, bottom = F.avg(F.when(F.col("group") == groups, F.col("y"))), F.avg(F.when(F.col("group") == 1, F.col("y")))
-    stats = pairs.groupBy(*FACTOR_DAY).agg(
-        F.count(F.lit(1)).alias("pair_count"),
-        F.when(usable, correlation(F.col("x"), F.col("y"))).alias("ic"),
-        F.when(usable, correlation(F.col("rx"), F.col("ry"))).alias("rank_ic"),
-        F.when(usable & (F.count(F.lit(1)) >= groups), top - bottom).alias("group_spread"),
+    stats = ranked.groupBy("_group").agg(correlation(F.col("rx"), F.col("ry")).alias("_rank_ic"), (top - bottom).alias("_spread"))
+    stats = days.join(stats, "_group").select(
+        *FACTOR_DAY,
+        F.col("_total").alias("pair_count"),
+        "ic",
+        F.when(F.col("_usable"), F.col("_rank_ic")).alias("rank_ic"),
+        F.when(F.col("_usable") & (F.col("_total") >= groups), F.col("_spread")).alias("group_spread"),
     )
+    counts = rows.groupBy(*FACTOR_DAY).agg(F.count(F.lit(1)).alias("row_count"))
     joined = null_safe_join(counts, stats, FACTOR_DAY).withColumn("pair_count", F.coalesce("pair_count", F.lit(0)))
     return joined.withColumn("coverage", F.col("pair_count") / F.col("row_count"))
 
 
-def _grouped(pairs: DataFrame, groups: int, key: str, rank: str | None = None) -> DataFrame:
-    """Quantile group 1..q of each pair by factor value, ties in the order of the key; its place ``_n``, and its average ``rank``."""
-    ranked = number_rows(pairs, FACTOR_DAY, [F.col("x")], key, "_n", "_all", rank)
+def _numbered(rows: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """Rows that can be read again, and the column that numbers them in the order of ``key``."""
+    return (settled(rows, "pairs") if "_row" in rows.columns else in_order(rows, key, "_row")), "_row"
+
+
+def _usable(min_pairs: int) -> Column:
+    return (F.count(F.lit(1)) >= min_pairs) & (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+
+
+def _grouped(celled: DataFrame, days: DataFrame, groups: int, row: str, rank: str) -> DataFrame:
+    """Quantile group 1..q of each pair by factor value, ties in the order of ``row``, and its average ``rank``."""
+    kept = [c for c in ("_cell_x", "_cell_y", "x", "y", row) if c in celled.columns]
+    ranked = ranked_in_cells(celled.select(*kept), cell_starts(celled, "x"), "x", rank, "_n", row)
     # exact in integers: ceil((n - 1) q / (N - 1)), at least 1
-    step = F.col("_all") - 1
-    place = F.floor(((F.col("_n") - 1) * groups + step - 1) / F.greatest(step, F.lit(1)))
-    return ranked.withColumn("group", F.greatest(place, F.lit(1)).cast("int")).drop("_all")
+    ranked = ranked.join(days.select("_group", (F.col("_total") - 1).alias("_step")), "_group")
+    place = F.floor(((F.col("_n") - 1) * groups + F.col("_step") - 1) / F.greatest("_step", F.lit(1)))
+    return ranked.withColumn("group", F.greatest(place, F.lit(1)).cast("int")).drop("_step", "_n")
 
 
 def group_returns(
     rows: DataFrame, min_pairs: int = 2, groups: int = 5, key: str = "sample_id"
 ) -> DataFrame:
     """Count and mean label of each quantile group, on days that count."""
+    rows, row = _numbered(rows, key)
     pairs = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    members = _grouped(pairs, groups, key)
-    parts = members.groupBy(*FACTOR_DAY, "group").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg("y").alias("mean_return"),
-        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"),
-    )
-    day = Window.partitionBy(*FACTOR_DAY)  # at most q rows per day
-    usable = (
-        (F.sum("count").over(day) >= max(min_pairs, groups))
-        & (F.min("_x0").over(day) < F.max("_x1").over(day))
-        & (F.min("_y0").over(day) < F.max("_y1").over(day))
-    )
-    return parts.withColumn("_ok", usable).where("_ok").select(*FACTOR_DAY, "group", "count", "mean_return")
+    days = cut_groups(pairs, FACTOR_DAY, ["x"], row, {"_usable": _usable(max(min_pairs, groups))})
+    members = _grouped(with_cells(pairs, days, FACTOR_DAY, ["x"], row, "x"), days, groups, row, "_rank")
+    parts = members.groupBy("_group", "group").agg(F.count(F.lit(1)).alias("count"), F.avg("y").alias("mean_return"))
+    return days.where("_usable").join(parts, "_group").select(*FACTOR_DAY, "group", "count", "mean_return")
 
 
 def _rate(condition: Column) -> Column:

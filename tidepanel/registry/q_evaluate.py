@@ -26,7 +26,7 @@ ENTITY = "PARTITION BY stock_code ORDER BY trade_date"
 
 def panel(spark, sf) -> DataFrame:
     """Samples with labels and six factors of their feature date, one of them with many ties."""
-    price = tables.price(spark, sf)
+    price = tables.stored_price(spark, sf)  # read by factors, samples and the check of keys
     table = pf.price_factors(price, kbar=True, relative=False, return_windows=(5,), rolling_windows=())
     coarse = price.select("stock_code", "trade_date", F.when(F.col("mno") % 9 != 0, F.floor(F.col("volume") / 60).cast("double")).alias("coarse"))
     daily = table.output().join(coarse, ["stock_code", "trade_date"]).select("stock_code", "trade_date", *FACTORS)
@@ -162,7 +162,7 @@ def slice_spread(spark, sf):
 )
 def slice_summary(spark, sf):
     """Summary of stored daily metrics over three years."""
-    rows = ev.factor_label_rows(freeze(panel(spark, sf), "panel"), FACTORS, LABELS)
+    rows = ev.factor_label_rows(panel(spark, sf), FACTORS, LABELS)
     return tidy(ev.slice_summary(ev.daily_ic(rows, 10, GROUPS), ev.group_returns(rows, 10, GROUPS), _SINCE, _UNTIL))
 
 
