@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.plans import evaluate as ev
+from tidepanel.plans import select as se
 from tidepanel.scale import freeze, stage_folder
 
 FACTORS, LABELS = ["a", "b", "c"], ["u", "v"]
@@ -62,3 +63,18 @@ def test_daily_ic_of_a_hot_day_and_what_is_stored_for_it(spark):
                 assert r.group_spread == pytest.approx(means["mean"][5] - means["mean"][1])
                 assert list(groups.loc[(f, y, day)]["count"]) == list(means["count"])
                 assert list(groups.loc[(f, y, day)]["mean_return"]) == pytest.approx(list(means["mean"]))
+
+
+def test_ranks_of_pairs_are_not_stored(spark):
+    n = 4000
+    panel = freeze(samples(spark, n), "panel")
+    frame = panel.toPandas()
+    names = ["a", "b", "u", "v"]
+    listed = spark.createDataFrame([(x, y) for i, x in enumerate(names) for y in names[i + 1 :]] + [("a", "c")], "factor_a string, factor_b string")
+    before = stages(spark)
+    got = {(r.factor_a, r.factor_b): r for r in se.pair_correlation(panel, listed, [*names, "c"]).collect()}
+    assert stored_rows(spark, before) < n
+    assert got["a", "c"].corr is None and len(got) == 7
+    for (x, y), r in got.items():
+        both = frame[[x, y]].dropna()
+        assert r.overlap_count == len(both) and (y == "c" or r.corr == pytest.approx(both[x].rank().corr(both[y].rank())))

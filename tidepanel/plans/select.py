@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.scalar import clip, correlation, finite
 from tidepanel.operators.keys import require_columns
-from tidepanel.operators.ordered import number_rows
-from tidepanel.scale import freeze
+from tidepanel.operators.ordered import cell_starts, cut_groups, number_rows, ranked_in_cells, with_cells
+from tidepanel.scale import freeze, settled
 
 # Default thresholds.
 MIN_RANK_IC_DAYS = 60
@@ -173,22 +173,29 @@ def pair_correlation(
     panel: DataFrame, pairs: DataFrame, factors: Sequence[str], method: str = "spearman", key: str = "sample_id"
 ) -> DataFrame:
     """Exact correlation of listed pairs over the rows where both are present, ranked anew for each pair."""
-    # both values are in the sample's row, so rows meet the listed pairs and not each other
-    wide = panel.select(key, F.array(*[finite(f) for f in factors]).alias("_values"))
-    place = F.create_map(*[F.lit(v) for i, f in enumerate(factors) for v in (f, i)])
-    listed = pairs.select("factor_a", "factor_b", *[F.element_at(place, F.col(f"factor_{s}")).alias(f"_{s}") for s in "ab"])
-    value = lambda at: F.get("_values", F.col(at))
-    both = wide.crossJoin(listed).select(key, "factor_a", "factor_b", value("_a").alias("x"), value("_b").alias("y"))
-    both = both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    # both values are in the sample's row, so rows meet the listed pairs and not each other; the samples are stored
+    # once, and the rows of pairs are made from them wherever they are read
+    place = {f: i for i, f in enumerate(factors)}
+    at = F.create_map(*[F.lit(v) for f, i in place.items() for v in (f, i)])
     group = ["factor_a", "factor_b"]
-    x, y = "x", "y"
-    if method == "spearman":
-        both = number_rows(both, group, [F.col("x")], key, "_n", rank="rx").drop(key)
-        both = number_rows(both, group, [F.col("y")], "_n", "_m", rank="ry")
-        x, y = "rx", "ry"
-    return both.groupBy(*group).agg(
-        F.when((F.min("x") < F.max("x")) & (F.min("y") < F.max("y")), correlation(F.col(x), F.col(y))).alias("corr"),
-        F.count(F.lit(1)).alias("overlap_count"),
+    listed = pairs.select(*group, *[F.element_at(at, F.col(f"factor_{s}")).alias(f"_{s}") for s in "ab"])
+    wide = settled(panel.select(key, *[finite(f).alias(f) for f in factors]), "samples")
+    value = lambda at: F.get(F.array(*factors), F.col(at))
+    both = wide.crossJoin(freeze(listed, "pairs")).select(key, *group, value("_a").alias("x"), value("_b").alias("y"))
+    both = both.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    varied = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    if method != "spearman":
+        return both.groupBy(*group).agg(
+            F.when(varied, correlation(F.col("x"), F.col("y"))).alias("corr"), F.count(F.lit(1)).alias("overlap_count")
+        )
+    # a row moves twice: to those of its cell by x, and with its rank to those of its cell by y
+    found = cut_groups(both, group, ["x", "y"], more={"_varied": varied})
+    celled = with_cells(both, found, group, ["x", "y"], key).drop(key)
+    ranked = ranked_in_cells(celled, cell_starts(celled, "x"), "x", "rx").select("_cell_y", "y", "rx")
+    ranked = ranked_in_cells(ranked, cell_starts(celled, "y"), "y", "ry")
+    corr = ranked.groupBy("_group").agg(correlation(F.col("rx"), F.col("ry")).alias("corr"))
+    return found.join(corr, "_group").select(
+        *group, F.when(F.col("_varied"), F.col("corr")).alias("corr"), F.col("_total").alias("overlap_count")
     )
 
 
