@@ -78,3 +78,38 @@ def test_ranks_of_pairs_are_not_stored(spark):
     for (x, y), r in got.items():
         both = frame[[x, y]].dropna()
         assert r.overlap_count == len(both) and (y == "c" or r.corr == pytest.approx(both[x].rank().corr(both[y].rank())))
+
+
+def test_quality_stores_a_row_per_sample(spark):
+    n = 3000
+    panel = freeze(samples(spark, n), "panel")
+    odd = F.when(F.col("b") < 2000, "n/a").when(F.col("b") < 4000, "NaN").when(F.col("b") < 6000, "Infinity").otherwise(F.col("b").cast("string"))
+    block = panel.select("sample_id", *FACTORS, odd.alias("text"), F.col("a").cast("float").alias("single"))
+    known = panel.where(F.col("sample_id") > "s000999")
+    before = stages(spark)
+    out = ev.factor_quality(block, known, [*FACTORS, "text", "single"], 0.98, 100, 0.01)
+    assert stored_rows(spark, before) < 2 * n
+    got = out.toPandas().set_index("factor_name")
+    frame = panel.toPandas()
+    frame = frame[frame.sample_id > "s000999"]
+    for f in (*FACTORS, "text", "single"):
+        x = frame["a" if f == "single" else "b" if f == "text" else f]
+        below = lambda low, high: int(((x >= low) & (x < high)).sum())
+        if f == "text":
+            assert (got.non_numeric_count[f], got.inf_count[f]) == (below(-1, 2000), below(4000, 6000))
+            assert got.raw_nan_count[f] == below(2000, 4000) + x.isna().sum()
+            x = x.where(x >= 6000)
+        else:
+            assert (got.non_numeric_count[f], got.inf_count[f], got.raw_nan_count[f]) == (0, 0, x.isna().sum())
+        assert (got.row_count[f], got.non_missing_count[f], got.unique_count[f]) == (2000, x.count(), x.nunique())
+        assert got.p50[f] == pytest.approx(x.median()) and got["mean"][f] == pytest.approx(x.mean())
+
+
+def test_both_labels_read_one_summary(spark):
+    quality = spark.createDataFrame([("a", True, False)], "factor_name string, quality_pass boolean, constant_flag boolean")
+    days = freeze(spark.createDataFrame([("a", y, dt.date(2024, 1, d), 9, 1.0, 0.1 * d, 0.2 * d, 0.3) for y in LABELS for d in (1, 2)],
+                  "factor_name string, label string, target_trade_date date, pair_count long, coverage double, ic double, rank_ic double, group_spread double"), "days")
+    merged = se.merge_reports(quality, ev.factor_summary(days), *LABELS)
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+    row = merged.first()
+    assert (row.label, row.rank_ic_mean, row.secondary_rank_ic_mean) == ("u", pytest.approx(0.3), pytest.approx(0.3))

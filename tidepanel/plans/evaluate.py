@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.scalar import correlation, finite
 from tidepanel.operators.keys import date_range, require_columns
 from tidepanel.operators.ordered import cell_starts, cut_groups, exact_quantiles, in_order, ranked_in_cells, with_cells
-from tidepanel.scale import null_safe_join, settled
+from tidepanel.scale import freeze, null_safe_join, settled
 
 FACTOR = ("factor_name", "label")
 FACTOR_DAY = (*FACTOR, "target_trade_date")
@@ -24,13 +24,14 @@ def factor_label_rows(
     """Long form: one row per sample, factor and label.
 
     Every later step groups by factor, label and day, so the work of all factors
-    is spread over the cluster at once. The samples are stored once, in the order of the key, and ``_row`` numbers them so; the
-    long form is made from them wherever it is read.
+    is spread over the cluster at once. The samples are stored once, in the order of the key, and ``_row`` numbers them so (a
+    panel that has it is taken as it is); the long form is made from them wherever it is read.
     """
-    wide = panel.select(
-        key, "target_trade_date", *[finite(f).alias(f) for f in factors], *[finite(x).alias(f"_y_{x}") for x in labels]
-    )
-    wide = in_order(wide, key, "_row")
+    values = [*[finite(f).alias(f) for f in factors], *[finite(x).alias(f"_y_{x}") for x in labels]]
+    if "_row" in panel.columns:
+        wide = settled(panel.select(key, "_row", "target_trade_date", *values), "samples")
+    else:
+        wide = in_order(panel.select(key, "target_trade_date", *values), key, "_row")
     long = wide.unpivot([key, "_row", "target_trade_date", *[f"_y_{x}" for x in labels]], list(factors), "factor_name", "x")
     pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.col(f"_y_{x}").alias("y")) for x in labels]))
     return long.select(key, "_row", "target_trade_date", "factor_name", "x", pairs.alias("_l")).select(
@@ -172,18 +173,23 @@ def factor_quality(
     """
     require_columns(block, ["sample_id", *factors], "block")
     years = samples.select("sample_id", F.year("target_trade_date").cast("bigint").alias("target_year")).dropDuplicates(["sample_id"])
-    rows = block.select("sample_id", *[F.col(f).cast("string").alias(f) for f in factors]).join(years, "sample_id")
-    long = rows.unpivot(["sample_id", "target_year"], list(factors), "factor_name", "raw")
-    parsed = F.col("raw").try_cast("double")
-    long = freeze(long.select("factor_name", "target_year", "raw", parsed.alias("v"), finite(parsed).alias("x")), "quality")
+    types = {f.name: f.dataType.typeName() for f in block.schema.fields}
+    raw = {f: F.col(f).cast("string") for f in factors}
+    # a double is its own text read again
+    parsed = {f: F.col(f) if types[f] == "double" else raw[f].try_cast("double") for f in factors}
+    cells = [F.struct(parsed[f].alias("v"), (raw[f].isNotNull() & parsed[f].isNull()).alias("odd")).alias(f) for f in factors]
+    # a row per sample is stored; the long form is made from it wherever it is read
+    rows = freeze(block.select("sample_id", *cells).join(years, "sample_id").select("target_year", *factors), "quality")
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("factor_name"), F.col(f"{f}.v").alias("v"), F.col(f"{f}.odd").alias("odd")) for f in factors]))
+    long = rows.select("target_year", each.alias("_f")).select("_f.factor_name", "target_year", "_f.v", "_f.odd", finite(F.col("_f.v")).alias("x"))
     nan = F.coalesce(F.isnan("v"), F.lit(False))
-    missing = F.col("raw").isNull() | nan
+    missing = (F.col("v").isNull() & ~F.col("odd")) | nan
     base = long.groupBy("factor_name").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count("x").alias("non_missing_count"),
         F.count(F.when(missing, 1)).alias("raw_nan_count"),
         F.count(F.when(F.col("v").isNotNull() & F.col("x").isNull() & ~nan, 1)).alias("inf_count"),
-        F.count(F.when(F.col("raw").isNotNull() & F.col("v").isNull(), 1)).alias("non_numeric_count"),
+        F.count(F.when(F.col("odd"), 1)).alias("non_numeric_count"),
         _rate(F.col("x") == 0).alias("zero_rate"),
         F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("std"),

@@ -45,7 +45,11 @@ REVIEW_FLAGS = (
 
 
 def merge_reports(quality: DataFrame, summary: DataFrame, primary: str, secondary: str) -> DataFrame:
-    """Quality with the primary label's summary, and the secondary label's rank IC beside it."""
+    """Quality with the primary label's summary, and the secondary label's rank IC beside it.
+
+    Both labels read one stored summary, so the days behind it are judged once.
+    """
+    summary = settled(summary, "summary")
     first = summary.where(F.col("label") == primary)
     second = summary.where(F.col("label") == secondary).select(
         "factor_name",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import keys as ky
 from tidepanel.operators.joins import align_to_samples, feature_panel
+from tidepanel.operators.ordered import in_order
 from tidepanel.plans import catalogue as ct
 from tidepanel.plans import evaluate as ev
 from tidepanel.plans import price_factors as pf
@@ -36,6 +37,11 @@ def panel(spark, sf) -> DataFrame:
     return align_to_samples(samples, daily)
 
 
+def stored_panel(spark, sf) -> DataFrame:
+    """The panel as a stage table in the order of its samples, for reports that read it several times."""
+    return in_order(panel(spark, sf), "sample_id", "_row")
+
+
 define(
     "panel",
     f"""daily AS (SELECT stock_code, trade_date, (close - open) / open AS {P}KMID, (close - open) / (high - low + 1e-12) AS {P}KMID2,
@@ -266,7 +272,7 @@ THRESHOLDS = {"min_days": 60, "min_coverage": 0.95, "min_abs_rank_ic": 0.004}
 
 def candidates(spark, sf, p: DataFrame | None = None) -> DataFrame:
     """Quality and summary reports merged; the panel (``p`` if it is at hand) and the result are stage tables, as in a daily run."""
-    p = freeze(panel(spark, sf), "panel") if p is None else p
+    p = stored_panel(spark, sf) if p is None else p
     quality = ev.factor_quality(p.select("sample_id", *FACTORS), p, FACTORS, 0.8, 1000, 0.05)
     days = ev.daily_ic(ev.factor_label_rows(p, FACTORS, LABELS), 10, GROUPS)
     merged = se.merge_reports(quality, ev.factor_summary(days), *LABELS)
@@ -390,7 +396,7 @@ clusters AS (SELECT 'cluster_' || lpad(CAST(n AS VARCHAR), 4, '0') AS cluster_id
 
 
 def clusters(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    p = freeze(panel(spark, sf), "panel")
+    p = stored_panel(spark, sf)
     scored = candidates(spark, sf, p)
     pairs = freeze(se.conflicts(se.correlation_matrix(p, FACTORS), CONFLICT, 100), "conflicts")
     return scored, pairs, se.redundancy_clusters(scored, pairs)
