@@ -289,3 +289,34 @@ def test_event_windows_are_dealt_out_by_the_size_of_the_stored_input(spark, tmp_
     assert len(dealt) >= 4 and min(dealt) > 4 * spark.sparkContext.defaultParallelism
     # every 280 minutes an event of the stock: 5 or 6 within a day
     assert out.where("sample_id = 1999").first().count_1d == 6.0
+
+
+def test_news_are_matched_dated_and_compared_without_their_texts(spark):
+    days = [dt.date(2024, 1, d) for d in (2, 3)]
+    price = spark.createDataFrame([(c, n, d) for c, n in (("000001.SZ", "alpha"), ("600000.SH", "beta1")) for d in days],
+                                  "stock_code string, stock_name string, trade_date date")
+    data = [
+        ("20240102080000", "alpha and beta1", "long", None, "f1"), ("20240102080000", "alpha and beta1", "long", None, "f2"),
+        ("20240102090000", "beta1", "000001 x", None, "f1"), ("20240102160000", "none", "", " 600000.sh", "f1"),
+        ("20240103160000", "alpha", "too late", None, "f1"), ("20240102080000", "alpha", "first", None, "f1"),
+    ]
+    raw = spark.createDataFrame(data, "datetime string, title string, content string, code string, __source_file string")
+    news = nw.stored_news(raw)
+    detail = nw.prepare_news(news, price)
+    whole = lambda df: {(r.trade_date.day, r.publish_time.hour, r.news_text, r.matched_stock_codes, r["__source_file"]) for r in df.collect()}
+    expected = {
+        (2, 8, "alpha and beta1\nlong", "000001.SZ|600000.SH", "f2"), (2, 8, "alpha\nfirst", "000001.SZ", "f1"),
+        (2, 9, "beta1\n000001 x", "000001.SZ|600000.SH", "f1"), (3, 16, "none\n", "600000.SH", "f1"),
+    }
+    assert whole(detail) == whole(nw.prepare_news(raw, price)) == expected and detail.count() == 4
+    rows_ = nw.stock_rows(detail)
+    keys = ["stock_code", "trade_date"]
+    plan = nw._slim(rows_, keys)._jdf.queryExecution().executedPlan().toString()
+    read = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    assert len(read) == 2 and "content#" not in "".join(read) and "title#" not in "".join(read)
+    told = {(r.stock_code, r.trade_date, r.part): r.text for r in nw.joined_texts(rows_, keys, "text", texts=news).collect()}
+    plain = rows_.drop(*nw.MARKS)
+    assert told == {(r.stock_code, r.trade_date, r.part): r.text for r in nw.joined_texts(plain, keys, "text").collect()}
+    first = sorted(["alpha and beta1\nlong", "alpha\nfirst"], key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    assert told["000001.SZ", days[0], 0] == "\n\n".join([*first, "beta1\n000001 x"]) and len(told) == 3
+    assert nw.stock_daily(rows_).drop("sample_id").orderBy(*keys).collect() == nw.stock_daily(plain).drop("sample_id").orderBy(*keys).collect()

@@ -230,11 +230,11 @@ def standardise(raw: Mapping[str, DataFrame | None], cutoff_hour: int = 15) -> S
     if have("news"):
         detail = freeze(nw.prepare_news(raw["news"], out["price"], cutoff_hour), "news")
         rows = nw.stock_rows(detail)
-        out["news_stock_texts"] = nw.joined_texts(rows, ["stock_code", "trade_date"], nw.STOCK_TEXT)
-        out["news_market_texts"] = nw.joined_texts(detail, ["trade_date"], nw.MARKET_TEXT)
+        out["news_stock_texts"] = nw.joined_texts(rows, ["stock_code", "trade_date"], nw.STOCK_TEXT, texts=detail)
+        out["news_market_texts"] = nw.joined_texts(detail, ["trade_date"], nw.MARKET_TEXT, texts=detail)
         out["news_stock_daily"] = nw.stock_daily(rows)
         out["news_market_daily"] = nw.market_daily(detail, out["price"].select("trade_date"))
-        out["news"] = detail.drop("codes", "title_text")
+        out["news"] = detail.drop("codes", "title_text", *nw.MARKS)
         out["samples"] = attach_news_counts(out["samples"], out["news_stock_daily"], out["news_market_daily"])
     once = keep_last(out["samples"], ["sample_id"], ["feature_asof_date"])
     steps["samples", "duplicate"] = out["samples"], once
