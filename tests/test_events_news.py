@@ -320,3 +320,12 @@ def test_news_are_matched_dated_and_compared_without_their_texts(spark):
     first = sorted(["alpha and beta1\nlong", "alpha\nfirst"], key=lambda x: hashlib.sha256(x.encode()).hexdigest())
     assert told["000001.SZ", days[0], 0] == "\n\n".join([*first, "beta1\n000001 x"]) and len(told) == 3
     assert nw.stock_daily(rows_).drop("sample_id").orderBy(*keys).collect() == nw.stock_daily(plain).drop("sample_id").orderBy(*keys).collect()
+
+
+def test_places_are_not_shuffled_for_few_heads(spark):
+    aliases = spark.createDataFrame([("alpha", "1"), ("alphabet", "2"), ("beta", "3")], "alias string, stock_code string")
+    texts = spark.createDataFrame([(1, "an alphabet of beta"), (2, "alpha")], "_key int, title_text string")
+    out = nw.names_in_text(texts, aliases)
+    assert rows(out.drop("place"), "_key", "stock_code") == [(1, "2"), (1, "3"), (2, "1")]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[head#", plan)
